@@ -1,0 +1,7 @@
+"""Streaming.
+
+The source project is batch only: it has no stream source, watermark, window
+or state. Nothing is built here on purpose; every operator in ``operators``
+is a batch DataFrame transform and runs unchanged on a micro-batch inside
+``foreachBatch`` if a caller feeds baskets as a stream.
+"""
