@@ -23,25 +23,30 @@ RULE_COLUMNS = ["antecedents", "consequents", "antecedent_support", "consequent_
 
 
 # ---------------------------------------------------------------- B1 / B2
+def cluster_contract_counts(clusters: DataFrame, id_col: str = "customer_id",
+                            cluster_col: str = "cluster") -> DataFrame:
+    """One row: rows, repeated ids (all but the first, NULL counts as a value), missing labels."""
+    return clusters.agg(
+        F.count(F.lit(1)).alias("number_of_rows"),
+        (F.count(F.lit(1)) - F.count_distinct(id_col)
+         - F.max(F.col(id_col).isNull().cast("long"))).alias("duplicated_ids"),
+        F.count_if(F.col(cluster_col).isNull()).alias("missing_labels"))
+
+
 def validate_customer_clusters(clusters: DataFrame, expected_rows: int | None = None,
                                id_col: str = "customer_id", cluster_col: str = "cluster") -> None:
     """Contract for a label table; one aggregation job, raises on the first failure."""
     expected = [id_col, cluster_col]
     if clusters.columns != expected:
         raise ValueError(f"customer_clusters must have columns {expected}, found {clusters.columns}.")
-    row = clusters.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct(id_col).alias("nd"),
-        F.max(F.col(id_col).isNull().cast("int")).alias("null_id"),
-        F.count_if(F.col(cluster_col).isNull()).alias("missing")).first()
-    n = row["n"]
+    row = cluster_contract_counts(clusters, id_col, cluster_col).first()
+    n = row["number_of_rows"]
     if expected_rows is not None and n != expected_rows:
         raise ValueError(f"customer_clusters must have {expected_rows:,} rows, found {n:,}.")
-    dup = n - (row["nd"] + (row["null_id"] or 0))
-    if dup > 0:
-        raise ValueError(f"customer_clusters has {dup:,} duplicated {id_col} values.")
-    if row["missing"] > 0:
-        raise ValueError(f"customer_clusters has {row['missing']:,} missing {cluster_col} values.")
+    if (row["duplicated_ids"] or 0) > 0:
+        raise ValueError(f"customer_clusters has {row['duplicated_ids']:,} duplicated {id_col} values.")
+    if row["missing_labels"] > 0:
+        raise ValueError(f"customer_clusters has {row['missing_labels']:,} missing {cluster_col} values.")
 
 
 def join_baskets_to_clusters(baskets: DataFrame, clusters: DataFrame, id_col: str = "customer_id",

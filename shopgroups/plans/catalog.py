@@ -57,3 +57,76 @@ def global_association_rules(spark: SparkSession, d: str) -> DataFrame:
     rules = B.mine_pair_rules(V.invoice_lines(spark, d), (), min_support=RULE_SUPPORT,
                               min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT)
     return rounded(rules)
+
+
+@register
+def rule_summary(spark: SparkSession, d: str) -> DataFrame:
+    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
+                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
+    return rounded(B.rule_summary(rules))
+
+
+@register
+def rule_top5(spark: SparkSession, d: str) -> DataFrame:
+    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
+                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
+    return B.top_rules_with_label(rules, 5)
+
+
+# ------------------------------------------------------------------ B1 - B4
+@register
+def cluster_contract(spark: SparkSession, d: str) -> DataFrame:
+    return B.cluster_contract_counts(V.customer_segments(spark, d))
+
+
+@register
+def basket_segment_join(spark: SparkSession, d: str) -> DataFrame:
+    return segment_baskets(spark, d, validate=True).select(
+        "invoice_id", "customer_id", "cluster", "basket_size", "distinct_products_per_basket")
+
+
+@register
+def segment_basket_profile(spark: SparkSession, d: str) -> DataFrame:
+    prof = B.cluster_basket_profile(segment_baskets(spark, d), segment_lines(spark, d),
+                                    V.customer_segments(spark, d))
+    return rounded(prof)
+
+
+@register
+def segment_top_products(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(B.cluster_top_products(segment_lines(spark, d), top_n=10))
+
+
+# ------------------------------------------------------------------ F12 - F16
+@register
+def basket_parse(spark: SparkSession, d: str) -> DataFrame:
+    parsed = B.parse_baskets(V.basket_list_text(spark, d))
+    return parsed.select("invoice_id", "customer_id", "basket_size", "distinct_products_per_basket",
+                         F.array_join("goods_list", ",").alias("goods_text"))
+
+
+@register
+def basket_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return V.baskets(spark, d)
+
+
+@register
+def customer_basket_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(B.customer_basket_features(V.baskets(spark, d), V.basket_lines(spark, d)))
+
+
+def _customer_base(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.tables import read_table
+    return read_table(spark, d, "customer").select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"))
+
+
+@register
+def customer_with_basket_features(spark: SparkSession, d: str) -> DataFrame:
+    feats = B.customer_basket_features(V.baskets(spark, d), V.basket_lines(spark, d))
+    return rounded(B.attach_basket_features(_customer_base(spark, d), feats))
+
+
+@register
+def customer_basket_counts(spark: SparkSession, d: str) -> DataFrame:
+    return B.attach_basket_counts(_customer_base(spark, d), V.invoices(spark, d))

@@ -76,3 +76,113 @@ ORACLE_SQL["segment_association_rules"] = _rules_sql(
 ORACLE_SQL["global_association_rules"] = _rules_sql(
     "src AS (SELECT l.l_orderkey AS invoice_id, p.p_brand AS product FROM lineitem l "
     "JOIN part p ON l.l_partkey = p.p_partkey)", False, SUPPORT, CONFIDENCE, LIFT, None)
+
+RULES_TOP = _rules_sql(SEGMENT_LINES + ",\nsrc AS (SELECT * FROM seg_lines)", True, SUPPORT, CONFIDENCE, LIFT, 20)
+
+ORACLE_SQL["rule_summary"] = f"""
+WITH t AS ({RULES_TOP})
+SELECT cluster, count(*) AS number_of_rules, {_r('avg(lift)', 'average_lift')}, {_r('max(lift)', 'max_lift')},
+       {_r('avg(confidence)', 'average_confidence')}, {_r('max(confidence)', 'max_confidence')}
+FROM t GROUP BY cluster"""
+
+ORACLE_SQL["rule_top5"] = f"""
+WITH t AS ({RULES_TOP})
+SELECT cluster, rule_rank, antecedents || ' -> ' || consequents AS rule,
+       round(support, 4) AS support, round(confidence, 4) AS confidence, round(lift, 4) AS lift
+FROM t WHERE rule_rank <= 5"""
+
+ORACLE_SQL["cluster_contract"] = """
+SELECT count(*) AS number_of_rows,
+       count(*) - count(DISTINCT c_custkey) - max(CASE WHEN c_custkey IS NULL THEN 1 ELSE 0 END) AS duplicated_ids,
+       count(*) FILTER (WHERE c_mktsegment IS NULL) AS missing_labels
+FROM customer"""
+
+BASKETS = """
+sizes AS (
+  SELECT l.l_orderkey AS invoice_id, count(p.p_brand) AS basket_size, count(DISTINCT p.p_brand) AS dp
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1),
+baskets AS (
+  SELECT o.o_orderkey AS invoice_id, o.o_custkey AS customer_id,
+         coalesce(s.basket_size, 0) AS basket_size, coalesce(s.dp, 0) AS distinct_products_per_basket
+  FROM orders o LEFT JOIN sizes s ON s.invoice_id = o.o_orderkey)"""
+
+ORACLE_SQL["basket_segment_join"] = f"""
+WITH {BASKETS}
+SELECT b.invoice_id, b.customer_id, c.c_mktsegment AS cluster, b.basket_size, b.distinct_products_per_basket
+FROM baskets b LEFT JOIN customer c ON c.c_custkey = b.customer_id"""
+
+ORACLE_SQL["segment_basket_profile"] = f"""
+WITH {BASKETS}, {SEGMENT_LINES.strip()},
+seg AS (SELECT c_custkey AS customer_id, c_mktsegment AS cluster FROM customer),
+bc AS (SELECT b.*, seg.cluster FROM baskets b JOIN seg USING (customer_id)),
+sz AS (SELECT cluster, count(DISTINCT customer_id) AS ncc FROM seg GROUP BY cluster),
+pr AS (SELECT cluster, count(invoice_id) AS nb, count(DISTINCT customer_id) AS nc,
+              avg(basket_size) AS avg_size, median(basket_size::DOUBLE) AS med_size,
+              avg(distinct_products_per_basket) AS avg_dp, sum(basket_size) AS items
+       FROM bc GROUP BY cluster),
+dp AS (SELECT cluster, count(DISTINCT product) AS ndp FROM seg_lines WHERE product IS NOT NULL GROUP BY cluster)
+SELECT sz.cluster, coalesce(nb, 0) AS number_of_baskets, coalesce(nc, 0) AS number_of_customers_with_baskets,
+       {_r('coalesce(avg_size, 0)', 'average_basket_size')}, {_r('coalesce(med_size, 0)', 'median_basket_size')},
+       {_r('coalesce(avg_dp, 0)', 'average_distinct_products_per_basket')},
+       coalesce(items, 0)::BIGINT AS total_items_in_baskets, coalesce(ndp, 0) AS number_of_distinct_products,
+       {_r('coalesce(nc, 0)::DOUBLE / ncc', 'share_of_cluster_customers_with_baskets')}
+FROM sz LEFT JOIN pr USING (cluster) LEFT JOIN dp USING (cluster)"""
+
+ORACLE_SQL["segment_top_products"] = f"""
+WITH {SEGMENT_LINES.strip()},
+pc AS (SELECT cluster, product, count(*) AS product_count FROM seg_lines WHERE product IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, product_count::DOUBLE / sum(product_count) OVER (PARTITION BY cluster) AS share,
+             row_number() OVER (PARTITION BY cluster ORDER BY product_count DESC, product) AS product_rank
+      FROM pc)
+SELECT cluster, product, product_count, {_r('share', 'product_share_within_cluster')}, product_rank
+FROM r WHERE product_rank <= 10"""
+
+ORACLE_SQL["basket_parse"] = """
+WITH items AS (
+  SELECT l.l_orderkey AS invoice_id, list(p.p_brand ORDER BY p.p_brand) AS goods
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1)
+SELECT o.o_orderkey AS invoice_id, o.o_custkey AS customer_id,
+       coalesce(len(goods), 0) AS basket_size, coalesce(len(list_distinct(goods)), 0) AS distinct_products_per_basket,
+       coalesce(array_to_string(goods, ','), '') AS goods_text
+FROM orders o LEFT JOIN items i ON i.invoice_id = o.o_orderkey"""
+
+ORACLE_SQL["basket_sizes"] = f"WITH {BASKETS} SELECT * FROM baskets"
+
+BASKET_FEATURES = f"""
+{BASKETS},
+lines AS (SELECT o.o_custkey AS customer_id, p.p_brand AS product
+          FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey),
+st AS (SELECT customer_id, count(invoice_id) AS basket_count, avg(basket_size) AS avg_basket_size,
+              max(basket_size) AS max_basket_size, min(basket_size) AS min_basket_size,
+              sum(basket_size)::BIGINT AS total_items_bought_in_baskets,
+              avg(distinct_products_per_basket) AS avg_distinct_products_per_basket
+       FROM baskets WHERE customer_id IS NOT NULL GROUP BY customer_id),
+pc AS (SELECT customer_id, product, count(*) AS n FROM lines WHERE product IS NOT NULL GROUP BY ALL),
+fav AS (SELECT customer_id, count(*) AS distinct_products_in_baskets,
+               arg_min(product, (-n, product)) AS most_frequent_product
+        FROM pc GROUP BY customer_id),
+bf AS (SELECT st.*, fav.distinct_products_in_baskets, fav.most_frequent_product
+       FROM st LEFT JOIN fav USING (customer_id))"""
+
+ORACLE_SQL["customer_basket_features"] = f"""
+WITH {BASKET_FEATURES}
+SELECT customer_id, basket_count, {_r('avg_basket_size', 'avg_basket_size')}, max_basket_size, min_basket_size,
+       total_items_bought_in_baskets, distinct_products_in_baskets,
+       {_r('avg_distinct_products_per_basket', 'avg_distinct_products_per_basket')}, most_frequent_product
+FROM bf"""
+
+ORACLE_SQL["customer_with_basket_features"] = f"""
+WITH {BASKET_FEATURES}
+SELECT c.c_custkey AS customer_id, c.c_mktsegment AS segment,
+       coalesce(basket_count, 0) AS basket_count, {_r('coalesce(avg_basket_size, 0)', 'avg_basket_size')},
+       coalesce(max_basket_size, 0) AS max_basket_size, coalesce(min_basket_size, 0) AS min_basket_size,
+       coalesce(total_items_bought_in_baskets, 0) AS total_items_bought_in_baskets,
+       coalesce(distinct_products_in_baskets, 0) AS distinct_products_in_baskets,
+       {_r('coalesce(avg_distinct_products_per_basket, 0)', 'avg_distinct_products_per_basket')},
+       coalesce(most_frequent_product, 'No Basket') AS most_frequent_product
+FROM customer c LEFT JOIN bf ON bf.customer_id = c.c_custkey"""
+
+ORACLE_SQL["customer_basket_counts"] = """
+SELECT c.c_custkey AS customer_id, c.c_mktsegment AS segment, coalesce(n, 0) AS basket_count
+FROM customer c LEFT JOIN (SELECT o_custkey, count(o_orderkey) AS n FROM orders GROUP BY 1) o
+  ON o.o_custkey = c.c_custkey"""
