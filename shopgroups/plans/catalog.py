@@ -20,7 +20,7 @@ QUERIES: dict = {}
 # Rule thresholds for the driver data (near-uniform brands): the source
 # project's 0.01 / 0.15 / 1.2 leave no rule at sf0.1.
 RULE_SUPPORT, RULE_CONFIDENCE, RULE_LIFT = 0.005, 0.05, 1.0
-DIGITS = 9
+DIGITS = 6
 
 
 def register(fn):
@@ -130,3 +130,84 @@ def customer_with_basket_features(spark: SparkSession, d: str) -> DataFrame:
 @register
 def customer_basket_counts(spark: SparkSession, d: str) -> DataFrame:
     return B.attach_basket_counts(_customer_base(spark, d), V.invoices(spark, d))
+
+
+# ------------------------------------------------------------------ F1 - F11, F17 - F19
+from ..operators import features as FE  # noqa: E402
+from ..operators import prep as P  # noqa: E402
+
+
+def model_columns(features: DataFrame) -> list[str]:
+    """The source project's 20 model columns with this data's spend shares."""
+    shares = [c for c in features.columns if c.startswith(FE.SHARE_PREFIX)]
+    return [c for c in P.FINAL_MODEL_COLUMNS if not c.startswith(FE.SHARE_PREFIX)] + shares
+
+
+def customer_features_frame(spark: SparkSession, d: str) -> DataFrame:
+    return FE.add_customer_info_features(V.customer_info(spark, d))
+
+
+def clean_features_frame(spark: SparkSession, d: str) -> DataFrame:
+    return P.clean_feature_values(customer_features_frame(spark, d))
+
+
+def selected_features_frame(spark: SparkSession, d: str) -> DataFrame:
+    clean = clean_features_frame(spark, d)
+    return P.select_model_features(clean, model_columns(clean))
+
+
+@register
+def customer_info_view(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(V.customer_info(spark, d))
+
+
+@register
+def customer_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(customer_features_frame(spark, d))
+
+
+@register
+def degree_levels(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions.text import degree_level
+    return V.customer_info(spark, d).select("customer_id", "customer_name",
+                                            degree_level("customer_name").alias("degree_level"))
+
+
+@register
+def segment_one_hot(spark: SparkSession, d: str) -> DataFrame:
+    feats = customer_features_frame(spark, d)
+    out = FE.one_hot(feats, "customer_gender", ["female", "male", "other"], "gender")
+    out = FE.one_hot(out, "degree_level", ["Bsc", "Msc", "Phd"], "degree")
+    return out.select("customer_id", "gender_female", "gender_male", "gender_other",
+                      "degree_Bsc", "degree_Msc", "degree_Phd")
+
+
+@register
+def clean_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(clean_features_frame(spark, d))
+
+
+@register
+def selected_features(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(selected_features_frame(spark, d))
+
+
+@register
+def robust_scaled(spark: SparkSession, d: str) -> DataFrame:
+    sel = selected_features_frame(spark, d)
+    scaled, _ = P.scale_features(sel, [c for c in sel.columns if c != "customer_id"], "robust")
+    return rounded(scaled)
+
+
+@register
+def standard_scaled(spark: SparkSession, d: str) -> DataFrame:
+    sel = selected_features_frame(spark, d)
+    scaled, _ = P.scale_features(sel, [c for c in sel.columns if c != "customer_id"], "standard")
+    return rounded(scaled)
+
+
+@register
+def log_robust_scaled(spark: SparkSession, d: str) -> DataFrame:
+    sel = selected_features_frame(spark, d)
+    scaled, _ = P.scale_features(sel, [c for c in sel.columns if c != "customer_id"], "robust", use_log=True)
+    return rounded(scaled)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 ORACLE_SQL: dict[str, str] = {}
 
-D = 9  # rounding digits, equal to catalog.DIGITS
+D = 6  # rounding digits, equal to catalog.DIGITS
 
 
 def _r(expr: str, alias: str, digits: int = D) -> str:
@@ -186,3 +186,146 @@ ORACLE_SQL["customer_basket_counts"] = """
 SELECT c.c_custkey AS customer_id, c.c_mktsegment AS segment, coalesce(n, 0) AS basket_count
 FROM customer c LEFT JOIN (SELECT o_custkey, count(o_orderkey) AS n FROM orders GROUP BY 1) o
   ON o.o_custkey = c.c_custkey"""
+
+
+# ------------------------------------------------------------------ customer view and features
+# p_type values of the driver data = spend categories of the customer view
+CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+SPEND = [f"lifetime_spend_{c.lower()}" for c in CATEGORIES]
+SHARES = [f"share_{c.lower()}" for c in CATEGORIES]
+
+CUSTOMER_INFO = f"""
+ci_orders AS (
+  SELECT o_custkey AS ok, CAST(min(year(o_orderdate)) AS DOUBLE) AS year_first_transaction,
+         CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS DOUBLE) AS kids_home,
+         CAST(count(*) FILTER (WHERE o_orderpriority = '2-HIGH') AS DOUBLE) AS teens_home,
+         min(o_orderdate) AS first_order
+  FROM orders GROUP BY 1),
+ci_lines AS (
+  SELECT o.o_custkey AS lk,
+         CAST(count(*) FILTER (WHERE l.l_returnflag = 'R') AS DOUBLE) AS number_complaints,
+         CAST(count(DISTINCT l.l_suppkey) AS DOUBLE) AS distinct_stores_visited,
+         CAST(count(DISTINCT l.l_partkey) AS DOUBLE) AS lifetime_total_distinct_products,
+         avg(CASE WHEN l.l_discount > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS percentage_of_products_bought_promotion,
+         {', '.join(f"sum(CASE WHEN p.p_type = '{c}' THEN l.l_extendedprice END) AS {s}" for c, s in zip(CATEGORIES, SPEND))}
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+  GROUP BY 1),
+ci_events AS (SELECT user_id AS ek, CAST(floor(avg(hour(ts))) AS DOUBLE) AS typical_hour FROM events GROUP BY 1),
+customer_info AS (
+  SELECT c.c_custkey AS customer_id,
+         (CASE c.c_nationkey % 4 WHEN 0 THEN 'Bsc. ' WHEN 1 THEN 'Msc. ' WHEN 2 THEN 'Phd. ' ELSE '' END) || c.c_name AS customer_name,
+         CASE WHEN c.c_acctbal < 0 THEN NULL WHEN c.c_nationkey % 2 = 0 THEN 'female' ELSE 'male' END AS customer_gender,
+         strftime(first_order - to_years(20 + c.c_nationkey), '%m/%d/%Y %I:%M %p') AS customer_birthdate,
+         kids_home, teens_home, number_complaints, distinct_stores_visited, {', '.join(SPEND)},
+         lifetime_total_distinct_products, year_first_transaction,
+         CASE WHEN c.c_acctbal > 0 THEN 1.0::DOUBLE END AS loyalty_card_number,
+         percentage_of_products_bought_promotion, typical_hour,
+         c.c_nationkey::DOUBLE * 2.5 - 30.0 AS latitude, c.c_nationkey::DOUBLE * 7.0 - 80.0 AS longitude
+  FROM customer c LEFT JOIN ci_orders ON ok = c.c_custkey LEFT JOIN ci_lines ON lk = c.c_custkey
+       LEFT JOIN ci_events ON ek = c.c_custkey)"""
+
+KEPT = ["customer_id", "customer_gender", "kids_home", "teens_home", "number_complaints",
+        "distinct_stores_visited", "lifetime_total_distinct_products", "year_first_transaction",
+        "percentage_of_products_bought_promotion", "typical_hour", "latitude", "longitude"]
+ENGINEERED_NUM = ["age", "customer_tenure", "has_loyalty_card", "total_children_home", "has_children",
+                  "total_lifetime_spend", *SHARES]
+FEATURE_COLS = [*KEPT, *ENGINEERED_NUM, "degree_level"]
+MODEL = ["number_complaints", "distinct_stores_visited", "lifetime_total_distinct_products",
+         "percentage_of_products_bought_promotion", "typical_hour", "age", "customer_tenure",
+         "has_loyalty_card", "total_children_home", "total_lifetime_spend", *SHARES]
+
+_total = (f"CASE WHEN coalesce({', '.join(SPEND)}) IS NOT NULL THEN 0.0::DOUBLE + "
+          + " + ".join(f"coalesce({s}, 0.0)" for s in SPEND) + " END")
+FEATURES = f"""
+{CUSTOMER_INFO},
+ref AS (SELECT max(year_first_transaction) AS ry FROM customer_info),
+f0 AS (
+  SELECT ci.*, ry - year(try_strptime(customer_birthdate, '%m/%d/%Y %I:%M %p')) AS age,
+         ry - year_first_transaction AS customer_tenure,
+         CAST(loyalty_card_number IS NOT NULL AS INTEGER) AS has_loyalty_card,
+         kids_home + teens_home AS total_children_home,
+         CAST(coalesce(kids_home + teens_home, 0) > 0 AS INTEGER) AS has_children,
+         {_total} AS total_lifetime_spend,
+         CASE WHEN starts_with(trim(customer_name), 'Bsc.') THEN 'Bsc'
+              WHEN starts_with(trim(customer_name), 'Msc.') THEN 'Msc'
+              WHEN starts_with(trim(customer_name), 'Phd.') THEN 'Phd' ELSE 'Unknown' END AS degree_level
+  FROM customer_info ci, ref),
+features AS (
+  SELECT {', '.join(KEPT)}, age, customer_tenure, has_loyalty_card, total_children_home, has_children,
+         total_lifetime_spend,
+         {', '.join(f"CASE WHEN total_lifetime_spend > 0 THEN {s} / total_lifetime_spend ELSE 0.0 END AS {h}" for s, h in zip(SPEND, SHARES))},
+         degree_level
+  FROM f0)"""
+
+_NUM = [c for c in FEATURE_COLS if c not in ("customer_id", "customer_gender", "degree_level")]
+_INT = {"has_loyalty_card", "has_children"}
+CLEAN = f"""
+{FEATURES},
+clipped AS (
+  SELECT * REPLACE (CASE WHEN percentage_of_products_bought_promotion IS NULL THEN NULL
+                         ELSE least(greatest(percentage_of_products_bought_promotion, 0), 100) END
+                    AS percentage_of_products_bought_promotion)
+  FROM features),
+med AS (SELECT {', '.join(f"median({c}::DOUBLE) AS m_{c}" for c in _NUM)} FROM clipped),
+clean AS (
+  SELECT customer_id, coalesce(customer_gender, 'Unknown') AS customer_gender,
+         {', '.join(f"coalesce({c}, CAST(coalesce(m_{c}, 0) AS {'INTEGER' if c in _INT else 'DOUBLE'})) AS {c}" for c in _NUM)},
+         coalesce(degree_level, 'Unknown') AS degree_level
+  FROM clipped, med)"""
+
+
+def _rounded_select(cols, src, doubles) -> str:
+    return "SELECT " + ", ".join(_r(c, c) if c in doubles else c for c in cols) + f" FROM {src}"
+
+
+_DOUBLES = set(_NUM) - _INT
+ORACLE_SQL["customer_info_view"] = (
+    f"WITH {CUSTOMER_INFO.strip()} "
+    + _rounded_select(["customer_id", "customer_name", "customer_gender", "customer_birthdate", "kids_home",
+                       "teens_home", "number_complaints", "distinct_stores_visited", *SPEND,
+                       "lifetime_total_distinct_products", "year_first_transaction", "loyalty_card_number",
+                       "percentage_of_products_bought_promotion", "typical_hour", "latitude", "longitude"],
+                      "customer_info", {"kids_home", "teens_home", "number_complaints", "distinct_stores_visited",
+                                        *SPEND, "lifetime_total_distinct_products", "year_first_transaction",
+                                        "loyalty_card_number", "percentage_of_products_bought_promotion",
+                                        "typical_hour", "latitude", "longitude"}))
+ORACLE_SQL["customer_features"] = f"WITH {FEATURES.strip()} " + _rounded_select(FEATURE_COLS, "features", _DOUBLES)
+ORACLE_SQL["degree_levels"] = f"""
+WITH {CUSTOMER_INFO.strip()}
+SELECT customer_id, customer_name,
+       CASE WHEN starts_with(trim(customer_name), 'Bsc.') THEN 'Bsc'
+            WHEN starts_with(trim(customer_name), 'Msc.') THEN 'Msc'
+            WHEN starts_with(trim(customer_name), 'Phd.') THEN 'Phd' ELSE 'Unknown' END AS degree_level
+FROM customer_info"""
+ORACLE_SQL["segment_one_hot"] = f"""
+WITH {FEATURES.strip()}
+SELECT customer_id,
+       coalesce(CAST(customer_gender = 'female' AS INTEGER), 0) AS gender_female,
+       coalesce(CAST(customer_gender = 'male' AS INTEGER), 0) AS gender_male,
+       coalesce(CAST(customer_gender = 'other' AS INTEGER), 0) AS gender_other,
+       coalesce(CAST(degree_level = 'Bsc' AS INTEGER), 0) AS degree_Bsc,
+       coalesce(CAST(degree_level = 'Msc' AS INTEGER), 0) AS degree_Msc,
+       coalesce(CAST(degree_level = 'Phd' AS INTEGER), 0) AS degree_Phd
+FROM features"""
+ORACLE_SQL["clean_features"] = f"WITH {CLEAN.strip()} " + _rounded_select(FEATURE_COLS, "clean", _DOUBLES)
+ORACLE_SQL["selected_features"] = (f"WITH {CLEAN.strip()} "
+                                   + _rounded_select(["customer_id", *MODEL], "clean", _DOUBLES))
+
+
+def _scaled_sql(method: str, use_log: bool) -> str:
+    x = {c: (f"ln(1 + greatest({c}::DOUBLE, 0))" if use_log else f"{c}::DOUBLE") for c in MODEL}
+    if method == "robust":
+        stats = ", ".join(f"quantile_cont({x[c]}, [0.25, 0.5, 0.75]) AS q_{c}" for c in MODEL)
+        cols = ", ".join(
+            f"round(({x[c]} - q_{c}[2]) / CASE WHEN q_{c}[3] - q_{c}[1] = 0 THEN 1 ELSE q_{c}[3] - q_{c}[1] END, {D}) AS {c}"
+            for c in MODEL)
+    else:
+        stats = ", ".join(f"avg({x[c]}) AS m_{c}, stddev_pop({x[c]}) AS s_{c}" for c in MODEL)
+        cols = ", ".join(
+            f"round(({x[c]} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END, {D}) AS {c}" for c in MODEL)
+    return f"WITH {CLEAN.strip()}, st AS (SELECT {stats} FROM clean) SELECT customer_id, {cols} FROM clean, st"
+
+
+ORACLE_SQL["robust_scaled"] = _scaled_sql("robust", False)
+ORACLE_SQL["standard_scaled"] = _scaled_sql("standard", False)
+ORACLE_SQL["log_robust_scaled"] = _scaled_sql("robust", True)
