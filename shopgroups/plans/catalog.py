@@ -211,3 +211,166 @@ def log_robust_scaled(spark: SparkSession, d: str) -> DataFrame:
     sel = selected_features_frame(spark, d)
     scaled, _ = P.scale_features(sel, [c for c in sel.columns if c != "customer_id"], "robust", use_log=True)
     return rounded(scaled)
+
+
+# ------------------------------------------------------------------ Q1 - Q23
+from ..operators import quality as Q  # noqa: E402
+
+
+def _spend_cols(df: DataFrame) -> list[str]:
+    return FE.spend_columns(df)
+
+
+@register
+def customer_table_info(spark: SparkSession, d: str) -> DataFrame:
+    return Q.table_info(V.customer_info(spark, d))
+
+
+@register
+def customer_describe(spark: SparkSession, d: str) -> DataFrame:
+    ci = V.customer_info(spark, d)
+    return rounded(Q.describe_numeric(ci, Q.numeric_columns(ci, exclude=("customer_id",))))
+
+
+@register
+def customer_describe_text(spark: SparkSession, d: str) -> DataFrame:
+    return Q.describe_text(V.customer_info(spark, d))
+
+
+@register
+def order_key_integrity(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.tables import read_table
+    return Q.key_integrity(read_table(spark, d, "orders"), "o_orderkey")
+
+
+@register
+def customer_missing_summary(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.missing_summary(V.customer_info(spark, d)))
+
+
+@register
+def gender_value_counts(spark: SparkSession, d: str) -> DataFrame:
+    return Q.value_counts(V.customer_info(spark, d), "customer_gender")
+
+
+@register
+def segment_value_counts(spark: SparkSession, d: str) -> DataFrame:
+    return Q.value_counts(V.customer_segments(spark, d), "cluster", n=3)
+
+
+@register
+def name_prefix_counts(spark: SparkSession, d: str) -> DataFrame:
+    return Q.name_prefix_counts(V.customer_info(spark, d))
+
+
+@register
+def card_presence(spark: SparkSession, d: str) -> DataFrame:
+    return Q.presence_counts(V.customer_info(spark, d), "loyalty_card_number")
+
+
+RANGE_RULES = [
+    ("promotion percentage outside [0, 1]", "percentage_of_products_bought_promotion < 0 OR percentage_of_products_bought_promotion > 1"),
+    ("year_first_transaction after 2026", "year_first_transaction > 2026"),
+    ("typical_hour outside [0, 23]", "typical_hour < 0 OR typical_hour > 23"),
+    ("negative kids_home", "kids_home < 0"),
+    ("negative teens_home", "teens_home < 0"),
+    ("negative number_complaints", "number_complaints < 0"),
+    ("negative distinct_stores_visited", "distinct_stores_visited < 0"),
+]
+
+
+@register
+def range_rule_violations(spark: SparkSession, d: str) -> DataFrame:
+    return Q.rule_violations(V.customer_info(spark, d), [(n, F.expr(e)) for n, e in RANGE_RULES])
+
+
+@register
+def negative_value_counts(spark: SparkSession, d: str) -> DataFrame:
+    ci = V.customer_info(spark, d)
+    return Q.negative_value_counts(ci, Q.numeric_columns(ci, exclude=("customer_id",)))
+
+
+@register
+def customer_event_id_relationship(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.tables import read_table
+    return Q.id_relationship(read_table(spark, d, "customer"), read_table(spark, d, "events"),
+                             "c_custkey", "user_id")
+
+
+@register
+def event_coverage(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.tables import read_table
+    return rounded(Q.coverage(read_table(spark, d, "customer"), read_table(spark, d, "events"),
+                              "c_custkey", "user_id", ("with events", "without events")))
+
+
+@register
+def reference_year_check(spark: SparkSession, d: str) -> DataFrame:
+    ci = V.customer_info(spark, d)
+    ry = FE.reference_year(ci)
+    return rounded(Q.tenure_checks(FE.add_customer_info_features(ci, ry), ry))
+
+
+@register
+def spend_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    feats = customer_features_frame(spark, d)
+    return rounded(Q.quantile_table(feats, ["total_lifetime_spend", "age", "customer_tenure",
+                                            "typical_hour", "number_complaints"]))
+
+
+@register
+def spend_correlation(spark: SparkSession, d: str) -> DataFrame:
+    ci = V.customer_info(spark, d)
+    return rounded(Q.correlation_lower(ci, _spend_cols(ci)))
+
+
+@register
+def category_spend(spark: SparkSession, d: str) -> DataFrame:
+    feats = customer_features_frame(spark, d)
+    return rounded(Q.category_spend(feats, [c for c in feats.columns if c.startswith("share_")]))
+
+
+@register
+def segment_median_spend(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.group_median(customer_features_frame(spark, d), "total_lifetime_spend", "has_loyalty_card"))
+
+
+@register
+def spend_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.histogram(customer_features_frame(spark, d), "total_lifetime_spend", 30))
+
+
+@register
+def spend_box_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.box_stats(customer_features_frame(spark, d), "total_lifetime_spend"))
+
+
+@register
+def spend_capped(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.capped(customer_features_frame(spark, d), "total_lifetime_spend", 0.99))
+
+
+@register
+def top_customers_by_baskets(spark: SparkSession, d: str) -> DataFrame:
+    return Q.top_counts(V.invoices(spark, d), "customer_id", 10, "number_of_baskets")
+
+
+@register
+def product_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return Q.top_counts(V.invoice_lines(spark, d), "product", 20, "count")
+
+
+@register
+def feature_validation(spark: SparkSession, d: str) -> DataFrame:
+    feats = customer_features_frame(spark, d)
+    checks = [
+        ("rows", F.count(F.lit(1))),
+        ("distinct customer_id", F.count_distinct("customer_id")),
+        ("missing age", F.count_if(F.col("age").isNull())),
+        ("min age", F.min("age")),
+        ("max age", F.max("age")),
+        ("negative tenure", F.count_if(F.col("customer_tenure") < 0)),
+        ("customers with loyalty card", F.sum("has_loyalty_card")),
+        ("missing total_lifetime_spend", F.count_if(F.col("total_lifetime_spend").isNull())),
+    ]
+    return Q.checks_table(feats, checks)

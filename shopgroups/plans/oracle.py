@@ -329,3 +329,159 @@ def _scaled_sql(method: str, use_log: bool) -> str:
 ORACLE_SQL["robust_scaled"] = _scaled_sql("robust", False)
 ORACLE_SQL["standard_scaled"] = _scaled_sql("standard", False)
 ORACLE_SQL["log_robust_scaled"] = _scaled_sql("robust", True)
+
+
+# ------------------------------------------------------------------ Q1 - Q23
+CI_COLS = ["customer_id", "customer_name", "customer_gender", "customer_birthdate", "kids_home", "teens_home",
+           "number_complaints", "distinct_stores_visited", *SPEND, "lifetime_total_distinct_products",
+           "year_first_transaction", "loyalty_card_number", "percentage_of_products_bought_promotion",
+           "typical_hour", "latitude", "longitude"]
+CI_TEXT = ["customer_name", "customer_gender", "customer_birthdate"]
+CI_NUM = [c for c in CI_COLS if c not in CI_TEXT and c != "customer_id"]
+WCI = f"WITH {CUSTOMER_INFO.strip()} "
+
+ORACLE_SQL["customer_table_info"] = WCI + " UNION ALL ".join(
+    f"SELECT {i} AS position, '{c}' AS column, '{'bigint' if c == 'customer_id' else ('string' if c in CI_TEXT else 'double')}' "
+    f"AS data_type, count({c}) AS non_null_count, count(*) AS row_count FROM customer_info"
+    for i, c in enumerate(CI_COLS))
+
+ORACLE_SQL["customer_describe"] = WCI + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count({c}) AS count, {_r(f'avg({c})', 'mean')}, {_r(f'stddev_samp({c})', 'std')}, "
+    f"{_r(f'min({c})', 'min')}, {_r(f'quantile_cont({c}, 0.25)', 'p25')}, {_r(f'quantile_cont({c}, 0.5)', 'p50')}, "
+    f"{_r(f'quantile_cont({c}, 0.75)', 'p75')}, {_r(f'max({c})', 'max')} FROM customer_info" for c in CI_NUM)
+
+ORACLE_SQL["customer_describe_text"] = WCI + ", kv AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, {c} AS value FROM customer_info WHERE {c} IS NOT NULL" for c in CI_TEXT) + """),
+vc AS (SELECT "column", value, count(*) AS n FROM kv GROUP BY ALL)
+SELECT "column", sum(n)::BIGINT AS count, count(*) AS "unique", arg_min(value, (-n, value)) AS top,
+       max(n) AS freq
+FROM vc GROUP BY 1"""
+
+ORACLE_SQL["order_key_integrity"] = """
+WITH a AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS nd,
+                  max(CASE WHEN o_orderkey IS NULL THEN 1 ELSE 0 END) AS nul FROM orders),
+w AS (SELECT coalesce(sum(c - 1), 0) AS rr FROM (SELECT count(*) AS c FROM orders GROUP BY ALL))
+SELECT 'duplicated o_orderkey count' AS check, CAST(n - nd - nul AS VARCHAR) AS value FROM a
+UNION ALL SELECT 'unique o_orderkey count', CAST(nd + nul AS VARCHAR) FROM a
+UNION ALL SELECT 'o_orderkey is unique', CASE WHEN n - nd - nul = 0 THEN 'true' ELSE 'false' END FROM a
+UNION ALL SELECT 'duplicated row count', CAST(rr AS VARCHAR) FROM w"""
+# the whole-row group above must group by every column of orders
+ORACLE_SQL["order_key_integrity"] = ORACLE_SQL["order_key_integrity"].replace(
+    "FROM orders GROUP BY ALL", "FROM orders GROUP BY o_orderkey, o_custkey, o_orderstatus, o_totalprice, "
+    "o_orderdate, o_orderpriority")
+
+ORACLE_SQL["customer_missing_summary"] = WCI + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} IS NULL) AS missing_count, "
+    f"{_r(f'count(*) FILTER (WHERE {c} IS NULL) * 100.0 / count(*)', 'missing_percentage')} FROM customer_info"
+    for c in CI_COLS)
+
+ORACLE_SQL["gender_value_counts"] = WCI + "SELECT customer_gender, count(*) AS count FROM customer_info GROUP BY 1"
+ORACLE_SQL["segment_value_counts"] = """
+SELECT c_mktsegment AS cluster, count(*) AS count FROM customer GROUP BY 1
+ORDER BY count DESC, cluster NULLS FIRST LIMIT 3"""
+ORACLE_SQL["name_prefix_counts"] = WCI + """
+SELECT CASE WHEN regexp_extract(coalesce(customer_name, ''), '^(Bsc\\.|Msc\\.|Phd\\.)', 1) = '' THEN 'No visible prefix'
+            ELSE regexp_extract(customer_name, '^(Bsc\\.|Msc\\.|Phd\\.)', 1) END AS prefix, count(*) AS count
+FROM customer_info GROUP BY 1"""
+ORACLE_SQL["card_presence"] = WCI + """
+SELECT CASE WHEN loyalty_card_number = 1.0 THEN 'Present' ELSE 'Missing' END AS status, count(*) AS count
+FROM customer_info GROUP BY 1"""
+
+_RULES = [
+    ("promotion percentage outside [0, 1]", "percentage_of_products_bought_promotion < 0 OR percentage_of_products_bought_promotion > 1"),
+    ("year_first_transaction after 2026", "year_first_transaction > 2026"),
+    ("typical_hour outside [0, 23]", "typical_hour < 0 OR typical_hour > 23"),
+    ("negative kids_home", "kids_home < 0"),
+    ("negative teens_home", "teens_home < 0"),
+    ("negative number_complaints", "number_complaints < 0"),
+    ("negative distinct_stores_visited", "distinct_stores_visited < 0"),
+]
+ORACLE_SQL["range_rule_violations"] = WCI + " UNION ALL ".join(
+    f"SELECT '{n}' AS check, count(*) FILTER (WHERE {e}) AS count FROM customer_info" for n, e in _RULES)
+ORACLE_SQL["negative_value_counts"] = WCI + "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, count(*) FILTER (WHERE {c} < 0) AS negative_count FROM customer_info"
+    for c in CI_NUM) + ") WHERE negative_count > 0"
+
+ORACLE_SQL["customer_event_id_relationship"] = """
+WITH l AS (SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey IS NOT NULL),
+r AS (SELECT DISTINCT user_id AS id FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT (SELECT count(*) FROM l) AS nl, (SELECT count(*) FROM r) AS nr,
+             (SELECT count(*) FROM l JOIN r USING (id)) AS nb)
+SELECT 'left ids' AS check, CAST(nl AS VARCHAR) AS value FROM s
+UNION ALL SELECT 'right ids', CAST(nr AS VARCHAR) FROM s
+UNION ALL SELECT 'ids in both', CAST(nb AS VARCHAR) FROM s
+UNION ALL SELECT 'left only', CAST(nl - nb AS VARCHAR) FROM s
+UNION ALL SELECT 'right only', CAST(nr - nb AS VARCHAR) FROM s
+UNION ALL SELECT 'right is subset of left', CASE WHEN nr = nb THEN 'true' ELSE 'false' END FROM s"""
+
+ORACLE_SQL["event_coverage"] = f"""
+WITH j AS (SELECT c.c_custkey, e.id FROM customer c
+           LEFT JOIN (SELECT DISTINCT user_id AS id FROM events WHERE user_id IS NOT NULL) e ON e.id = c.c_custkey),
+a AS (SELECT count(*) AS n, count(id) AS w FROM j)
+SELECT 'with events' AS "group", w AS count, {_r('w * 100.0 / n', 'percentage')} FROM a
+UNION ALL SELECT 'without events', n - w, {_r('(n - w) * 100.0 / n', 'percentage')} FROM a"""
+
+WF = f"WITH {FEATURES.strip()} "
+ORACLE_SQL["reference_year_check"] = WF + f""", a AS (SELECT (SELECT max(year_first_transaction) FROM customer_info) AS ry,
+  min(customer_tenure) AS a, max(customer_tenure) AS b, avg(customer_tenure) AS c,
+  count(*) FILTER (WHERE customer_tenure < 0) AS d, min(age) AS e, max(age) AS f, avg(age) AS g,
+  count(*) FILTER (WHERE age < 0) AS h FROM features)
+SELECT 'reference year' AS check, {_r('ry', 'value')} FROM a
+UNION ALL SELECT 'min tenure', {_r('a', 'value')} FROM a UNION ALL SELECT 'max tenure', {_r('b', 'value')} FROM a
+UNION ALL SELECT 'mean tenure', {_r('c', 'value')} FROM a UNION ALL SELECT 'negative tenure', {_r('d::DOUBLE', 'value')} FROM a
+UNION ALL SELECT 'min age', {_r('e', 'value')} FROM a UNION ALL SELECT 'max age', {_r('f', 'value')} FROM a
+UNION ALL SELECT 'mean age', {_r('g', 'value')} FROM a UNION ALL SELECT 'negative age', {_r('h::DOUBLE', 'value')} FROM a"""
+
+ORACLE_SQL["spend_quantiles"] = WF + " UNION ALL ".join(
+    f"SELECT '{c}' AS column, " + ", ".join(
+        _r(f"quantile_cont({c}::DOUBLE, {p})", f"p{int(round(p * 100))}") for p in (0.5, 0.75, 0.9, 0.95, 0.99))
+    + " FROM features" for c in ["total_lifetime_spend", "age", "customer_tenure", "typical_hour", "number_complaints"])
+
+ORACLE_SQL["spend_correlation"] = WCI + " UNION ALL ".join(
+    f"SELECT '{a}' AS row_column, '{b}' AS col_column, {_r(f'corr({a}, {b})', 'correlation')} FROM customer_info"
+    for i, a in enumerate(SPEND) for b in SPEND[:i])
+
+ORACLE_SQL["category_spend"] = WF + " UNION ALL ".join(
+    f"SELECT '{s[len('share_'):]}' AS category, {_r(f'avg({s} * total_lifetime_spend)', 'mean_spend')}, "
+    f"{_r(f'avg({s})', 'mean_share')} FROM features" for s in SHARES)
+
+ORACLE_SQL["segment_median_spend"] = WF + f"""
+SELECT has_loyalty_card, {_r('median(total_lifetime_spend)', 'median_total_lifetime_spend')}
+FROM features GROUP BY has_loyalty_card"""
+
+ORACLE_SQL["spend_histogram"] = WF + f""", mm AS (SELECT min(total_lifetime_spend) AS mn, max(total_lifetime_spend) AS mx FROM features),
+b AS (SELECT CAST(least(floor((total_lifetime_spend - mn) / (mx - mn) * 30), 29) AS INTEGER) AS bin, mn, mx
+      FROM features, mm WHERE total_lifetime_spend IS NOT NULL)
+SELECT bin, {_r('mn + bin * ((mx - mn) / 30)', 'lower')}, {_r('mn + (bin + 1) * ((mx - mn) / 30)', 'upper')}, count(*) AS count
+FROM b GROUP BY bin, mn, mx"""
+
+ORACLE_SQL["spend_box_stats"] = WF + f""", q AS (
+  SELECT quantile_cont(total_lifetime_spend, 0.25) AS q1, quantile_cont(total_lifetime_spend, 0.5) AS q2,
+         quantile_cont(total_lifetime_spend, 0.75) AS q3 FROM features)
+SELECT 'total_lifetime_spend' AS column, {_r('q1', 'q1')}, {_r('q2', 'median')}, {_r('q3', 'q3')}, {_r('q3 - q1', 'iqr')},
+       {_r('min(total_lifetime_spend) FILTER (WHERE total_lifetime_spend >= q1 - 1.5 * (q3 - q1))', 'lower_whisker')},
+       {_r('max(total_lifetime_spend) FILTER (WHERE total_lifetime_spend <= q3 + 1.5 * (q3 - q1))', 'upper_whisker')},
+       count(*) FILTER (WHERE total_lifetime_spend < q1 - 1.5 * (q3 - q1) OR total_lifetime_spend > q3 + 1.5 * (q3 - q1)) AS outliers
+FROM features, q GROUP BY q1, q2, q3"""
+
+ORACLE_SQL["spend_capped"] = WF + f""", q AS (SELECT quantile_cont(total_lifetime_spend, 0.99) AS cap FROM features)
+SELECT customer_id, {_r('least(total_lifetime_spend, cap)', 'total_lifetime_spend_capped')} FROM features, q"""
+
+ORACLE_SQL["top_customers_by_baskets"] = """
+SELECT o_custkey AS customer_id, count(*) AS number_of_baskets FROM orders WHERE o_custkey IS NOT NULL
+GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""
+ORACLE_SQL["product_frequency"] = """
+SELECT p.p_brand AS product, count(*) AS count FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
+WHERE p.p_brand IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"""
+ORACLE_SQL["feature_validation"] = WF + """, a AS (
+  SELECT count(*) AS rows, count(DISTINCT customer_id) AS ids, count(*) FILTER (WHERE age IS NULL) AS ma,
+         min(age) AS mn, max(age) AS mx, count(*) FILTER (WHERE customer_tenure < 0) AS nt,
+         sum(has_loyalty_card) AS lc, count(*) FILTER (WHERE total_lifetime_spend IS NULL) AS ms FROM features)
+SELECT 'rows' AS check, CAST(rows AS VARCHAR) AS value FROM a
+UNION ALL SELECT 'distinct customer_id', CAST(ids AS VARCHAR) FROM a
+UNION ALL SELECT 'missing age', CAST(ma AS VARCHAR) FROM a
+UNION ALL SELECT 'min age', CAST(mn AS VARCHAR) FROM a
+UNION ALL SELECT 'max age', CAST(mx AS VARCHAR) FROM a
+UNION ALL SELECT 'negative tenure', CAST(nt AS VARCHAR) FROM a
+UNION ALL SELECT 'customers with loyalty card', CAST(lc AS VARCHAR) FROM a
+UNION ALL SELECT 'missing total_lifetime_spend', CAST(ms AS VARCHAR) FROM a"""
