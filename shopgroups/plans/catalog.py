@@ -374,3 +374,70 @@ def feature_validation(spark: SparkSession, d: str) -> DataFrame:
         ("missing total_lifetime_spend", F.count_if(F.col("total_lifetime_spend").isNull())),
     ]
     return Q.checks_table(feats, checks)
+
+
+# ------------------------------------------------------------------ C9 - C15 on embeddings (label = cluster)
+from ..operators import cluster as C  # noqa: E402
+from ..operators import metrics as M  # noqa: E402
+
+
+def _emb(spark: SparkSession, d: str):
+    emb = V.embeddings_wide(spark, d)
+    return emb, [c for c in emb.columns if c not in ("vec_id", "label")]
+
+
+@register
+def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
+    emb, _ = _emb(spark, d)
+    return rounded(M.cluster_summary(emb, "label"))
+
+
+@register
+def calinski_harabasz(spark: SparkSession, d: str) -> DataFrame:
+    emb, cols = _emb(spark, d)
+    return rounded(M.calinski_harabasz(emb, cols, "label"))
+
+
+@register
+def davies_bouldin(spark: SparkSession, d: str) -> DataFrame:
+    emb, cols = _emb(spark, d)
+    return rounded(M.davies_bouldin(emb, cols, "label"))
+
+
+@register
+def silhouette_score(spark: SparkSession, d: str) -> DataFrame:
+    emb, cols = _emb(spark, d)
+    return rounded(M.silhouette(emb, cols, "label", "vec_id", sample_size=10_000))
+
+
+@register
+def silhouette_by_label(spark: SparkSession, d: str) -> DataFrame:
+    emb, cols = _emb(spark, d)
+    s = M.silhouette_samples(emb, cols, "label", "vec_id", sample_size=10_000)
+    return rounded(s.groupBy("label").agg(F.avg("silhouette").alias("mean_silhouette"),
+                                          F.count("*").alias("scored_rows")))
+
+
+@register
+def clustering_metrics(spark: SparkSession, d: str) -> DataFrame:
+    emb, cols = _emb(spark, d)
+    return rounded(M.clustering_metrics(emb, cols, "label", "vec_id", sample_size=10_000))
+
+
+@register
+def ari_labels(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.tables import read_table
+    cust = read_table(spark, d, "customer").select("c_mktsegment", "c_nationkey")
+    nation = read_table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    j = cust.join(nation, cust.c_nationkey == nation.n_nationkey)
+    return rounded(M.adjusted_rand_index(j, "c_mktsegment", "n_regionkey"))
+
+
+@register
+def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
+    """Assignment half of K-Means with fixed centres (the per-label means)."""
+    emb, cols = _emb(spark, d)
+    labels, _, cents = M._centroids(emb, cols, "label")
+    out = emb.select("vec_id", "label", C.nearest_center(cols, cents).alias("j"))
+    mapping = F.create_map(*[x for j, lab in enumerate(labels) for x in (F.lit(j), F.lit(lab))])
+    return out.select("vec_id", "label", mapping[F.col("j")].alias("assigned_cluster"))

@@ -485,3 +485,60 @@ UNION ALL SELECT 'max age', CAST(mx AS VARCHAR) FROM a
 UNION ALL SELECT 'negative tenure', CAST(nt AS VARCHAR) FROM a
 UNION ALL SELECT 'customers with loyalty card', CAST(lc AS VARCHAR) FROM a
 UNION ALL SELECT 'missing total_lifetime_spend', CAST(ms AS VARCHAR) FROM a"""
+
+
+# ------------------------------------------------------------------ C9 - C15 on embeddings
+EMB = """
+e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+long AS (SELECT vec_id, label, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS x FROM e),
+cent AS (SELECT label, i, avg(x) AS c FROM long GROUP BY label, i),
+cnt AS (SELECT label, count(*) AS n FROM e GROUP BY label),
+dd AS (SELECT l.vec_id, l.label, sum((l.x - c.c) * (l.x - c.c)) AS d2 FROM long l JOIN cent c USING (label, i) GROUP BY 1, 2),
+om AS (SELECT i, avg(x) AS m FROM long GROUP BY i),
+bw AS (SELECT (SELECT sum(cnt.n * (c.c - om.m) * (c.c - om.m)) FROM cent c JOIN om USING (i) JOIN cnt USING (label)) AS b,
+              (SELECT sum(d2) FROM dd) AS w, (SELECT count(*) FROM e) AS n, (SELECT count(*) FROM cnt) AS k),
+ch AS (SELECT b * (n - k) / (w * (k - 1)) AS calinski_harabasz_score FROM bw),
+s AS (SELECT label, avg(sqrt(d2)) AS s FROM dd GROUP BY label),
+cd AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS dist
+       FROM cent a JOIN cent b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2),
+db AS (SELECT avg(m) AS davies_bouldin_score FROM (
+         SELECT la, max((sa.s + sb.s) / dist) AS m FROM cd JOIN s sa ON sa.label = la JOIN s sb ON sb.label = lb GROUP BY la)),
+pd AS (SELECT a.vec_id, a.label AS la, b.label AS lb, list_distance(a.v, b.v) AS dist FROM e a, e b),
+pm AS (SELECT vec_id, la, lb, sum(dist) AS sd, count(*) AS c FROM pd GROUP BY ALL),
+sil AS (
+  SELECT o.vec_id, o.la AS label,
+         CASE WHEN o.c = 1 THEN 0.0 ELSE (x.b - o.sd / (o.c - 1)) / greatest(o.sd / (o.c - 1), x.b) END AS silhouette
+  FROM pm o JOIN (SELECT vec_id, min(sd / c) AS b FROM pm WHERE la <> lb GROUP BY vec_id) x USING (vec_id)
+  WHERE o.la = o.lb)"""
+WE = f"WITH {EMB.strip()} "
+
+ORACLE_SQL["cluster_summary"] = f"""
+SELECT label, count(*) AS count, {_r('count(*) * 100.0 / sum(count(*)) OVER ()', 'percentage')}
+FROM embeddings GROUP BY label"""
+ORACLE_SQL["calinski_harabasz"] = WE + f"SELECT {_r('calinski_harabasz_score', 'calinski_harabasz_score')} FROM ch"
+ORACLE_SQL["davies_bouldin"] = WE + f"SELECT {_r('davies_bouldin_score', 'davies_bouldin_score')} FROM db"
+ORACLE_SQL["silhouette_score"] = WE + f"SELECT {_r('avg(silhouette)', 'silhouette_score')} FROM sil"
+ORACLE_SQL["silhouette_by_label"] = WE + f"""
+SELECT label, {_r('avg(silhouette)', 'mean_silhouette')}, count(*) AS scored_rows FROM sil GROUP BY label"""
+ORACLE_SQL["clustering_metrics"] = WE + f"""
+SELECT {_r('(SELECT avg(silhouette) FROM sil)', 'silhouette_score')},
+       {_r('(SELECT calinski_harabasz_score FROM ch)', 'calinski_harabasz_score')},
+       {_r('(SELECT davies_bouldin_score FROM db)', 'davies_bouldin_score')},
+       min(n) AS min_cluster_size, max(n) AS max_cluster_size,
+       {_r('min(n) * 100.0 / sum(n)', 'min_cluster_percentage')}, {_r('max(n) * 100.0 / sum(n)', 'max_cluster_percentage')}
+FROM cnt"""
+ORACLE_SQL["ari_labels"] = f"""
+WITH j AS (SELECT c.c_mktsegment AS a, n.n_regionkey AS b FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+ct AS (SELECT a, b, count(*) AS n FROM j GROUP BY ALL),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM ct) AS idx,
+             (SELECT sum(r * (r - 1) / 2.0) FROM (SELECT sum(n) AS r FROM ct GROUP BY a)) AS sa,
+             (SELECT sum(r * (r - 1) / 2.0) FROM (SELECT sum(n) AS r FROM ct GROUP BY b)) AS sb,
+             (SELECT sum(n)::DOUBLE FROM ct) AS nn)
+SELECT {_r('CASE WHEN (sa + sb) / 2.0 = sa * sb / (nn * (nn - 1) / 2.0) THEN 1.0 ELSE (idx - sa * sb / (nn * (nn - 1) / 2.0)) / ((sa + sb) / 2.0 - sa * sb / (nn * (nn - 1) / 2.0)) END', 'adjusted_rand_index')}
+FROM s"""
+ORACLE_SQL["nearest_centroid"] = f"""
+WITH {EMB.split(',' + chr(10) + 'cnt AS')[0].strip()},
+d AS (SELECT l.vec_id, c.label AS cl, sum((l.x - c.c) * (l.x - c.c)) AS d2
+      FROM long l JOIN cent c ON l.i = c.i GROUP BY 1, 2)
+SELECT e.vec_id, e.label, arg_min(cl, (d2, cl)) AS assigned_cluster
+FROM d JOIN e USING (vec_id) GROUP BY e.vec_id, e.label"""
