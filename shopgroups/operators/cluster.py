@@ -375,7 +375,7 @@ def bisecting_labels(df: DataFrame, cols, k: int, id_col: str = "customer_id", s
     from pyspark.ml.feature import VectorAssembler
     vec = VectorAssembler(inputCols=list(cols), outputCol="__features").transform(df.select(id_col, *cols))
     model = BisectingKMeans(k=k, seed=seed, featuresCol="__features", predictionCol="__raw").fit(vec)
-    centers = np.array([c.toArray() for c in model.clusterCenters()])
+    centers = np.array([np.asarray(c, dtype=float) for c in model.clusterCenters()])
     sizes = np.array(model.summary.clusterSizes, dtype=float)
     order = sorted(range(len(sizes)), key=lambda j: (-sizes[j], tuple(np.round(centers[j], 12))))
     remap = F.create_map(*[x for new, old in enumerate(order) for x in (F.lit(old), F.lit(new))])
@@ -394,7 +394,7 @@ def pca_projection(df: DataFrame, cols, id_col: str = "customer_id", k: int = 2)
     centred = df.select(id_col, *[(F.col(c) - F.lit(means[c])).alias(c) for c in cols])
     vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(centred)
     model = PCA(k=k, inputCol="__v", outputCol="__p").fit(vec)
-    comps = model.pc.toArray().T  # k x d
+    comps = np.array(model.pc.toArray().T, dtype=float)  # k x d
     for j in range(k):
         if comps[j][np.argmax(np.abs(comps[j]))] < 0:
             comps[j] = -comps[j]

@@ -441,3 +441,222 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     out = emb.select("vec_id", "label", C.nearest_center(cols, cents).alias("j"))
     mapping = F.create_map(*[x for j, lab in enumerate(labels) for x in (F.lit(j), F.lit(lab))])
     return out.select("vec_id", "label", mapping[F.col("j")].alias("assigned_cluster"))
+
+
+# ------------------------------------------------------------------ C1 - C8, C16 - C19 fits (rows-only checks)
+from . import segmentation as SEG  # noqa: E402
+
+N_INIT = 10  # restarts per fit in registered queries (the library default; 50 in the source notebooks)
+
+
+@register
+def kmeans_segments(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    C.validate_clustering_input(feats)
+    labels, _ = C.kmeans_labels(feats, cols, 5, n_init=N_INIT)
+    return labels
+
+
+@register
+def kmeans_k_sweep(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return rounded(SEG.compare_k_values(feats, cols, range(2, 11), n_init=N_INIT))
+
+
+@register
+def kmeans_feature_sets(spark: SparkSession, d: str) -> DataFrame:
+    variants = {
+        "robust": SEG.scaled_features(spark, d, "robust"),
+        "standard": SEG.scaled_features(spark, d, "standard"),
+        "log_robust": SEG.scaled_features(spark, d, "robust", use_log=True),
+        "log_standard": SEG.scaled_features(spark, d, "standard", use_log=True),
+    }
+    return rounded(SEG.compare_feature_sets(variants, 5, n_init=N_INIT))
+
+
+@register
+def kmeans_seed_stability(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return rounded(SEG.seed_stability(feats, cols, 5, [0, 21, 42, 99, 123], n_init=N_INIT))
+
+
+@register
+def gmm_diag_segments(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    model = C.fit_gmm_diag(feats, cols, 5)
+    return rounded(model.assign(feats).select("customer_id", "cluster", "max_probability"))
+
+
+@register
+def gmm_model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return rounded(SEG.gmm_comparison(feats, cols, [4, 5, 6]))
+
+
+@register
+def bisecting_segments(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return C.bisecting_labels(feats, cols, 5)
+
+
+@register
+def pca_projection(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    proj, _ = C.pca_projection(feats, cols)
+    return rounded(proj)
+
+
+@register
+def dbscan_segments(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return C.dbscan(feats, cols, eps=3.0, min_samples=10, sample_size=5000)
+
+
+@register
+def dbscan_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return rounded(SEG.dbscan_diagnostics(feats, cols, [2.0, 3.0, 4.0, 5.0], [10, 20]))
+
+
+# ------------------------------------------------------------------ C20 - C27 on market segments
+from ..operators import profile as PR  # noqa: E402
+
+PROFILE_COLUMNS = ["age", "customer_tenure", "total_lifetime_spend", "lifetime_total_distinct_products",
+                   "percentage_of_products_bought_promotion", "number_complaints", "distinct_stores_visited",
+                   "has_loyalty_card", "total_children_home", "typical_hour"]
+
+
+def segment_features(spark: SparkSession, d: str) -> DataFrame:
+    return customer_features_frame(spark, d).join(V.customer_segments(spark, d), "customer_id")
+
+
+def split_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Two labelings of the same customers: market segment (k5) and region (k6)."""
+    from ..sources.tables import read_table
+    cust = read_table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    nation = read_table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    return cust.join(nation, cust.c_nationkey == nation.n_nationkey).select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("k5_cluster"),
+        F.col("n_regionkey").alias("k6_cluster"))
+
+
+@register
+def segment_profile(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(PR.create_cluster_profile(segment_features(spark, d), "cluster", PROFILE_COLUMNS))
+
+
+@register
+def segment_spend_shares(spark: SparkSession, d: str) -> DataFrame:
+    f = segment_features(spark, d)
+    return rounded(PR.mean_profile(f, "cluster", [c for c in f.columns if c.startswith("share_")]))
+
+
+@register
+def segment_metric_means(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(PR.metric_means(segment_features(spark, d), "cluster"))
+
+
+@register
+def segment_split(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(PR.split_counts(split_labels(spark, d)))
+
+
+@register
+def segment_split_profile(spark: SparkSession, d: str) -> DataFrame:
+    feats = customer_features_frame(spark, d)
+    shares = [c for c in feats.columns if c.startswith("share_")]
+    cols = [c for c in PROFILE_COLUMNS if c != "typical_hour"]
+    return rounded(PR.split_profile(split_labels(spark, d), feats, cols, shares))
+
+
+@register
+def assignment_checks(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources.tables import read_table
+    return PR.assignment_checks(read_table(spark, d, "customer").select(F.col("c_custkey").alias("customer_id")),
+                                V.customer_segments(spark, d))
+
+
+@register
+def metric_recommendation(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    k_metrics = SEG.compare_k_values(feats, cols, [5, 6], n_init=N_INIT)
+    stability = SEG.seed_stability(feats, cols, 5, [0, 21, 42, 99, 123], n_init=N_INIT)
+    m5 = C.fit_kmeans(feats, cols, 5, 42, N_INIT)
+    m6 = C.fit_kmeans(feats, cols, 6, 42, N_INIT)
+    labels = feats.select("customer_id", C.nearest_center(cols, m5.centers).alias("k5_cluster"),
+                          C.nearest_center(cols, m6.centers).alias("k6_cluster"))
+    return PR.robustness_recommendation(k_metrics, stability, PR.split_counts(labels))
+
+
+# ------------------------------------------------------------------ G1 - G12
+from ..operators import offers as G  # noqa: E402
+
+OFFER_SHARES = [("economy", "share_economy"), ("large", "share_large"), ("medium", "share_medium"),
+                ("promo", "share_promo")]
+
+
+def offer_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Analyst plan, one row per segment (derived from the segment list of the data)."""
+    seg = V.customer_segments(spark, d).select("cluster").distinct()
+    return seg.select(
+        "cluster",
+        F.concat(F.initcap(F.lower("cluster")), F.lit(" shoppers")).alias("persona_name"),
+        F.concat(F.lit("Customers of the "), F.lower("cluster"), F.lit(" segment")).alias("persona_summary"),
+        F.lit("Bundle discount on the strongest pair").alias("recommended_promotion"),
+        F.lit("bundle").alias("promotion_type"),
+        F.lit("Top two brands").alias("products_to_promote"),
+        F.lit("Check margins before discounting").alias("risk_or_caveat"),
+        F.when(F.col("cluster").isin("BUILDING", "MACHINERY"), F.lit("brand#1, Brand#2,,")).alias("product_terms"),
+        F.when(F.col("cluster") == "HOUSEHOLD", F.array(F.lit("BRAND#2"))).alias("rule_terms"))
+
+
+def _offer_inputs(spark: SparkSession, d: str):
+    f = segment_features(spark, d)
+    prof = PR.create_cluster_profile(f, "cluster", ["age", "total_lifetime_spend", "has_loyalty_card",
+                                                   "total_children_home"])
+    shares = PR.mean_profile(f, "cluster", [c for c in f.columns if c.startswith("share_")])
+    basket = B.cluster_basket_profile(segment_baskets(spark, d), segment_lines(spark, d), V.customer_segments(spark, d))
+    top = B.cluster_top_products(segment_lines(spark, d), top_n=10)
+    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
+                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
+    return prof, shares, basket, top, rules
+
+
+@register
+def offer_products(spark: SparkSession, d: str) -> DataFrame:
+    top = B.cluster_top_products(segment_lines(spark, d), top_n=10)
+    return G.list_top_products(top, offer_plan(spark, d), 5)
+
+
+@register
+def offer_rules(spark: SparkSession, d: str) -> DataFrame:
+    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
+                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
+    return G.list_top_rules(rules, offer_plan(spark, d), 2)
+
+
+@register
+def offer_evidence(spark: SparkSession, d: str) -> DataFrame:
+    prof, shares, basket, _, _ = _offer_inputs(spark, d)
+    return G.cluster_evidence(offer_plan(spark, d).select("cluster"), prof, shares, basket, OFFER_SHARES)
+
+
+@register
+def offer_recommendations(spark: SparkSession, d: str) -> DataFrame:
+    prof, shares, basket, top, rules = _offer_inputs(spark, d)
+    return G.create_cluster_promotion_recommendations(offer_plan(spark, d), prof, shares, basket, top, rules,
+                                                      OFFER_SHARES)
+
+
+@register
+def offer_value_context(spark: SparkSession, d: str) -> DataFrame:
+    prof, _, _, _, _ = _offer_inputs(spark, d)
+    return rounded(G.value_context(prof, offer_plan(spark, d)))
+
+
+@register
+def offer_completeness(spark: SparkSession, d: str) -> DataFrame:
+    prof, shares, basket, top, rules = _offer_inputs(spark, d)
+    return G.cluster_completeness(V.customer_segments(spark, d), {
+        "cluster_profile": prof, "spending_shares": shares, "basket_profile": basket,
+        "top_products": top, "association_rules": rules})

@@ -27,7 +27,9 @@ seg_lines AS (
 
 
 def _rules_sql(lines_cte: str, group: bool, support: float, confidence: float, lift: float,
-               top_n: int | None) -> str:
+               top_n: int | None, digits: int | None = D) -> str:
+    def _r(expr, alias, _d=digits):
+        return f"{expr} AS {alias}" if _d is None else f"round({expr}, {_d}) AS {alias}"
     g = "cluster, " if group else ""
     gj = "a.cluster = b.cluster AND " if group else ""
     using = "JOIN tot USING (cluster)" if group else "CROSS JOIN tot"
@@ -542,3 +544,163 @@ d AS (SELECT l.vec_id, c.label AS cl, sum((l.x - c.c) * (l.x - c.c)) AS d2
       FROM long l JOIN cent c ON l.i = c.i GROUP BY 1, 2)
 SELECT e.vec_id, e.label, arg_min(cl, (d2, cl)) AS assigned_cluster
 FROM d JOIN e USING (vec_id) GROUP BY e.vec_id, e.label"""
+
+
+# ------------------------------------------------------------------ C20 - C27 on market segments
+PROFILE = ["age", "customer_tenure", "total_lifetime_spend", "lifetime_total_distinct_products",
+           "percentage_of_products_bought_promotion", "number_complaints", "distinct_stores_visited",
+           "has_loyalty_card", "total_children_home", "typical_hour"]
+SEGF = f"""{FEATURES},
+segf AS (SELECT f.*, c.c_mktsegment AS cluster FROM features f JOIN customer c ON c.c_custkey = f.customer_id)"""
+WSF = f"WITH {SEGF.strip()} "
+
+
+def _mean_median(cols) -> str:
+    return ", ".join(f"{_r(f'avg({c})', c + '_mean')}, {_r(f'median({c}::DOUBLE)', c + '_median')}" for c in cols)
+
+
+ORACLE_SQL["segment_profile"] = WSF + f"SELECT cluster, {_mean_median(PROFILE)} FROM segf GROUP BY cluster"
+ORACLE_SQL["segment_spend_shares"] = WSF + "SELECT cluster, " + ", ".join(
+    _r(f"avg({s})", s) for s in SHARES) + " FROM segf GROUP BY cluster"
+ORACLE_SQL["segment_metric_means"] = WSF + f"""
+SELECT cluster, {_r('avg(total_lifetime_spend)', 'mean_total_lifetime_spend')},
+       {_r('avg(percentage_of_products_bought_promotion)', 'mean_promotion_share')},
+       {_r('avg(has_loyalty_card) * 100.0', 'loyalty_card_percentage')}
+FROM segf GROUP BY cluster"""
+
+SPLIT = """
+lab AS (SELECT c.c_custkey AS customer_id, c.c_mktsegment AS k5_cluster, n.n_regionkey AS k6_cluster
+        FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+big AS (SELECT k5_cluster FROM lab GROUP BY 1 ORDER BY count(*) DESC, k5_cluster LIMIT 1),
+sp AS (SELECT l.k5_cluster, l.k6_cluster, count(*) AS customer_count FROM lab l JOIN big USING (k5_cluster) GROUP BY ALL),
+tot AS (SELECT k6_cluster, count(*) AS k6_cluster_total_count FROM lab GROUP BY 1),
+split AS (SELECT k5_cluster, k6_cluster, customer_count,
+                 customer_count / sum(customer_count) OVER () AS share_of_big_k5_cluster, k6_cluster_total_count,
+                 customer_count / k6_cluster_total_count AS share_of_k6_cluster_from_big_k5_cluster
+          FROM sp LEFT JOIN tot USING (k6_cluster))"""
+ORACLE_SQL["segment_split"] = f"""
+WITH {SPLIT.strip()}
+SELECT k5_cluster, k6_cluster, customer_count, {_r('share_of_big_k5_cluster', 'share_of_big_k5_cluster')},
+       k6_cluster_total_count, {_r('share_of_k6_cluster_from_big_k5_cluster', 'share_of_k6_cluster_from_big_k5_cluster')},
+       share_of_big_k5_cluster >= 0.05 AS main_split_part
+FROM split"""
+_SPLIT_PROFILE = [c for c in PROFILE if c != "typical_hour"]
+ORACLE_SQL["segment_split_profile"] = f"""
+WITH {FEATURES.strip()}, {SPLIT.strip()},
+bigrows AS (SELECT l.*, f.* EXCLUDE (customer_id) FROM lab l JOIN big USING (k5_cluster)
+            LEFT JOIN features f USING (customer_id)),
+agg AS (SELECT k5_cluster, k6_cluster, count(DISTINCT customer_id) AS customer_count, {_mean_median(_SPLIT_PROFILE)},
+               {', '.join(_r(f'avg({s})', s + '_mean') for s in SHARES)}
+        FROM bigrows GROUP BY ALL)
+SELECT a.k5_cluster, a.k6_cluster, a.customer_count, {_r('s.share_of_big_k5_cluster', 'share_of_big_k5_cluster')},
+       s.k6_cluster_total_count,
+       {_r('s.share_of_k6_cluster_from_big_k5_cluster', 'share_of_k6_cluster_from_big_k5_cluster')},
+       s.share_of_big_k5_cluster >= 0.05 AS main_split_part,
+       {', '.join(f'a.{c}_mean, a.{c}_median' for c in _SPLIT_PROFILE)}, {', '.join(f'a.{s}_mean' for s in SHARES)}
+FROM agg a LEFT JOIN split s USING (k5_cluster, k6_cluster, customer_count)"""
+ORACLE_SQL["assignment_checks"] = """
+WITH a AS (SELECT count(*) AS n, count(DISTINCT c_custkey) AS nd, count(*) FILTER (WHERE c_mktsegment IS NULL) AS nn
+           FROM customer)
+SELECT 'input rows' AS check, CAST(n AS VARCHAR) AS value FROM a
+UNION ALL SELECT 'assignment rows', CAST(n AS VARCHAR) FROM a
+UNION ALL SELECT 'row counts equal', 'true' FROM a
+UNION ALL SELECT 'repeated ids', CAST(n - nd AS VARCHAR) FROM a
+UNION ALL SELECT 'missing labels', CAST(nn AS VARCHAR) FROM a"""
+
+
+# ------------------------------------------------------------------ G1 - G12
+PLAN = """
+plan AS (
+  SELECT DISTINCT c_mktsegment AS cluster,
+         CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'brand#1, Brand#2,,' END AS product_terms,
+         CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN ['BRAND#2'] END AS rule_terms
+  FROM customer),
+pterms AS (SELECT cluster, CASE WHEN product_terms IS NULL THEN NULL ELSE
+             list_filter(list_transform(string_split(product_terms, ','), lambda x: lower(trim(x))), lambda x: x <> '') END AS t
+           FROM plan),
+rterms AS (SELECT cluster, CASE WHEN rule_terms IS NULL THEN NULL ELSE list_transform(rule_terms, lambda x: lower(x)) END AS t
+           FROM plan)"""
+TOP = """
+tpc AS (SELECT cluster, product, count(*) AS product_count FROM seg_lines WHERE product IS NOT NULL GROUP BY ALL),
+tp AS (SELECT * FROM (SELECT *, product_count::DOUBLE / sum(product_count) OVER (PARTITION BY cluster) AS share,
+                             row_number() OVER (PARTITION BY cluster ORDER BY product_count DESC, product) AS product_rank
+                      FROM tpc) WHERE product_rank <= 10)"""
+PRODUCTS = """
+pj AS (SELECT tp.cluster, tp.product, tp.product_rank, t,
+              (t IS NOT NULL AND len(t) > 0 AND len(list_filter(t, lambda x: contains(lower(tp.product), x))) > 0) AS hit,
+              (t IS NOT NULL AND len(t) > 0) AS has_t
+       FROM tp JOIN pterms USING (cluster)),
+pk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY product_rank) AS pos
+       FROM (SELECT *, max(hit::INT) OVER (PARTITION BY cluster) AS anyhit FROM pj)
+       WHERE NOT has_t OR anyhit = 0 OR hit),
+pa AS (SELECT cluster, string_agg(product, ', ' ORDER BY pos) AS s FROM pk WHERE pos <= 5 GROUP BY cluster),
+products AS (SELECT pterms.cluster, coalesce(s, '') AS supporting_products FROM pterms LEFT JOIN pa USING (cluster))"""
+RULES_RAW = _rules_sql(SEGMENT_LINES + ",\nsrc AS (SELECT * FROM seg_lines)", True, SUPPORT, CONFIDENCE, LIFT, 20,
+                       digits=None)
+RULETEXT = f"""
+rr AS ({RULES_RAW}),
+rj AS (SELECT rr.cluster, rr.antecedents, rr.consequents, rr.lift, rr.rule_rank, t,
+              (t IS NOT NULL AND len(t) > 0 AND
+               len(list_filter(t, lambda x: contains(lower(rr.antecedents || ' ' || rr.consequents), x))) > 0) AS hit,
+              (t IS NOT NULL AND len(t) > 0) AS has_t
+       FROM rr JOIN rterms USING (cluster)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY rule_rank) AS pos
+       FROM (SELECT *, max(hit::INT) OVER (PARTITION BY cluster) AS anyhit FROM rj)
+       WHERE NOT has_t OR anyhit = 0 OR hit),
+ra AS (SELECT cluster, string_agg(printf('%s -> %s (lift %.2f)', antecedents, consequents, lift), '; ' ORDER BY pos) AS s
+       FROM rk WHERE pos <= 2 GROUP BY cluster),
+ruletext AS (SELECT rterms.cluster, coalesce(s, 'No strong pairwise rules saved.') AS supporting_association_rules
+             FROM rterms LEFT JOIN ra USING (cluster))"""
+OFFER_SHARE_NAMES = [("economy", "share_economy"), ("large", "share_large"), ("medium", "share_medium"),
+                     ("promo", "share_promo")]
+EVIDENCE = f"""
+prof AS (SELECT cluster, avg(age) AS age_mean, avg(total_lifetime_spend) AS total_lifetime_spend_mean,
+                avg(has_loyalty_card) AS has_loyalty_card_mean, avg(total_children_home) AS total_children_home_mean,
+                median(age::DOUBLE) AS age_median, median(total_lifetime_spend) AS total_lifetime_spend_median,
+                median(has_loyalty_card::DOUBLE) AS has_loyalty_card_median,
+                median(total_children_home) AS total_children_home_median
+         FROM segf GROUP BY cluster),
+shr AS (SELECT cluster, {', '.join(f'avg({s}) AS {s}' for s in SHARES)} FROM segf GROUP BY cluster),
+cov AS (SELECT s.cluster, count(DISTINCT o.o_custkey)::DOUBLE / count(DISTINCT s.customer_id) AS coverage
+        FROM (SELECT c_custkey AS customer_id, c_mktsegment AS cluster FROM customer) s
+        LEFT JOIN orders o ON o.o_custkey = s.customer_id GROUP BY s.cluster),
+evidence AS (
+  SELECT p.cluster, 'Mean age ' || printf('%.1f', age_mean) || '; mean spend ' || format('{{:,.0f}}', total_lifetime_spend_mean)
+         || '; loyalty-card share ' || printf('%.1f%%', has_loyalty_card_mean * 100.0)
+         || '; children at home ' || printf('%.1f', total_children_home_mean) || '; '
+         || {" || ', ' || ".join(f"'{n} ' || printf('%.1f%%', {s} * 100.0)" for n, s in OFFER_SHARE_NAMES)}
+         || ', basket coverage ' || printf('%.1f%%', coverage * 100.0) || '.' AS main_evidence
+  FROM plan p JOIN prof USING (cluster) JOIN shr USING (cluster) JOIN cov USING (cluster))"""
+OFFERS = f"WITH {SEGF.strip()}, {SEGMENT_LINES.strip()}, {PLAN.strip()}, {TOP.strip()}, {PRODUCTS.strip()}, " \
+         f"{RULETEXT.strip()}, {EVIDENCE.strip()} "
+
+ORACLE_SQL["offer_products"] = OFFERS + "SELECT cluster, supporting_products FROM products"
+ORACLE_SQL["offer_rules"] = OFFERS + "SELECT cluster, supporting_association_rules FROM ruletext"
+ORACLE_SQL["offer_evidence"] = OFFERS + "SELECT cluster, main_evidence FROM evidence"
+ORACLE_SQL["offer_recommendations"] = OFFERS + """
+SELECT p.cluster, (upper(left(p.cluster, 1)) || lower(substr(p.cluster, 2))) || ' shoppers' AS persona_name,
+       'Customers of the ' || lower(p.cluster) || ' segment' AS persona_summary, e.main_evidence,
+       'Bundle discount on the strongest pair' AS recommended_promotion, 'bundle' AS promotion_type,
+       'Top two brands' AS products_to_promote, pr.supporting_products, rt.supporting_association_rules,
+       'Check margins before discounting' AS risk_or_caveat
+FROM plan p JOIN evidence e USING (cluster) JOIN products pr USING (cluster) JOIN ruletext rt USING (cluster)"""
+ORACLE_SQL["offer_value_context"] = OFFERS + f"""
+SELECT cluster, {_r('age_mean', 'age_mean')}, {_r('age_median', 'age_median')},
+       {_r('total_lifetime_spend_mean', 'total_lifetime_spend_mean')}, {_r('total_lifetime_spend_median', 'total_lifetime_spend_median')},
+       {_r('has_loyalty_card_mean', 'has_loyalty_card_mean')}, {_r('has_loyalty_card_median', 'has_loyalty_card_median')},
+       {_r('total_children_home_mean', 'total_children_home_mean')}, {_r('total_children_home_median', 'total_children_home_median')},
+       (upper(left(cluster, 1)) || lower(substr(cluster, 2))) || ' shoppers' AS persona_name
+FROM prof"""
+ORACLE_SQL["offer_completeness"] = OFFERS + """,
+ex AS (SELECT DISTINCT c_mktsegment AS cluster FROM customer),
+t AS (SELECT 'cluster_profile' AS tbl, cluster FROM prof
+      UNION ALL SELECT 'spending_shares', cluster FROM shr
+      UNION ALL SELECT 'basket_profile', cluster FROM cov
+      UNION ALL SELECT 'top_products', cluster FROM (SELECT DISTINCT cluster FROM tp)
+      UNION ALL SELECT 'association_rules', cluster FROM (SELECT DISTINCT cluster FROM rr)),
+names AS (SELECT DISTINCT tbl FROM t)
+SELECT n.tbl AS "table", (SELECT count(*) FROM ex) AS expected_clusters,
+       (SELECT count(*) FROM t WHERE t.tbl = n.tbl) AS found_clusters,
+       (SELECT count(*) FROM ex WHERE cluster NOT IN (SELECT cluster FROM t WHERE t.tbl = n.tbl)) AS missing_clusters,
+       (SELECT count(*) FROM t WHERE t.tbl = n.tbl AND cluster NOT IN (SELECT cluster FROM ex)) AS extra_clusters
+FROM names n"""
