@@ -660,3 +660,20 @@ def offer_completeness(spark: SparkSession, d: str) -> DataFrame:
     return G.cluster_completeness(V.customer_segments(spark, d), {
         "cluster_profile": prof, "spending_shares": shares, "basket_profile": basket,
         "top_products": top, "association_rules": rules})
+
+
+# ------------------------------------------------------------------ S1 - S4
+from ..sources import io as IO  # noqa: E402
+
+
+@register
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Write (customer_id, cluster) as header CSV under the shared checkpoint folder, read it back."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/assignments-{uuid.uuid4().hex}"
+    labels = V.customer_segments(spark, d)
+    IO.save_cluster_assignments(labels, path, fmt="csv")
+    IO.round_trip_check(spark, labels, path + "-check", fmt="csv")
+    return IO.read_back(spark, path, labels.schema, fmt="csv")

@@ -704,3 +704,5 @@ SELECT n.tbl AS "table", (SELECT count(*) FROM ex) AS expected_clusters,
        (SELECT count(*) FROM ex WHERE cluster NOT IN (SELECT cluster FROM t WHERE t.tbl = n.tbl)) AS missing_clusters,
        (SELECT count(*) FROM t WHERE t.tbl = n.tbl AND cluster NOT IN (SELECT cluster FROM ex)) AS extra_clusters
 FROM names n"""
+
+ORACLE_SQL["csv_round_trip"] = "SELECT c_custkey AS customer_id, c_mktsegment AS cluster FROM customer"
