@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from ..session import ship_package
 from .metrics import deterministic_sample
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -77,7 +78,28 @@ def nearest_center(cols, centers: np.ndarray) -> Column:
     return best["j"]
 
 
+# Partial-sum rows (partitions x groups) collected directly instead of through
+# a groupBy shuffle when there are at most this many; beyond it the groupBy
+# (tree-like, scalable) path is used.
+DIRECT_REDUCE_ROWS = 50_000
+
+
+def _reduce_partials(partials: DataFrame, keys: list[str], value_cols: list[str], n_parts: int,
+                     groups: int) -> list[dict]:
+    """Sum per-partition partial rows by ``keys``; small inputs skip the shuffle."""
+    if n_parts * groups <= DIRECT_REDUCE_ROWS:
+        acc: dict = {}
+        for row in partials.collect():
+            k = tuple(row[c] for c in keys)
+            vals = np.array([row[c] for c in value_cols], dtype=float)
+            acc[k] = acc[k] + vals if k in acc else vals
+        return [{**dict(zip(keys, k)), **dict(zip(value_cols, v))} for k, v in acc.items()]
+    agg = partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in value_cols])
+    return [r.asDict() for r in agg.collect()]
+
+
 def _prepared(df: DataFrame, cols) -> DataFrame:
+    ship_package(df.sparkSession)
     feats = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     return feats.withColumn("__h", F.xxhash64(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -129,8 +151,16 @@ def _kpp_init(X: DataFrame, cols, k: int, starts: list[int], seed: int) -> np.nd
             yield pd.DataFrame(rows, columns=["start", "key", *[f"x{i}" for i in range(d)]])
 
         part = X.mapInPandas(draw, schema)
-        got = part.groupBy("start").agg(F.max_by(F.struct(*[f"x{i}" for i in range(d)]), "key").alias("r")).collect()
-        new = {r["start"]: np.array(list(r["r"]), dtype=float) for r in got}
+        if X.rdd.getNumPartitions() * len(starts) <= DIRECT_REDUCE_ROWS:
+            best: dict = {}
+            for r in part.collect():
+                if r["start"] not in best or r["key"] > best[r["start"]][0]:
+                    best[r["start"]] = (r["key"], np.array([r[f"x{i}"] for i in range(d)], dtype=float))
+            new = {s_: v[1] for s_, v in best.items()}
+        else:
+            got = part.groupBy("start").agg(
+                F.max_by(F.struct(*[f"x{i}" for i in range(d)]), "key").alias("r")).collect()
+            new = {r["start"]: np.array(list(r["r"]), dtype=float) for r in got}
         add = np.zeros((len(starts), 1, d))
         for si, s in enumerate(starts):
             # all points coincide with chosen centres: reuse the last centre
@@ -167,12 +197,12 @@ def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray) -> tuple[np.ndarray, np
                 for r in range(R) for j in range(k) if n[r, j] > 0]
         yield pd.DataFrame(rows, columns=["start", "cluster", "n", "cost", *[f"s{i}" for i in range(d)]])
 
-    agg = X.mapInPandas(step, schema).groupBy("start", "cluster").agg(
-        F.sum("n").alias("n"), F.sum("cost").alias("cost"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)])
+    rows = _reduce_partials(X.mapInPandas(step, schema), ["start", "cluster"],
+                            ["n", "cost", *[f"s{i}" for i in range(d)]], X.rdd.getNumPartitions(), R * k)
     n = np.zeros((R, k))
     cost = np.zeros((R, k))
     sums = np.zeros((R, k, d))
-    for row in agg.collect():
+    for row in rows:
         r, j = row["start"], row["cluster"]
         n[r, j], cost[r, j] = row["n"], row["cost"]
         sums[r, j] = [row[f"s{i}"] for i in range(d)]
@@ -334,10 +364,9 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
                 yield pd.DataFrame(rows, columns=["comp", "nk", "ll", "n", *[f"a{i}" for i in range(d)],
                                                   *[f"b{i}" for i in range(d)]])
 
-            agg = X.mapInPandas(em, schema).groupBy("comp").agg(
-                F.sum("nk").alias("nk"), F.sum("ll").alias("ll"), F.sum("n").alias("n"),
-                *[F.sum(f"a{i}").alias(f"a{i}") for i in range(d)],
-                *[F.sum(f"b{i}").alias(f"b{i}") for i in range(d)]).collect()
+            agg = _reduce_partials(X.mapInPandas(em, schema), ["comp"],
+                                   ["nk", "ll", "n", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)]],
+                                   X.rdd.getNumPartitions(), k)
             nk, s1, s2 = np.zeros(k), np.zeros((k, d)), np.zeros((k, d))
             ll_tot, n_tot = 0.0, 0
             for r in agg:
@@ -346,7 +375,7 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
                 s1[j] = [r[f"a{i}"] for i in range(d)]
                 s2[j] = [r[f"b{i}"] for i in range(d)]
                 ll_tot += r["ll"]
-                n_tot += r["n"]
+                n_tot += int(r["n"])
             ll = ll_tot / n_tot
             nk_safe = np.maximum(nk, 10 * np.finfo(float).eps)
             w = nk_safe / nk_safe.sum()
@@ -419,6 +448,7 @@ def dbscan(df: DataFrame, cols, eps: float, min_samples: int, id_col: str = "cus
     from ..session import checkpoint_dir
     cols = list(cols)
     spark = df.sparkSession
+    ship_package(spark)
     sample = deterministic_sample(df.select(id_col, *cols), id_col, sample_size, seed)
     pdf = sample.toPandas()  # bounded by sample_size
     id_type = df.schema[id_col].dataType.simpleString()

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 MAX_CLUSTERS = 100_000  # bound on k for the centroid broadcast
 
 
@@ -104,6 +106,7 @@ def silhouette_samples(df: DataFrame, cols, label: str, id_col: str, sample_size
     sample = deterministic_sample(df.select(id_col, label, *cols), id_col, sample_size, seed)
     pdf = sample.toPandas()  # bounded by sample_size
     spark = df.sparkSession
+    ship_package(spark)
     if pdf.empty:
         return spark.createDataFrame([], f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, "
                                          f"`{label}` {df.schema[label].dataType.simpleString()}, silhouette double")

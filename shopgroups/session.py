@@ -78,3 +78,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="shopgroups-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shopgroups`` importable in executor Python workers (once per context).
+
+    Operators that run NumPy inside ``mapInPandas`` pickle functions that live
+    in this package; executors resolve them by import. The package is zipped
+    and added with ``addPyFile``, which distributes it with the job (no-op
+    when it was shipped already).
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shopgroups
+    pkg_dir = os.path.dirname(os.path.abspath(shopgroups.__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="shopgroups-pyfiles-")
+    zpath = os.path.join(out_dir, "shopgroups.zip")
+    with zipfile.ZipFile(zpath, "w") as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

@@ -15,6 +15,7 @@ and aggregations are planned by Catalyst/AQE.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +81,17 @@ def spend_categories(spark: SparkSession, sf_dir: str) -> list[str]:
     return [r[0] for r in rows if r[0] is not None]
 
 
-def customer_info(spark: SparkSession, sf_dir: str, categories: list[str] | None = None) -> DataFrame:
-    """Reference-shaped customer table (one row per customer, NULLs where no data)."""
+def customer_info(spark: SparkSession, sf_dir: str, categories: list[str] | None = None,
+                  persist: bool = True) -> DataFrame:
+    """Reference-shaped customer table (one row per customer, NULLs where no data).
+
+    The view joins and aggregates the three largest tables, and the cleaning,
+    quantile and profile operators read it several times (reference year,
+    bracket pass, exact pass, output). It is therefore persisted
+    (memory, spilling to disk): Spark's cache manager keys the cache by plan,
+    so every query over the same data set shares one copy, and a lost
+    executor only recomputes its own partitions from lineage.
+    """
     cats = categories or spend_categories(spark, sf_dir)
     cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
@@ -114,7 +124,7 @@ def customer_info(spark: SparkSession, sf_dir: str, categories: list[str] | None
     nk = F.col("c_nationkey")
     prefix = (F.when(nk % 4 == 0, "Bsc. ").when(nk % 4 == 1, "Msc. ").when(nk % 4 == 2, "Phd. ").otherwise(""))
     birth = F.date_format(F.add_months(F.col("first_order"), -12 * (nk + 20)), "MM/dd/yyyy hh:mm a")
-    return base.select(
+    out = base.select(
         F.col("c_custkey").alias("customer_id"),
         F.concat(prefix, F.col("c_name")).alias("customer_name"),
         F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))
@@ -127,6 +137,7 @@ def customer_info(spark: SparkSession, sf_dir: str, categories: list[str] | None
         "percentage_of_products_bought_promotion", "typical_hour",
         (nk * 2.5 - 30.0).alias("latitude"), (nk * 7.0 - 80.0).alias("longitude"),
     )
+    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
 
 
 def embeddings_wide(spark: SparkSession, sf_dir: str, dims: int | None = None,
