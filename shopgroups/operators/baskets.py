@@ -193,29 +193,49 @@ def cluster_top_products(lines: DataFrame, top_n: int = 10, cluster_col: str = "
 
 
 # ---------------------------------------------------------------- B5 - B7
+def basket_item_sets(lines: DataFrame, basket_col: str = "invoice_id", item_col: str = "product",
+                     keys=()) -> DataFrame:
+    """One row per non-empty basket: ``items`` = sorted distinct items.
+
+    ``collect_set`` merges map-side, so a basket with millions of lines
+    shrinks to its distinct items before the shuffle. Build the sets before
+    attaching slowly-changing attributes (customer, segment): those joins then
+    move one row per basket instead of one per line.
+    """
+    return (lines.where(F.col(item_col).isNotNull())
+                 .groupBy(*keys, basket_col)
+                 .agg(F.array_sort(F.collect_set(item_col)).alias("items")))
+
+
 def mine_pair_rules(lines: DataFrame, group_cols=("cluster",), basket_col: str = "invoice_id",
                     item_col: str = "product", min_support: float = 0.01,
                     min_confidence: float = 0.15, min_lift: float = 1.2,
                     prune_items: bool = True, lift_digits: int = 9) -> DataFrame:
+    """Directed single-item rules ``a -> c`` per group from the long basket shape."""
+    sets = basket_item_sets(lines, basket_col, item_col, group_cols)
+    return mine_pair_rules_from_sets(sets, group_cols, basket_col, min_support, min_confidence, min_lift,
+                                     prune_items, lift_digits)
+
+
+def mine_pair_rules_from_sets(sets: DataFrame, group_cols=("cluster",), basket_col: str = "invoice_id",
+                              min_support: float = 0.01, min_confidence: float = 0.15, min_lift: float = 1.2,
+                              prune_items: bool = True, lift_digits: int = 9) -> DataFrame:
     """Directed single-item rules ``a -> c`` per group (A-priori, two levels).
 
-    Semantics: items are de-duplicated within a basket; baskets without items
-    do not count in N; filters are inclusive; lift = n_ac·N / (n_a·n_c), so
-    both directions of a pair carry the same lift; conviction is +inf when
+    ``sets``: one row per non-empty basket with its group columns and
+    ``items`` (sorted, distinct). Semantics: baskets without items do not
+    count in N; filters are inclusive; lift = n_ac·N / (n_a·n_c), so both
+    directions of a pair carry the same lift; conviction is +inf when
     confidence is 1. Lift is rounded to ``lift_digits`` before the threshold
     so that values that sit on it compare the same in every engine.
 
-    Plan: one shuffle builds the item set per basket (``collect_set`` merges
-    map-side); item counts and N come from it; items below min support are
-    removed from the sets before pairing (lossless: a pair is never more
-    frequent than its items); pairs are generated inside the row and counted
-    with a partial+final aggregation, so no self join and no skew on a hot
-    group.
+    Plan: item counts and N are aggregations of the sets; items below min
+    support are removed from the sets before pairing (lossless: a pair is
+    never more frequent than its items); pairs are generated inside the row
+    and counted with a partial+final aggregation, so there is no self join
+    and a hot group is pre-aggregated map-side before its shuffle.
     """
     g = list(group_cols)
-    sets = (lines.where(F.col(item_col).isNotNull())
-                 .groupBy(*g, basket_col)
-                 .agg(F.array_sort(F.collect_set(item_col)).alias("items")))
     totals = sets.groupBy(*g).agg(F.count("*").alias("n_baskets"))
     item_counts = (sets.select(*g, F.explode("items").alias("item"))
                        .groupBy(*g, "item").agg(F.count("*").alias("n_item")))
@@ -279,6 +299,15 @@ def cluster_association_rules(lines: DataFrame, cluster_col: str = "cluster", ba
     return rank_rules(rules, (cluster_col,), top_n)
 
 
+def cluster_association_rules_from_sets(sets: DataFrame, cluster_col: str = "cluster",
+                                        basket_col: str = "invoice_id", min_support: float = 0.01,
+                                        min_confidence: float = 0.15, min_lift: float = 1.2,
+                                        top_n: int = 20) -> DataFrame:
+    """B6 from per-basket item sets that already carry the cluster."""
+    rules = mine_pair_rules_from_sets(sets, (cluster_col,), basket_col, min_support, min_confidence, min_lift)
+    return rank_rules(rules, (cluster_col,), top_n)
+
+
 # ---------------------------------------------------------------- B8 / B9
 def rule_summary(rules: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     return rules.groupBy(cluster_col).agg(

@@ -98,10 +98,27 @@ def _reduce_partials(partials: DataFrame, keys: list[str], value_cols: list[str]
     return [r.asDict() for r in agg.collect()]
 
 
+ROWS_PER_TASK = 250_000  # rows per partition below which extra partitions only add overhead
+
+
 def _prepared(df: DataFrame, cols) -> DataFrame:
+    """Feature columns as doubles plus a content hash, cached for the iterations.
+
+    Small inputs are coalesced (no shuffle) so each iteration runs as few
+    tasks as the data needs; large inputs keep their partitioning.
+    """
     ship_package(df.sparkSession)
     feats = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    return feats.withColumn("__h", F.xxhash64(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    feats = feats.withColumn("__h", F.xxhash64(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    n_rows = feats.count()
+    parts = feats.rdd.getNumPartitions()
+    want = max(1, min(parts, -(-n_rows // ROWS_PER_TASK)))
+    if want < parts:
+        small = feats.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
+        small.count()
+        feats.unpersist()
+        return small, want
+    return feats, parts
 
 
 # ---------------------------------------------------------------- C3 K-Means
@@ -118,7 +135,7 @@ class KMeansResult:
         return df.withColumn(out_col, nearest_center(self.columns, self.centers))
 
 
-def _kpp_init(X: DataFrame, cols, k: int, starts: list[int], seed: int) -> np.ndarray:
+def _kpp_init(X: DataFrame, cols, k: int, starts: list[int], seed: int, n_parts: int) -> np.ndarray:
     """k-means++ for all starts at once: k jobs, each a distributed weighted draw (A-ES keys)."""
     d = len(cols)
     chosen = np.zeros((len(starts), 0, d))
@@ -151,7 +168,7 @@ def _kpp_init(X: DataFrame, cols, k: int, starts: list[int], seed: int) -> np.nd
             yield pd.DataFrame(rows, columns=["start", "key", *[f"x{i}" for i in range(d)]])
 
         part = X.mapInPandas(draw, schema)
-        if X.rdd.getNumPartitions() * len(starts) <= DIRECT_REDUCE_ROWS:
+        if n_parts * len(starts) <= DIRECT_REDUCE_ROWS:
             best: dict = {}
             for r in part.collect():
                 if r["start"] not in best or r["key"] > best[r["start"]][0]:
@@ -169,7 +186,7 @@ def _kpp_init(X: DataFrame, cols, k: int, starts: list[int], seed: int) -> np.nd
     return chosen
 
 
-def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One job: per (start, cluster) count, feature sums and cost under ``centers`` (R x k x d)."""
     R, k, d = centers.shape
     schema = "start int, cluster int, n long, cost double, " + ", ".join(f"s{i} double" for i in range(d))
@@ -198,7 +215,7 @@ def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray) -> tuple[np.ndarray, np
         yield pd.DataFrame(rows, columns=["start", "cluster", "n", "cost", *[f"s{i}" for i in range(d)]])
 
     rows = _reduce_partials(X.mapInPandas(step, schema), ["start", "cluster"],
-                            ["n", "cost", *[f"s{i}" for i in range(d)]], X.rdd.getNumPartitions(), R * k)
+                            ["n", "cost", *[f"s{i}" for i in range(d)]], n_parts, R * k)
     n = np.zeros((R, k))
     cost = np.zeros((R, k))
     sums = np.zeros((R, k, d))
@@ -224,19 +241,19 @@ def fit_kmeans(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10, ma
     keep their previous centre.
     """
     cols = list(cols)
-    X = _prepared(df, cols)
+    X, n_parts = _prepared(df, cols)
     try:
         var_row = X.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
         tol_abs = tol * float(np.mean([var_row[c] or 0.0 for c in cols]))
         starts = list(range(n_init))
-        centers = _kpp_init(X, cols, k, starts, seed)
+        centers = _kpp_init(X, cols, k, starts, seed, n_parts)
         active = np.ones(n_init, dtype=bool)
         n_iter = np.zeros(n_init, dtype=int)
         for _ in range(max_iter):
             idx = np.flatnonzero(active)
             if len(idx) == 0:
                 break
-            n, _, sums = _lloyd_pass(X, cols, centers[idx])
+            n, _, sums = _lloyd_pass(X, cols, centers[idx], n_parts)
             for pos, r in enumerate(idx):
                 new = centers[r].copy()
                 nz = n[pos] > 0
@@ -246,7 +263,7 @@ def fit_kmeans(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10, ma
                 n_iter[r] += 1
                 if shift <= tol_abs:
                     active[r] = False
-        n, cost, _ = _lloyd_pass(X, cols, centers)
+        n, cost, _ = _lloyd_pass(X, cols, centers, n_parts)
         inertia = cost.sum(axis=1)
         best = int(np.argmin(inertia))
         ctr, sizes = _canonical(centers[best], n[best])
@@ -331,7 +348,7 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
     cols = list(cols)
     d = len(cols)
     init = init or fit_kmeans(df, cols, k, seed, n_init=1)
-    X = _prepared(df, cols)
+    X, n_parts = _prepared(df, cols)
     try:
         w, m, v = _gmm_params_from_labels(X, cols, nearest_center(cols, init.centers), k, reg_covar)
         prev, ll, converged, it = -np.inf, -np.inf, False, 0
@@ -366,7 +383,7 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
 
             agg = _reduce_partials(X.mapInPandas(em, schema), ["comp"],
                                    ["nk", "ll", "n", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)]],
-                                   X.rdd.getNumPartitions(), k)
+                                   n_parts, k)
             nk, s1, s2 = np.zeros(k), np.zeros((k, d)), np.zeros((k, d))
             ll_tot, n_tot = 0.0, 0
             for r in agg:
@@ -471,7 +488,7 @@ def dbscan(df: DataFrame, cols, eps: float, min_samples: int, id_col: str = "cus
             yield pd.DataFrame({"src": b[id_col].to_numpy(),
                                 "nbrs": [ids_s[np.flatnonzero(row)].tolist() for row in within]})
 
-    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 256 + 1))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
     nb = sample.repartition(parts).mapInPandas(neighbours, f"src {id_type}, nbrs array<{id_type}>")
     nb = nb.withColumn("is_core", F.size("nbrs") >= min_samples)
     edges = nb.select("src", "is_core", F.explode("nbrs").alias("dst"))

@@ -142,7 +142,7 @@ def silhouette_samples(df: DataFrame, cols, label: str, id_col: str, sample_size
             s = np.nan_to_num(s, nan=0.0)
             yield pd.DataFrame({id_col: b[id_col], label: b[label], "silhouette": s})
 
-    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 256 + 1))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
     return sample.repartition(parts).mapInPandas(
         score, f"`{id_col}` {id_type}, `{label}` {label_type}, silhouette double")
 

@@ -45,11 +45,23 @@ def segment_baskets(spark: SparkSession, d: str, validate: bool = False) -> Data
 
 
 # ------------------------------------------------------------------ B5 - B9
+def segment_item_sets(spark: SparkSession, d: str) -> DataFrame:
+    """(invoice_id, cluster, items): sets are built from the lines first, then one row
+    per basket is joined to its customer's segment."""
+    sets = B.basket_item_sets(V.invoice_lines(spark, d))
+    return (sets.join(V.invoices(spark, d), "invoice_id")
+                .join(V.customer_segments(spark, d), "customer_id")
+                .select("invoice_id", "cluster", "items"))
+
+
+def segment_rules(spark: SparkSession, d: str) -> DataFrame:
+    return B.cluster_association_rules_from_sets(segment_item_sets(spark, d), "cluster", min_support=RULE_SUPPORT,
+                                                 min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
+
+
 @register
 def segment_association_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
-                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
-    return rounded(rules)
+    return rounded(segment_rules(spark, d))
 
 
 @register
@@ -61,16 +73,12 @@ def global_association_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def rule_summary(spark: SparkSession, d: str) -> DataFrame:
-    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
-                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
-    return rounded(B.rule_summary(rules))
+    return rounded(B.rule_summary(segment_rules(spark, d)))
 
 
 @register
 def rule_top5(spark: SparkSession, d: str) -> DataFrame:
-    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
-                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
-    return B.top_rules_with_label(rules, 5)
+    return B.top_rules_with_label(segment_rules(spark, d), 5)
 
 
 # ------------------------------------------------------------------ B1 - B4
@@ -617,8 +625,7 @@ def _offer_inputs(spark: SparkSession, d: str):
     shares = PR.mean_profile(f, "cluster", [c for c in f.columns if c.startswith("share_")])
     basket = B.cluster_basket_profile(segment_baskets(spark, d), segment_lines(spark, d), V.customer_segments(spark, d))
     top = B.cluster_top_products(segment_lines(spark, d), top_n=10)
-    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
-                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
+    rules = segment_rules(spark, d)
     return prof, shares, basket, top, rules
 
 
@@ -630,9 +637,7 @@ def offer_products(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def offer_rules(spark: SparkSession, d: str) -> DataFrame:
-    rules = B.cluster_association_rules(segment_lines(spark, d), "cluster", min_support=RULE_SUPPORT,
-                                        min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
-    return G.list_top_rules(rules, offer_plan(spark, d), 2)
+    return G.list_top_rules(segment_rules(spark, d), offer_plan(spark, d), 2)
 
 
 @register
@@ -677,3 +682,10 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     IO.save_cluster_assignments(labels, path, fmt="csv")
     IO.round_trip_check(spark, labels, path + "-check", fmt="csv")
     return IO.read_back(spark, path, labels.schema, fmt="csv")
+
+
+@register
+def sampled_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Deterministic sample of at most 5,000 scaled customers (a sampling operator)."""
+    feats, _ = SEG.scaled_features(spark, d)
+    return rounded(M.deterministic_sample(feats, "customer_id", 5000, seed=42))

@@ -80,15 +80,17 @@ ORACLE_SQL["global_association_rules"] = _rules_sql(
     "JOIN part p ON l.l_partkey = p.p_partkey)", False, SUPPORT, CONFIDENCE, LIFT, None)
 
 RULES_TOP = _rules_sql(SEGMENT_LINES + ",\nsrc AS (SELECT * FROM seg_lines)", True, SUPPORT, CONFIDENCE, LIFT, 20)
+RULES_RAW = _rules_sql(SEGMENT_LINES + ",\nsrc AS (SELECT * FROM seg_lines)", True, SUPPORT, CONFIDENCE, LIFT, 20,
+                      digits=None)
 
 ORACLE_SQL["rule_summary"] = f"""
-WITH t AS ({RULES_TOP})
+WITH t AS ({RULES_RAW})
 SELECT cluster, count(*) AS number_of_rules, {_r('avg(lift)', 'average_lift')}, {_r('max(lift)', 'max_lift')},
        {_r('avg(confidence)', 'average_confidence')}, {_r('max(confidence)', 'max_confidence')}
 FROM t GROUP BY cluster"""
 
 ORACLE_SQL["rule_top5"] = f"""
-WITH t AS ({RULES_TOP})
+WITH t AS ({RULES_RAW})
 SELECT cluster, rule_rank, antecedents || ' -> ' || consequents AS rule,
        round(support, 4) AS support, round(confidence, 4) AS confidence, round(lift, 4) AS lift
 FROM t WHERE rule_rank <= 5"""
@@ -635,8 +637,6 @@ pk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY product_rank)
        WHERE NOT has_t OR anyhit = 0 OR hit),
 pa AS (SELECT cluster, string_agg(product, ', ' ORDER BY pos) AS s FROM pk WHERE pos <= 5 GROUP BY cluster),
 products AS (SELECT pterms.cluster, coalesce(s, '') AS supporting_products FROM pterms LEFT JOIN pa USING (cluster))"""
-RULES_RAW = _rules_sql(SEGMENT_LINES + ",\nsrc AS (SELECT * FROM seg_lines)", True, SUPPORT, CONFIDENCE, LIFT, 20,
-                       digits=None)
 RULETEXT = f"""
 rr AS ({RULES_RAW}),
 rj AS (SELECT rr.cluster, rr.antecedents, rr.consequents, rr.lift, rr.rule_rank, t,
