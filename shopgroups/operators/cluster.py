@@ -507,6 +507,7 @@ def dbscan(df: DataFrame, cols, eps: float, min_samples: int, id_col: str = "cus
         # reliable checkpoint (shared folder) every few rounds cuts the growing lineage
         new = new.checkpoint() if rounds % checkpoint_every == 0 else new.persist()
         changed = new.join(labels.withColumnRenamed("comp", "old"), "id").where(F.col("comp") != F.col("old")).count()
+        labels.unpersist()
         labels = new
         if changed == 0:
             break

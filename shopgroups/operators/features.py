@@ -82,3 +82,18 @@ def removed_columns(before: DataFrame, after: DataFrame) -> list[str]:
     """columns present before and gone after, in the original order."""
     kept = set(after.columns)
     return [c for c in before.columns if c not in kept]
+
+
+def concat_feature_sets(left: DataFrame, right: DataFrame, id_col: str = "customer_id") -> DataFrame:
+    """columns of two feature sets side by side, matched on the id (not on row position).
+
+    An id present on one side only fails the job (the sets must describe the
+    same customers), checked lazily inside the same plan.
+    """
+    clash = [c for c in right.columns if c in left.columns and c != id_col]
+    if clash:
+        raise ValueError(f"feature sets share columns: {clash}")
+    joined = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), id_col, "full_outer")
+    guard = F.when(F.col("__l").isNull() | F.col("__r").isNull(), F.raise_error(F.concat(
+        F.lit("feature sets do not cover the same ids: "), F.col(id_col).cast("string"))))
+    return joined.where(F.coalesce(guard.cast("boolean"), F.lit(True))).drop("__l", "__r")

@@ -148,3 +148,11 @@ def cluster_completeness(expected: DataFrame, tables: dict) -> DataFrame:
 def value_context(cluster_profile: DataFrame, plan: DataFrame) -> DataFrame:
     """Profile rows with the persona name attached."""
     return cluster_profile.join(plan.select("cluster", "persona_name"), "cluster", "left")
+
+
+def cluster_row(frame: DataFrame, cluster, cluster_col: str = "cluster") -> DataFrame:
+    """The first row for ``cluster`` (by the frame's remaining columns); none -> error."""
+    rows = frame.where(F.col(cluster_col) == F.lit(cluster)).limit(1).collect()
+    if not rows:
+        raise ValueError(f"Cluster {cluster} was not found.")
+    return frame.sparkSession.createDataFrame(rows, frame.schema)

@@ -136,3 +136,17 @@ def assignment_checks(base: DataFrame, labels: DataFrame, id_col: str = "custome
     checks = [("input rows", nb), ("assignment rows", lab["nl"]), ("row counts equal", str(nb == lab["nl"]).lower()),
               ("repeated ids", lab["nl"] - lab["nd"]), ("missing labels", lab["nn"])]
     return base.sparkSession.createDataFrame([(n, str(v)) for n, v in checks], "check string, value string")
+
+
+def profile_input(labels: DataFrame, features: DataFrame, id_col: str = "customer_id") -> DataFrame:
+    """Labels left-joined to features; the row count must not change.
+
+    Repeated feature ids would multiply label rows; they fail the job lazily
+    (a window count per id inside the same plan) instead of a separate pass.
+    """
+    from pyspark.sql import Window as W
+    feats = features.withColumn("__dup", F.count(F.lit(1)).over(W.partitionBy(id_col)))
+    joined = labels.join(feats, id_col, "left")
+    guard = F.when(F.col("__dup") > 1, F.raise_error(F.concat(
+        F.lit("features repeat id "), F.col(id_col).cast("string"), F.lit("; the profile join would add rows"))))
+    return joined.where(F.coalesce(guard.cast("boolean"), F.lit(True))).drop("__dup")

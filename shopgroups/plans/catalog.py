@@ -478,6 +478,7 @@ def kmeans_feature_sets(spark: SparkSession, d: str) -> DataFrame:
         "standard": SEG.scaled_features(spark, d, "standard"),
         "log_robust": SEG.scaled_features(spark, d, "robust", use_log=True),
         "log_standard": SEG.scaled_features(spark, d, "standard", use_log=True),
+        "standard_with_dummies": SEG.scaled_features_with_dummies(spark, d, "standard"),
     }
     return rounded(SEG.compare_feature_sets(variants, 5, n_init=N_INIT))
 

@@ -41,6 +41,24 @@ def selected_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
     return P.select_model_features(clean, cols), cols
 
 
+def scaled_features_with_dummies(spark: SparkSession, sf_dir: str, method: str = "standard",
+                                 genders=("female", "male"), degrees=("Bsc", "Msc", "Phd")) -> tuple[DataFrame, list[str]]:
+    """C6 wider variant: the model columns plus fixed gender / degree dummies (F17), joined on
+    the id (F18), all scaled together; checkpointed like ``scaled_features``."""
+    checkpoint_dir(spark)
+    info = V.customer_info(spark, sf_dir).checkpoint()
+    clean = P.clean_feature_values(FE.add_customer_info_features(info))
+    cols = model_columns(clean)
+    dummies = FE.one_hot(FE.one_hot(clean, "customer_gender", list(genders), "gender"),
+                         "degree_level", list(degrees), "degree")
+    dummy_cols = [f"gender_{g}" for g in genders] + [f"degree_{x}" for x in degrees]
+    wide = FE.concat_feature_sets(P.select_model_features(clean, cols),
+                                  dummies.select("customer_id", *dummy_cols))
+    all_cols = cols + dummy_cols
+    scaled, _ = P.scale_features(wide, all_cols, method)
+    return scaled.checkpoint(), all_cols
+
+
 def scaled_features(spark: SparkSession, sf_dir: str, method: str = "robust",
                     use_log: bool = False) -> tuple[DataFrame, list[str]]:
     """Checkpointed (id + scaled model columns)."""

@@ -66,3 +66,13 @@ def test_missing_model_columns(spark):
     df = spark.createDataFrame([(1, 1.0)], "customer_id long, age double")
     with pytest.raises(ValueError, match="Missing required model columns"):
         P.select_model_features(df)
+
+
+def test_concat_feature_sets_matches_on_id(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "customer_id long, x double")
+    b = spark.createDataFrame([(2, 20.0), (1, 10.0)], "customer_id long, y double")
+    out = {r.customer_id: (r.x, r.y) for r in FE.concat_feature_sets(a, b).collect()}
+    assert out == {1: (1.0, 10.0), 2: (2.0, 20.0)}
+    c = spark.createDataFrame([(3, 30.0)], "customer_id long, y double")
+    with pytest.raises(Exception, match="same ids"):
+        FE.concat_feature_sets(a, c).collect()

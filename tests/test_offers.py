@@ -57,3 +57,17 @@ def test_plan_and_cluster_errors(spark):
     with pytest.raises(Exception, match="Cluster 1 was not found in cluster_profile"):
         G.cluster_evidence(spark.createDataFrame([(1,)], "cluster int"), prof, shares, basket).collect()
     assert F is not None
+
+
+def test_cluster_row_and_profile_input(spark):
+    from shopgroups.operators import profile as PR
+    frame = spark.createDataFrame([(0, "a"), (1, "b")], "cluster int, v string")
+    assert G.cluster_row(frame, 1).first().v == "b"
+    with pytest.raises(ValueError, match="Cluster 7 was not found"):
+        G.cluster_row(frame, 7)
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "customer_id long, cluster int")
+    feats = spark.createDataFrame([(1, 5.0), (2, 6.0)], "customer_id long, x double")
+    assert PR.profile_input(labels, feats).count() == 2
+    dup = feats.union(spark.createDataFrame([(2, 7.0)], feats.schema))
+    with pytest.raises(Exception, match="repeat id"):
+        PR.profile_input(labels, dup).collect()
