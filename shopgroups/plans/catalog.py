@@ -24,8 +24,18 @@ DIGITS = 6
 
 
 def register(fn):
-    QUERIES[fn.__name__] = fn
-    return fn
+    """Add a query; it applies the session defaults (UTC, AQE) before building its plan."""
+    from functools import wraps
+
+    from ..session import configure
+
+    @wraps(fn)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        configure(spark)
+        return fn(spark, d)
+
+    QUERIES[fn.__name__] = run
+    return run
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:

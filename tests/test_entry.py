@@ -5,9 +5,7 @@ import __spark_entry__ as E
 from shopgroups.sources.tables import TABLE_NAMES, table_path
 
 SF = "/root/testdata/sf0.001"
-FAST = ["segment_association_rules", "segment_basket_profile", "segment_top_products", "customer_basket_features",
-        "customer_features", "robust_scaled", "customer_describe", "silhouette_score", "nearest_centroid",
-        "segment_profile", "offer_recommendations", "csv_round_trip"]
+ALL_CHECKED = sorted(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
@@ -20,6 +18,12 @@ def test_every_oracle_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
+def test_queries_set_utc(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    E.queries()["cluster_contract"](spark, SF)
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -28,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", ALL_CHECKED)
 def test_query_matches_duckdb(spark, duck, name):
     from oracle_check import compare
     ok, msg, _ = compare(spark, duck, SF, name, E.oracle_sql()[name])
