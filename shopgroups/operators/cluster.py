@@ -479,14 +479,17 @@ def dbscan(df: DataFrame, cols, eps: float, min_samples: int, id_col: str = "cus
     def neighbours(batches):
         Xs, ids_s = bc.value
         s2 = (Xs ** 2).sum(axis=1)
-        for b in batches:
-            if b.empty:
-                continue
-            x = b[cols].to_numpy(dtype=float)
-            d2 = (x ** 2).sum(axis=1)[:, None] + s2[None, :] - 2.0 * x @ Xs.T
-            within = d2 <= eps2 + 1e-12 * max(1.0, eps2)
-            yield pd.DataFrame({"src": b[id_col].to_numpy(),
-                                "nbrs": [ids_s[np.flatnonzero(row)].tolist() for row in within]})
+        block = max(1, 5_000_000 // max(len(ids_s), 1))  # rows per distance block (bounded memory)
+        for batch in batches:
+            for lo in range(0, len(batch), block):
+                b = batch.iloc[lo:lo + block]
+                if b.empty:
+                    continue
+                x = b[cols].to_numpy(dtype=float)
+                d2 = (x ** 2).sum(axis=1)[:, None] + s2[None, :] - 2.0 * x @ Xs.T
+                within = d2 <= eps2 + 1e-12 * max(1.0, eps2)
+                yield pd.DataFrame({"src": b[id_col].to_numpy(),
+                                    "nbrs": [ids_s[np.flatnonzero(row)].tolist() for row in within]})
 
     parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
     nb = sample.repartition(parts).mapInPandas(neighbours, f"src {id_type}, nbrs array<{id_type}>")

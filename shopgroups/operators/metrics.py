@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 MAX_CLUSTERS = 100_000  # bound on k for the centroid broadcast
+BLOCK_CELLS = 5_000_000  # distance cells per NumPy block (~40 MB of doubles)
 
 
 def deterministic_sample(df: DataFrame, id_col: str, sample_size: int, seed: int = 42) -> DataFrame:
@@ -123,24 +124,29 @@ def silhouette_samples(df: DataFrame, cols, label: str, id_col: str, sample_size
         onehot[np.arange(len(cs)), cs] = 1.0
         sizes = onehot.sum(axis=0)
         sq_s = (Xs ** 2).sum(axis=1)
-        for b in batches:
-            if b.empty:
-                continue
-            x = b[cols].to_numpy(dtype=float)
-            own = np.array([cs[pos[i]] for i in b[id_col].tolist()])
-            d2 = (x ** 2).sum(axis=1)[:, None] + sq_s[None, :] - 2.0 * x @ Xs.T
-            d = np.sqrt(np.maximum(d2, 0.0))
-            d[np.arange(len(b)), [pos[i] for i in b[id_col].tolist()]] = 0.0
-            sums = d @ onehot
-            own_size = sizes[own]
-            a = sums[np.arange(len(b)), own] / np.maximum(own_size - 1.0, 1.0)
-            mean_other = sums / sizes[None, :]
-            mean_other[np.arange(len(b)), own] = np.inf
-            bb = mean_other.min(axis=1)
-            s = (bb - a) / np.maximum(a, bb)
-            s = np.where(own_size > 1, s, 0.0)
-            s = np.nan_to_num(s, nan=0.0)
-            yield pd.DataFrame({id_col: b[id_col], label: b[label], "silhouette": s})
+        block = max(1, BLOCK_CELLS // max(len(cs), 1))  # rows per distance block (bounded memory)
+        for batch in batches:
+            for lo in range(0, len(batch), block):
+                b = batch.iloc[lo:lo + block]
+                if b.empty:
+                    continue
+                x = b[cols].to_numpy(dtype=float)
+                me = np.array([pos[i] for i in b[id_col].tolist()])
+                own = cs[me]
+                d2 = (x ** 2).sum(axis=1)[:, None] + sq_s[None, :] - 2.0 * x @ Xs.T
+                d = np.sqrt(np.maximum(d2, 0.0))
+                d[np.arange(len(b)), me] = 0.0
+                sums = d @ onehot
+                own_size = sizes[own]
+                a = sums[np.arange(len(b)), own] / np.maximum(own_size - 1.0, 1.0)
+                mean_other = sums / sizes[None, :]
+                mean_other[np.arange(len(b)), own] = np.inf
+                bb = mean_other.min(axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (bb - a) / np.maximum(a, bb)
+                s = np.where(own_size > 1, s, 0.0)
+                s = np.nan_to_num(s, nan=0.0)
+                yield pd.DataFrame({id_col: b[id_col].to_numpy(), label: b[label].to_numpy(), "silhouette": s})
 
     parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
     return sample.repartition(parts).mapInPandas(
