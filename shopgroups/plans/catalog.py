@@ -464,7 +464,7 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ C1 - C8, C16 - C19 fits (rows-only checks)
 from . import segmentation as SEG  # noqa: E402
 
-N_INIT = 10  # restarts per fit in registered queries (the library default; 50 in the source notebooks)
+N_INIT = 50  # restarts per fit, as in the source notebooks (all restarts share each pass over the data)
 
 
 @register
