@@ -700,3 +700,17 @@ def sampled_customers(spark: SparkSession, d: str) -> DataFrame:
     """Deterministic sample of at most 5,000 scaled customers (a sampling operator)."""
     feats, _ = SEG.scaled_features(spark, d)
     return rounded(M.deterministic_sample(feats, "customer_id", 5000, seed=42))
+
+
+@register
+def model_comparison(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    metrics, _ = SEG.model_comparison(feats, cols, n_init=N_INIT)
+    return rounded(metrics)
+
+
+@register
+def model_cluster_balance(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    _, balance = SEG.model_comparison(feats, cols, n_init=N_INIT)
+    return rounded(balance)

@@ -169,3 +169,35 @@ def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_c
               "n_clusters long, largest_cluster_percentage double, silhouette_score double, "
               "calinski_harabasz_score double, davies_bouldin_score double")
     return _rows(df.sparkSession, out, schema)
+
+
+def model_comparison(df: DataFrame, cols, id_col: str = "customer_id", k: int = 5, gmm_k=(4, 5, 6),
+                     seed: int = 42, n_init: int = 50, sample_size: int = 10_000):
+    """C14 + C15: one metrics row per model (K-Means, diagonal GMMs, bisecting K-Means) with the
+    model-specific extras (inertia; AIC, BIC, average max probability) and NULL where a model has
+    none, plus the per-model cluster balance table. Returns (metrics, balance)."""
+    rows, balances = [], []
+
+    def add(model_name, algorithm, n_clusters, labelled, extra):
+        m = M.clustering_metrics(labelled, cols, "cluster", id_col, sample_size, seed)
+        rows.append(M.evaluation_row(m, model_name, algorithm, n_clusters, extra))
+        balances.append(M.cluster_summary(labelled.select("cluster"), "cluster")
+                        .select(F.lit(model_name).alias("model"), "cluster", "count", "percentage"))
+
+    km = C.fit_kmeans(df, cols, k, seed, n_init)
+    add(f"kmeans_k{k}", "kmeans", k, km.assign(df), {"inertia": km.inertia})
+    for g in gmm_k:
+        model = C.fit_gmm_diag(df, cols, g, seed)
+        labelled = model.assign(df)
+        avg_max = labelled.agg(F.avg("max_probability")).first()[0]
+        add(f"gmm_diag_k{g}", "gaussian_mixture_diag", g, labelled,
+            {"aic": model.aic(), "bic": model.bic(), "avg_max_probability": float(avg_max)})
+    bis = C.bisecting_labels(df, cols, k, id_col, seed)
+    add(f"bisecting_k{k}", "bisecting_kmeans", k, df.join(bis, id_col), None)
+    metrics = rows[0]
+    for r in rows[1:]:
+        metrics = metrics.unionByName(r, allowMissingColumns=True)
+    balance = balances[0]
+    for b in balances[1:]:
+        balance = balance.unionByName(b)
+    return metrics, balance
