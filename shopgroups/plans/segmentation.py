@@ -59,13 +59,23 @@ def scaled_features_with_dummies(spark: SparkSession, sf_dir: str, method: str =
     return scaled.checkpoint(), all_cols
 
 
+_SCALED: dict = {}
+
+
 def scaled_features(spark: SparkSession, sf_dir: str, method: str = "robust",
                     use_log: bool = False) -> tuple[DataFrame, list[str]]:
-    """Checkpointed (id + scaled model columns)."""
-    sel, cols = selected_features(spark, sf_dir)
-    scaled, _ = P.scale_features(sel, cols, method, use_log)
-    checkpoint_dir(spark)
-    return scaled.checkpoint(), cols
+    """Checkpointed (id + scaled model columns).
+
+    Memoised per application and data set: the checkpoint is a written copy,
+    so later fits in the same session read it instead of rebuilding it.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, method, use_log)
+    if key not in _SCALED:
+        sel, cols = selected_features(spark, sf_dir)
+        scaled, _ = P.scale_features(sel, cols, method, use_log)
+        checkpoint_dir(spark)
+        _SCALED[key] = (scaled.checkpoint(), cols)
+    return _SCALED[key]
 
 
 def _metric_values(df: DataFrame, cols, label: str, id_col: str, sample_size: int, seed: int) -> dict:
