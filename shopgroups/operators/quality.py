@@ -232,17 +232,42 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
                          (F.lit(mn) + (F.col("bin") + 1) * F.lit(width / bins)).alias("upper"), "count")
 
 
-def box_stats(df: DataFrame, column: str) -> DataFrame:
-    """Q19: quartiles, 1.5·IQR whiskers (most extreme values inside the fences), outliers."""
-    q = quantile_dict(df, [column], [0.25, 0.5, 0.75])
-    q1, q2, q3 = q[(column, 0.25)], q[(column, 0.5)], q[(column, 0.75)]
-    iqr = q3 - q1
-    lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
+def integer_histogram(df: DataFrame, column: str) -> DataFrame:
+    """Q18 (count data): one bin per integer value, ``bin`` = floor(value)."""
     x = F.col(column).cast("double")
-    return df.agg(
-        F.lit(column).alias("column"), F.lit(q1).alias("q1"), F.lit(q2).alias("median"), F.lit(q3).alias("q3"),
-        F.lit(iqr).alias("iqr"), F.min(F.when(x >= lo_f, x)).alias("lower_whisker"),
-        F.max(F.when(x <= hi_f, x)).alias("upper_whisker"),
+    return df.where(x.isNotNull()).groupBy(F.floor(x).alias("bin")).agg(F.count("*").alias("count"))
+
+
+def box_stats(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
+    """Q19: quartiles, 1.5·IQR whiskers (most extreme values inside the fences), outliers.
+
+    With ``group``, quartiles are computed per group (exact two-pass) and the
+    per-group fences are joined back as a small broadcast table.
+    """
+    x = F.col(column).cast("double")
+    if group is None:
+        q = quantile_dict(df, [column], [0.25, 0.5, 0.75])
+        q1, q2, q3 = q[(column, 0.25)], q[(column, 0.5)], q[(column, 0.75)]
+        iqr = q3 - q1
+        lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
+        return df.agg(
+            F.lit(column).alias("column"), F.lit(q1).alias("q1"), F.lit(q2).alias("median"), F.lit(q3).alias("q3"),
+            F.lit(iqr).alias("iqr"), F.min(F.when(x >= lo_f, x)).alias("lower_whisker"),
+            F.max(F.when(x <= hi_f, x)).alias("upper_whisker"),
+            F.count_if((x < lo_f) | (x > hi_f)).alias("outliers"))
+    res = quantiles(df, [column], [0.25, 0.5, 0.75], [group])
+    table: dict = {}
+    for o in res:
+        table.setdefault(o[group], {})[o["p"]] = o["value"]
+    rows = [(g, v[0.25], v[0.5], v[0.75]) for g, v in table.items()]
+    gtype = df.schema[group].dataType.simpleString()
+    fences = df.sparkSession.createDataFrame(rows, f"`{group}` {gtype}, q1 double, median double, q3 double") \
+        .withColumn("iqr", F.col("q3") - F.col("q1"))
+    j = df.join(F.broadcast(fences), group)  # one row per group
+    lo_f = F.col("q1") - 1.5 * F.col("iqr")
+    hi_f = F.col("q3") + 1.5 * F.col("iqr")
+    return j.groupBy(group, "q1", "median", "q3", "iqr").agg(
+        F.min(F.when(x >= lo_f, x)).alias("lower_whisker"), F.max(F.when(x <= hi_f, x)).alias("upper_whisker"),
         F.count_if((x < lo_f) | (x > hi_f)).alias("outliers"))
 
 

@@ -714,3 +714,21 @@ def model_cluster_balance(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
     _, balance = SEG.model_comparison(feats, cols, n_init=N_INIT)
     return rounded(balance)
+
+
+@register
+def complaints_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return Q.integer_histogram(V.customer_info(spark, d), "number_complaints")
+
+
+@register
+def segment_spend_box_stats(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(Q.box_stats(segment_features(spark, d), "total_lifetime_spend", "cluster"))
+
+
+@register
+def pca_explained_variance(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    _, ratios = C.pca_projection(feats, cols)
+    return rounded(spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratios)],
+                                         "component int, explained_variance_ratio double"))

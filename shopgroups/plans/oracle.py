@@ -706,3 +706,15 @@ SELECT n.tbl AS "table", (SELECT count(*) FROM ex) AS expected_clusters,
 FROM names n"""
 
 ORACLE_SQL["csv_round_trip"] = "SELECT c_custkey AS customer_id, c_mktsegment AS cluster FROM customer"
+
+ORACLE_SQL["complaints_histogram"] = WCI + """
+SELECT floor(number_complaints) AS bin, count(*) AS count FROM customer_info
+WHERE number_complaints IS NOT NULL GROUP BY 1"""
+ORACLE_SQL["segment_spend_box_stats"] = WSF + f""", q AS (
+  SELECT cluster, quantile_cont(total_lifetime_spend, 0.25) AS q1, quantile_cont(total_lifetime_spend, 0.5) AS q2,
+         quantile_cont(total_lifetime_spend, 0.75) AS q3 FROM segf GROUP BY cluster)
+SELECT cluster, {_r('q1', 'q1')}, {_r('q2', 'median')}, {_r('q3', 'q3')}, {_r('q3 - q1', 'iqr')},
+       {_r('min(total_lifetime_spend) FILTER (WHERE total_lifetime_spend >= q1 - 1.5 * (q3 - q1))', 'lower_whisker')},
+       {_r('max(total_lifetime_spend) FILTER (WHERE total_lifetime_spend <= q3 + 1.5 * (q3 - q1))', 'upper_whisker')},
+       count(*) FILTER (WHERE total_lifetime_spend < q1 - 1.5 * (q3 - q1) OR total_lifetime_spend > q3 + 1.5 * (q3 - q1)) AS outliers
+FROM segf JOIN q USING (cluster) GROUP BY cluster, q1, q2, q3"""
