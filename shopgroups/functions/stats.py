@@ -13,8 +13,10 @@ exact with bounded memory:
    picks the two order statistics and interpolates (pandas / numpy
    ``linear``, same as DuckDB ``quantile_cont`` and Spark ``percentile``).
 
-A bracket that misses its target (possible only through sketch edge cases)
-is recomputed with Spark's exact ``percentile`` for that column alone.
+A bracket that misses its target (possible only at sketch edge cases) is
+retried with wider brackets taken from the same sketch (8·eps, then
+32·eps); only if those miss too does that column fall back to Spark's exact
+``percentile``.
 Results are small (groups x columns x probabilities) and returned to the
 caller as rows; the data itself never leaves the executors.
 """
@@ -45,6 +47,9 @@ def _null_safe_on(left: DataFrame, right: DataFrame, keys) -> Column:
     return cond
 
 
+MARGINS = (2, 8, 32)  # bracket half-widths tried, in units of the sketch's relative error
+
+
 def quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "exact",
               accuracy: int = DEFAULT_ACCURACY) -> list[dict]:
     """Quantiles of ``cols`` (NULL skipped) per group.
@@ -60,36 +65,59 @@ def quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "exact",
     if method == "percentile":
         return _percentile_exact(df, cols, probs, g)
     eps = 1.0 / accuracy
-    qs = sorted({min(max(p + s * 2 * eps, 0.0), 1.0) for p in probs for s in (-1, 1)} | set(probs))
+    qs = sorted({min(max(p + s * m * eps, 0.0), 1.0) for p in probs for s in (-1, 1) for m in MARGINS} | set(probs))
     long = _long(df, cols, g)
     stats = long.groupBy(*g, "column").agg(
         F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
         F.percentile_approx("v", qs, accuracy).alias("ap")).collect()
-    out, brackets = [], []
+    out, targets = [], []
     for row in stats:
         key = {k: row[k] for k in g}
-        n = row["n"]
         approx = dict(zip(qs, row["ap"] or []))
         for p in probs:
             if method == "approx":
                 out.append({**key, "column": row["column"], "p": p, "value": approx.get(p)})
                 continue
-            h = p * (n - 1)
-            j0, j1 = math.floor(h), math.ceil(h)
-            lo_q, hi_q = max(p - 2 * eps, 0.0), min(p + 2 * eps, 1.0)
-            lo = row["mn"] if lo_q <= 0.0 else min(approx[lo_q], approx[p])
-            hi = row["mx"] if hi_q >= 1.0 else max(approx[hi_q], approx[p])
-            brackets.append({**key, "column": row["column"], "p": p, "h": h, "j0": j0, "j1": j1,
-                             "lo": float(lo), "hi": float(hi)})
+            h = p * (row["n"] - 1)
+            targets.append({**key, "column": row["column"], "p": p, "h": h, "j0": math.floor(h),
+                            "j1": math.ceil(h), "mn": row["mn"], "mx": row["mx"], "approx": approx})
     if method == "approx":
         return _with_missing(out, df, cols, probs, g)
-    if not brackets:
-        return _with_missing([], df, cols, probs, g)
+    keys = [*g, "column", "p"]
+    pending = targets
+    for m in MARGINS:
+        if not pending:
+            break
+        brackets = []
+        for t in pending:
+            lo_q, hi_q = max(t["p"] - m * eps, 0.0), min(t["p"] + m * eps, 1.0)
+            lo = t["mn"] if lo_q <= 0.0 else min(t["approx"][lo_q], t["approx"][t["p"]])
+            hi = t["mx"] if hi_q >= 1.0 else max(t["approx"][hi_q], t["approx"][t["p"]])
+            brackets.append({**t, "lo": float(lo), "hi": float(hi)})
+        found = _exact_pass(df, long, brackets, g)
+        still = []
+        for t in pending:
+            k = tuple(t[c] for c in keys)
+            if k in found:
+                out.append({**{c: t[c] for c in g}, "column": t["column"], "p": t["p"], "value": found[k]})
+            else:
+                still.append(t)
+        pending = still
+    if pending:
+        redo_cols = sorted({t["column"] for t in pending})
+        redo = _percentile_exact(df, redo_cols, probs, g)
+        done = {tuple(o[c] for c in keys) for o in out}
+        out.extend(o for o in redo if tuple(o[c] for c in keys) not in done)
+    return _with_missing(out, df, cols, probs, g)
+
+
+def _exact_pass(df: DataFrame, long: DataFrame, brackets: list[dict], g: list[str]) -> dict:
+    """Count values below each bracket and rank the distinct values inside it (one job)."""
     spark = df.sparkSession
+    names = [*g, "column", "p", "h", "j0", "j1", "lo", "hi"]
     schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in g]
                        + ["column string", "p double", "h double", "j0 long", "j1 long", "lo double", "hi double"])
-    br = spark.createDataFrame([tuple(b[k] for k in [*g, "column", "p", "h", "j0", "j1", "lo", "hi"])
-                                for b in brackets], schema)
+    br = spark.createDataFrame([tuple(b[k] for k in names) for b in brackets], schema)
     # bracket table: one row per (group, column, p), sized by the caller's request
     x = long.join(F.broadcast(br), _null_safe_on(long, br, [*g, "column"]))
     x = x.select(*[long[k] for k in g], long["column"], "p", "h", "j0", "j1", "lo", "hi", "v") \
@@ -113,19 +141,8 @@ def quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "exact",
     for r in picked:
         if r["v0"] is None or r["v1"] is None:
             continue
-        val = r["v0"] + (r["h"] - r["j0"]) * (r["v1"] - r["v0"])
-        found[tuple(r[k] for k in keys)] = val
-    missing_cols = set()
-    for b in brackets:
-        k = tuple(b[c] for c in keys)
-        if k in found:
-            out.append({**{c: b[c] for c in g}, "column": b["column"], "p": b["p"], "value": found[k]})
-        else:
-            missing_cols.add(b["column"])
-    if missing_cols:
-        redo = _percentile_exact(df, sorted(missing_cols), probs, g)
-        out = [o for o in out if o["column"] not in missing_cols] + redo
-    return _with_missing(out, df, cols, probs, g)
+        found[tuple(r[k] for k in keys)] = r["v0"] + (r["h"] - r["j0"]) * (r["v1"] - r["v0"])
+    return found
 
 
 def _with_missing(out, df, cols, probs, g):
