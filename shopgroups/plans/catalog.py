@@ -13,7 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import baskets as B
+from ..operators import cluster as C
+from ..operators import features as FE
+from ..operators import metrics as M
+from ..operators import offers as G
+from ..operators import prep as P
+from ..operators import profile as PR
+from ..operators import quality as Q
+from ..sources import io as IO
 from ..sources import views as V
+from . import segmentation as SEG
 
 QUERIES: dict = {}
 
@@ -151,8 +160,6 @@ def customer_basket_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ F1 - F11, F17 - F19
-from ..operators import features as FE  # noqa: E402
-from ..operators import prep as P  # noqa: E402
 
 
 def model_columns(features: DataFrame) -> list[str]:
@@ -232,7 +239,6 @@ def log_robust_scaled(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ Q1 - Q23
-from ..operators import quality as Q  # noqa: E402
 
 
 def _spend_cols(df: DataFrame) -> list[str]:
@@ -395,8 +401,6 @@ def feature_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ C9 - C15 on embeddings (label = cluster)
-from ..operators import cluster as C  # noqa: E402
-from ..operators import metrics as M  # noqa: E402
 
 
 def _emb(spark: SparkSession, d: str):
@@ -462,7 +466,6 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ C1 - C8, C16 - C19 fits (rows-only checks)
-from . import segmentation as SEG  # noqa: E402
 
 N_INIT = 50  # restarts per fit, as in the source notebooks (all restarts share each pass over the data)
 
@@ -538,7 +541,6 @@ def dbscan_diagnostics(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ C20 - C27 on market segments
-from ..operators import profile as PR  # noqa: E402
 
 PROFILE_COLUMNS = ["age", "customer_tenure", "total_lifetime_spend", "lifetime_total_distinct_products",
                    "percentage_of_products_bought_promotion", "number_complaints", "distinct_stores_visited",
@@ -608,7 +610,6 @@ def metric_recommendation(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ G1 - G12
-from ..operators import offers as G  # noqa: E402
 
 OFFER_SHARES = [("economy", "share_economy"), ("large", "share_large"), ("medium", "share_medium"),
                 ("promo", "share_promo")]
@@ -679,7 +680,6 @@ def offer_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ S1 - S4
-from ..sources import io as IO  # noqa: E402
 
 
 @register
