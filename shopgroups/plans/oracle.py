@@ -37,8 +37,8 @@ def _rules_sql(lines_cte: str, group: bool, support: float, confidence: float, l
     gy = "y.cluster = dr.cluster AND " if group else ""
     sel = "dr.cluster, " if group else ""
     part = "PARTITION BY cluster " if group else ""
-    rank = (f", row_number() OVER ({part}ORDER BY lift DESC, confidence DESC, support DESC, "
-            "antecedents, consequents) AS rule_rank") if top_n else ""
+    rank = (f", CAST(row_number() OVER ({part}ORDER BY lift DESC, confidence DESC, support DESC, "
+            "antecedents, consequents) AS INTEGER) AS rule_rank") if top_n else ""
     final_rank = ", rule_rank" if top_n else ""
     where_rank = f"WHERE rule_rank <= {top_n}" if top_n else ""
     return f"""
@@ -136,7 +136,7 @@ ORACLE_SQL["segment_top_products"] = f"""
 WITH {SEGMENT_LINES.strip()},
 pc AS (SELECT cluster, product, count(*) AS product_count FROM seg_lines WHERE product IS NOT NULL GROUP BY ALL),
 r AS (SELECT *, product_count::DOUBLE / sum(product_count) OVER (PARTITION BY cluster) AS share,
-             row_number() OVER (PARTITION BY cluster ORDER BY product_count DESC, product) AS product_rank
+             CAST(row_number() OVER (PARTITION BY cluster ORDER BY product_count DESC, product) AS INTEGER) AS product_rank
       FROM pc)
 SELECT cluster, product, product_count, {_r('share', 'product_share_within_cluster')}, product_rank
 FROM r WHERE product_rank <= 10"""
@@ -146,7 +146,8 @@ WITH items AS (
   SELECT l.l_orderkey AS invoice_id, list(p.p_brand ORDER BY p.p_brand) AS goods
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1)
 SELECT o.o_orderkey AS invoice_id, o.o_custkey AS customer_id,
-       coalesce(len(goods), 0) AS basket_size, coalesce(len(list_distinct(goods)), 0) AS distinct_products_per_basket,
+       CAST(coalesce(len(goods), 0) AS INTEGER) AS basket_size,
+       CAST(coalesce(len(list_distinct(goods)), 0) AS INTEGER) AS distinct_products_per_basket,
        coalesce(array_to_string(goods, ','), '') AS goods_text
 FROM orders o LEFT JOIN items i ON i.invoice_id = o.o_orderkey"""
 
@@ -708,7 +709,7 @@ FROM names n"""
 ORACLE_SQL["csv_round_trip"] = "SELECT c_custkey AS customer_id, c_mktsegment AS cluster FROM customer"
 
 ORACLE_SQL["complaints_histogram"] = WCI + """
-SELECT floor(number_complaints) AS bin, count(*) AS count FROM customer_info
+SELECT CAST(floor(number_complaints) AS BIGINT) AS bin, count(*) AS count FROM customer_info
 WHERE number_complaints IS NOT NULL GROUP BY 1"""
 ORACLE_SQL["segment_spend_box_stats"] = WSF + f""", q AS (
   SELECT cluster, quantile_cont(total_lifetime_spend, 0.25) AS q1, quantile_cont(total_lifetime_spend, 0.5) AS q2,
