@@ -474,8 +474,8 @@ N_INIT = 50  # restarts per fit, as in the source notebooks (all restarts share
 def kmeans_segments(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
     C.validate_clustering_input(feats)
-    labels, _ = C.kmeans_labels(feats, cols, 5, n_init=N_INIT)
-    return labels
+    model = SEG.kmeans_model(feats, cols, 5, 42, N_INIT)
+    return model.assign(feats).select("customer_id", "cluster")
 
 
 @register
@@ -505,7 +505,7 @@ def kmeans_seed_stability(spark: SparkSession, d: str) -> DataFrame:
 @register
 def gmm_diag_segments(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    model = C.fit_gmm_diag(feats, cols, 5)
+    model = SEG.gmm_model(feats, cols, 5, 42)
     return rounded(model.assign(feats).select("customer_id", "cluster", "max_probability"))
 
 
@@ -602,8 +602,8 @@ def metric_recommendation(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
     k_metrics = SEG.compare_k_values(feats, cols, [5, 6], n_init=N_INIT)
     stability = SEG.seed_stability(feats, cols, 5, [0, 21, 42, 99, 123], n_init=N_INIT)
-    m5 = C.fit_kmeans(feats, cols, 5, 42, N_INIT)
-    m6 = C.fit_kmeans(feats, cols, 6, 42, N_INIT)
+    m5 = SEG.kmeans_model(feats, cols, 5, 42, N_INIT)
+    m6 = SEG.kmeans_model(feats, cols, 6, 42, N_INIT)
     labels = feats.select("customer_id", C.nearest_center(cols, m5.centers).alias("k5_cluster"),
                           C.nearest_center(cols, m6.centers).alias("k6_cluster"))
     return PR.robustness_recommendation(k_metrics, stability, PR.split_counts(labels))
@@ -705,14 +705,16 @@ def sampled_customers(spark: SparkSession, d: str) -> DataFrame:
 @register
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    metrics, _ = SEG.model_comparison(feats, cols, n_init=N_INIT)
+    metrics, _ = SEG._memo("model_comparison", feats, (tuple(cols), N_INIT),
+                           lambda: SEG.model_comparison(feats, cols, n_init=N_INIT))
     return rounded(metrics)
 
 
 @register
 def model_cluster_balance(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    _, balance = SEG.model_comparison(feats, cols, n_init=N_INIT)
+    _, balance = SEG._memo("model_comparison", feats, (tuple(cols), N_INIT),
+                           lambda: SEG.model_comparison(feats, cols, n_init=N_INIT))
     return rounded(balance)
 
 

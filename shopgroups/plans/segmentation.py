@@ -78,6 +78,25 @@ def scaled_features(spark: SparkSession, sf_dir: str, method: str = "robust",
     return _SCALED[key]
 
 
+_MODELS: dict = {}
+
+
+def _memo(kind: str, df: DataFrame, params: tuple, build):
+    """Per-session model registry: the same fit on the same (checkpointed) table is done once."""
+    key = (kind, df.sparkSession.sparkContext.applicationId, id(df), params)
+    if key not in _MODELS:
+        _MODELS[key] = (df, build())  # keep df alive so its id stays unique
+    return _MODELS[key][1]
+
+
+def kmeans_model(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10) -> C.KMeansResult:
+    return _memo("kmeans", df, (tuple(cols), k, seed, n_init), lambda: C.fit_kmeans(df, cols, k, seed, n_init))
+
+
+def gmm_model(df: DataFrame, cols, k: int, seed: int = 42) -> C.GMMResult:
+    return _memo("gmm", df, (tuple(cols), k, seed), lambda: C.fit_gmm_diag(df, cols, k, seed))
+
+
 def _metric_values(df: DataFrame, cols, label: str, id_col: str, sample_size: int, seed: int) -> dict:
     row = M.clustering_metrics(df, cols, label, id_col, sample_size, seed).first().asDict()
     return row
@@ -86,10 +105,11 @@ def _metric_values(df: DataFrame, cols, label: str, id_col: str, sample_size: in
 def evaluate_kmeans(df: DataFrame, cols, k: int, id_col: str = "customer_id", seed: int = 42,
                     n_init: int = 10, sample_size: int = 10_000):
     """C4: fit + metrics. Returns (metrics dict, model, labelled DataFrame)."""
-    model = C.fit_kmeans(df, cols, k, seed, n_init)
+    model = kmeans_model(df, cols, k, seed, n_init)
     labelled = model.assign(df)
-    m = _metric_values(labelled, cols, "cluster", id_col, sample_size, seed)
-    m.update({"k": k, "random_state": seed, "n_features": len(cols), "inertia": model.inertia})
+    m = _memo("kmeans_metrics", df, (tuple(cols), k, seed, n_init, id_col, sample_size),
+              lambda: _metric_values(labelled, cols, "cluster", id_col, sample_size, seed))
+    m = {**m, "k": k, "random_state": seed, "n_features": len(cols), "inertia": model.inertia}
     return m, model, labelled
 
 
@@ -124,7 +144,7 @@ def seed_stability(df: DataFrame, cols, k: int, seeds, n_init: int = 10, id_col:
     """
     labelled = df.select(id_col, *cols)
     for s in seeds:
-        model = C.fit_kmeans(df, cols, k, s, n_init)
+        model = kmeans_model(df, cols, k, s, n_init)
         labelled = labelled.withColumn(f"l{s}", C.nearest_center(cols, model.centers))
     rows = []
     for a, b in combinations(seeds, 2):
@@ -138,7 +158,7 @@ def gmm_comparison(df: DataFrame, cols, k_values, id_col: str = "customer_id", s
     """C8 + C15: diagonal GMM per k with AIC, BIC and average max probability."""
     out = []
     for k in k_values:
-        model = C.fit_gmm_diag(df, cols, k, seed)
+        model = gmm_model(df, cols, k, seed)
         labelled = model.assign(df)
         m = _metric_values(labelled, cols, "cluster", id_col, sample_size, seed)
         avg_max = labelled.agg(F.avg("max_probability")).first()[0]
@@ -194,10 +214,10 @@ def model_comparison(df: DataFrame, cols, id_col: str = "customer_id", k: int =
         balances.append(M.cluster_summary(labelled.select("cluster"), "cluster")
                         .select(F.lit(model_name).alias("model"), "cluster", "count", "percentage"))
 
-    km = C.fit_kmeans(df, cols, k, seed, n_init)
+    km = kmeans_model(df, cols, k, seed, n_init)
     add(f"kmeans_k{k}", "kmeans", k, km.assign(df), {"inertia": km.inertia})
     for g in gmm_k:
-        model = C.fit_gmm_diag(df, cols, g, seed)
+        model = gmm_model(df, cols, g, seed)
         labelled = model.assign(df)
         avg_max = labelled.agg(F.avg("max_probability")).first()[0]
         add(f"gmm_diag_k{g}", "gaussian_mixture_diag", g, labelled,
