@@ -72,3 +72,38 @@ def nan_to_null(df: DataFrame) -> DataFrame:
         else:
             exprs.append(F.col(name))
     return df.select(*exprs)
+
+
+# Raw input layouts of the source project (column names it reads; see FIXTURES.md).
+SPEND_CATEGORIES = ["groceries", "electronics", "vegetables", "nonalcohol_drinks", "alcohol_drinks", "meat",
+                    "fish", "hygiene", "videogames", "petfood"]
+CUSTOMER_INFO_SCHEMA = (
+    "customer_id LONG, customer_name STRING, customer_gender STRING, customer_birthdate STRING, "
+    "kids_home DOUBLE, teens_home DOUBLE, number_complaints DOUBLE, distinct_stores_visited DOUBLE, "
+    + ", ".join(f"lifetime_spend_{c} DOUBLE" for c in SPEND_CATEGORIES)
+    + ", lifetime_total_distinct_products DOUBLE, year_first_transaction DOUBLE, loyalty_card_number DOUBLE, "
+      "percentage_of_products_bought_promotion DOUBLE, typical_hour DOUBLE, latitude DOUBLE, longitude DOUBLE")
+CUSTOMER_BASKET_SCHEMA = "invoice_id LONG, customer_id LONG, list_of_goods STRING"
+
+
+def _read_by_name(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Header CSV read as text, then typed column by column by name (file order may differ)."""
+    from pyspark.sql.types import _parse_datatype_string
+    struct = _parse_datatype_string(schema)
+    raw = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in struct.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"CSV lacks columns: {missing}")
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in struct.fields])
+
+
+def read_customer_info(spark: SparkSession, path: str, schema: str = CUSTOMER_INFO_SCHEMA) -> DataFrame:
+    """One row per customer from header CSV, typed by name; NaN becomes NULL."""
+    return nan_to_null(_read_by_name(spark, path, schema))
+
+
+def read_customer_basket(spark: SparkSession, path: str, schema: str = CUSTOMER_BASKET_SCHEMA,
+                         on_error: str = "fail") -> DataFrame:
+    """One row per basket with ``goods_list``, ``basket_size`` and ``distinct_products_per_basket``."""
+    from ..operators.baskets import parse_baskets
+    return parse_baskets(_read_by_name(spark, path, schema), "list_of_goods", on_error)
