@@ -451,7 +451,8 @@ def pca_projection(df: DataFrame, cols, id_col: str = "customer_id", k: int = 2)
 
 # ---------------------------------------------------------------- C17 DBSCAN
 def dbscan(df: DataFrame, cols, eps: float, min_samples: int, id_col: str = "customer_id",
-           sample_size: int = 5000, seed: int = 42, checkpoint_every: int = 4) -> DataFrame:
+           sample_size: int = 5000, seed: int = 42, checkpoint_every: int = 4,
+           neighbours_only: bool = False) -> DataFrame:
     """DBSCAN over a deterministic sample of at most ``sample_size`` rows.
 
     Core point: at least ``min_samples`` neighbours within ``eps`` counting
@@ -460,7 +461,8 @@ def dbscan(df: DataFrame, cols, eps: float, min_samples: int, id_col: str = "cus
     core-core graph found by iterative min-label propagation with joins
     (checkpointed every few rounds); a border point takes the lowest label
     among its core neighbours; noise is -1. Labels are renumbered by size
-    desc (ties: smallest member id). Returns (id, cluster, is_core).
+    desc (ties: smallest member id). Returns (id, cluster, is_core), or with
+    ``neighbours_only`` (id, neighbour_count, is_core) without the components.
     """
     from ..session import checkpoint_dir
     cols = list(cols)
@@ -494,6 +496,8 @@ def dbscan(df: DataFrame, cols, eps: float, min_samples: int, id_col: str = "cus
     parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
     nb = sample.repartition(parts).mapInPandas(neighbours, f"src {id_type}, nbrs array<{id_type}>")
     nb = nb.withColumn("is_core", F.size("nbrs") >= min_samples)
+    if neighbours_only:
+        return nb.select(F.col("src").alias(id_col), F.size("nbrs").alias("neighbour_count"), "is_core")
     edges = nb.select("src", "is_core", F.explode("nbrs").alias("dst"))
     core = nb.where("is_core").select(F.col("src").alias("id"))
     cc = (edges.where("is_core").join(core.withColumnRenamed("id", "dst"), "dst")

@@ -150,3 +150,19 @@ def profile_input(labels: DataFrame, features: DataFrame, id_col: str = "custome
     guard = F.when(F.col("__dup") > 1, F.raise_error(F.concat(
         F.lit("features repeat id "), F.col(id_col).cast("string"), F.lit("; the profile join would add rows"))))
     return joined.where(F.coalesce(guard.cast("boolean"), F.lit(True))).drop("__dup")
+
+
+def feature_set_recommendation(feature_metrics: DataFrame, chosen: str, alternative: str, k: int = 5,
+                               dropped: str = "customer_gender and degree-level dummy columns",
+                               basket_policy: str = "Basket features remain excluded from clustering.",
+                               decision: str = "Use the compact business feature set for the final model.") -> DataFrame:
+    """C26 (feature-set variant): one row comparing two rows of a feature-set metrics table."""
+    rows = {r["feature_set_variant"]: r for r in
+            feature_metrics.where(F.col("feature_set_variant").isin(chosen, alternative)).collect()}
+    a, c = rows[alternative], rows[chosen]
+    reason = (f"The {chosen} set changes silhouette from {a['silhouette_score']:.3f} to {c['silhouette_score']:.3f} "
+              f"and Davies-Bouldin from {a['davies_bouldin_score']:.3f} to {c['davies_bouldin_score']:.3f}.")
+    return feature_metrics.sparkSession.createDataFrame(
+        [(chosen, k, reason, dropped, basket_policy, decision)],
+        "recommended_feature_set string, recommended_k int, reason string, dropped_features string, "
+        "basket_policy string, decision string")

@@ -734,3 +734,19 @@ def pca_explained_variance(spark: SparkSession, d: str) -> DataFrame:
     _, ratios = C.pca_projection(feats, cols)
     return rounded(spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(ratios)],
                                          "component int, explained_variance_ratio double"))
+
+
+@register
+def dbscan_core_points(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return C.dbscan(feats, cols, eps=3.0, min_samples=10, sample_size=5000, neighbours_only=True)
+
+
+@register
+def feature_set_recommendation(spark: SparkSession, d: str) -> DataFrame:
+    variants = {
+        "compact_business_set": SEG.scaled_features(spark, d, "standard"),
+        "previous_with_categorical_dummies": SEG.scaled_features_with_dummies(spark, d, "standard"),
+    }
+    metrics = SEG.compare_feature_sets(variants, 5, n_init=N_INIT)
+    return PR.feature_set_recommendation(metrics, "compact_business_set", "previous_with_categorical_dummies")
