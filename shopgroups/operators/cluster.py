@@ -290,6 +290,7 @@ class GMMResult:
     n: int
     n_iter: int
     converged: bool
+    history: list = field(default_factory=list)  # mean log-likelihood at each E-step
 
     @property
     def n_parameters(self) -> int:
@@ -352,6 +353,7 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
     try:
         w, m, v = _gmm_params_from_labels(X, cols, nearest_center(cols, init.centers), k, reg_covar)
         prev, ll, converged, it = -np.inf, -np.inf, False, 0
+        history = []
         schema = ("comp int, nk double, ll double, n long, " + ", ".join(f"a{i} double" for i in range(d))
                   + ", " + ", ".join(f"b{i} double" for i in range(d)))
         for it in range(1, max_iter + 1):
@@ -394,6 +396,7 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
                 ll_tot += r["ll"]
                 n_tot += int(r["n"])
             ll = ll_tot / n_tot
+            history.append(ll)
             nk_safe = np.maximum(nk, 10 * np.finfo(float).eps)
             w = nk_safe / nk_safe.sum()
             m = s1 / nk_safe[:, None]
@@ -402,7 +405,7 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
                 converged = True
                 break
             prev = ll
-        model = GMMResult(cols, w, m, v, ll, 0, it, converged)
+        model = GMMResult(cols, w, m, v, ll, 0, it, converged, history)
         # final score under the final parameters (what AIC/BIC use)
         lp = model.log_prob_exprs()
         top = F.greatest(*lp) if len(lp) > 1 else lp[0]

@@ -111,3 +111,14 @@ def test_validate_clustering_input(spark):
     nulls = spark.createDataFrame([(1, None)], "customer_id long, x double")
     with pytest.raises(ValueError, match="Missing"):
         C.validate_clustering_input(nulls)
+
+
+def test_gmm_log_likelihood_monotone_and_partition_independent(spark):
+    df, _, _ = _blobs(spark, spread=1.5)
+    cols = ["x0", "x1", "x2"]
+    one = C.fit_gmm_diag(df.coalesce(1), cols, 3, seed=5)
+    eight = C.fit_gmm_diag(df.repartition(8), cols, 3, seed=5)
+    hist = np.array(one.history)
+    assert (np.diff(hist) >= -1e-9).all()
+    assert np.allclose(one.means, eight.means, rtol=1e-6, atol=1e-9)
+    assert one.mean_log_likelihood == pytest.approx(eight.mean_log_likelihood, rel=1e-9)
