@@ -8,6 +8,15 @@ from pyspark.sql.types import NumericType
 
 from ..functions.stats import quantiles
 
+# Default labels and sentences of the two recommendation rows
+# (the source project's wording, generalised where it names k; callers may pass their own).
+ROBUST_CANDIDATE = "KMeans_k5_compact_robust"
+ROBUST_DECISION = ("Keep the smaller k as the metric-supported segmentation level, "
+                   "and document the larger-k split as a business tradeoff.")
+FEATURE_SET_DROPPED = "customer_gender and degree-level dummy columns"
+FEATURE_SET_BASKET_POLICY = "Basket features remain excluded from clustering."
+FEATURE_SET_DECISION = "Use the compact business feature set for the final model."
+
 
 def _numeric(df: DataFrame, exclude=()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
@@ -96,9 +105,8 @@ def split_profile(labels: DataFrame, features: DataFrame, profile_columns, share
 
 
 def robustness_recommendation(k_metrics: DataFrame, stability: DataFrame, split: DataFrame,
-                              k_a: int = 5, k_b: int = 6, candidate: str = "KMeans_k5_compact_robust",
-                              decision: str = "Keep the smaller k as the metric-supported segmentation level, "
-                                              "and document the larger-k split as a business tradeoff.") -> DataFrame:
+                              k_a: int = 5, k_b: int = 6, candidate: str = ROBUST_CANDIDATE,
+                              decision: str = ROBUST_DECISION) -> DataFrame:
     """One recommendation row whose text is built from metric values.
 
     The inputs are small result tables (one row per k, per seed pair, per
@@ -153,9 +161,8 @@ def profile_input(labels: DataFrame, features: DataFrame, id_col: str = "custome
 
 
 def feature_set_recommendation(feature_metrics: DataFrame, chosen: str, alternative: str, k: int = 5,
-                               dropped: str = "customer_gender and degree-level dummy columns",
-                               basket_policy: str = "Basket features remain excluded from clustering.",
-                               decision: str = "Use the compact business feature set for the final model.") -> DataFrame:
+                               dropped: str = FEATURE_SET_DROPPED, basket_policy: str = FEATURE_SET_BASKET_POLICY,
+                               decision: str = FEATURE_SET_DECISION) -> DataFrame:
     """C26 (feature-set variant): one row comparing two rows of a feature-set metrics table."""
     rows = {r["feature_set_variant"]: r for r in
             feature_metrics.where(F.col("feature_set_variant").isin(chosen, alternative)).collect()}

@@ -74,7 +74,7 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*exprs)
 
 
-# Raw input layouts of the source project (column names it reads; see FIXTURES.md).
+# The source project's raw input layouts (the column names it reads).
 SPEND_CATEGORIES = ["groceries", "electronics", "vegetables", "nonalcohol_drinks", "alcohol_drinks", "meat",
                     "fish", "hygiene", "videogames", "petfood"]
 CUSTOMER_INFO_SCHEMA = (
