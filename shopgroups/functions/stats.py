@@ -28,7 +28,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+# GK sketch accuracy (relative rank error 1/accuracy). Each partition ships one
+# sketch per column (~accuracy entries) to that column's final merge task, so
+# this is kept at Spark's own default; the exact pass then ranks about
+# 4·n/accuracy distinct values per target (spillable window).
+DEFAULT_ACCURACY = 10_000
 
 
 def _long(df: DataFrame, cols, group_cols) -> DataFrame:
