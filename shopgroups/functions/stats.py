@@ -8,10 +8,11 @@ exact with bounded memory:
 1. one aggregation per (group, column): count, min, max and a GK sketch
    (``percentile_approx``) at p -/+ 2·eps, giving a bracket [lo, hi] that
    holds the order statistics needed for linear interpolation;
-2. one pass that counts values below ``lo`` and ranks only the distinct
-   values inside the bracket (about 4·eps·n of them) with a window, then
-   picks the two order statistics and interpolates (pandas / numpy
-   ``linear``, same as DuckDB ``quantile_cont`` and Spark ``percentile``).
+2. one pass with a single aggregation that counts values below ``lo`` (as
+   one NULL-keyed row) and the distinct values inside the bracket (about
+   4·eps·n of them); a window ranks them, the two order statistics are
+   picked and interpolated (pandas / numpy ``linear``, same as DuckDB
+   ``quantile_cont`` and Spark ``percentile``).
 
 A bracket that misses its target (possible only at sketch edge cases) is
 retried with wider brackets taken from the same sketch (8·eps, then
@@ -127,15 +128,15 @@ def _exact_pass(df: DataFrame, long: DataFrame, brackets: list[dict], g: list[st
     x = x.select(*[long[k] for k in g], long["column"], "p", "h", "j0", "j1", "lo", "hi", "v") \
          .where(F.col("v") <= F.col("hi"))
     keys = [*g, "column", "p"]
-    below = x.groupBy(*keys).agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
-    cand = (x.where(F.col("v") >= F.col("lo"))
-             .groupBy(*keys, "h", "j0", "j1", "v").agg(F.count("*").alias("c")))
-    w = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("cum", F.sum("c").over(w))
-    ranked = cand.join(below, _null_safe_on(cand, below, keys)).select(
-        *[cand[k] for k in keys], "h", "j0", "j1", "v",
-        (F.col("below") + F.col("cum") - F.col("c")).alias("first"),
-        (F.col("below") + F.col("cum") - 1).alias("last"))
+    # one aggregation for both parts: values below the bracket collapse into a
+    # single NULL-keyed row per target, which sorts first in the ranking window
+    inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
+    counts = x.groupBy(*keys, "h", "j0", "j1", inside.alias("w")).agg(F.count("*").alias("c"))
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("w")) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (counts.withColumn("cum", F.sum("c").over(order)).where(F.col("w").isNotNull())
+                    .select(*keys, "h", "j0", "j1", F.col("w").alias("v"),
+                            (F.col("cum") - F.col("c")).alias("first"), (F.col("cum") - 1).alias("last")))
     hit0 = (F.col("first") <= F.col("j0")) & (F.col("j0") <= F.col("last"))
     hit1 = (F.col("first") <= F.col("j1")) & (F.col("j1") <= F.col("last"))
     picked = ranked.groupBy(*keys).agg(
