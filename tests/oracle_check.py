@@ -10,6 +10,7 @@ usage: python tests/oracle_check.py [sf_dir] [name ...]
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -22,13 +23,16 @@ from shopgroups.session import build_session  # noqa: E402
 from shopgroups.sources.tables import TABLE_NAMES, table_path  # noqa: E402
 
 
+STRICT = os.environ.get("ORACLE_STRICT") == "1"  # compare floats bit for bit
+
+
 def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        return round(v, 6)
+        return v if STRICT else round(v, 6)
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
