@@ -135,40 +135,49 @@ class KMeansResult:
         return df.withColumn(out_col, nearest_center(self.columns, self.centers))
 
 
-def _kpp_init(X: DataFrame, cols, k: int, starts: list[int], seed: int, n_parts: int) -> np.ndarray:
-    """k-means++ for all starts at once: k jobs, each a distributed weighted draw (A-ES keys)."""
+def _kpp_init(X: DataFrame, cols, starts: list[tuple[int, int, int]], n_parts: int) -> np.ndarray:
+    """k-means++ for many starts at once; ``starts`` = (seed, restart, k) per start.
+
+    Step t draws the t-th centre of every start that needs one, in ONE job
+    (a distributed weighted draw with A-ES keys). Each start's random stream
+    depends only on (seed, restart, step), so a start drawn in a batch gets
+    the same centres as when drawn alone. Returns R x max(k) x d (rows past a
+    start's k stay 0).
+    """
     d = len(cols)
-    chosen = np.zeros((len(starts), 0, d))
+    kmax = max(k for _, _, k in starts)
+    chosen = np.zeros((len(starts), kmax, d))
     schema = "start int, key double, " + ", ".join(f"x{i} double" for i in range(d))
-    for step in range(k):
-        current = chosen
+    for step in range(kmax):
+        todo = [i for i, (_, _, k) in enumerate(starts) if k > step]
+        current = chosen[:, :step, :].copy()
 
-        def draw(batches, current=current, step=step):
-            best_key = np.full(len(starts), -np.inf)
-            best_row = np.zeros((len(starts), d))
+        def draw(batches, current=current, step=step, todo=todo):
+            best_key = {i: -np.inf for i in todo}
+            best_row = {i: np.zeros(d) for i in todo}
             for b in batches:
                 if b.empty:
                     continue
                 x = b[cols].to_numpy(dtype=float)
                 h = b["__h"].to_numpy().astype(np.int64).view(np.uint64)
-                for si, s in enumerate(starts):
-                    u = _uniform(h, seed * 1_000_003 + s * 7919 + step)
+                for i in todo:
+                    seed, rs, _ = starts[i]
+                    u = _uniform(h, seed * 1_000_003 + rs * 7919 + step)
                     if step == 0:
                         key = u
                     else:
-                        c = current[si]
+                        c = current[i]
                         d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).min(axis=1)
                         with np.errstate(divide="ignore"):
                             key = np.where(d2 > 0, np.log(u) / np.where(d2 > 0, d2, 1.0), -np.inf)
                     j = int(np.argmax(key))
-                    if key[j] > best_key[si]:
-                        best_key[si], best_row[si] = key[j], x[j]
-            rows = [(int(s), float(best_key[si]), *map(float, best_row[si]))
-                    for si, s in enumerate(starts) if np.isfinite(best_key[si])]
+                    if key[j] > best_key[i]:
+                        best_key[i], best_row[i] = key[j], x[j]
+            rows = [(int(i), float(best_key[i]), *map(float, best_row[i])) for i in todo if np.isfinite(best_key[i])]
             yield pd.DataFrame(rows, columns=["start", "key", *[f"x{i}" for i in range(d)]])
 
         part = X.mapInPandas(draw, schema)
-        if n_parts * len(starts) <= DIRECT_REDUCE_ROWS:
+        if n_parts * len(todo) <= DIRECT_REDUCE_ROWS:
             best: dict = {}
             for r in part.collect():
                 if r["start"] not in best or r["key"] > best[r["start"]][0]:
@@ -178,24 +187,28 @@ def _kpp_init(X: DataFrame, cols, k: int, starts: list[int], seed: int, n_parts:
             got = part.groupBy("start").agg(
                 F.max_by(F.struct(*[f"x{i}" for i in range(d)]), "key").alias("r")).collect()
             new = {r["start"]: np.array(list(r["r"]), dtype=float) for r in got}
-        add = np.zeros((len(starts), 1, d))
-        for si, s in enumerate(starts):
+        for i in todo:
             # all points coincide with chosen centres: reuse the last centre
-            add[si, 0] = new.get(s, chosen[si, -1] if chosen.shape[1] else np.zeros(d))
-        chosen = np.concatenate([chosen, add], axis=1)
+            chosen[i, step] = new.get(i, chosen[i, step - 1] if step else np.zeros(d))
     return chosen
 
 
-def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray, n_parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One job: per (start, cluster) count, feature sums and cost under ``centers`` (R x k x d)."""
+def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray, n_parts: int,
+                valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One job: per (start, cluster) count, feature sums and cost under ``centers`` (R x k x d).
+
+    ``valid`` (R x k) marks the centres each start really has (starts with a
+    smaller k are padded); padded centres are never nearest.
+    """
     R, k, d = centers.shape
+    valid = np.ones((R, k), dtype=bool) if valid is None else valid
     schema = "start int, cluster int, n long, cost double, " + ", ".join(f"s{i} double" for i in range(d))
 
     def step(batches):
         n = np.zeros((R, k))
         cost = np.zeros((R, k))
         sums = np.zeros((R, k, d))
-        c2 = (centers ** 2).sum(axis=2)
+        c2 = np.where(valid, (centers ** 2).sum(axis=2), np.inf)
         for b in batches:
             if b.empty:
                 continue
@@ -240,34 +253,54 @@ def fit_kmeans(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10, ma
     ``tol`` x mean feature variance (scikit-learn's rule). Empty clusters
     keep their previous centre.
     """
+    return fit_kmeans_many(df, cols, [(k, seed)], n_init, max_iter, tol)[0]
+
+
+def fit_kmeans_many(df: DataFrame, cols, configs, n_init: int = 10, max_iter: int = 300,
+                    tol: float = 1e-4) -> list[KMeansResult]:
+    """Fit several (k, seed) configurations in the same passes over the data.
+
+    A k sweep or a seed study becomes one set of jobs: every Lloyd iteration
+    scans the cached features once for all configurations and restarts
+    (smaller k are padded). Results are identical to separate
+    ``fit_kmeans`` calls; returned in the order of ``configs``.
+    """
     cols = list(cols)
+    configs = [(int(k), int(seed)) for k, seed in configs]
     X, n_parts = _prepared(df, cols)
     try:
         var_row = X.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
         tol_abs = tol * float(np.mean([var_row[c] or 0.0 for c in cols]))
-        starts = list(range(n_init))
-        centers = _kpp_init(X, cols, k, starts, seed, n_parts)
-        active = np.ones(n_init, dtype=bool)
-        n_iter = np.zeros(n_init, dtype=int)
+        starts = [(seed, rs, k) for k, seed in configs for rs in range(n_init)]
+        owner = [ci for ci in range(len(configs)) for _ in range(n_init)]
+        centers = _kpp_init(X, cols, starts, n_parts)
+        kmax = centers.shape[1]
+        valid = np.array([[j < k for j in range(kmax)] for _, _, k in starts])
+        active = np.ones(len(starts), dtype=bool)
+        n_iter = np.zeros(len(starts), dtype=int)
         for _ in range(max_iter):
             idx = np.flatnonzero(active)
             if len(idx) == 0:
                 break
-            n, _, sums = _lloyd_pass(X, cols, centers[idx], n_parts)
+            n, _, sums = _lloyd_pass(X, cols, centers[idx], n_parts, valid[idx])
             for pos, r in enumerate(idx):
                 new = centers[r].copy()
-                nz = n[pos] > 0
+                nz = (n[pos] > 0) & valid[r]
                 new[nz] = sums[pos][nz] / n[pos][nz][:, None]
                 shift = float(((new - centers[r]) ** 2).sum())
                 centers[r] = new
                 n_iter[r] += 1
                 if shift <= tol_abs:
                     active[r] = False
-        n, cost, _ = _lloyd_pass(X, cols, centers, n_parts)
+        n, cost, _ = _lloyd_pass(X, cols, centers, n_parts, valid)
         inertia = cost.sum(axis=1)
-        best = int(np.argmin(inertia))
-        ctr, sizes = _canonical(centers[best], n[best])
-        return KMeansResult(cols, ctr, float(inertia[best]), int(n_iter[best]), best, sizes)
+        results = []
+        for ci, (k, _) in enumerate(configs):
+            mine = [r for r in range(len(starts)) if owner[r] == ci]
+            best = min(mine, key=lambda r: (inertia[r], r))
+            ctr, sizes = _canonical(centers[best][:k], n[best][:k])
+            results.append(KMeansResult(cols, ctr, float(inertia[best]), int(n_iter[best]), best - mine[0], sizes))
+        return results
     finally:
         X.unpersist()
 

@@ -93,6 +93,18 @@ def kmeans_model(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10)
     return _memo("kmeans", df, (tuple(cols), k, seed, n_init), lambda: C.fit_kmeans(df, cols, k, seed, n_init))
 
 
+def kmeans_models(df: DataFrame, cols, configs, n_init: int = 10) -> list[C.KMeansResult]:
+    """Several (k, seed) fits in shared passes; each result is registered like ``kmeans_model``."""
+    configs = [(int(k), int(s)) for k, s in configs]
+    missing = [c for c in configs
+               if ("kmeans", df.sparkSession.sparkContext.applicationId, id(df), (tuple(cols), c[0], c[1], n_init))
+               not in _MODELS]
+    if missing:
+        for (k, seed), model in zip(missing, C.fit_kmeans_many(df, cols, missing, n_init)):
+            _memo("kmeans", df, (tuple(cols), k, seed, n_init), lambda m=model: m)
+    return [kmeans_model(df, cols, k, seed, n_init) for k, seed in configs]
+
+
 def gmm_model(df: DataFrame, cols, k: int, seed: int = 42) -> C.GMMResult:
     return _memo("gmm", df, (tuple(cols), k, seed), lambda: C.fit_gmm_diag(df, cols, k, seed))
 
@@ -120,7 +132,8 @@ def _rows(spark: SparkSession, metrics: list[dict], schema: str) -> DataFrame:
 
 def compare_k_values(df: DataFrame, cols, k_values, id_col: str = "customer_id", seed: int = 42,
                      n_init: int = 10, sample_size: int = 10_000) -> DataFrame:
-    """One metrics row per k."""
+    """One metrics row per k (all k fitted in the same passes over the data)."""
+    kmeans_models(df, cols, [(k, seed) for k in k_values], n_init)
     out = [evaluate_kmeans(df, cols, k, id_col, seed, n_init, sample_size)[0] for k in k_values]
     return _rows(df.sparkSession, out, METRIC_SCHEMA)
 
@@ -143,8 +156,8 @@ def seed_stability(df: DataFrame, cols, k: int, seeds, n_init: int = 10, id_col:
     All label columns are expressions over the same rows (no join needed).
     """
     labelled = df.select(id_col, *cols)
-    for s in seeds:
-        model = kmeans_model(df, cols, k, s, n_init)
+    models = kmeans_models(df, cols, [(k, s) for s in seeds], n_init)
+    for s, model in zip(seeds, models):
         labelled = labelled.withColumn(f"l{s}", C.nearest_center(cols, model.centers))
     rows = []
     for a, b in combinations(seeds, 2):

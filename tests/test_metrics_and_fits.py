@@ -122,3 +122,15 @@ def test_gmm_log_likelihood_monotone_and_partition_independent(spark):
     assert (np.diff(hist) >= -1e-9).all()
     assert np.allclose(one.means, eight.means, rtol=1e-6, atol=1e-9)
     assert one.mean_log_likelihood == pytest.approx(eight.mean_log_likelihood, rel=1e-9)
+
+
+def test_batched_kmeans_equals_separate_fits(spark):
+    df, _, _ = _blobs(spark, spread=2.0)
+    cols = ["x0", "x1", "x2"]
+    configs = [(2, 1), (3, 1), (3, 9), (4, 1)]
+    batched = C.fit_kmeans_many(df, cols, configs, n_init=3)
+    for (k, seed), model in zip(configs, batched):
+        alone = C.fit_kmeans(df, cols, k, seed, n_init=3)
+        assert model.centers.shape == (k, 3)
+        assert np.allclose(model.centers, alone.centers)
+        assert model.inertia == pytest.approx(alone.inertia, rel=1e-12)
