@@ -379,73 +379,104 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
     added by a k-row ``groupBy``. Stops when the mean log-likelihood gains
     less than ``tol``.
     """
+    return fit_gmm_diag_many(df, cols, [(k, seed)], max_iter, tol, reg_covar,
+                             [init] if init is not None else None)[0]
+
+
+def fit_gmm_diag_many(df: DataFrame, cols, configs, max_iter: int = 100, tol: float = 1e-3,
+                      reg_covar: float = 1e-6, inits: list | None = None) -> list[GMMResult]:
+    """Several (k, seed) mixtures fitted in shared EM passes (one job per iteration for all).
+
+    Each configuration converges on its own; results equal separate
+    ``fit_gmm_diag`` calls, in the order of ``configs``.
+    """
     cols = list(cols)
     d = len(cols)
-    init = init or fit_kmeans(df, cols, k, seed, n_init=1)
+    configs = [(int(k), int(seed)) for k, seed in configs]
+    inits = inits or fit_kmeans_many(df, cols, configs, n_init=1)
     X, n_parts = _prepared(df, cols)
     try:
-        w, m, v = _gmm_params_from_labels(X, cols, nearest_center(cols, init.centers), k, reg_covar)
-        prev, ll, converged, it = -np.inf, -np.inf, False, 0
-        history = []
-        schema = ("comp int, nk double, ll double, n long, " + ", ".join(f"a{i} double" for i in range(d))
+        params = [_gmm_params_from_labels(X, cols, nearest_center(cols, ini.centers), k, reg_covar)
+                  for ini, (k, _) in zip(inits, configs)]
+        n_cfg = len(configs)
+        prev = [-np.inf] * n_cfg
+        last = [-np.inf] * n_cfg
+        history = [[] for _ in range(n_cfg)]
+        iters = [0] * n_cfg
+        converged = [False] * n_cfg
+        schema = ("cfg int, comp int, nk double, ll double, n long, " + ", ".join(f"a{i} double" for i in range(d))
                   + ", " + ", ".join(f"b{i} double" for i in range(d)))
-        for it in range(1, max_iter + 1):
-            params = (w.copy(), m.copy(), v.copy())
-
-            def em(batches, params=params):
-                w_, m_, v_ = params
-                logw = np.log(w_) - 0.5 * np.log(2 * np.pi * v_).sum(axis=1)
-                nk, s1, s2 = np.zeros(k), np.zeros((k, d)), np.zeros((k, d))
-                ll_sum, n = 0.0, 0
+        for _ in range(max_iter):
+            active = [c for c in range(n_cfg) if not converged[c]]
+            if not active:
+                break
+            snapshot = {c: tuple(x.copy() for x in params[c]) for c in active}
+
+            def em(batches, snapshot=snapshot):
+                acc = {}
+                for c, (w_, m_, v_) in snapshot.items():
+                    kc = len(w_)
+                    acc[c] = [np.log(w_) - 0.5 * np.log(2 * np.pi * v_).sum(axis=1), np.zeros(kc),
+                              np.zeros((kc, d)), np.zeros((kc, d)), 0.0, 0]
                 for b in batches:
                     if b.empty:
                         continue
                     x = b[cols].to_numpy(dtype=float)
-                    quad = (((x[:, None, :] - m_[None, :, :]) ** 2) / v_[None, :, :]).sum(axis=2)
-                    lp = logw[None, :] - 0.5 * quad
-                    top = lp.max(axis=1, keepdims=True)
-                    lse = top[:, 0] + np.log(np.exp(lp - top).sum(axis=1))
-                    resp = np.exp(lp - lse[:, None])
-                    nk += resp.sum(axis=0)
-                    s1 += resp.T @ x
-                    s2 += resp.T @ (x ** 2)
-                    ll_sum += float(lse.sum())
-                    n += len(x)
-                rows = [(j, float(nk[j]), ll_sum if j == 0 else 0.0, n if j == 0 else 0,
-                         *map(float, s1[j]), *map(float, s2[j])) for j in range(k)]
-                yield pd.DataFrame(rows, columns=["comp", "nk", "ll", "n", *[f"a{i}" for i in range(d)],
+                    for c, (w_, m_, v_) in snapshot.items():
+                        st = acc[c]
+                        quad = (((x[:, None, :] - m_[None, :, :]) ** 2) / v_[None, :, :]).sum(axis=2)
+                        lp = st[0][None, :] - 0.5 * quad
+                        top = lp.max(axis=1, keepdims=True)
+                        lse = top[:, 0] + np.log(np.exp(lp - top).sum(axis=1))
+                        resp = np.exp(lp - lse[:, None])
+                        st[1] += resp.sum(axis=0)
+                        st[2] += resp.T @ x
+                        st[3] += resp.T @ (x ** 2)
+                        st[4] += float(lse.sum())
+                        st[5] += len(x)
+                rows = [(c, j, float(st[1][j]), st[4] if j == 0 else 0.0, st[5] if j == 0 else 0,
+                         *map(float, st[2][j]), *map(float, st[3][j]))
+                        for c, st in acc.items() for j in range(len(st[1]))]
+                yield pd.DataFrame(rows, columns=["cfg", "comp", "nk", "ll", "n", *[f"a{i}" for i in range(d)],
                                                   *[f"b{i}" for i in range(d)]])
 
-            agg = _reduce_partials(X.mapInPandas(em, schema), ["comp"],
+            groups = sum(configs[c][0] for c in active)
+            agg = _reduce_partials(X.mapInPandas(em, schema), ["cfg", "comp"],
                                    ["nk", "ll", "n", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)]],
-                                   n_parts, k)
-            nk, s1, s2 = np.zeros(k), np.zeros((k, d)), np.zeros((k, d))
-            ll_tot, n_tot = 0.0, 0
+                                   n_parts, groups)
+            stats = {c: [np.zeros(configs[c][0]), np.zeros((configs[c][0], d)), np.zeros((configs[c][0], d)), 0.0, 0]
+                     for c in active}
             for r in agg:
+                st = stats[r["cfg"]]
                 j = r["comp"]
-                nk[j] = r["nk"]
-                s1[j] = [r[f"a{i}"] for i in range(d)]
-                s2[j] = [r[f"b{i}"] for i in range(d)]
-                ll_tot += r["ll"]
-                n_tot += int(r["n"])
-            ll = ll_tot / n_tot
-            history.append(ll)
-            nk_safe = np.maximum(nk, 10 * np.finfo(float).eps)
-            w = nk_safe / nk_safe.sum()
-            m = s1 / nk_safe[:, None]
-            v = np.maximum(s2 / nk_safe[:, None] - m ** 2, 0.0) + reg_covar
-            if abs(ll - prev) < tol:
-                converged = True
-                break
-            prev = ll
-        model = GMMResult(cols, w, m, v, ll, 0, it, converged, history)
-        # final score under the final parameters (what AIC/BIC use)
-        lp = model.log_prob_exprs()
-        top = F.greatest(*lp) if len(lp) > 1 else lp[0]
-        lse = top + F.log(sum((F.exp(e - top) for e in lp), F.lit(0.0)))
-        row = X.agg(F.avg(lse).alias("ll"), F.count("*").alias("n")).first()
-        model.mean_log_likelihood, model.n = float(row["ll"]), int(row["n"])
-        return model
+                st[0][j] = r["nk"]
+                st[1][j] = [r[f"a{i}"] for i in range(d)]
+                st[2][j] = [r[f"b{i}"] for i in range(d)]
+                st[3] += r["ll"]
+                st[4] += int(r["n"])
+            for c in active:
+                nk, s1, s2, ll_tot, n_tot = stats[c]
+                ll = ll_tot / n_tot
+                history[c].append(ll)
+                last[c] = ll
+                iters[c] += 1
+                nk_safe = np.maximum(nk, 10 * np.finfo(float).eps)
+                params[c] = (nk_safe / nk_safe.sum(), s1 / nk_safe[:, None],
+                             np.maximum(s2 / nk_safe[:, None] - (s1 / nk_safe[:, None]) ** 2, 0.0) + reg_covar)
+                if abs(ll - prev[c]) < tol:
+                    converged[c] = True
+                prev[c] = ll
+        models = [GMMResult(cols, *params[c], last[c], 0, iters[c], converged[c], history[c]) for c in range(n_cfg)]
+        # final score of every model under its final parameters (what AIC/BIC use), one job
+        scores = []
+        for c, model in enumerate(models):
+            lp = model.log_prob_exprs()
+            top = F.greatest(*lp) if len(lp) > 1 else lp[0]
+            scores.append(F.avg(top + F.log(sum((F.exp(e - top) for e in lp), F.lit(0.0)))).alias(f"ll{c}"))
+        row = X.agg(F.count("*").alias("n"), *scores).first()
+        for c, model in enumerate(models):
+            model.mean_log_likelihood, model.n = float(row[f"ll{c}"]), int(row["n"])
+        return models
     finally:
         X.unpersist()
 

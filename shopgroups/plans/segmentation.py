@@ -109,6 +109,17 @@ def gmm_model(df: DataFrame, cols, k: int, seed: int = 42) -> C.GMMResult:
     return _memo("gmm", df, (tuple(cols), k, seed), lambda: C.fit_gmm_diag(df, cols, k, seed))
 
 
+def gmm_models(df: DataFrame, cols, configs) -> list[C.GMMResult]:
+    """Several (k, seed) mixtures in shared EM passes; each registered like ``gmm_model``."""
+    configs = [(int(k), int(s)) for k, s in configs]
+    app = df.sparkSession.sparkContext.applicationId
+    missing = [c for c in configs if ("gmm", app, id(df), (tuple(cols), c[0], c[1])) not in _MODELS]
+    if missing:
+        for (k, seed), model in zip(missing, C.fit_gmm_diag_many(df, cols, missing)):
+            _memo("gmm", df, (tuple(cols), k, seed), lambda m=model: m)
+    return [gmm_model(df, cols, k, seed) for k, seed in configs]
+
+
 def _metric_values(df: DataFrame, cols, label: str, id_col: str, sample_size: int, seed: int) -> dict:
     row = M.clustering_metrics(df, cols, label, id_col, sample_size, seed).first().asDict()
     return row
@@ -170,6 +181,7 @@ def gmm_comparison(df: DataFrame, cols, k_values, id_col: str = "customer_id", s
                    sample_size: int = 10_000) -> DataFrame:
     """C8 + C15: diagonal GMM per k with AIC, BIC and average max probability."""
     out = []
+    gmm_models(df, cols, [(k, seed) for k in k_values])
     for k in k_values:
         model = gmm_model(df, cols, k, seed)
         labelled = model.assign(df)
@@ -229,6 +241,7 @@ def model_comparison(df: DataFrame, cols, id_col: str = "customer_id", k: int =
 
     km = kmeans_model(df, cols, k, seed, n_init)
     add(f"kmeans_k{k}", "kmeans", k, km.assign(df), {"inertia": km.inertia})
+    gmm_models(df, cols, [(g, seed) for g in gmm_k])
     for g in gmm_k:
         model = gmm_model(df, cols, g, seed)
         labelled = model.assign(df)

@@ -134,3 +134,15 @@ def test_batched_kmeans_equals_separate_fits(spark):
         assert model.centers.shape == (k, 3)
         assert np.allclose(model.centers, alone.centers)
         assert model.inertia == pytest.approx(alone.inertia, rel=1e-12)
+
+
+def test_batched_gmm_equals_separate_fits(spark):
+    df, _, _ = _blobs(spark, spread=1.5)
+    cols = ["x0", "x1", "x2"]
+    configs = [(2, 3), (3, 3)]
+    batched = C.fit_gmm_diag_many(df, cols, configs)
+    for (k, seed), model in zip(configs, batched):
+        alone = C.fit_gmm_diag(df, cols, k, seed)
+        assert np.allclose(model.means, alone.means, rtol=1e-9, atol=1e-12)
+        assert model.mean_log_likelihood == pytest.approx(alone.mean_log_likelihood, rel=1e-12)
+        assert model.n_iter == alone.n_iter
