@@ -202,3 +202,230 @@ def evaluation_row(metrics: DataFrame, model: str, algorithm: str, n_clusters: i
     for k, v in (extra or {}).items():
         out = out.withColumn(k, F.lit(v))
     return out
+
+
+def clustering_metrics_many(df: DataFrame, cols, labels: dict, id_col: str, sample_size: int = 10_000,
+                            seed: int = 42) -> dict:
+    """C9 for several labelings of the same rows in shared passes.
+
+    ``labels``: name -> Column (integer labels). Centroids of every labeling
+    come from one aggregation, distances to them from one more, and the
+    sampled silhouette reuses each distance block for all labelings. Returns
+    name -> metrics dict (same keys as :func:`clustering_metrics`).
+    """
+    cols = list(cols)
+    names = list(labels)
+    spark = df.sparkSession
+    ship_package(spark)
+    lab = df.select(id_col, *cols, *[labels[nm].cast("long").alias(f"__l{i}") for i, nm in enumerate(names)])
+    ex = lab.select(*cols, F.posexplode(F.array(*[F.col(f"__l{i}") for i in range(len(names))])).alias("cfg", "label"))
+    cent_rows = ex.groupBy("cfg", "label").agg(
+        F.count("*").alias("__n"), *[F.avg(c).alias(f"__c{i}") for i, c in enumerate(cols)]).collect()
+    if len(cent_rows) > MAX_CLUSTERS:
+        raise ValueError(f"{len(cent_rows)} clusters exceed the centroid bound {MAX_CLUSTERS}")
+    cdf = spark.createDataFrame([(r["cfg"], r["label"], *[float(r[f"__c{i}"]) for i in range(len(cols))])
+                                 for r in cent_rows],
+                                "cfg int, label long, " + ", ".join(f"__c{i} double" for i in range(len(cols))))
+    sq = sum(((F.col(c).cast("double") - F.col(f"__c{i}")) ** 2 for i, c in enumerate(cols)), F.lit(0.0))
+    dist_rows = ex.join(F.broadcast(cdf), ["cfg", "label"]).groupBy("cfg", "label").agg(
+        F.sum(F.sqrt(sq)).alias("sd"), F.sum(sq).alias("sq")).collect()
+    dist = {(r["cfg"], r["label"]): (r["sd"], r["sq"]) for r in dist_rows}
+    per_cfg: dict = {}
+    for r in cent_rows:
+        per_cfg.setdefault(r["cfg"], []).append(r)
+    sample = deterministic_sample(lab, id_col, sample_size, seed)
+    pdf = sample.toPandas()  # bounded by sample_size
+    X = pdf[cols].to_numpy(dtype=float)
+    codes = []
+    for i in range(len(names)):
+        _, c = np.unique(pdf[f"__l{i}"].to_numpy(), return_inverse=True)
+        codes.append(c)
+    position = {v: i for i, v in enumerate(pdf[id_col].tolist())}
+    bc = spark.sparkContext.broadcast((X, codes, position))
+    n_lab = len(names)
+
+    def score(batches):
+        Xs, cs_all, pos = bc.value
+        onehots = []
+        for cs in cs_all:
+            oh = np.zeros((len(cs), int(cs.max()) + 1))
+            oh[np.arange(len(cs)), cs] = 1.0
+            onehots.append(oh)
+        sq_s = (Xs ** 2).sum(axis=1)
+        block = max(1, BLOCK_CELLS // max(len(Xs), 1))
+        sums = np.zeros(n_lab)
+        count = 0
+        for batch in batches:
+            for lo in range(0, len(batch), block):
+                b = batch.iloc[lo:lo + block]
+                if b.empty:
+                    continue
+                x = b[cols].to_numpy(dtype=float)
+                me = np.array([pos[i] for i in b[id_col].tolist()])
+                d2 = (x ** 2).sum(axis=1)[:, None] + sq_s[None, :] - 2.0 * x @ Xs.T
+                d = np.sqrt(np.maximum(d2, 0.0))
+                d[np.arange(len(b)), me] = 0.0
+                for li in range(n_lab):
+                    oh = onehots[li]
+                    sizes = oh.sum(axis=0)
+                    own = cs_all[li][me]
+                    s_ = d @ oh
+                    own_size = sizes[own]
+                    a = s_[np.arange(len(b)), own] / np.maximum(own_size - 1.0, 1.0)
+                    other = s_ / sizes[None, :]
+                    other[np.arange(len(b)), own] = np.inf
+                    bb = other.min(axis=1)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        sv = (bb - a) / np.maximum(a, bb)
+                    sv = np.nan_to_num(np.where(own_size > 1, sv, 0.0), nan=0.0)
+                    sums[li] += float(sv.sum())
+                count += len(b)
+        yield pd.DataFrame({"cfg": np.arange(n_lab), "s": sums, "n": np.full(n_lab, count)})
+
+    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
+    sil_rows = sample.repartition(parts).mapInPandas(score, "cfg long, s double, n long") \
+        .groupBy("cfg").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    sil = {r["cfg"]: (r["s"] / r["n"] if r["n"] else None) for r in sil_rows}
+    out = {}
+    for i, nm in enumerate(names):
+        rows = sorted(per_cfg[i], key=lambda r: r["label"])
+        counts = np.array([r["__n"] for r in rows], dtype=float)
+        cents = np.array([[r[f"__c{j}"] for j in range(len(cols))] for r in rows], dtype=float)
+        mean_dist = np.array([dist[(i, r["label"])][0] for r in rows]) / counts
+        ssq = np.array([dist[(i, r["label"])][1] for r in rows])
+        ch, db = _ch_db(counts, cents, mean_dist, ssq)
+        n = counts.sum()
+        out[nm] = {"silhouette_score": sil.get(i), "calinski_harabasz_score": ch, "davies_bouldin_score": db,
+                   "min_cluster_size": int(counts.min()), "max_cluster_size": int(counts.max()),
+                   "min_cluster_percentage": float(counts.min() * 100.0 / n),
+                   "max_cluster_percentage": float(counts.max() * 100.0 / n)}
+    return out
+
+
+def clustering_metrics_for_centers(df: DataFrame, cols, centers: dict, id_col: str, sample_size: int = 10_000,
+                                   seed: int = 42) -> dict:
+    """C9 for several fitted centre sets (nearest-centre labels) in shared passes.
+
+    Labels are assigned inside the NumPy pass (ties: lowest index), so any
+    number of models fits in one job without large generated code: one pass
+    sums count and features per (model, label), a second sums distances to
+    the resulting centroids, and the silhouette sample shares each distance
+    block across models. Returns name -> metrics dict.
+    """
+    cols = list(cols)
+    names = list(centers)
+    models = [np.asarray(centers[nm], dtype=float) for nm in names]
+    spark = df.sparkSession
+    ship_package(spark)
+    X = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    d = len(cols)
+
+    def nearest(x, C):
+        return ((x[:, None, :] - C[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
+
+    def pass_one(batches):
+        acc = [(np.zeros(len(C)), np.zeros((len(C), d))) for C in models]
+        for b in batches:
+            if b.empty:
+                continue
+            x = b[cols].to_numpy(dtype=float)
+            for (cnt, s1), C in zip(acc, models):
+                lab = nearest(x, C)
+                cnt += np.bincount(lab, minlength=len(C))
+                np.add.at(s1, lab, x)
+        rows = [(i, j, float(cnt[j]), *map(float, s1[j])) for i, (cnt, s1) in enumerate(acc)
+                for j in range(len(cnt)) if cnt[j] > 0]
+        yield pd.DataFrame(rows, columns=["cfg", "label", "n", *[f"s{i}" for i in range(d)]])
+
+    one = X.mapInPandas(pass_one, "cfg long, label long, n double, " + ", ".join(f"s{i} double" for i in range(d))) \
+        .groupBy("cfg", "label").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)]).collect()
+    stats = {}
+    for r in one:
+        stats.setdefault(r["cfg"], {})[r["label"]] = (r["n"], np.array([r[f"s{i}"] for i in range(d)]) / r["n"])
+    cents = {i: stats[i] for i in stats}
+    bc_c = spark.sparkContext.broadcast(cents)
+
+    def pass_two(batches):
+        cm = bc_c.value
+        acc = [(np.zeros(len(C)), np.zeros(len(C))) for C in models]
+        for b in batches:
+            if b.empty:
+                continue
+            x = b[cols].to_numpy(dtype=float)
+            for i, ((sd, sq), C) in enumerate(zip(acc, models)):
+                lab = nearest(x, C)
+                cen = np.array([cm[i][j][1] if j in cm[i] else np.zeros(d) for j in range(len(C))])
+                dd = ((x - cen[lab]) ** 2).sum(axis=1)
+                sd += np.bincount(lab, weights=np.sqrt(dd), minlength=len(C))
+                sq += np.bincount(lab, weights=dd, minlength=len(C))
+        rows = [(i, j, float(sd[j]), float(sq[j])) for i, (sd, sq) in enumerate(acc) for j in range(len(sd))]
+        yield pd.DataFrame(rows, columns=["cfg", "label", "sd", "sq"])
+
+    two = X.mapInPandas(pass_two, "cfg long, label long, sd double, sq double") \
+        .groupBy("cfg", "label").agg(F.sum("sd").alias("sd"), F.sum("sq").alias("sq")).collect()
+    dist = {(r["cfg"], r["label"]): (r["sd"], r["sq"]) for r in two}
+    pdf = deterministic_sample(X, id_col, sample_size, seed).toPandas()  # bounded by sample_size
+    S = pdf[cols].to_numpy(dtype=float)
+    codes = []
+    for C in models:
+        _, c = np.unique(nearest(S, C), return_inverse=True)
+        codes.append(c)
+    sample_df = spark.createDataFrame(pdf[[id_col, *cols]])
+    position = {v: i for i, v in enumerate(pdf[id_col].tolist())}
+    bc = spark.sparkContext.broadcast((S, codes, position))
+    n_lab = len(names)
+
+    def score(batches):
+        Xs, cs_all, pos = bc.value
+        onehots = []
+        for cs in cs_all:
+            oh = np.zeros((len(cs), int(cs.max()) + 1))
+            oh[np.arange(len(cs)), cs] = 1.0
+            onehots.append(oh)
+        sq_s = (Xs ** 2).sum(axis=1)
+        block = max(1, BLOCK_CELLS // max(len(Xs), 1))
+        sums = np.zeros(n_lab)
+        count = 0
+        for batch in batches:
+            for lo in range(0, len(batch), block):
+                b = batch.iloc[lo:lo + block]
+                if b.empty:
+                    continue
+                x = b[cols].to_numpy(dtype=float)
+                me = np.array([pos[i] for i in b[id_col].tolist()])
+                dm = np.sqrt(np.maximum((x ** 2).sum(axis=1)[:, None] + sq_s[None, :] - 2.0 * x @ Xs.T, 0.0))
+                dm[np.arange(len(b)), me] = 0.0
+                for li in range(n_lab):
+                    oh = onehots[li]
+                    sizes = oh.sum(axis=0)
+                    own = cs_all[li][me]
+                    s_ = dm @ oh
+                    own_size = sizes[own]
+                    a = s_[np.arange(len(b)), own] / np.maximum(own_size - 1.0, 1.0)
+                    other = s_ / sizes[None, :]
+                    other[np.arange(len(b)), own] = np.inf
+                    bb = other.min(axis=1)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        sv = (bb - a) / np.maximum(a, bb)
+                    sums[li] += float(np.nan_to_num(np.where(own_size > 1, sv, 0.0), nan=0.0).sum())
+                count += len(b)
+        yield pd.DataFrame({"cfg": np.arange(n_lab), "s": sums, "n": np.full(n_lab, count)})
+
+    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
+    sil_rows = sample_df.repartition(parts).mapInPandas(score, "cfg long, s double, n long") \
+        .groupBy("cfg").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
+    sil = {r["cfg"]: (r["s"] / r["n"] if r["n"] else None) for r in sil_rows}
+    out = {}
+    for i, nm in enumerate(names):
+        labs = sorted(stats[i])
+        counts = np.array([stats[i][j][0] for j in labs])
+        cm = np.array([stats[i][j][1] for j in labs])
+        mean_dist = np.array([dist[(i, j)][0] for j in labs]) / counts
+        ssq = np.array([dist[(i, j)][1] for j in labs])
+        ch, db = _ch_db(counts, cm, mean_dist, ssq)
+        n = counts.sum()
+        out[nm] = {"silhouette_score": sil.get(i), "calinski_harabasz_score": ch, "davies_bouldin_score": db,
+                   "min_cluster_size": int(counts.min()), "max_cluster_size": int(counts.max()),
+                   "min_cluster_percentage": float(counts.min() * 100.0 / n),
+                   "max_cluster_percentage": float(counts.max() * 100.0 / n)}
+    return out

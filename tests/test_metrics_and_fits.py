@@ -146,3 +146,26 @@ def test_batched_gmm_equals_separate_fits(spark):
         assert np.allclose(model.means, alone.means, rtol=1e-9, atol=1e-12)
         assert model.mean_log_likelihood == pytest.approx(alone.mean_log_likelihood, rel=1e-12)
         assert model.n_iter == alone.n_iter
+
+
+def test_batched_metrics_equal_single(spark):
+    from pyspark.sql import functions as F
+    df, _, truth = _blobs(spark, 30, spread=2.5)
+    cols = ["x0", "x1", "x2"]
+    labels = {"a": (F.col("id") % 3), "b": (F.col("id") % 2), "c": F.when(F.col("x0") > 4, 1).otherwise(0)}
+    many = M.clustering_metrics_many(df, cols, labels, "id")
+    for name, expr in labels.items():
+        single = M.clustering_metrics(df.withColumn("lab", expr), cols, "lab", "id").first().asDict()
+        for key, value in single.items():
+            assert many[name][key] == pytest.approx(value, rel=1e-9), (name, key)
+
+
+def test_metrics_for_centers_equal_single(spark):
+    df, _, _ = _blobs(spark, 30, spread=2.5)
+    cols = ["x0", "x1", "x2"]
+    fits = {str(k): C.fit_kmeans(df, cols, k, 1, n_init=2) for k in (2, 3, 4)}
+    many = M.clustering_metrics_for_centers(df, cols, {k: m.centers for k, m in fits.items()}, "id")
+    for name, model in fits.items():
+        single = M.clustering_metrics(model.assign(df), cols, "cluster", "id").first().asDict()
+        for key, value in single.items():
+            assert many[name][key] == pytest.approx(value, rel=1e-9), (name, key)
