@@ -64,3 +64,11 @@ def test_pair_counts_combine_map_side(spark):
     # every aggregation is planned as partial -> exchange -> final (no raw-row shuffle for counting)
     assert "partial_count" in plan
     assert "partial_collect_set" in plan
+
+
+def test_top_n_cut_is_a_window_group_limit(spark):
+    lines = spark.createDataFrame([(i // 3, f"s{i % 2}", ITEMS[i % 5]) for i in range(300)],
+                                  "invoice_id long, cluster string, product string")
+    ranked = B.cluster_association_rules(lines, min_support=0.0, min_confidence=0.0, min_lift=0.0, top_n=3)
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
