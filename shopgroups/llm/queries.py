@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
 from .secrets import op9_secrets
 from .sharding import op7_sharding
+from .token_counts import op8_token_counts
 
-QUERIES = {f.__name__: f for f in (op7_sharding, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op5_packing, op7_sharding, op8_token_counts, op9_secrets)}
 ORACLE_SQL: dict[str, str] = {}
