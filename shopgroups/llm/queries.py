@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op4_jaccard
 from .packing import op5_packing
 from .piecewise import op2_pieces
 from .secrets import op9_secrets
@@ -9,5 +10,5 @@ from .sharding import op7_sharding
 from .token_counts import op8_token_counts
 from .toxicity import op6_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op2_pieces, op4_jaccard, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets)}
 ORACLE_SQL: dict[str, str] = {}
