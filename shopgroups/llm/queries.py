@@ -9,6 +9,8 @@ from .secrets import op9_secrets
 from .sharding import op7_sharding
 from .token_counts import op8_token_counts
 from .toxicity import op6_toxicity
+from .vectors import op3_vectors
+from .versions import op1_versions
 
-QUERIES = {f.__name__: f for f in (op2_pieces, op4_jaccard, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_versions, op2_pieces, op3_vectors, op4_jaccard, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets)}
 ORACLE_SQL: dict[str, str] = {}
