@@ -4,7 +4,7 @@ Centroids come from hierarchical balanced clustering of a sample and are small
 enough to hold in memory, with a neighbour graph that a beam search walks for
 many vectors at once. Every vector is in the posting list of its nearest
 centroid; a boundary vector also in those of other centroids that are nearly as
-near, unless a chosen centroid is nearer to them than the vector is. A query
+near. A query
 reads the lists whose centroids are within a ratio of its nearest one's
 distance. Lists are kept short: equal vectors are one entry, the number of
 centroids grows with the table, and long lists are cut into blocks that
@@ -22,19 +22,19 @@ from shopgroups.sources.tables import read_table
 
 from .common import python_ready, stored, unit_hash, work_folder
 
-#: Vectors per list, about; the centroids are as many as that needs, and MAX_LISTS at most (16 MB of 64
-#: single-precision components). Beyond that the lists grow, in blocks.
-LIST_VECTORS, MAX_LISTS = 128, 65_536
-#: Sampled vectors per centroid; the sample is LISTS * SAMPLE_PER_LIST vectors at most.
-SAMPLE_PER_LIST = 8
+#: Vectors per list, about; the centroids are as many as that needs, and MAX_LISTS at most. Beyond that
+#: the lists grow, in blocks.
+LIST_VECTORS, MAX_LISTS = 512, 4_096
+#: Sampled vectors per centroid, about: the fit reads MAX_LISTS * SAMPLE_PER_LIST vectors at most.
+SAMPLE_PER_LIST = 32
 #: Vectors of a block of a list.
 BLOCK = 4_096
 #: Lists that a vector is in, at most, and the distance ratio up to which.
 COPIES, COPY_RATIO = 4, 1.15
-#: Lists that a query reads, at most, and the distance ratio up to which.
-PROBES, PROBE_RATIO = 96, 1.6
+#: Part of the nearest vectors, in the sample, that the lists within the probe ratio must hold.
+TARGET = 0.85
 #: Neighbours of a centroid in the graph, and width of the search's beam.
-DEGREE, BEAM = 24, 128
+DEGREE, BEAM = 24, 64
 
 
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 1) -> np.ndarray:
@@ -133,35 +133,46 @@ class CentroidGraph:
 
 def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, list, whether it is the nearest) for all lists of the vectors."""
-    node, far = graph.search(x, min(BEAM, max(16, 4 * COPIES)))
-    node, far = node[:, : 4 * COPIES], far[:, : 4 * COPIES]
-    taken = np.zeros(node.shape, bool)
+    node, far = graph.search(x)
+    node, far = node[:, :COPIES], far[:, :COPIES]
+    taken = (node >= 0) & (far <= COPY_RATIO ** 2 * far[:, :1])
     taken[:, 0] = True
-    for j in range(1, node.shape[1]):
-        able = (node[:, j] >= 0) & (far[:, j] <= COPY_RATIO ** 2 * far[:, 0]) & (taken.sum(1) < COPIES)
-        for i in range(j):  # a chosen centroid that is nearer to this one stands for it
-            rows = np.flatnonzero(able & taken[:, i])
-            gap = ((graph.centroids[node[rows, i]] - graph.centroids[node[rows, j]]) ** 2).sum(1)
-            able[rows[gap < far[rows, j]]] = False
-        taken[:, j] = able
     row, column = np.nonzero(taken)
     return row, node[row, column], column == 0
 
 
-def probes_of(graph: CentroidGraph, sizes: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, list) of the lists that the queries read: those within PROBE_RATIO of the nearest one's
-    distance, PROBES at most; more where they hold fewer than k + 1 vectors."""
-    node, far = graph.search(x)
-    near = (node >= 0) & (far <= PROBE_RATIO ** 2 * far[:, :1]) & (np.arange(node.shape[1]) < PROBES)
-    held = np.cumsum(np.where(node >= 0, sizes[node], 0), 1)
-    near |= (node >= 0) & (np.concatenate([np.zeros((len(x), 1)), held[:, :-1]], 1) < k + 1)
-    row, column = np.nonzero(near)
-    out_row, out_list = [row], [node[row, column]]
-    for i in np.flatnonzero(held[:, -1] < min(k + 1, sizes.sum())):  # the beam holds too few: all lists
-        out_row.append(np.full(len(sizes), i))
-        out_list.append(np.arange(len(sizes)))
-    both = np.unique(np.stack([np.concatenate(out_row), np.concatenate(out_list)]), axis=1)
-    return both[0], both[1]
+def probe_ratio(graph: CentroidGraph, sample: np.ndarray, k: int, queries: int = 256) -> float:
+    """The distance ratio up to which lists must be read to find TARGET of the sample's nearest vectors.
+    The whole table's nearest ones are nearer still."""
+    if len(sample) <= k or len(graph.centroids) == 1:
+        return float("inf")
+    asked = np.unique(np.linspace(0, len(sample) - 1, queries).astype(np.int64))
+    parts = [lists_of(graph, sample[a: a + 1024]) for a in range(0, len(sample), 1024)]
+    row = np.concatenate([p[0] + 1024 * i for i, p in enumerate(parts)])
+    own = np.concatenate([p[1] for p in parts])
+    bounds = np.searchsorted(row, np.arange(len(sample) + 1))
+    ratios = []
+    for i in asked:
+        far = ((sample - sample[i]) ** 2).sum(1)
+        far[i] = np.inf
+        to = ((graph.centroids - sample[i]) ** 2).sum(1)
+        ratios += [to[own[bounds[j]: bounds[j + 1]]].min() / max(to.min(), 1e-300) for j in np.argpartition(far, k)[:k]]
+    return float(np.sqrt(np.quantile(ratios, TARGET)))
+
+
+def probes_of(graph: CentroidGraph, sizes: np.ndarray, x: np.ndarray, k: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists that the queries read: those whose centroids lie within ``ratio`` of the
+    nearest one's distance, and the next ones while they hold fewer than k + 1 vectors."""
+    beam = BEAM
+    while True:  # wider until the farthest one found is beyond the ratio
+        node, far = graph.search(x, beam)
+        held = np.cumsum(np.where(node >= 0, sizes[node], 0), 1)
+        if beam >= len(sizes) or ((far[:, -1] > ratio ** 2 * far[:, 0]) & (held[:, -1] > k)).all():
+            break
+        beam = min(4 * beam, len(sizes))
+    before = np.concatenate([np.zeros((len(x), 1)), held[:, :-1]], 1)
+    row, column = np.nonzero((node >= 0) & ((far <= max(ratio, 1.0) ** 2 * far[:, :1]) | (before <= k)))
+    return row, node[row, column]
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -196,8 +207,11 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_
         return spark.createDataFrame([], schema)
     lists = max(1, min(MAX_LISTS, -(-n // LIST_VECTORS)))
     rate = min(1.0, lists * SAMPLE_PER_LIST / n)
-    sample = np.array([r["v"] for r in entries.filter(unit_hash("v") < rate).select("v").collect()] or [entries.first()["v"]])
+    # about MAX_LISTS * SAMPLE_PER_LIST vectors at most
+    sample = entries.filter(unit_hash("v") < rate).select("v").toPandas()["v"]
+    sample = np.stack(sample.to_numpy()) if len(sample) else np.array([entries.first()["v"]])
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(sample, lists)))
+    ratio = probe_ratio(graph.value, sample, k)
 
     def place(batches):
         for pdf in batches:
@@ -219,7 +233,7 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_
         for pdf in batches:
             for a in range(0, len(pdf), 512):
                 part = pdf.iloc[a: a + 512]
-                row, own = probes_of(graph.value, shape.value[0], np.stack(part["v"].to_numpy()), k)
+                row, own = probes_of(graph.value, shape.value[0], np.stack(part["v"].to_numpy()), k, ratio)
                 times = shape.value[1][own]
                 block = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
                 row, own = np.repeat(row, times), np.repeat(own, times)
@@ -239,12 +253,12 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_
                 score = np.sqrt(((x - q) ** 2).sum(1))[entry]
                 other = ids != query
                 best = np.lexsort((ids[other], score[other]))[:k]
-                out.append((np.full(len(best), query), ids[other][best], score[other][best]))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[], [], []]
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns)))
+                out.append((query, ids[other][best], score[other][best]))
+        return pd.DataFrame(out, columns=["query_id", "vec_ids", "scores"])
 
-    found = asked.groupBy("list", "block").cogroup(held.groupBy("list", "block")).applyInPandas(nearest, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = asked.groupBy("list", "block").cogroup(held.groupBy("list", "block")).applyInPandas(nearest, "query_id long, vec_ids array<long>, scores array<double>")
+    found = found.select("query_id", F.explode(F.arrays_zip(F.col("vec_ids").alias("i"), F.col("scores").alias("s"))).alias("f"))
+    found = found.select("query_id", F.col("f.i").alias("vec_id"), F.col("f.s").alias("score")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
