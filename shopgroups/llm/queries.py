@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard import op4_jaccard
+from .licences import op10_licences
 from .packing import op5_packing
 from .piecewise import op2_pieces
 from .secrets import op9_secrets
@@ -12,5 +13,5 @@ from .toxicity import op6_toxicity
 from .vectors import op3_vectors
 from .versions import op1_versions
 
-QUERIES = {f.__name__: f for f in (op1_versions, op2_pieces, op3_vectors, op4_jaccard, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets)}
+QUERIES = {f.__name__: f for f in (op1_versions, op2_pieces, op3_vectors, op4_jaccard, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets, op10_licences)}
 ORACLE_SQL: dict[str, str] = {}
