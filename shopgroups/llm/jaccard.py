@@ -375,6 +375,20 @@ def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of every component, the one with the smallest id, with all its columns; texts without
+    words all stay. Of rows with one id, or without ids, one stays too. Empty input: no rows."""
+    folder = work_folder(df.sparkSession, "keep-one")
+    # row numbers that both reads of the texts share
+    numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), folder, "rows")
+    found = jaccard_components(numbered, "_row", text_col, n, percent).select("_row", "component_id")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")
+    ranked = stored(found.join(numbered.select("_row", id_col), "_row").select("_row", "component_id", order.alias("o")), folder, "ranked")
+    first = ranked.groupBy("component_id").agg(F.min("o")["_row"].alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    others = ranked.join(first, "component_id").filter(F.col("_row") != F.col("first")).select("_row")
+    return numbered.join(others.hint("shuffle_hash"), "_row", "left_anti").select(*df.columns)
+
+
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
     """Components of all documents by 4-word shingles and a similarity of 0.85 or more."""
     return jaccard_components(documents(spark, sf_dir))

@@ -35,8 +35,8 @@ from .ragged import chunks
 FIT_ROWS = 20_000
 #: A term is dense in a text from this part of its words on.
 DENSE = 0.005
-#: Distinct toxic texts in which a term of the lexicon is dense, at least.
-SUPPORT = 6
+#: Distinct toxic texts in which a term of the lexicon is dense, at least: this part of them, within the bounds.
+SUPPORT_PART, SUPPORT_BOUNDS = 0.02, (3, 12)
 #: Standard deviations by which they exceed what the clean texts' rate lets expect, at least.
 SURPRISE = 8.0
 #: Log-odds of a term, at least.
@@ -185,10 +185,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             .select("key", "one.text", "one.toxic"))
 
 
+def least_support(n_toxic: int) -> int:
+    return int(np.clip(np.ceil(SUPPORT_PART * n_toxic), *SUPPORT_BOUNDS))
+
+
 def choose_terms(support: dict[str, tuple[int, int]], incidence: pd.DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     """Terms by greedy cover: the next term is the one that is dense in most toxic texts with fewer than
     COVER terms so far, clean texts subtracted at their rate."""
-    odds, rate = {}, n_toxic / max(n_clean, 1)
+    odds, rate, least = {}, n_toxic / max(n_clean, 1), least_support(n_toxic)
     for t, (a, c) in support.items():
         expected = (c + 1) * rate
         if a - expected >= SURPRISE * np.sqrt(expected):
@@ -200,15 +204,15 @@ def choose_terms(support: dict[str, tuple[int, int]], incidence: pd.DataFrame, n
     while texts:
         gain = {t: sum(missing[k] > 0 for k in s) for t, s in texts.items()}
         best = max(gain, key=lambda t: (gain[t] - support[t][1] * rate, odds[t], len(t), t))
-        if gain[best] < SUPPORT:
+        if gain[best] < least:
             break
         chosen[best] = odds[best]
         covered = texts.pop(best)
         for k in covered:
             missing[k] -= 1
         # a variant of the same word is no second sign
-        variant = lambda t: (t.strip() in best or best.strip() in t) and len(texts[t] - covered) < SUPPORT
-        texts = {t: s for t, s in texts.items() if gain[t] >= SUPPORT and not variant(t)}
+        variant = lambda t: (t.strip() in best or best.strip() in t) and len(texts[t] - covered) < least
+        texts = {t: s for t, s in texts.items() if gain[t] >= least and not variant(t)}
     return chosen
 
 
@@ -248,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     dealt = train.repartition(spark.sparkContext.defaultParallelism)
     in_toxic = stored(dealt.filter("toxic = 1").select("key", "text").mapInPandas(dense, schema),
                       work_folder(spark, "toxicity"), "terms")
-    often = in_toxic.groupBy("term").agg(F.count("*").alias("a")).filter(F.col("a") >= SUPPORT)
+    often = in_toxic.groupBy("term").agg(F.count("*").alias("a")).filter(F.col("a") >= least_support(n_toxic))
     candidates = spark.sparkContext.broadcast({r["term"]: r["a"] for r in often.collect()})
     in_clean = (dealt.filter("toxic = 0").select("key", "text")
                 .mapInPandas(lambda b: dense(b, candidates.value), schema).groupBy("term").agg(F.count("*").alias("c")))
