@@ -1,16 +1,13 @@
-"""Clustering metrics.
-
-* Calinski-Harabasz and Davies-Bouldin: two scans. The first aggregates
-  count and sum per label (k rows: the centroids, a small model brought to
-  the driver like any fitted estimator); the second joins every row to its
-  centroid (a broadcast of k rows) and sums distances and squared distances
-  per label. Between- and within-cluster terms come from those k rows.
-* Silhouette (Euclidean, as scikit-learn; MLlib's evaluator is squared
-  Euclidean) is O(m^2) in the rows it scores, so it scores a deterministic
-  sample of at most ``sample_size`` rows (the source project's own design).
-  The sample is broadcast once; an Arrow-batched ``mapInPandas`` computes,
-  for each sampled row, the mean distance to every cluster with one matrix
-  product per batch. No pair rows are ever materialised.
+"""Clustering metrics (C9-C15), over all rows.
+
+* One aggregation gives every cluster's size, centroid and variance (the sum of
+  its features' variances): a model of k rows, like any fitted estimator.
+* A second pass (Arrow batches in NumPy) has each row's distance to every
+  centroid. The mean squared distance of a row to a cluster's members is its
+  squared distance to the centroid plus the cluster's variance, so the
+  silhouette over squared Euclidean distances (as MLlib's evaluator) needs no
+  pairs of rows: O(rows * k) for all rows. The same pass sums the distances to
+  the own centroid for Davies-Bouldin; Calinski-Harabasz needs only the k rows.
 * Adjusted Rand index: a contingency ``groupBy(a, b)`` and sums over it.
 """
 
@@ -23,8 +20,10 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 
-MAX_CLUSTERS = 100_000  # bound on k for the centroid broadcast
-BLOCK_CELLS = 5_000_000  # distance cells per NumPy block (~40 MB of doubles)
+MAX_CLUSTERS = 2_000  # bound on k: the model is k x d numbers, Davies-Bouldin k x k
+METRIC_TYPES = ("silhouette_score double, calinski_harabasz_score double, davies_bouldin_score double, "
+                "min_cluster_size long, max_cluster_size long, min_cluster_percentage double, "
+                "max_cluster_percentage double")
 
 
 def deterministic_sample(df: DataFrame, id_col: str, sample_size: int, seed: int = 42) -> DataFrame:
@@ -43,120 +42,124 @@ def cluster_summary(labels: DataFrame, cluster_col: str = "cluster") -> DataFram
     return counts.withColumn("percentage", F.col("count") * 100.0 / total)
 
 
-def _centroids(df: DataFrame, cols, label: str):
-    rows = df.groupBy(label).agg(F.count("*").alias("__n"), *[F.avg(c).alias(f"__c{i}") for i, c in enumerate(cols)]) \
-        .orderBy(label).collect()
+def cluster_stats(df: DataFrame, cols, label: str):
+    """(labels, sizes, centroids, variances) of the clusters, in label order. More than
+    ``MAX_CLUSTERS`` clusters are an error."""
+    rows = df.groupBy(label).agg(
+        F.count("*").alias("__n"), *[F.avg(c).alias(f"__c{i}") for i, c in enumerate(cols)],
+        sum((F.var_pop(c) for c in cols), F.lit(0.0)).alias("__v")).limit(MAX_CLUSTERS + 1).collect()
     if len(rows) > MAX_CLUSTERS:
-        raise ValueError(f"{len(rows)} clusters exceed the centroid bound {MAX_CLUSTERS}")
-    labels = [r[label] for r in rows]
-    counts = np.array([r["__n"] for r in rows], dtype=float)
-    cents = np.array([[r[f"__c{i}"] for i in range(len(cols))] for r in rows], dtype=float)
-    return labels, counts, cents
-
-
-def centroid_distance_stats(df: DataFrame, cols, label: str):
-    """Per label: count, centroid, mean distance and sum of squared distances to the centroid."""
-    cols = list(cols)
-    labels, counts, cents = _centroids(df, cols, label)
-    spark = df.sparkSession
-    ltype = df.schema[label].dataType.simpleString()
-    cdf = spark.createDataFrame([(lab, *map(float, c)) for lab, c in zip(labels, cents)],
-                                f"`{label}` {ltype}, " + ", ".join(f"__c{i} double" for i in range(len(cols))))
-    joined = df.join(F.broadcast(cdf), label)
-    sq = sum(((F.col(c).cast("double") - F.col(f"__c{i}")) ** 2 for i, c in enumerate(cols)), F.lit(0.0))
-    rows = joined.groupBy(label).agg(F.sum(F.sqrt(sq)).alias("sd"), F.sum(sq).alias("sq")).collect()
-    by = {r[label]: (r["sd"], r["sq"]) for r in rows}
-    mean_dist = np.array([by[lab][0] for lab in labels]) / counts
-    ssq = np.array([by[lab][1] for lab in labels])
-    return labels, counts, cents, mean_dist, ssq
-
-
-def _ch_db(counts, cents, mean_dist, ssq):
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    rows.sort(key=lambda r: (r[label] is None, r[label]))
+    return ([r[label] for r in rows], np.array([r["__n"] for r in rows], dtype=float),
+            np.array([[r[f"__c{i}"] for i in range(len(cols))] for r in rows], dtype=float).reshape(len(rows), len(cols)),
+            np.array([r["__v"] for r in rows], dtype=float))
+
+
+def _score_rows(x: np.ndarray, own: np.ndarray, sizes: np.ndarray, cents: np.ndarray,
+                variances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(silhouette, distance to the own centroid) of every row. Members of single-row clusters
+    and rows without another cluster score 0."""
+    mid = cents.mean(axis=0)  # smaller numbers, less cancellation
+    x, cents = x - mid, cents - mid
+    d2 = np.maximum((x ** 2).sum(axis=1)[:, None] + (cents ** 2).sum(axis=1) - 2.0 * x @ cents.T, 0.0)
+    every = np.arange(len(x))
+    to_own = np.sqrt(((x - cents[own]) ** 2).sum(axis=1))
+    mean = d2 + variances
+    mean[:, sizes == 0] = np.inf
+    n = sizes[own]
+    a = mean[every, own] * n / np.maximum(n - 1.0, 1.0)
+    mean[every, own] = np.inf
+    b = mean.min(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        s = (b - a) / np.maximum(a, b)
+    return np.where((n > 1) & np.isfinite(b), np.nan_to_num(s, nan=0.0), 0.0), to_own
+
+
+def _ch_db(counts, cents, variances, mean_dist):
     k, n = len(counts), counts.sum()
     overall = (cents * counts[:, None]).sum(axis=0) / n
     between = float((counts * ((cents - overall) ** 2).sum(axis=1)).sum())
-    within = float(ssq.sum())
+    within = float((counts * variances).sum())
+    if k < 2:
+        return None, None
     ch = 1.0 if within == 0.0 else between * (n - k) / (within * (k - 1.0))
-    dist = np.sqrt(((cents[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2))
+    dist = np.sqrt(((cents[:, None, :] - cents[None, :, :]) ** 2).sum(axis=2)) if k * k * cents.shape[1] < 10_000_000 \
+        else np.array([np.sqrt(((cents - c) ** 2).sum(axis=1)) for c in cents])
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = (mean_dist[:, None] + mean_dist[None, :]) / dist
     ratio[~np.isfinite(ratio)] = 0.0  # coincident centroids, as scikit-learn
     np.fill_diagonal(ratio, 0.0)
-    db = float(ratio.max(axis=1).mean())
-    return float(ch), db
+    return float(ch), float(ratio.max(axis=1).mean())
 
 
-def calinski_harabasz(df: DataFrame, cols, label: str) -> DataFrame:
-    """C11: (B / (k - 1)) / (W / (n - k))."""
-    _, counts, cents, mean_dist, ssq = centroid_distance_stats(df, cols, label)
-    ch, _ = _ch_db(counts, cents, mean_dist, ssq)
-    return df.sparkSession.createDataFrame([(ch,)], "calinski_harabasz_score double")
+def _metric_values(counts, cents, variances, dist_sum, sil_sum) -> dict:
+    ch, db = _ch_db(counts, cents, variances, dist_sum / counts)
+    n = counts.sum()
+    return {"silhouette_score": float(sil_sum.sum() / n), "calinski_harabasz_score": ch, "davies_bouldin_score": db,
+            "min_cluster_size": int(counts.min()), "max_cluster_size": int(counts.max()),
+            "min_cluster_percentage": float(counts.min() * 100.0 / n),
+            "max_cluster_percentage": float(counts.max() * 100.0 / n)}
 
 
-def davies_bouldin(df: DataFrame, cols, label: str) -> DataFrame:
-    """Mean over clusters of the worst (s_i + s_j) / d(c_i, c_j)."""
-    _, counts, cents, mean_dist, ssq = centroid_distance_stats(df, cols, label)
-    _, db = _ch_db(counts, cents, mean_dist, ssq)
-    return df.sparkSession.createDataFrame([(db,)], "davies_bouldin_score double")
+def silhouette_samples(df: DataFrame, cols, label: str, id_col: str) -> DataFrame:
+    """(id, label, silhouette) of every row."""
+    cols = list(cols)
+    ship_package(df.sparkSession)
+    labels, sizes, cents, variances = cluster_stats(df, cols, label)
+    place = {v: i for i, v in enumerate(labels)}
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (id_col, label)}
+
+    def score(batches):
+        for b in batches:
+            own = np.array([place[v] for v in b[label].tolist()], dtype=int)
+            if len(own):
+                s, _ = _score_rows(b[cols].to_numpy(dtype=float), own, sizes, cents, variances)
+                yield pd.DataFrame({id_col: b[id_col], label: b[label], "silhouette": s})
 
+    return df.select(id_col, label, *cols).mapInPandas(
+        score, f"`{id_col}` {kinds[id_col]}, `{label}` {kinds[label]}, silhouette double")
 
-def silhouette_samples(df: DataFrame, cols, label: str, id_col: str, sample_size: int = 10_000,
-                       seed: int = 42) -> DataFrame:
-    """Per sampled row: (id, label, silhouette). Singleton clusters score 0."""
+
+def silhouette(df: DataFrame, cols, label: str, id_col: str) -> DataFrame:
+    """Mean silhouette over all rows."""
+    return silhouette_samples(df, cols, label, id_col).agg(F.avg("silhouette").alias("silhouette_score"))
+
+
+def _label_metrics(df: DataFrame, cols, label: str) -> dict:
     cols = list(cols)
-    sample = deterministic_sample(df.select(id_col, label, *cols), id_col, sample_size, seed)
-    pdf = sample.toPandas()  # bounded by sample_size
-    spark = df.sparkSession
-    ship_package(spark)
-    if pdf.empty:
-        return spark.createDataFrame([], f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, "
-                                         f"`{label}` {df.schema[label].dataType.simpleString()}, silhouette double")
-    X = pdf[cols].to_numpy(dtype=float)
-    uniq, codes = np.unique(pdf[label].to_numpy(), return_inverse=True)
-    position = {v: i for i, v in enumerate(pdf[id_col].tolist())}
-    bc = spark.sparkContext.broadcast((X, codes, len(uniq), position))
-    id_type = df.schema[id_col].dataType.simpleString()
-    label_type = df.schema[label].dataType.simpleString()
+    ship_package(df.sparkSession)
+    labels, sizes, cents, variances = cluster_stats(df, cols, label)
+    place = {v: i for i, v in enumerate(labels)}
 
-    def score(batches):
-        Xs, cs, k, pos = bc.value
-        onehot = np.zeros((len(cs), k))
-        onehot[np.arange(len(cs)), cs] = 1.0
-        sizes = onehot.sum(axis=0)
-        sq_s = (Xs ** 2).sum(axis=1)
-        block = max(1, BLOCK_CELLS // max(len(cs), 1))  # rows per distance block (bounded memory)
-        for batch in batches:
-            for lo in range(0, len(batch), block):
-                b = batch.iloc[lo:lo + block]
-                if b.empty:
-                    continue
-                x = b[cols].to_numpy(dtype=float)
-                me = np.array([pos[i] for i in b[id_col].tolist()])
-                own = cs[me]
-                d2 = (x ** 2).sum(axis=1)[:, None] + sq_s[None, :] - 2.0 * x @ Xs.T
-                d = np.sqrt(np.maximum(d2, 0.0))
-                d[np.arange(len(b)), me] = 0.0
-                sums = d @ onehot
-                own_size = sizes[own]
-                a = sums[np.arange(len(b)), own] / np.maximum(own_size - 1.0, 1.0)
-                mean_other = sums / sizes[None, :]
-                mean_other[np.arange(len(b)), own] = np.inf
-                bb = mean_other.min(axis=1)
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    s = (bb - a) / np.maximum(a, bb)
-                s = np.where(own_size > 1, s, 0.0)
-                s = np.nan_to_num(s, nan=0.0)
-                yield pd.DataFrame({id_col: b[id_col].to_numpy(), label: b[label].to_numpy(), "silhouette": s})
-
-    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
-    return sample.repartition(parts).mapInPandas(
-        score, f"`{id_col}` {id_type}, `{label}` {label_type}, silhouette double")
-
-
-def silhouette(df: DataFrame, cols, label: str, id_col: str, sample_size: int = 10_000, seed: int = 42) -> DataFrame:
-    """Mean silhouette over the sample."""
-    return silhouette_samples(df, cols, label, id_col, sample_size, seed).agg(
-        F.avg("silhouette").alias("silhouette_score"))
+    def sums(batches):
+        dist, sil = np.zeros(len(sizes)), np.zeros(len(sizes))
+        for b in batches:
+            own = np.array([place[v] for v in b[label].tolist()], dtype=int)
+            if len(own):
+                s, d = _score_rows(b[cols].to_numpy(dtype=float), own, sizes, cents, variances)
+                sil += np.bincount(own, weights=s, minlength=len(sizes))
+                dist += np.bincount(own, weights=d, minlength=len(sizes))
+        yield pd.DataFrame({"j": np.arange(len(sizes)), "dist": dist, "sil": sil})
+
+    got = df.select(label, *cols).mapInPandas(sums, "j long, dist double, sil double") \
+        .groupBy("j").agg(F.sum("dist").alias("dist"), F.sum("sil").alias("sil")).collect()
+    by = {r["j"]: r for r in got}
+    return _metric_values(sizes, cents, variances, np.array([by[j]["dist"] for j in range(len(sizes))]),
+                          np.array([by[j]["sil"] for j in range(len(sizes))]))
+
+
+def calinski_harabasz(df: DataFrame, cols, label: str) -> DataFrame:
+    """C11: (B / (k - 1)) / (W / (n - k)), from the clusters' sizes, centroids and variances alone."""
+    _, sizes, cents, variances = cluster_stats(df, list(cols), label)
+    ch, _ = _ch_db(sizes, cents, variances, np.zeros(len(sizes)))
+    return df.sparkSession.createDataFrame([(ch,)], "calinski_harabasz_score double")
+
+
+def davies_bouldin(df: DataFrame, cols, label: str) -> DataFrame:
+    """Mean over clusters of the worst (s_i + s_j) / d(c_i, c_j)."""
+    return df.sparkSession.createDataFrame([(_label_metrics(df, cols, label)["davies_bouldin_score"],)],
+                                           "davies_bouldin_score double")
 
 
 def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -180,19 +183,11 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(ari.alias("adjusted_rand_index"))
 
 
-def clustering_metrics(df: DataFrame, cols, label: str, id_col: str, sample_size: int = 10_000,
-                       seed: int = 42) -> DataFrame:
-    """Silhouette (sampled), CH, DB and cluster size range, one row."""
-    labels, counts, cents, mean_dist, ssq = centroid_distance_stats(df, cols, label)
-    ch, db = _ch_db(counts, cents, mean_dist, ssq)
-    sil = silhouette(df, cols, label, id_col, sample_size, seed).first()[0]
-    n = counts.sum()
-    row = (float(sil) if sil is not None else None, ch, db, int(counts.min()), int(counts.max()),
-           float(counts.min() * 100.0 / n), float(counts.max() * 100.0 / n))
-    return df.sparkSession.createDataFrame(
-        [row], "silhouette_score double, calinski_harabasz_score double, davies_bouldin_score double, "
-               "min_cluster_size long, max_cluster_size long, min_cluster_percentage double, "
-               "max_cluster_percentage double")
+def clustering_metrics(df: DataFrame, cols, label: str) -> DataFrame:
+    """Silhouette, CH, DB and cluster size range, one row."""
+    m = _label_metrics(df, cols, label)
+    names = [t.split()[0] for t in METRIC_TYPES.split(", ")]
+    return df.sparkSession.createDataFrame([tuple(m[n] for n in names)], METRIC_TYPES)
 
 
 def evaluation_row(metrics: DataFrame, model: str, algorithm: str, n_clusters: int, extra: dict | None = None) -> DataFrame:
@@ -204,228 +199,66 @@ def evaluation_row(metrics: DataFrame, model: str, algorithm: str, n_clusters: i
     return out
 
 
-def clustering_metrics_many(df: DataFrame, cols, labels: dict, id_col: str, sample_size: int = 10_000,
-                            seed: int = 42) -> dict:
-    """C9 for several labelings of the same rows in shared passes.
-
-    ``labels``: name -> Column (integer labels). Centroids of every labeling
-    come from one aggregation, distances to them from one more, and the
-    sampled silhouette reuses each distance block for all labelings. Returns
-    name -> metrics dict (same keys as :func:`clustering_metrics`).
-    """
-    cols = list(cols)
-    names = list(labels)
-    spark = df.sparkSession
-    ship_package(spark)
-    lab = df.select(id_col, *cols, *[labels[nm].cast("long").alias(f"__l{i}") for i, nm in enumerate(names)])
-    ex = lab.select(*cols, F.posexplode(F.array(*[F.col(f"__l{i}") for i in range(len(names))])).alias("cfg", "label"))
-    cent_rows = ex.groupBy("cfg", "label").agg(
-        F.count("*").alias("__n"), *[F.avg(c).alias(f"__c{i}") for i, c in enumerate(cols)]).collect()
-    if len(cent_rows) > MAX_CLUSTERS:
-        raise ValueError(f"{len(cent_rows)} clusters exceed the centroid bound {MAX_CLUSTERS}")
-    cdf = spark.createDataFrame([(r["cfg"], r["label"], *[float(r[f"__c{i}"]) for i in range(len(cols))])
-                                 for r in cent_rows],
-                                "cfg int, label long, " + ", ".join(f"__c{i} double" for i in range(len(cols))))
-    sq = sum(((F.col(c).cast("double") - F.col(f"__c{i}")) ** 2 for i, c in enumerate(cols)), F.lit(0.0))
-    dist_rows = ex.join(F.broadcast(cdf), ["cfg", "label"]).groupBy("cfg", "label").agg(
-        F.sum(F.sqrt(sq)).alias("sd"), F.sum(sq).alias("sq")).collect()
-    dist = {(r["cfg"], r["label"]): (r["sd"], r["sq"]) for r in dist_rows}
-    per_cfg: dict = {}
-    for r in cent_rows:
-        per_cfg.setdefault(r["cfg"], []).append(r)
-    sample = deterministic_sample(lab, id_col, sample_size, seed)
-    pdf = sample.toPandas()  # bounded by sample_size
-    X = pdf[cols].to_numpy(dtype=float)
-    codes = []
-    for i in range(len(names)):
-        _, c = np.unique(pdf[f"__l{i}"].to_numpy(), return_inverse=True)
-        codes.append(c)
-    position = {v: i for i, v in enumerate(pdf[id_col].tolist())}
-    bc = spark.sparkContext.broadcast((X, codes, position))
-    n_lab = len(names)
-
-    def score(batches):
-        Xs, cs_all, pos = bc.value
-        onehots = []
-        for cs in cs_all:
-            oh = np.zeros((len(cs), int(cs.max()) + 1))
-            oh[np.arange(len(cs)), cs] = 1.0
-            onehots.append(oh)
-        sq_s = (Xs ** 2).sum(axis=1)
-        block = max(1, BLOCK_CELLS // max(len(Xs), 1))
-        sums = np.zeros(n_lab)
-        count = 0
-        for batch in batches:
-            for lo in range(0, len(batch), block):
-                b = batch.iloc[lo:lo + block]
-                if b.empty:
-                    continue
-                x = b[cols].to_numpy(dtype=float)
-                me = np.array([pos[i] for i in b[id_col].tolist()])
-                d2 = (x ** 2).sum(axis=1)[:, None] + sq_s[None, :] - 2.0 * x @ Xs.T
-                d = np.sqrt(np.maximum(d2, 0.0))
-                d[np.arange(len(b)), me] = 0.0
-                for li in range(n_lab):
-                    oh = onehots[li]
-                    sizes = oh.sum(axis=0)
-                    own = cs_all[li][me]
-                    s_ = d @ oh
-                    own_size = sizes[own]
-                    a = s_[np.arange(len(b)), own] / np.maximum(own_size - 1.0, 1.0)
-                    other = s_ / sizes[None, :]
-                    other[np.arange(len(b)), own] = np.inf
-                    bb = other.min(axis=1)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        sv = (bb - a) / np.maximum(a, bb)
-                    sv = np.nan_to_num(np.where(own_size > 1, sv, 0.0), nan=0.0)
-                    sums[li] += float(sv.sum())
-                count += len(b)
-        yield pd.DataFrame({"cfg": np.arange(n_lab), "s": sums, "n": np.full(n_lab, count)})
-
-    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
-    sil_rows = sample.repartition(parts).mapInPandas(score, "cfg long, s double, n long") \
-        .groupBy("cfg").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-    sil = {r["cfg"]: (r["s"] / r["n"] if r["n"] else None) for r in sil_rows}
-    out = {}
-    for i, nm in enumerate(names):
-        rows = sorted(per_cfg[i], key=lambda r: r["label"])
-        counts = np.array([r["__n"] for r in rows], dtype=float)
-        cents = np.array([[r[f"__c{j}"] for j in range(len(cols))] for r in rows], dtype=float)
-        mean_dist = np.array([dist[(i, r["label"])][0] for r in rows]) / counts
-        ssq = np.array([dist[(i, r["label"])][1] for r in rows])
-        ch, db = _ch_db(counts, cents, mean_dist, ssq)
-        n = counts.sum()
-        out[nm] = {"silhouette_score": sil.get(i), "calinski_harabasz_score": ch, "davies_bouldin_score": db,
-                   "min_cluster_size": int(counts.min()), "max_cluster_size": int(counts.max()),
-                   "min_cluster_percentage": float(counts.min() * 100.0 / n),
-                   "max_cluster_percentage": float(counts.max() * 100.0 / n)}
-    return out
-
-
-def clustering_metrics_for_centers(df: DataFrame, cols, centers: dict, id_col: str, sample_size: int = 10_000,
-                                   seed: int = 42) -> dict:
-    """C9 for several fitted centre sets (nearest-centre labels) in shared passes.
-
-    Labels are assigned inside the NumPy pass (ties: lowest index), so any
-    number of models fits in one job without large generated code: one pass
-    sums count and features per (model, label), a second sums distances to
-    the resulting centroids, and the silhouette sample shares each distance
-    block across models. Returns name -> metrics dict.
-    """
+def clustering_metrics_for_centers(df: DataFrame, cols, centers: dict) -> dict:
+    """C9 for several fitted centre sets (nearest-centre labels, ties to the lowest index) in two
+    shared passes. Returns name -> metrics dict."""
     cols = list(cols)
     names = list(centers)
     models = [np.asarray(centers[nm], dtype=float) for nm in names]
+    mid = models[0].mean(axis=0)
     spark = df.sparkSession
     ship_package(spark)
-    X = df.select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    X = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     d = len(cols)
 
     def nearest(x, C):
         return ((x[:, None, :] - C[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
 
     def pass_one(batches):
-        acc = [(np.zeros(len(C)), np.zeros((len(C), d))) for C in models]
+        acc = [np.zeros((len(C), d + 2)) for C in models]
         for b in batches:
-            if b.empty:
-                continue
             x = b[cols].to_numpy(dtype=float)
-            for (cnt, s1), C in zip(acc, models):
-                lab = nearest(x, C)
-                cnt += np.bincount(lab, minlength=len(C))
-                np.add.at(s1, lab, x)
-        rows = [(i, j, float(cnt[j]), *map(float, s1[j])) for i, (cnt, s1) in enumerate(acc)
-                for j in range(len(cnt)) if cnt[j] > 0]
-        yield pd.DataFrame(rows, columns=["cfg", "label", "n", *[f"s{i}" for i in range(d)]])
-
-    one = X.mapInPandas(pass_one, "cfg long, label long, n double, " + ", ".join(f"s{i} double" for i in range(d))) \
-        .groupBy("cfg", "label").agg(F.sum("n").alias("n"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(d)]).collect()
-    stats = {}
+            if not len(x):
+                continue
+            y = x - mid
+            row = np.column_stack([np.ones(len(x)), (y ** 2).sum(axis=1), y])
+            for a, C in zip(acc, models):
+                np.add.at(a, nearest(x, C), row)
+        yield pd.DataFrame([(i, j, *map(float, a[j])) for i, a in enumerate(acc) for j in range(len(a))],
+                           columns=["cfg", "label", "n", "q", *[f"s{i}" for i in range(d)]])
+
+    values = ["n", "q", *[f"s{i}" for i in range(d)]]
+    one = X.mapInPandas(pass_one, "cfg long, label long, " + ", ".join(f"{v} double" for v in values)) \
+        .groupBy("cfg", "label").agg(*[F.sum(v).alias(v) for v in values]).collect()
+    stats = [(np.zeros(len(C)), np.zeros_like(C), np.zeros(len(C))) for C in models]
     for r in one:
-        stats.setdefault(r["cfg"], {})[r["label"]] = (r["n"], np.array([r[f"s{i}"] for i in range(d)]) / r["n"])
-    cents = {i: stats[i] for i in stats}
-    bc_c = spark.sparkContext.broadcast(cents)
+        if r["n"]:
+            n, cents, variances = stats[r["cfg"]]
+            mean = np.array([r[f"s{i}"] for i in range(d)]) / r["n"]
+            n[r["label"]], cents[r["label"]] = r["n"], mean + mid
+            variances[r["label"]] = max(r["q"] / r["n"] - float((mean ** 2).sum()), 0.0)
+    shared = spark.sparkContext.broadcast(stats)
 
     def pass_two(batches):
-        cm = bc_c.value
-        acc = [(np.zeros(len(C)), np.zeros(len(C))) for C in models]
+        acc = [np.zeros((len(C), 2)) for C in models]
         for b in batches:
-            if b.empty:
-                continue
             x = b[cols].to_numpy(dtype=float)
-            for i, ((sd, sq), C) in enumerate(zip(acc, models)):
-                lab = nearest(x, C)
-                cen = np.array([cm[i][j][1] if j in cm[i] else np.zeros(d) for j in range(len(C))])
-                dd = ((x - cen[lab]) ** 2).sum(axis=1)
-                sd += np.bincount(lab, weights=np.sqrt(dd), minlength=len(C))
-                sq += np.bincount(lab, weights=dd, minlength=len(C))
-        rows = [(i, j, float(sd[j]), float(sq[j])) for i, (sd, sq) in enumerate(acc) for j in range(len(sd))]
-        yield pd.DataFrame(rows, columns=["cfg", "label", "sd", "sq"])
-
-    two = X.mapInPandas(pass_two, "cfg long, label long, sd double, sq double") \
-        .groupBy("cfg", "label").agg(F.sum("sd").alias("sd"), F.sum("sq").alias("sq")).collect()
-    dist = {(r["cfg"], r["label"]): (r["sd"], r["sq"]) for r in two}
-    pdf = deterministic_sample(X, id_col, sample_size, seed).toPandas()  # bounded by sample_size
-    S = pdf[cols].to_numpy(dtype=float)
-    codes = []
-    for C in models:
-        _, c = np.unique(nearest(S, C), return_inverse=True)
-        codes.append(c)
-    sample_df = spark.createDataFrame(pdf[[id_col, *cols]])
-    position = {v: i for i, v in enumerate(pdf[id_col].tolist())}
-    bc = spark.sparkContext.broadcast((S, codes, position))
-    n_lab = len(names)
-
-    def score(batches):
-        Xs, cs_all, pos = bc.value
-        onehots = []
-        for cs in cs_all:
-            oh = np.zeros((len(cs), int(cs.max()) + 1))
-            oh[np.arange(len(cs)), cs] = 1.0
-            onehots.append(oh)
-        sq_s = (Xs ** 2).sum(axis=1)
-        block = max(1, BLOCK_CELLS // max(len(Xs), 1))
-        sums = np.zeros(n_lab)
-        count = 0
-        for batch in batches:
-            for lo in range(0, len(batch), block):
-                b = batch.iloc[lo:lo + block]
-                if b.empty:
-                    continue
-                x = b[cols].to_numpy(dtype=float)
-                me = np.array([pos[i] for i in b[id_col].tolist()])
-                dm = np.sqrt(np.maximum((x ** 2).sum(axis=1)[:, None] + sq_s[None, :] - 2.0 * x @ Xs.T, 0.0))
-                dm[np.arange(len(b)), me] = 0.0
-                for li in range(n_lab):
-                    oh = onehots[li]
-                    sizes = oh.sum(axis=0)
-                    own = cs_all[li][me]
-                    s_ = dm @ oh
-                    own_size = sizes[own]
-                    a = s_[np.arange(len(b)), own] / np.maximum(own_size - 1.0, 1.0)
-                    other = s_ / sizes[None, :]
-                    other[np.arange(len(b)), own] = np.inf
-                    bb = other.min(axis=1)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        sv = (bb - a) / np.maximum(a, bb)
-                    sums[li] += float(np.nan_to_num(np.where(own_size > 1, sv, 0.0), nan=0.0).sum())
-                count += len(b)
-        yield pd.DataFrame({"cfg": np.arange(n_lab), "s": sums, "n": np.full(n_lab, count)})
-
-    parts = max(1, min(spark.sparkContext.defaultParallelism, len(pdf) // 1250 + 1))
-    sil_rows = sample_df.repartition(parts).mapInPandas(score, "cfg long, s double, n long") \
-        .groupBy("cfg").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()
-    sil = {r["cfg"]: (r["s"] / r["n"] if r["n"] else None) for r in sil_rows}
+            if not len(x):
+                continue
+            for a, C, st in zip(acc, models, shared.value):
+                own = nearest(x, C)
+                s, dist = _score_rows(x, own, *st)
+                np.add.at(a, own, np.column_stack([dist, s]))
+        yield pd.DataFrame([(i, j, *map(float, a[j])) for i, a in enumerate(acc) for j in range(len(a))],
+                           columns=["cfg", "label", "dist", "sil"])
+
+    two = X.mapInPandas(pass_two, "cfg long, label long, dist double, sil double") \
+        .groupBy("cfg", "label").agg(F.sum("dist").alias("dist"), F.sum("sil").alias("sil")).collect()
+    sums = {(r["cfg"], r["label"]): (r["dist"], r["sil"]) for r in two}
     out = {}
     for i, nm in enumerate(names):
-        labs = sorted(stats[i])
-        counts = np.array([stats[i][j][0] for j in labs])
-        cm = np.array([stats[i][j][1] for j in labs])
-        mean_dist = np.array([dist[(i, j)][0] for j in labs]) / counts
-        ssq = np.array([dist[(i, j)][1] for j in labs])
-        ch, db = _ch_db(counts, cm, mean_dist, ssq)
-        n = counts.sum()
-        out[nm] = {"silhouette_score": sil.get(i), "calinski_harabasz_score": ch, "davies_bouldin_score": db,
-                   "min_cluster_size": int(counts.min()), "max_cluster_size": int(counts.max()),
-                   "min_cluster_percentage": float(counts.min() * 100.0 / n),
-                   "max_cluster_percentage": float(counts.max() * 100.0 / n)}
+        n, cents, variances = stats[i]
+        has = np.flatnonzero(n)
+        both = np.array([sums[(i, j)] for j in has])
+        out[nm] = _metric_values(n[has], cents[has], variances[has], both[:, 0], both[:, 1])
     return out

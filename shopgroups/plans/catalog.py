@@ -429,13 +429,13 @@ def davies_bouldin(spark: SparkSession, d: str) -> DataFrame:
 @register
 def silhouette_score(spark: SparkSession, d: str) -> DataFrame:
     emb, cols = _emb(spark, d)
-    return rounded(M.silhouette(emb, cols, "label", "vec_id", sample_size=10_000))
+    return rounded(M.silhouette(emb, cols, "label", "vec_id"))
 
 
 @register
 def silhouette_by_label(spark: SparkSession, d: str) -> DataFrame:
     emb, cols = _emb(spark, d)
-    s = M.silhouette_samples(emb, cols, "label", "vec_id", sample_size=10_000)
+    s = M.silhouette_samples(emb, cols, "label", "vec_id")
     return rounded(s.groupBy("label").agg(F.avg("silhouette").alias("mean_silhouette"),
                                           F.count("*").alias("scored_rows")))
 
@@ -443,7 +443,7 @@ def silhouette_by_label(spark: SparkSession, d: str) -> DataFrame:
 @register
 def clustering_metrics(spark: SparkSession, d: str) -> DataFrame:
     emb, cols = _emb(spark, d)
-    return rounded(M.clustering_metrics(emb, cols, "label", "vec_id", sample_size=10_000))
+    return rounded(M.clustering_metrics(emb, cols, "label"))
 
 
 @register

@@ -509,7 +509,7 @@ cd AS (SELECT a.label AS la, b.label AS lb, sqrt(sum((a.c - b.c) * (a.c - b.c)))
 db AS (SELECT avg(m) AS davies_bouldin_score FROM (
          SELECT la, max((sa.s + sb.s) / dist) AS m FROM cd JOIN s sa ON sa.label = la JOIN s sb ON sb.label = lb GROUP BY la)),
 pd AS (SELECT a.vec_id, a.label AS la, b.label AS lb, list_distance(a.v, b.v) AS dist FROM e a, e b),
-pm AS (SELECT vec_id, la, lb, sum(dist) AS sd, count(*) AS c FROM pd GROUP BY ALL),
+pm AS (SELECT vec_id, la, lb, sum(dist * dist) AS sd, count(*) AS c FROM pd GROUP BY ALL),
 sil AS (
   SELECT o.vec_id, o.la AS label,
          CASE WHEN o.c = 1 THEN 0.0 ELSE (x.b - o.sd / (o.c - 1)) / greatest(o.sd / (o.c - 1), x.b) END AS silhouette

@@ -120,18 +120,16 @@ def gmm_models(df: DataFrame, cols, configs) -> list[C.GMMResult]:
     return [gmm_model(df, cols, k, seed) for k, seed in configs]
 
 
-def _metric_values(df: DataFrame, cols, label: str, id_col: str, sample_size: int, seed: int) -> dict:
-    row = M.clustering_metrics(df, cols, label, id_col, sample_size, seed).first().asDict()
-    return row
+def _metric_values(df: DataFrame, cols, label: str) -> dict:
+    return M.clustering_metrics(df, cols, label).first().asDict()
 
 
-def evaluate_kmeans(df: DataFrame, cols, k: int, id_col: str = "customer_id", seed: int = 42,
-                    n_init: int = 10, sample_size: int = 10_000):
+def evaluate_kmeans(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10):
     """C4: fit + metrics. Returns (metrics dict, model, labelled DataFrame)."""
     model = kmeans_model(df, cols, k, seed, n_init)
     labelled = model.assign(df)
-    m = _memo("kmeans_metrics", df, (tuple(cols), k, seed, n_init, id_col, sample_size),
-              lambda: _metric_values(labelled, cols, "cluster", id_col, sample_size, seed))
+    m = _memo("kmeans_metrics", df, (tuple(cols), k, seed, n_init),
+              lambda: _metric_values(labelled, cols, "cluster"))
     m = {**m, "k": k, "random_state": seed, "n_features": len(cols), "inertia": model.inertia}
     return m, model, labelled
 
@@ -141,8 +139,7 @@ def _rows(spark: SparkSession, metrics: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(m.get(n) for n in names) for m in metrics], schema)
 
 
-def compare_k_values(df: DataFrame, cols, k_values, id_col: str = "customer_id", seed: int = 42,
-                     n_init: int = 10, sample_size: int = 10_000) -> DataFrame:
+def compare_k_values(df: DataFrame, cols, k_values, seed: int = 42, n_init: int = 10) -> DataFrame:
     """One metrics row per k. All k are fitted in the same passes over the data, and
     their metrics are computed together (about four passes instead of four per k)."""
     k_values = list(k_values)
@@ -150,24 +147,22 @@ def compare_k_values(df: DataFrame, cols, k_values, id_col: str = "customer_id",
     app = df.sparkSession.sparkContext.applicationId
 
     def key(k):
-        return (tuple(cols), k, seed, n_init, id_col, sample_size)
+        return (tuple(cols), k, seed, n_init)
     todo = [(k, m) for k, m in zip(k_values, models) if ("kmeans_metrics", app, id(df), key(k)) not in _MODELS]
     if todo:
-        res = M.clustering_metrics_for_centers(df, cols, {str(k): m.centers for k, m in todo},
-                                               id_col, sample_size, seed)
+        res = M.clustering_metrics_for_centers(df, cols, {str(k): m.centers for k, m in todo})
         for k, _ in todo:
             _memo("kmeans_metrics", df, key(k), lambda r=res[str(k)]: r)
-    out = [evaluate_kmeans(df, cols, k, id_col, seed, n_init, sample_size)[0] for k in k_values]
+    out = [evaluate_kmeans(df, cols, k, seed, n_init)[0] for k in k_values]
     return _rows(df.sparkSession, out, METRIC_SCHEMA)
 
 
-def compare_feature_sets(feature_sets: dict, k: int = 5, id_col: str = "customer_id", seed: int = 42,
-                         n_init: int = 10, sample_size: int = 10_000) -> DataFrame:
+def compare_feature_sets(feature_sets: dict, k: int = 5, seed: int = 42, n_init: int = 10) -> DataFrame:
     """One metrics row per named (DataFrame, columns) variant."""
     out, spark = [], None
     for name, (df, cols) in feature_sets.items():
         spark = df.sparkSession
-        m = evaluate_kmeans(df, cols, k, id_col, seed, n_init, sample_size)[0]
+        m = evaluate_kmeans(df, cols, k, seed, n_init)[0]
         m["feature_set_variant"] = name
         out.append(m)
     return _rows(spark, out, METRIC_SCHEMA + ", feature_set_variant string")
@@ -189,15 +184,14 @@ def seed_stability(df: DataFrame, cols, k: int, seeds, n_init: int = 10, id_col:
     return df.sparkSession.createDataFrame(rows, "k long, seed_a long, seed_b long, adjusted_rand_index double")
 
 
-def gmm_comparison(df: DataFrame, cols, k_values, id_col: str = "customer_id", seed: int = 42,
-                   sample_size: int = 10_000) -> DataFrame:
+def gmm_comparison(df: DataFrame, cols, k_values, seed: int = 42) -> DataFrame:
     """C8 + C15: diagonal GMM per k with AIC, BIC and average max probability."""
     out = []
     gmm_models(df, cols, [(k, seed) for k in k_values])
     for k in k_values:
         model = gmm_model(df, cols, k, seed)
         labelled = model.assign(df)
-        m = _metric_values(labelled, cols, "cluster", id_col, sample_size, seed)
+        m = _metric_values(labelled, cols, "cluster")
         avg_max = labelled.agg(F.avg("max_probability")).first()[0]
         m.update({"model": f"gmm_diag_k{k}", "algorithm": "gaussian_mixture_diag", "n_clusters": k,
                   "aic": model.aic(), "bic": model.bic(), "avg_max_probability": float(avg_max),
@@ -211,7 +205,7 @@ def gmm_comparison(df: DataFrame, cols, k_values, id_col: str = "customer_id", s
 
 
 def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_col: str = "customer_id",
-                       sample_size: int = 5000, metric_sample: int = 3000, seed: int = 42) -> DataFrame:
+                       sample_size: int = 5000, seed: int = 42) -> DataFrame:
     """Per (eps, min_samples): noise count/%, clusters, largest non-noise %, and separation
     metrics on non-noise rows when there are at least 2 clusters and more points than clusters.
     Percentages are over all sampled rows, noise included."""
@@ -229,7 +223,7 @@ def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_c
                    "largest_cluster_percentage": (largest or 0) * 100.0 / n if n else None}
             if k >= 2 and (n - noise) > k:
                 clustered = feats.join(labels.where("cluster >= 0").select(id_col, "cluster"), id_col)
-                m = _metric_values(clustered, cols, "cluster", id_col, metric_sample, seed)
+                m = _metric_values(clustered, cols, "cluster")
                 row.update({x: m[x] for x in ("silhouette_score", "calinski_harabasz_score", "davies_bouldin_score")})
             out.append(row)
     schema = ("eps double, min_samples long, sampled_rows long, noise_count long, noise_percentage double, "
@@ -239,14 +233,14 @@ def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_c
 
 
 def model_comparison(df: DataFrame, cols, id_col: str = "customer_id", k: int = 5, gmm_k=(4, 5, 6),
-                     seed: int = 42, n_init: int = 50, sample_size: int = 10_000):
+                     seed: int = 42, n_init: int = 50):
     """C14 + C15: one metrics row per model (K-Means, diagonal GMMs, bisecting K-Means) with the
     model-specific extras (inertia; AIC, BIC, average max probability) and NULL where a model has
     none, plus the per-model cluster balance table. Returns (metrics, balance)."""
     rows, balances = [], []
 
     def add(model_name, algorithm, n_clusters, labelled, extra):
-        m = M.clustering_metrics(labelled, cols, "cluster", id_col, sample_size, seed)
+        m = M.clustering_metrics(labelled, cols, "cluster")
         rows.append(M.evaluation_row(m, model_name, algorithm, n_clusters, extra))
         balances.append(M.cluster_summary(labelled.select("cluster"), "cluster")
                         .select(F.lit(model_name).alias("model"), "cluster", "count", "percentage"))
