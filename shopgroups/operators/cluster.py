@@ -4,7 +4,7 @@ Iterative fits follow one pattern: the model (a few centres, weights or
 variances; size k x d, independent of the data) lives on the driver and is
 broadcast; every iteration is ONE Spark job whose tasks read their partition
 once, compute Arrow batches in NumPy and emit only per-partition partial
-sums (k rows per start), which a tiny ``groupBy`` adds up. The data is never
+sums (k rows per start), which a ``groupBy`` adds up. The data is never
 collected and nothing grows with the number of rows except the scan.
 
 Assigning rows to a fitted model is a plain column expression (argmin over
@@ -58,7 +58,7 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
 
 
 def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
-    """Deterministic U(0,1) per row from its content hash and a salt (partition independent)."""
+    """Deterministic U(0,1) per row from the hash of its id and a salt (partition independent)."""
     with np.errstate(over="ignore"):
         z = _splitmix(h.astype(np.uint64) ^ _splitmix(np.array([salt], dtype=np.uint64))[0])
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
@@ -78,47 +78,29 @@ def nearest_center(cols, centers: np.ndarray) -> Column:
     return best["j"]
 
 
-# Partial-sum rows (partitions x groups) collected directly instead of through
-# a groupBy shuffle when there are at most this many; beyond it the groupBy
-# (tree-like, scalable) path is used.
-DIRECT_REDUCE_ROWS = 50_000
-
-
-def _reduce_partials(partials: DataFrame, keys: list[str], value_cols: list[str], n_parts: int,
-                     groups: int) -> list[dict]:
-    """Sum per-partition partial rows by ``keys``; small inputs skip the shuffle."""
-    if n_parts * groups <= DIRECT_REDUCE_ROWS:
-        acc: dict = {}
-        for row in partials.collect():
-            k = tuple(row[c] for c in keys)
-            vals = np.array([row[c] for c in value_cols], dtype=float)
-            acc[k] = acc[k] + vals if k in acc else vals
-        return [{**dict(zip(keys, k)), **dict(zip(value_cols, v))} for k, v in acc.items()]
+def _reduce_partials(partials: DataFrame, keys: list[str], value_cols: list[str]) -> list[dict]:
+    """Sum per-partition partial rows by ``keys``: one row per start and cluster comes back."""
     agg = partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in value_cols])
     return [r.asDict() for r in agg.collect()]
 
 
-ROWS_PER_TASK = 250_000  # rows per partition below which extra partitions only add overhead
-
-
-def _prepared(df: DataFrame, cols) -> DataFrame:
-    """Feature columns as doubles plus a content hash, cached for the iterations.
+def _prepared(df: DataFrame, cols, id_col: str | None) -> DataFrame:
+    """Feature columns as doubles plus a hash of the row's id, cached for the iterations.
 
-    Small inputs are coalesced (no shuffle) so each iteration runs as few
-    tasks as the data needs; large inputs keep their partitioning.
+    Equal rows keep draws of their own through their ids; without ``id_col``
+    rows are numbered. Fewer partitions than cores are dealt out anew.
     """
     ship_package(df.sparkSession)
-    feats = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    feats = feats.withColumn("__h", F.xxhash64(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
-    n_rows = feats.count()
-    parts = feats.rdd.getNumPartitions()
-    want = max(1, min(parts, -(-n_rows // ROWS_PER_TASK)))
-    if want < parts:
-        small = feats.coalesce(want).persist(StorageLevel.MEMORY_AND_DISK)
-        small.count()
-        feats.unpersist()
-        return small, want
-    return feats, parts
+    key = F.xxhash64(F.col(id_col)) if id_col else F.xxhash64(F.monotonically_increasing_id())
+    feats = df.select(*[F.col(c).cast("double").alias(c) for c in cols], key.alias("__h"))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if feats.rdd.getNumPartitions() < cores:
+        feats = feats.repartition(cores, "__h")
+    return feats.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _row_id(df: DataFrame, id_col: str | None) -> str | None:
+    return id_col if id_col else "customer_id" if "customer_id" in df.columns else None
 
 
 # ---------------------------------------------------------------- C3 K-Means
@@ -130,12 +112,13 @@ class KMeansResult:
     n_iter: int
     best_start: int
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    converged: bool = True       # False if the best start was ended by max_iter
 
     def assign(self, df: DataFrame, out_col: str = "cluster") -> DataFrame:
         return df.withColumn(out_col, nearest_center(self.columns, self.centers))
 
 
-def _kpp_init(X: DataFrame, cols, starts: list[tuple[int, int, int]], n_parts: int) -> np.ndarray:
+def _kpp_init(X: DataFrame, cols, starts: list[tuple[int, int, int]]) -> np.ndarray:
     """k-means++ for many starts at once; ``starts`` = (seed, restart, k) per start.
 
     Step t draws the t-th centre of every start that needs one, in ONE job
@@ -176,24 +159,16 @@ def _kpp_init(X: DataFrame, cols, starts: list[tuple[int, int, int]], n_parts: i
             rows = [(int(i), float(best_key[i]), *map(float, best_row[i])) for i in todo if np.isfinite(best_key[i])]
             yield pd.DataFrame(rows, columns=["start", "key", *[f"x{i}" for i in range(d)]])
 
-        part = X.mapInPandas(draw, schema)
-        if n_parts * len(todo) <= DIRECT_REDUCE_ROWS:
-            best: dict = {}
-            for r in part.collect():
-                if r["start"] not in best or r["key"] > best[r["start"]][0]:
-                    best[r["start"]] = (r["key"], np.array([r[f"x{i}"] for i in range(d)], dtype=float))
-            new = {s_: v[1] for s_, v in best.items()}
-        else:
-            got = part.groupBy("start").agg(
-                F.max_by(F.struct(*[f"x{i}" for i in range(d)]), "key").alias("r")).collect()
-            new = {r["start"]: np.array(list(r["r"]), dtype=float) for r in got}
+        got = X.mapInPandas(draw, schema).groupBy("start").agg(
+            F.max_by(F.struct(*[f"x{i}" for i in range(d)]), "key").alias("r")).collect()
+        new = {r["start"]: np.array(list(r["r"]), dtype=float) for r in got}
         for i in todo:
             # all points coincide with chosen centres: reuse the last centre
             chosen[i, step] = new.get(i, chosen[i, step - 1] if step else np.zeros(d))
     return chosen
 
 
-def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray, n_parts: int,
+def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray,
                 valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One job: per (start, cluster) count, feature sums and cost under ``centers`` (R x k x d).
 
@@ -228,7 +203,7 @@ def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray, n_parts: int,
         yield pd.DataFrame(rows, columns=["start", "cluster", "n", "cost", *[f"s{i}" for i in range(d)]])
 
     rows = _reduce_partials(X.mapInPandas(step, schema), ["start", "cluster"],
-                            ["n", "cost", *[f"s{i}" for i in range(d)]], n_parts, R * k)
+                            ["n", "cost", *[f"s{i}" for i in range(d)]])
     n = np.zeros((R, k))
     cost = np.zeros((R, k))
     sums = np.zeros((R, k, d))
@@ -245,7 +220,7 @@ def _canonical(centers: np.ndarray, sizes: np.ndarray):
 
 
 def fit_kmeans(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300,
-               tol: float = 1e-4) -> KMeansResult:
+               tol: float = 1e-4, id_col: str | None = None) -> KMeansResult:
     """Lloyd's algorithm from ``n_init`` k-means++ starts run side by side; best inertia wins.
 
     Same answer as ``n_init`` separate runs, one Spark job per iteration for
@@ -253,11 +228,11 @@ def fit_kmeans(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10, ma
     ``tol`` x mean feature variance (scikit-learn's rule). Empty clusters
     keep their previous centre.
     """
-    return fit_kmeans_many(df, cols, [(k, seed)], n_init, max_iter, tol)[0]
+    return fit_kmeans_many(df, cols, [(k, seed)], n_init, max_iter, tol, id_col)[0]
 
 
 def fit_kmeans_many(df: DataFrame, cols, configs, n_init: int = 10, max_iter: int = 300,
-                    tol: float = 1e-4) -> list[KMeansResult]:
+                    tol: float = 1e-4, id_col: str | None = None) -> list[KMeansResult]:
     """Fit several (k, seed) configurations in the same passes over the data.
 
     A k sweep or a seed study becomes one set of jobs: every Lloyd iteration
@@ -267,13 +242,13 @@ def fit_kmeans_many(df: DataFrame, cols, configs, n_init: int = 10, max_iter: in
     """
     cols = list(cols)
     configs = [(int(k), int(seed)) for k, seed in configs]
-    X, n_parts = _prepared(df, cols)
+    X = _prepared(df, cols, _row_id(df, id_col))
     try:
         var_row = X.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
         tol_abs = tol * float(np.mean([var_row[c] or 0.0 for c in cols]))
         starts = [(seed, rs, k) for k, seed in configs for rs in range(n_init)]
         owner = [ci for ci in range(len(configs)) for _ in range(n_init)]
-        centers = _kpp_init(X, cols, starts, n_parts)
+        centers = _kpp_init(X, cols, starts)
         kmax = centers.shape[1]
         valid = np.array([[j < k for j in range(kmax)] for _, _, k in starts])
         active = np.ones(len(starts), dtype=bool)
@@ -282,7 +257,7 @@ def fit_kmeans_many(df: DataFrame, cols, configs, n_init: int = 10, max_iter: in
             idx = np.flatnonzero(active)
             if len(idx) == 0:
                 break
-            n, _, sums = _lloyd_pass(X, cols, centers[idx], n_parts, valid[idx])
+            n, _, sums = _lloyd_pass(X, cols, centers[idx], valid[idx])
             for pos, r in enumerate(idx):
                 new = centers[r].copy()
                 nz = (n[pos] > 0) & valid[r]
@@ -292,26 +267,20 @@ def fit_kmeans_many(df: DataFrame, cols, configs, n_init: int = 10, max_iter: in
                 n_iter[r] += 1
                 if shift <= tol_abs:
                     active[r] = False
-        n, cost, _ = _lloyd_pass(X, cols, centers, n_parts, valid)
+        n, cost, _ = _lloyd_pass(X, cols, centers, valid)
         inertia = cost.sum(axis=1)
         results = []
         for ci, (k, _) in enumerate(configs):
             mine = [r for r in range(len(starts)) if owner[r] == ci]
             best = min(mine, key=lambda r: (inertia[r], r))
             ctr, sizes = _canonical(centers[best][:k], n[best][:k])
-            results.append(KMeansResult(cols, ctr, float(inertia[best]), int(n_iter[best]), best - mine[0], sizes))
+            results.append(KMeansResult(cols, ctr, float(inertia[best]), int(n_iter[best]), best - mine[0], sizes,
+                                        not active[best]))
         return results
     finally:
         X.unpersist()
 
 
-def kmeans_labels(df: DataFrame, cols, k: int, id_col: str = "customer_id", seed: int = 42,
-                  n_init: int = 10, max_iter: int = 300) -> tuple[DataFrame, KMeansResult]:
-    """C3 + S3: (id, cluster) with canonical label numbers."""
-    model = fit_kmeans(df, cols, k, seed, n_init, max_iter)
-    return model.assign(df.select(id_col, *cols)).select(id_col, "cluster"), model
-
-
 # ---------------------------------------------------------------- C8 diagonal GMM
 @dataclass
 class GMMResult:
@@ -394,7 +363,7 @@ def fit_gmm_diag_many(df: DataFrame, cols, configs, max_iter: int = 100, tol: fl
     d = len(cols)
     configs = [(int(k), int(seed)) for k, seed in configs]
     inits = inits or fit_kmeans_many(df, cols, configs, n_init=1)
-    X, n_parts = _prepared(df, cols)
+    X = _prepared(df, cols, None)  # no draws here
     try:
         params = [_gmm_params_from_labels(X, cols, nearest_center(cols, ini.centers), k, reg_covar)
                   for ini, (k, _) in zip(inits, configs)]
@@ -440,10 +409,8 @@ def fit_gmm_diag_many(df: DataFrame, cols, configs, max_iter: int = 100, tol: fl
                 yield pd.DataFrame(rows, columns=["cfg", "comp", "nk", "ll", "n", *[f"a{i}" for i in range(d)],
                                                   *[f"b{i}" for i in range(d)]])
 
-            groups = sum(configs[c][0] for c in active)
             agg = _reduce_partials(X.mapInPandas(em, schema), ["cfg", "comp"],
-                                   ["nk", "ll", "n", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)]],
-                                   n_parts, groups)
+                                   ["nk", "ll", "n", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)]])
             stats = {c: [np.zeros(configs[c][0]), np.zeros((configs[c][0], d)), np.zeros((configs[c][0], d)), 0.0, 0]
                      for c in active}
             for r in agg:

@@ -21,7 +21,7 @@ def _blobs(spark, n_per=100, seed=0, spread=0.3):
 
 
 def _silhouette_np(X, lab):
-    d = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(axis=2))
+    d = ((X[:, None, :] - X[None, :, :]) ** 2).sum(axis=2)  # squared Euclidean
     s = []
     for i in range(len(X)):
         own = lab == lab[i]
@@ -74,10 +74,11 @@ def test_kmeans_recovers_blobs_and_is_partition_independent(spark):
     # E16
     df, _, truth = _blobs(spark)
     cols = ["x0", "x1", "x2"]
-    model = C.fit_kmeans(df, cols, 3, seed=7, n_init=3)
+    model = C.fit_kmeans(df, cols, 3, seed=7, n_init=3, id_col="id")
+    assert model.converged
     labels = model.assign(df).orderBy("id").select("cluster").toPandas()["cluster"].to_numpy()
     assert (labels == truth).all()
-    model8 = C.fit_kmeans(df.repartition(8), cols, 3, seed=7, n_init=3)
+    model8 = C.fit_kmeans(df.repartition(8), cols, 3, seed=7, n_init=3, id_col="id")
     assert np.allclose(model.centers, model8.centers)
     assert model.inertia == pytest.approx(model8.inertia, rel=1e-9)
 
@@ -148,24 +149,37 @@ def test_batched_gmm_equals_separate_fits(spark):
         assert model.n_iter == alone.n_iter
 
 
-def test_batched_metrics_equal_single(spark):
-    from pyspark.sql import functions as F
-    df, _, truth = _blobs(spark, 30, spread=2.5)
-    cols = ["x0", "x1", "x2"]
-    labels = {"a": (F.col("id") % 3), "b": (F.col("id") % 2), "c": F.when(F.col("x0") > 4, 1).otherwise(0)}
-    many = M.clustering_metrics_many(df, cols, labels, "id")
-    for name, expr in labels.items():
-        single = M.clustering_metrics(df.withColumn("lab", expr), cols, "lab", "id").first().asDict()
-        for key, value in single.items():
-            assert many[name][key] == pytest.approx(value, rel=1e-9), (name, key)
+def test_silhouette_scores_every_row(spark):
+    rng = np.random.default_rng(4)
+    X = np.concatenate([rng.normal(0, 1, (9000, 2)), rng.normal(3, 1, (3500, 2))])
+    lab = np.repeat([0, 1], [9000, 3500])
+    df = spark.createDataFrame([(i, int(c), *map(float, x)) for i, (c, x) in enumerate(zip(lab, X))], "id long, label int, x double, y double")
+    s = M.silhouette_samples(df, ["x", "y"], "label", "id").orderBy("id").toPandas()["silhouette"].to_numpy()
+    assert len(s) == 12_500
+    for i in (0, 8999, 9000, 12_499):
+        d = ((X - X[i]) ** 2).sum(axis=1)
+        a, b = d[lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1), d[lab != lab[i]].mean()
+        assert s[i] == pytest.approx((b - a) / max(a, b), rel=1e-9)
 
 
 def test_metrics_for_centers_equal_single(spark):
     df, _, _ = _blobs(spark, 30, spread=2.5)
     cols = ["x0", "x1", "x2"]
     fits = {str(k): C.fit_kmeans(df, cols, k, 1, n_init=2) for k in (2, 3, 4)}
-    many = M.clustering_metrics_for_centers(df, cols, {k: m.centers for k, m in fits.items()}, "id")
+    many = M.clustering_metrics_for_centers(df, cols, {k: m.centers for k, m in fits.items()})
     for name, model in fits.items():
-        single = M.clustering_metrics(model.assign(df), cols, "cluster", "id").first().asDict()
+        single = M.clustering_metrics(model.assign(df), cols, "cluster").first().asDict()
         for key, value in single.items():
             assert many[name][key] == pytest.approx(value, rel=1e-9), (name, key)
+
+
+def test_start_draw_counts_repeated_rows(spark):
+    # nine of ten rows are one point: about nine of ten first centres are it
+    rows = [(i, 1.0 if i < 900 else float(i)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, x double")
+    X = C._prepared(df, ["x"], "id")
+    first = C._kpp_init(X, ["x"], [(seed, 0, 1) for seed in range(400)])[:, 0, 0]
+    X.unpersist()
+    assert 0.84 < (first == 1.0).mean() < 0.96
+    model = C.fit_kmeans(df, ["x"], 4, n_init=1, max_iter=1, id_col="id")
+    assert not model.converged and model.n_iter == 1
