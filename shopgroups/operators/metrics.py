@@ -183,6 +183,17 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     return s.select(ari.alias("adjusted_rand_index"))
 
 
+def ari_of_counts(counts: pd.Series) -> float:
+    """ARI of a contingency table: counts indexed by the two labels."""
+    def pairs(n):
+        return float((n * (n - 1) / 2.0).sum())
+
+    index, a, b = pairs(counts), pairs(counts.groupby(level=0).sum()), pairs(counts.groupby(level=1).sum())
+    n = float(counts.sum())
+    expected, most = a * b / max(n * (n - 1) / 2.0, 1.0), (a + b) / 2.0
+    return 1.0 if most == expected else (index - expected) / (most - expected)
+
+
 def clustering_metrics(df: DataFrame, cols, label: str) -> DataFrame:
     """Silhouette, CH, DB and cluster size range, one row."""
     m = _label_metrics(df, cols, label)

@@ -152,7 +152,8 @@ def value_context(cluster_profile: DataFrame, plan: DataFrame) -> DataFrame:
 
 def cluster_row(frame: DataFrame, cluster, cluster_col: str = "cluster") -> DataFrame:
     """The first row for ``cluster`` (by the frame's remaining columns); none -> error."""
-    rows = frame.where(F.col(cluster_col) == F.lit(cluster)).limit(1).collect()
+    rest = [c for c in frame.columns if c != cluster_col]
+    rows = frame.where(F.col(cluster_col) == F.lit(cluster)).orderBy(*rest).limit(1).collect()
     if not rows:
         raise ValueError(f"Cluster {cluster} was not found.")
     return frame.sparkSession.createDataFrame(rows, frame.schema)

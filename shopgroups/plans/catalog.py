@@ -56,7 +56,7 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 # ------------------------------------------------------------------ shared views
 def segment_lines(spark: SparkSession, d: str) -> DataFrame:
     """(invoice_id, customer_id, cluster, product): item occurrences with the segment."""
-    return V.basket_lines(spark, d).join(V.customer_segments(spark, d), "customer_id")
+    return B.join_baskets_to_clusters(V.basket_lines(spark, d), V.customer_segments(spark, d), validate=False)
 
 
 def segment_baskets(spark: SparkSession, d: str, validate: bool = False) -> DataFrame:
@@ -68,9 +68,9 @@ def segment_item_sets(spark: SparkSession, d: str) -> DataFrame:
     """(invoice_id, cluster, items): sets are built from the lines first, then one row
     per basket is joined to its customer's segment."""
     sets = B.basket_item_sets(V.invoice_lines(spark, d))
-    return (sets.join(V.invoices(spark, d), "invoice_id")
-                .join(V.customer_segments(spark, d), "customer_id")
-                .select("invoice_id", "cluster", "items"))
+    baskets = sets.join(V.invoices(spark, d), "invoice_id")
+    return (B.join_baskets_to_clusters(baskets, V.customer_segments(spark, d), validate=False)
+             .select("invoice_id", "cluster", "items"))
 
 
 def segment_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -548,7 +548,7 @@ PROFILE_COLUMNS = ["age", "customer_tenure", "total_lifetime_spend", "lifetime_t
 
 
 def segment_features(spark: SparkSession, d: str) -> DataFrame:
-    return customer_features_frame(spark, d).join(V.customer_segments(spark, d), "customer_id")
+    return PR.profile_input(V.customer_segments(spark, d), customer_features_frame(spark, d))
 
 
 def split_labels(spark: SparkSession, d: str) -> DataFrame:

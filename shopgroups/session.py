@@ -61,8 +61,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts.
 
     Uses ``spark.checkpoint.dir`` from the session (set by the cluster to a
-    shared file system). Only when it is unset — local runs and tests — a
-    fresh scratch folder is created.
+    shared file system). Only when it is unset and Spark runs in this process —
+    local runs and tests — a fresh scratch folder is created; on a cluster a
+    missing setting is an error, as no machine-local folder would do.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -75,6 +76,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover
             conf_dir = None
     if not conf_dir:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="shopgroups-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -45,18 +45,25 @@ def read_back(spark: SparkSession, path: str, schema: StructType, fmt: str = "pa
     return spark.read.schema(schema).parquet(path)
 
 
+def _content(df: DataFrame) -> tuple:
+    """Row count and an order-independent sum of row hashes."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
+    return row["n"], row["h"]
+
+
 def round_trip_check(spark: SparkSession, df: DataFrame, path: str, fmt: str = "csv") -> DataFrame:
     """Write, read back with the written schema, and report (check, value) rows.
 
-    Returns the counts and column lists of both sides; raises when they differ.
+    Returns the counts and column lists of both sides; raises when they or any value differ.
     """
     write_table(df, path, fmt)
     back = read_back(spark, path, df.schema, fmt)
-    written = df.count()
-    read = back.count()
+    written, written_hash = _content(df)
+    read, read_hash = _content(back)
     same_cols = back.columns == df.columns
-    if written != read or not same_cols:
-        raise ValueError(f"round trip mismatch: wrote {written} rows, read {read}; columns equal={same_cols}")
+    if written != read or not same_cols or written_hash != read_hash:
+        raise ValueError(f"the table read back differs: {written} rows written, {read} read; "
+                         f"columns equal: {same_cols}; values equal: {written_hash == read_hash}")
     rows = [("rows written", str(written)), ("rows read", str(read)),
             ("columns", str(len(back.columns))), ("columns equal", str(same_cols).lower())]
     return spark.createDataFrame(rows, "check string, value string")

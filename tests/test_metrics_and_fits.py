@@ -70,6 +70,13 @@ def test_ari_cases(spark):
     assert M.adjusted_rand_index(df, "one", "distinct_label").first()[0] == pytest.approx(0.0)
 
 
+def test_ari_of_counts_equals_the_plan(spark):
+    rng = np.random.default_rng(3)
+    pdf = __import__("pandas").DataFrame({"a": rng.integers(0, 4, 200), "b": rng.integers(0, 3, 200)})
+    want = M.adjusted_rand_index(spark.createDataFrame(pdf), "a", "b").first()[0]
+    assert M.ari_of_counts(pdf.groupby(["a", "b"]).size()) == pytest.approx(want)
+
+
 def test_kmeans_recovers_blobs_and_is_partition_independent(spark):
     # E16
     df, _, truth = _blobs(spark)
