@@ -18,9 +18,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import documents, python_ready, stored, text_or_empty, work_folder
 from .ragged import CHUNK_BYTES, mix, span_hashes, text_bytes
@@ -194,55 +194,44 @@ def chain_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     python_ready(spark)
     folder = work_folder(spark, "versions")
-    slim = df.select(F.col(id_col).alias("rec_id"), text_or_empty(text_col).alias("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), slim.rdd.getNumPartitions())
-    order = [F.col("rec_id"), F.xxhash64("text")]
-    # texts in ranges of ids; the ends of the ranges are put together afterwards
-    ranged = slim.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    id_type = dict(slim.dtypes)["rec_id"]
-    schema = f"part int, kind string, rec_id {id_type}, text string, {RESULT}"
-    names = [c.split()[0] for c in schema.split(", ")]
-    arrow_id = pa.array([], pa.int64()).type if id_type == "bigint" else None
-
-    def rows(part, kind, ids, texts, results=None):
-        columns = results or [pa.nulls(len(ids), t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
-        return pa.RecordBatch.from_arrays([
-            pa.array([part] * len(ids), pa.int32()), pa.array([kind] * len(ids), pa.string()), pa.array(ids, arrow_id),
-            pa.array(texts, pa.string()) if kind else pa.nulls(len(ids), pa.string()), *columns], names=names)
+    texts = df.select(F.col(id_col).alias("rec_id"), text_or_empty(text_col).alias("text")).withColumn("digest", F.xxhash64("text"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    # slim rows in ranges of ids; each range's first key, one per range, splits the texts alike
+    slim = stored(texts.select("rec_id", "digest"), folder, "ids")
+    key = F.struct("rec_id", "digest")
+    firsts = slim.repartitionByRange(n, "rec_id", "digest").groupBy(F.spark_partition_id()).agg(F.min(key).alias("k"))
+    firsts = stored(firsts.agg(F.array_sort(F.collect_list("k")).alias("firsts")), folder, "firsts")
+    ranges = F.size("firsts")
+    steps = F.lit([1 << b for b in reversed(range(n.bit_length()))])
+    number = F.aggregate(steps, F.lit(0), lambda lo, s: F.when(
+        (lo + s < ranges) & (F.get("firsts", lo + s) <= key), lo + s).otherwise(lo))
+    # the first text of a range is also a guest at the end of the range before it
+    own = texts.crossJoin(F.broadcast(firsts)).withColumn("range", number)
+    place = F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))
+    guest = F.struct(F.pmod(F.col("range") - 1, ranges).alias("range"), F.lit(True).alias("guest"))
+    dealt = own.select("rec_id", "digest", "text", F.explode(F.when(
+        F.get("firsts", F.col("range")) == key, F.array(place, guest)).otherwise(F.array(place))).alias("p")).select("p.*", "rec_id", "digest", "text")
+    ordered = dealt.repartition(n, "range").sortWithinPartitions("range", "guest", "rec_id", "digest").select("range", "guest", "rec_id", "text")
+    id_type = dict(texts.dtypes)["rec_id"]
+    names = ["rec_id", *(c.split()[0] for c in RESULT.split(", "))]
 
     def run(batches):
-        part, ids, texts, size, first = TaskContext.get().partitionId(), [], [], 0, True
+        at, ids, held, size = None, [], [], 0  # of the range that is read, the texts that wait for the next one
         for batch in batches:
-            for rec_id, text in zip(batch.column("rec_id").to_pylist(), batch.column("text").to_pylist()):
-                if first:
-                    yield rows(part, "head", [rec_id], [text])
-                    first = False
+            for number, is_guest, rec_id, text in zip(*(batch.column(c).to_pylist() for c in ("range", "guest", "rec_id", "text"))):
+                if number != at:
+                    at, ids, held, size = number, [], [], 0
+                elif not ids and is_guest:  # equal guests; the first closed the range
+                    continue
                 ids.append(rec_id)
-                texts.append(text)
+                held.append(text)
                 size += len(text)
-                if size > CHUNK_BYTES and len(texts) > 1:
-                    yield rows(part, None, ids[:-1], texts[:-1], pair_results(texts[:-1], texts[1:]))
-                    ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
-        if len(texts) > 1:
-            yield rows(part, None, ids[:-1], texts[:-1], pair_results(texts[:-1], texts[1:]))
-        if texts:
-            yield rows(part, "tail", ids[-1:], texts[-1:])
-
-    done = stored(ranged.mapInArrow(run, schema), folder, "ranges")
-    heads = done.filter("kind = 'head'").select(F.col("part").alias("head"), F.col("text").alias("following"))
-    # one row per range, without texts
-    by_part = Window.orderBy("head")
-    after = heads.select("head", F.coalesce(F.lead("head").over(by_part), F.first("head").over(by_part)).alias("next_head")).withColumnRenamed("head", "part")
-    ends = (done.filter("kind = 'tail'").select("part", "rec_id", "text").join(after, "part")
-            .join(heads.withColumnRenamed("head", "next_head"), "next_head").select("rec_id", "text", "following"))
-
-    def close(batches):
-        for batch in batches:
-            texts, following = (batch.column(c).to_pylist() for c in ("text", "following"))
-            yield pa.RecordBatch.from_arrays([batch.column("rec_id"), *pair_results(texts, following)], names=["rec_id", *names[4:]])
+                if is_guest or size > CHUNK_BYTES // 2 and len(held) > 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[:-1], arrow_type), *pair_results(held[:-1], held[1:])], names=names)
+                    ids, held, size = ([], [], 0) if is_guest else (ids[-1:], held[-1:], len(held[-1]))
 
-    closed = ends.mapInArrow(close, f"rec_id {id_type}, {RESULT}")
-    return done.filter("kind is null").select("rec_id", *names[4:]).unionByName(closed).withColumnRenamed("rec_id", id_col)
+    arrow_type = to_arrow_type(texts.schema["rec_id"].dataType)
+    return ordered.mapInArrow(run, f"rec_id {id_type}, {RESULT}").withColumnRenamed("rec_id", id_col)
 
 
 def op1_versions(spark, sf_dir: str) -> DataFrame:
