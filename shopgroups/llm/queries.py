@@ -6,7 +6,7 @@ from .jaccard import op4_jaccard
 from .licences import op10_licences
 from .packing import op5_packing
 from .piecewise import op2_pieces
-from .secrets import op9_secrets
+from .secrets import BASE, COPIED_OWNERS, KINDS, PLACEHOLDERS, op9_secrets
 from .sharding import op7_sharding
 from .token_counts import op8_token_counts
 from .toxicity import op6_toxicity
@@ -14,4 +14,39 @@ from .vectors import op3_vectors
 from .versions import op1_versions
 
 QUERIES = {f.__name__: f for f in (op1_versions, op2_pieces, op3_vectors, op4_jaccard, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets, op10_licences)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _hits(no: int) -> str:
+    """All matches of one kind: their texts, values, and the texts between them."""
+    p = _sql_text(KINDS[no][1])
+    return f"""SELECT uid, owner, {no} AS kind_no, {KINDS[no][2]} AS shortest, unnest(range(1, len(m) + 1)) AS i, m, v, g
+  FROM (SELECT uid, owner, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, 1) AS v,
+               regexp_split_to_array(text, {p}) AS g FROM t) WHERE len(m) > 0"""
+
+
+_NAMES = "[" + ", ".join(_sql_text(k[0]) for k in KINDS) + "]"
+_SECRETS = f"""
+WITH t AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+h AS ({' UNION ALL '.join(_hits(no) for no in range(len(KINDS)))}),
+c AS (SELECT uid, owner, kind_no, v[i] AS value,
+             (list_sum([length(x) for x in g[1:i]]) + list_sum([length(x) for x in m[1:i]]))::BIGINT AS stop, length(m[i]) AS n
+      FROM h WHERE length(v[i]) >= shortest AND (kind_no < {BASE} OR (
+        regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[a-z]') AND regexp_matches(v[i], '[A-Z]')))),
+o AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
+s AS (SELECT uid, kind_no, stop - n AS start, stop, CASE WHEN owners >= {COPIED_OWNERS} THEN 'copied'
+             WHEN regexp_matches(value, {_sql_text(PLACEHOLDERS)}) THEN 'placeholder' ELSE 'live' END AS status
+      FROM c JOIN o USING (value)),
+f AS (SELECT *, {_NAMES}[kind_no + 1] || ':' || start || ':' || stop AS name FROM s
+      WHERE kind_no < {BASE} OR (status = 'live' AND NOT EXISTS (
+        SELECT 1 FROM s b WHERE b.uid = s.uid AND b.kind_no < {BASE} AND b.start < s.stop AND s.start < b.stop)))
+SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_no = 1) AS n_access, count(*) FILTER (kind_no = 2) AS n_hex,
+       sha256(coalesce(string_agg(name, ',' ORDER BY start, kind_no) FILTER (kind_no < {BASE}), '')) AS base_sha256,
+       coalesce(string_agg(name, ',' ORDER BY start, kind_no), '') AS spans,
+       count(*) FILTER (status = 'live') AS n_live, count(*) FILTER (status = 'copied') AS n_copied
+FROM t LEFT JOIN f USING (uid) GROUP BY uid, doc_id"""
+
+ORACLE_SQL: dict[str, str] = {"op9_secrets": _SECRETS}
