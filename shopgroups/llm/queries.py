@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .jaccard import op4_jaccard
+from .jaccard import PERCENT, SHINGLE, op4_jaccard
 from .licences import op10_licences
 from .packing import op5_packing
 from .piecewise import op2_pieces
@@ -49,4 +49,19 @@ SELECT doc_id, count(*) FILTER (kind_no = 0) AS n_assign, count(*) FILTER (kind_
        count(*) FILTER (status = 'live') AS n_live, count(*) FILTER (status = 'copied') AS n_copied
 FROM t LEFT JOIN f USING (uid) GROUP BY uid, doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op9_secrets": _SECRETS}
+#: All pairs that share a shingle, then reachability; for tables of some thousand documents.
+_JACCARD = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\\x20\\x09-\\x0D]+') if x <> ''] AS words FROM documents),
+d AS (SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN []::VARCHAR[] WHEN len(words) < {SHINGLE} THEN [array_to_string(words, ' ')]
+             ELSE [array_to_string(words[i:i + {SHINGLE - 1}], ' ') for i in range(1, len(words) - {SHINGLE - 2})] END) AS grams FROM w),
+u AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM d),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared
+      FROM u a JOIN u b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p WHERE 100 * shared >= {PERCENT} * (n + m - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT d.doc_id, len(d.grams) AS n_shingles, least(d.doc_id, min(r.b)) AS component_id
+FROM d JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, d.grams"""
+
+ORACLE_SQL: dict[str, str] = {"op4_jaccard": _JACCARD, "op9_secrets": _SECRETS}
