@@ -217,9 +217,18 @@ def mine_pair_rules(lines: DataFrame, group_cols=("cluster",), basket_col: str =
                                      prune_items, lift_digits)
 
 
+#: Groups whose small tables the pair rules broadcast; more are joined as AQE decides.
+FEW_GROUPS = 1_000
+
+
+def few_groups(groups: DataFrame, group_col: str = "cluster") -> bool:
+    """Whether the (small) table that defines the groups has at most ``FEW_GROUPS`` of them."""
+    return groups.select(group_col).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+
+
 def mine_pair_rules_from_sets(sets: DataFrame, group_cols=("cluster",), basket_col: str = "invoice_id",
                               min_support: float = 0.01, min_confidence: float = 0.15, min_lift: float = 1.2,
-                              prune_items: bool = True, lift_digits: int = 9) -> DataFrame:
+                              prune_items: bool = True, lift_digits: int = 9, few: bool = False) -> DataFrame:
     """Directed single-item rules ``a -> c`` per group (A-priori, two levels).
 
     ``sets``: one row per non-empty basket with its group columns and
@@ -231,8 +240,9 @@ def mine_pair_rules_from_sets(sets: DataFrame, group_cols=("cluster",), basket_c
 
     Plan: item counts and N are aggregations of the sets; items below min
     support are removed from the sets before pairing (lossless: a pair is
-    never more frequent than its items); pairs are generated inside the row
-    and counted with a partial+final aggregation, so there is no self join
+    never more frequent than its items); with ``few`` groups (see
+    ``few_groups``) the frequent items are broadcast, so the sets are not
+    shuffled by group; pairs are generated inside the row and counted with a partial+final aggregation, so there is no self join
     and a hot group is pre-aggregated map-side before its shuffle.
     """
     g = list(group_cols)
@@ -243,13 +253,17 @@ def mine_pair_rules_from_sets(sets: DataFrame, group_cols=("cluster",), basket_c
         frequent = (item_counts.join(totals, g) if g else item_counts.join(totals))
         frequent = (frequent.where(F.col("n_item") / F.col("n_baskets") >= F.lit(min_support))
                             .groupBy(*g).agg(F.collect_list("item").alias("frequent")))
-        # one row per group: AQE turns this join into a broadcast from the
-        # measured size of the aggregated side
+        # a row's list holds at most (mean basket size / min support) items; with a
+        # checked number of groups the pairing stays in the stage that builds the sets
+        if (few or not g) and min_support > 0:
+            frequent = F.broadcast(frequent)
         sets = (sets.join(frequent, g) if g else sets.join(frequent)) \
             .select(*g, basket_col, F.array_sort(F.array_intersect("items", "frequent")).alias("items"))
     pairs = (sets.select(*g, F.explode(sorted_pairs("items")).alias("p"))
                  .groupBy(*g, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
                  .agg(F.count("*").alias("n_pair")))
+    if few or not g:
+        totals = F.broadcast(totals)
     pairs = (pairs.join(totals, g) if g else pairs.join(totals)) \
         .where(F.col("n_pair") / F.col("n_baskets") >= F.lit(min_support))
     directed = pairs.select(*g, "n_pair", "n_baskets", F.explode(F.array(
@@ -302,9 +316,9 @@ def cluster_association_rules(lines: DataFrame, cluster_col: str = "cluster", ba
 def cluster_association_rules_from_sets(sets: DataFrame, cluster_col: str = "cluster",
                                         basket_col: str = "invoice_id", min_support: float = 0.01,
                                         min_confidence: float = 0.15, min_lift: float = 1.2,
-                                        top_n: int = 20) -> DataFrame:
+                                        top_n: int = 20, few: bool = False) -> DataFrame:
     """B6 from per-basket item sets that already carry the cluster."""
-    rules = mine_pair_rules_from_sets(sets, (cluster_col,), basket_col, min_support, min_confidence, min_lift)
+    rules = mine_pair_rules_from_sets(sets, (cluster_col,), basket_col, min_support, min_confidence, min_lift, few=few)
     return rank_rules(rules, (cluster_col,), top_n)
 
 

@@ -75,7 +75,8 @@ def segment_item_sets(spark: SparkSession, d: str) -> DataFrame:
 
 def segment_rules(spark: SparkSession, d: str) -> DataFrame:
     return B.cluster_association_rules_from_sets(segment_item_sets(spark, d), "cluster", min_support=RULE_SUPPORT,
-                                                 min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20)
+                                                 min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20,
+                                                 few=B.few_groups(V.customer_segments(spark, d)))
 
 
 @register

@@ -99,3 +99,14 @@ def test_top_products_share_before_cut(spark):
     assert [r.product for r in top] == ["a", "b"]
     assert top[0].product_share_within_cluster == pytest.approx(0.5)
     assert F is not None
+
+
+def test_sets_are_not_shuffled_by_a_few_groups(spark):
+    sets = spark.createDataFrame([(i, i % 2, [f"p{i % 3}", f"p{i % 3 + 1}"]) for i in range(40)], "invoice_id long, cluster long, items array<string>")
+    assert B.few_groups(sets)
+    few, many = (B.mine_pair_rules_from_sets(sets, few=f, min_support=0.1, min_confidence=0.0, min_lift=0.0) for f in (True, False))
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    pairing = plan[plan.index("sorted_pairs") if "sorted_pairs" in plan else plan.index("Generate explode"):]
+    assert "BroadcastHashJoin" in pairing
+    key = lambda r: (r.cluster, r.antecedents, r.consequents)
+    assert sorted(few.collect(), key=key) == sorted(many.collect(), key=key)
