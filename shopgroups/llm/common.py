@@ -27,9 +27,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+#: Rows of an Arrow batch where the session has Spark's default of 10,000; texts are long.
+BATCH_ROWS = 2_000
+
+
 def python_ready(spark: SparkSession) -> None:
-    """Make this package importable in the executors' Python workers."""
+    """Make this package importable in the executors' Python workers, and keep their batches small."""
     ship_package(spark)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
 
 
 def unit_hash(*cols) -> "F.Column":

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes that a task works on at a time; one longer text is worked on alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 3 << 20
 
 
 def starts_of(lengths: np.ndarray) -> np.ndarray:

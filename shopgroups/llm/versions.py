@@ -226,7 +226,7 @@ def chain_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ids.append(rec_id)
                 held.append(text)
                 size += len(text)
-                if is_guest or size > CHUNK_BYTES // 2 and len(held) > 1:
+                if is_guest or size > CHUNK_BYTES and len(held) > 1:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[:-1], arrow_type), *pair_results(held[:-1], held[1:])], names=names)
                     ids, held, size = ([], [], 0) if is_guest else (ids[-1:], held[-1:], len(held[-1]))
 
