@@ -12,7 +12,9 @@ most 15/185 of the sum of their sizes. The join finds all links:
    sets that link agree in a word. A set emits its non-empty words, which suffice
    where there are more than h of them; else it emits the empty ones as well.
 2. Words are first grouped inside each map task, then (one row per word and task)
-   by a shuffle. Only words that several sets share go on.
+   by a shuffle. Only words that several sets share go on. As at most h of a
+   set's non-empty words can differ from those of a set that it links with, a set
+   that shares fewer than the others takes no further part in the band.
 3. Sets that share words, directly or along others, make a cluster. A cluster is
    cut into units that a task can hold: one unit if it is small, else blocks of
    sets in pairs of blocks of neighbouring sizes. Every set's hashes are read
@@ -31,7 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, python_ready, stored, work_folder
@@ -42,8 +44,12 @@ from .ragged import chunks, mix, span_hashes, starts_of, strings, text_bytes, wo
 SHINGLE, PERCENT = 4, 85
 #: Ratio of a size band's ends.
 BAND = 1.5
+#: Parts beyond the least number, by which few sets of a band have too many empty ones.
+SPARE = 0.12
 #: Sets and hashes that a unit holds, at most.
 UNIT_SETS, UNIT_HASHES = 8_000, 4_000_000
+#: Sets whose texts are read again by a broadcast of their ids (about 60 bytes each); more are joined by a shuffle.
+BROADCAST_SETS = 100_000
 #: Words that a task of the word shuffle takes, about.
 TASK_WORDS = 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -111,38 +117,45 @@ class Bands:
 
     def parts(self, band: int) -> int:
         least = self.least_words(band)
-        return least + -(-least * 3 // 100) + 2
+        return least + int(least * SPARE) + 4
 
 
-def parity_words(hashes: np.ndarray, bands: Bands) -> np.ndarray:
-    """The sketch words of one set, made different by band and part, as keys of the join."""
-    keys = []
+#: The lowest bits of a key tell its band.
+BAND_BITS = np.uint64(63)
+
+
+def parity_words(hashes: np.ndarray, bands: Bands) -> tuple[np.ndarray, list[int], list[int]]:
+    """(the sketch words of one set, made different by band and part, as keys of the join; its bands;
+    how many of its words in each band a set that links with it shares at least)."""
+    keys, own, need = [], sorted(bands.bands(len(hashes))), []
     high = hashes >> np.uint64(32)
-    for band in bands.bands(len(hashes)):
+    for band in own:
         parts = bands.parts(band)
         part = (high * np.uint64(parts)) >> np.uint64(32)  # ascending, as the hashes are
         first = np.flatnonzero(np.diff(part, prepend=np.uint64(2**63)))
         number, word = part[first], np.bitwise_xor.reduceat(hashes, first)
+        need.append(max(1, len(first) - bands.least_words(band) + 1))
         if len(first) < bands.least_words(band):
             words = np.zeros(parts, np.uint64)
             words[number] = word
             number, word = np.arange(parts, dtype=np.uint64), words
-        keys.append(mix(word ^ mix(number + np.uint64(band << 32) + np.uint64(1 << 62))))
-    return np.concatenate(keys)
+        keys.append(mix(word ^ mix(number + np.uint64(band << 32) + np.uint64(1 << 62))) & ~BAND_BITS | np.uint64(band))
+    return np.concatenate(keys), own, need
 
 
 def set_rows(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """One row per input row: rid (its number), rec_id, size, digest of the set in two columns, and for
     the first row of a set in its task: ``keys`` that no earlier set of the task has, ``shared`` keys
-    that several sets of the task have."""
+    that several sets of the task have, ``bands`` and ``needs`` as of ``parity_words``."""
     python_ready(df.sparkSession)
     slim = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("rec_id"), F.col(text_col).cast("string").alias("text"))
     schema = (f"rid long, rec_id {dict(slim.dtypes)['rec_id']}, size long, digest long, digest2 long, "
-              "keys array<long>, shared array<long>")
+              "keys array<long>, shared array<long>, bands array<int>, needs array<int>")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         bands, seen, rows, keys, owners = Bands(percent), set(), [], [], []
+        own_bands, own_needs = [], []
         for batch in batches:
             for part in chunks(batch, "text"):
                 hashes, bounds = shingles(strings(part.column("text")), n)
@@ -157,8 +170,11 @@ def set_rows(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
                     own = (digest[i], digest2[i])
                     if own not in seen:
                         seen.add(own)
-                        keys.append(parity_words(hashes[bounds[i]: bounds[i + 1]], bands))
-                        owners.append(np.full(len(keys[-1]), rid[i]))
+                        words, in_bands, needs = parity_words(hashes[bounds[i]: bounds[i + 1]], bands)
+                        keys.append(words)
+                        owners.append(np.full(len(words), rid[i]))
+                        own_bands.append((rid[i], in_bands))
+                        own_needs.append((rid[i], needs))
                 rows.append((rid, part.column("rec_id"), size, digest.view(np.int64), digest2.view(np.int64)))
         if not rows:
             return
@@ -172,6 +188,8 @@ def set_rows(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) ->
         group = np.cumsum(new) - 1
         several = np.bincount(group, minlength=1)[group] > 1 if len(group) else new
         lists = [_lists(every, owner[chosen], key[chosen].view(np.int64)) for chosen in (new, several)]
+        for found in (own_bands, own_needs):
+            lists.append(_lists(every, np.array([r for r, v in found for _ in v], np.int64), np.array([x for _, v in found for x in v], np.int32)))
         at = 0
         for rid, rec_id, size, digest, digest2 in rows:
             own = [x.slice(at, len(rid)) for x in lists]
@@ -268,16 +286,22 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = stored(rows.filter("size > 0").groupBy(*same_set).agg(F.min("rid").alias("set_id"), F.min("rec_id").alias("least_id")), folder, "classes")
 
     shared = shared_words(rows, folder)
-    # sets instead of rows; a row that is not the first of its set gives way to it
-    names = rows.filter("n_keys > 0 or size(shared) > 0").select("rid", *same_set).join(sets, same_set).select("rid", "set_id")
-    members = shared.join(names, "rid").select("key", "set_id").distinct()
+    # of the rows with one set only the first goes on: the others have the same keys
+    names = rows.filter(F.size("bands") > 0).select("rid", F.map_from_arrays("bands", "needs").alias("need"), *same_set).join(
+        sets.select("set_id", *same_set), same_set).filter("rid = set_id").select("rid", "need")
+    several = shared.join(names.select("rid"), "rid", "left_semi")
+    several = several.join(several.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
+    band = F.col("key").bitwiseAND(F.lit(int(BAND_BITS))).cast("int")
+    count = F.count("*").over(Window.partitionBy("rid", "band"))  # a set's own keys
+    members = (several.withColumn("band", band).withColumn("n", count).join(names, "rid")
+               .filter(F.col("n") >= F.try_element_at("need", F.col("band"))).select("key", F.col("rid").alias("set_id")))
     members = stored(members, folder, "members")
     first = members.groupBy("key").agg(F.min("set_id").alias("b"), F.max("set_id").alias("most")).filter("most > b").drop("most")
     clusters = components(members.join(first, "key").select(F.col("set_id").alias("a"), "b"), f"{folder}/clusters")
     clusters = stored(clusters.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), folder, "cluster-of")
     sized = clusters.join(sets, "set_id")
     large = sized.groupBy("cluster").agg(F.count("*").alias("c_sets"), F.sum("size").alias("c_hashes"))
-    links = verified_links(df, sized.join(large, "cluster"), id_col, text_col, n, percent, unit_sets, unit_hashes)
+    links = verified_links(df, sized.join(large, "cluster"), id_col, text_col, n, percent, unit_sets, unit_hashes, folder)
     links = stored(links, folder, "links")
 
     linked = components(links, f"{folder}/components").select(F.col("node").alias("set_id"), "root")
@@ -291,7 +315,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def verified_links(df: DataFrame, sized: DataFrame, id_col: str, text_col: str, n: int, percent: int,
-                   unit_sets: int, unit_hashes: int) -> DataFrame:
+                   unit_sets: int, unit_hashes: int, folder: str) -> DataFrame:
     """(a, b): set ids of links that span each cluster's components."""
     whole = (F.col("c_sets") <= unit_sets) & (F.col("c_hashes") <= unit_hashes)
     # a block holds half a unit; sets of one size range, split evenly by a hash
@@ -316,8 +340,10 @@ def verified_links(df: DataFrame, sized: DataFrame, id_col: str, text_col: str,
         F.when(low == high, 0).when(low < high, 1).otherwise(2).alias("side")).alias("u"))
     met = met.groupBy("set_id", "rep_id", "size", "digest", "digest2").agg(F.collect_list("u").alias("units"))
     wanted = alone.unionByName(met)
+    wanted = stored(wanted, folder, "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted.hint("shuffle_hash")
     text = df.select(F.col(id_col).alias("rec_id"), F.col(text_col).cast("string").alias("text"))
-    texts = text.join(wanted.hint("shuffle_hash"), text["rec_id"].eqNullSafe(wanted["rep_id"])).select(
+    texts = text.join(wanted, text["rec_id"].eqNullSafe(wanted["rep_id"])).select(
         "set_id", "size", "digest", "digest2", "units", "text")
 
     def read(batches):
@@ -379,7 +405,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     """One row of every component, the one with the smallest id, with all its columns; texts without
     words all stay. Of rows with one id, or without ids, one stays too. Empty input: no rows."""
     folder = work_folder(df.sparkSession, "keep-one")
-    # row numbers that both reads of the texts share
+    ids = df.agg(F.count("*").alias("n"), F.count(id_col).alias("filled"), F.count_distinct(id_col).alias("distinct")).first()
+    if ids["n"] == ids["filled"] == ids["distinct"]:
+        found = jaccard_components(df, id_col, text_col, n, percent)
+        others = stored(found.filter(F.col("component_id") != F.col(id_col)).select(id_col), folder, "others")
+        return df.join(others.hint("shuffle_hash"), id_col, "left_anti").select(*df.columns)
+    # ids that are null or repeat: row numbers instead, which both reads of the texts must share
     numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), folder, "rows")
     found = jaccard_components(numbered, "_row", text_col, n, percent).select("_row", "component_id")
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")
