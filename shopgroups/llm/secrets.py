@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, stored, text_or_empty, work_folder
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -106,7 +106,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: an empty array. Repeated rows or ids: each row has its own result and
     counts once per (repository, owner). Empty input: no rows. Other columns are ignored.
     """
-    c = judged(find_candidates(df, id_col, text_col, repo_col, owner_col), copied_owners)
+    found = find_candidates(df, id_col, text_col, repo_col, owner_col)
+    # the slim candidates are read twice, the texts once
+    c = judged(stored(found, work_folder(df.sparkSession, "secrets"), "candidates"), copied_owners)
     span = F.struct("start", "kind_no", "stop", "status", "n_repos", "n_owners")
     spans = F.array_sort(F.collect_list(F.when(F.col("kind_no").isNotNull(), span)))
     out = c.groupBy("uid").agg(F.first("rec_id").alias(id_col), spans.alias("all"))
