@@ -1,34 +1,5 @@
 """Connected components of an edge table."""
 
-from __future__ import annotations
+from shopgroups.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stored
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-
-def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(node, root) of every node of ``edges`` (columns a, b, any order); root is the smallest node reachable.
-
-    Alternating large-star and small-star steps: every node hands its neighbours on to its smallest
-    neighbour, so hot nodes become stars in a logarithmic number of rounds. Each step is a group-by
-    minimum and a join; each round is written to ``folder``.
-    """
-    edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), folder, "round-0")
-    last, n = None, 0
-    while (mark := _mark(edges)) != last:
-        last, n = mark, n + 1
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.filter("a <> b").distinct(), folder, f"large-{n}")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), folder, f"round-{n}")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+__all__ = ["components"]

@@ -532,7 +532,7 @@ def pca_projection(spark: SparkSession, d: str) -> DataFrame:
 @register
 def dbscan_segments(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    return C.dbscan(feats, cols, eps=3.0, min_samples=10, sample_size=5000)
+    return C.dbscan(feats, cols, eps=3.0, min_samples=10)
 
 
 @register
@@ -740,7 +740,7 @@ def pca_explained_variance(spark: SparkSession, d: str) -> DataFrame:
 @register
 def dbscan_core_points(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    return C.dbscan(feats, cols, eps=3.0, min_samples=10, sample_size=5000, neighbours_only=True)
+    return C.dbscan(feats, cols, eps=3.0, min_samples=10, neighbours_only=True)
 
 
 @register

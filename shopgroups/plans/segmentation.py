@@ -17,6 +17,7 @@ from ..operators import cluster as C
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import prep as P
+from ..operators.components import stored
 from ..session import checkpoint_dir
 from ..sources import views as V
 
@@ -204,16 +205,17 @@ def gmm_comparison(df: DataFrame, cols, k_values, seed: int = 42) -> DataFrame:
     return _rows(df.sparkSession, out, schema)
 
 
-def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_col: str = "customer_id",
-                       sample_size: int = 5000, seed: int = 42) -> DataFrame:
+def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_col: str = "customer_id") -> DataFrame:
     """Per (eps, min_samples): noise count/%, clusters, largest non-noise %, and separation
     metrics on non-noise rows when there are at least 2 clusters and more points than clusters.
-    Percentages are over all sampled rows, noise included."""
+    Percentages are over all rows (``sampled_rows``, a name of the time of samples), noise included."""
     out = []
     feats = df.select(id_col, *cols)
     for eps in eps_values:
+        near = C.Neighbourhoods(feats, cols, eps, id_col, C.dbscan_folder(df.sparkSession))
+        degrees = near.degrees()
         for ms in min_samples_values:
-            labels = C.dbscan(feats, cols, eps, ms, id_col, sample_size, seed)
+            labels = stored(C.dbscan_labels(near, degrees, ms, id_col), near.folder, f"labels-{ms}")
             stats = labels.agg(F.count("*").alias("n"), F.count_if(F.col("cluster") == -1).alias("noise"),
                                F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k")).first()
             n, noise, k = stats["n"], stats["noise"], stats["k"]

@@ -112,6 +112,46 @@ def test_dbscan_two_clusters_and_noise(spark):
     assert {r.cluster for r in all_noise.collect()} == {-1}
 
 
+def _brute_dbscan(x, eps, min_samples):
+    """(degrees, label of each row: smallest core row of its cluster, -1 for noise)."""
+    near = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2) <= eps * eps
+    n = near.sum(axis=1)
+    core, label = n >= min_samples, np.full(len(x), -1)
+    for i in np.flatnonzero(core):
+        todo = [i] if label[i] < 0 else []
+        while todo:
+            j = todo.pop()
+            if label[j] < 0:
+                label[j] = i
+                todo += np.flatnonzero(near[j] & core & (label < 0)).tolist()
+    for i in np.flatnonzero(~core):
+        found = label[near[i] & core]
+        label[i] = found.min() if len(found) else -1
+    return n, label
+
+
+def test_dbscan_covers_all_rows_and_matches_all_pairs(spark, monkeypatch):
+    # more rows than the 5,000 of the former sample; full cells, thin bridges, far noise
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.4, (2600, 3)), rng.normal(0, 0.1, (900, 3)) + [6, 0, 0], rng.uniform(-9, 9, (1900, 3)),
+                        np.repeat(rng.uniform(-9, 9, (20, 3)), 6, axis=0)])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, x double, y double, z double")
+    monkeypatch.setattr(C, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(C, "UNIT_ROWS", 700)
+    monkeypatch.setattr(C, "CELL_ROWS", 5)
+    n, label = _brute_dbscan(x, 0.8, 6)
+    got = {r.id: (r.neighbour_count, r.is_core) for r in C.dbscan(df, ["x", "y", "z"], 0.8, 6, "id", neighbours_only=True).collect()}
+    assert got == {i: (n[i], n[i] >= 6) for i in range(len(x))}
+    out = {r.id: r.cluster for r in C.dbscan(df, ["x", "y", "z"], 0.8, 6, "id").collect()}
+    sizes = sorted(((-(label == v).sum(), v) for v in set(label.tolist()) if v >= 0))
+    number = {v: i for i, (_, v) in enumerate(sizes)} | {-1: -1}
+    assert len(sizes) > 5 and out == {i: number[v] for i, v in enumerate(label.tolist())}
+    odd = spark.createDataFrame([(1, 0.0, 1.0), (2, None, 1.0), (3, float("nan"), 1.0), (4, 1e300, 1.0), (5, 0.1, 1.0)], "id long, x double, y double")
+    assert {r.id: (r.cluster, r.is_core) for r in C.dbscan(odd, ["x", "y"], 0.5, 2, "id").collect()} == {
+        1: (0, True), 2: (-1, False), 3: (-1, False), 4: (-1, False), 5: (0, True)}
+    assert C.dbscan(odd.limit(0), ["x", "y"], 0.5, 2, "id").count() == 0
+
+
 def test_validate_clustering_input(spark):
     bad = spark.createDataFrame([(1, 1.0), (1, 2.0)], "customer_id long, x double")
     with pytest.raises(ValueError, match="Duplicated"):
