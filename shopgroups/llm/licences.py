@@ -2,10 +2,12 @@
 
 Texts are cut into statements (lines, and sentences inside lines). A statement
 is a sparse TF-IDF vector over words; its cosine to every template's vector
-decides whether it states that licence. Words outside the templates only add to
-the statement's length, so the part of its length that template words have is an
-upper bound of every cosine and rules nearly all statements out. Document
-frequencies of the template words are counted over all statements of the corpus.
+decides whether it states that licence. Document frequencies of all words are
+counted over all statements of the corpus. Tasks know those of the template words
+and of the most frequent other words; the rarer ones weigh at least as much as the
+rarest of these, which bounds a statement's length from below and its cosines from
+above and rules nearly all statements out. The others' rare words get their
+frequencies by a join.
 
 A text with a statement has its own licence. A licence file is a text that
 consists of such statements to a large part, or has a licence file's name; its
@@ -19,12 +21,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, python_ready, stored, work_folder
-from .ragged import chunks, span_hashes, strings, text_bytes, words_of
+from .ragged import chunks, distinct, span_hashes, strings, text_bytes, words_of
 
 # Usual statements of common licences.
 TEMPLATES = (
@@ -49,6 +52,10 @@ TEMPLATES = (
 )
 #: Least cosine of a statement.
 COSINE = 0.8
+#: Statements in a row that are scored together, at most.
+LINES = 1
+#: Most frequent words outside the templates whose frequencies every task has.
+FREQUENT = 20_000
 #: Part of a text's words in licence statements that makes it a licence file.
 FILE_PART = 0.3
 #: Base names of licence files.
@@ -93,6 +100,12 @@ def lowered_words(texts: pa.Array):
 def statements(texts: pa.Array, templates: Templates):
     """(template word or -1 of every word, statement of every word, text of every statement); a statement
     without words does not count."""
+    hashes, own, text = hashed_statements(texts)
+    return templates.number(hashes), own, text
+
+
+def hashed_statements(texts: pa.Array):
+    """As ``statements``, with every word's hash."""
     flat, at, size, words, bounds = lowered_words(texts)
     ends = flat == 10
     if len(flat) > 1:  # a sentence ends before white space
@@ -102,7 +115,7 @@ def statements(texts: pa.Array, templates: Templates):
     place = np.searchsorted(np.flatnonzero(ends), at)
     new = np.ones(len(at), bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
-    return templates.number(span_hashes(flat, at, size)), np.cumsum(new) - 1, text[new]
+    return span_hashes(flat, at, size), np.cumsum(new) - 1, text[new]
 
 
 def frequencies(df: DataFrame, text_col: str, templates: Templates) -> tuple[int, np.ndarray]:
@@ -171,6 +184,110 @@ def own_licences(df: DataFrame, keep: list[str], text_col: str, cosine: float =
     return slim.mapInArrow(run, f"{fields}, licence string, score double, part double")
 
 
+def word_frequencies(df: DataFrame, text_col: str, folder: str) -> tuple[int, DataFrame]:
+    """(number of statements, (h, n): number of statements with each word, by the word's hash) over all rows."""
+    python_ready(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                hashes, own, text = hashed_statements(strings(part.column("text")))
+                number, words, _ = distinct(hashes)
+                pairs = np.unique(own * max(len(words), 1) + number)
+                counts = np.bincount(pairs % max(len(words), 1), minlength=len(words))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.append(words.astype(np.uint64).view(np.int64), 0), mask=np.append(np.zeros(len(words), bool), True)),
+                    pa.array(np.append(counts, len(text)).astype(np.int64))], names=["h", "n"])
+
+    found = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = stored(found, folder, "words")
+    # the row without a word holds the statements
+    total = found.filter("h is null").agg(F.sum("n")).first()[0] or 0
+    return total, found.filter("h is not null")
+
+
+def corpus_licences(df: DataFrame, keep: list[str], text_col: str, folder: str, cosine: float = COSINE, lines: int = LINES) -> DataFrame:
+    """The columns ``keep`` with licence, score (the best statement's; null without one) and part (of
+    the words in licence statements) of every row, by the TF-IDF cosine over all words. Up to ``lines``
+    statements in a row are also scored as one; of overlapping ones the best counts, then the shortest."""
+    templates = Templates.of()
+    total, words = word_frequencies(df, text_col, folder)
+    signed = templates.hashes.view(np.int64)
+    seen = {r["h"]: r["n"] for r in words.filter(F.col("h").isin(signed.tolist())).collect()}  # one row per template word
+    idf_of = lambda n: np.log((total + 1) / (np.asarray(n) + 1)) + 1
+    idf = idf_of([seen.get(h, 0) for h in signed.tolist()])
+    vectors = templates.counts * idf
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    gain = (vectors * idf).T  # of one occurrence of each template word, for each template
+    top = words.filter(~F.col("h").isin(signed.tolist())).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    known = np.concatenate([templates.hashes, np.array([r["h"] for r in top], np.int64).view(np.uint64)])
+    weight = np.concatenate([idf, idf_of([r["n"] for r in top]).reshape(-1)])
+    order = np.argsort(known)
+    known, weight = known[order], weight[order]
+    rare = float(idf_of(top[-1]["n"])) if len(top) == FREQUENT else float(idf_of(0))
+    table = df.sparkSession.sparkContext.broadcast((known, weight))
+    slim = df.select(*keep, F.monotonically_increasing_id().alias("_text_no"), F.col(text_col).cast("string").alias("text"))
+    kept = [c for c in slim.columns if c != "text"]
+    unit = "struct<s:int,k:int,template:int,dot:double,base:double,size:int,rest:array<struct<h:long,n:int>>>"
+    schema = ", ".join(f"{c} {t}" for c, t in slim.dtypes if c != "text") + f", _words long, _units array<{unit}>"
+    unit_type = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("template", pa.int32()), ("dot", pa.float64()), ("base", pa.float64()),
+                                    ("size", pa.int32()), ("rest", pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32())])))]))
+
+    def run(batches):
+        known, weight = table.value
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                hashes, own, text = hashed_statements(strings(part.column("text")))
+                word = templates.number(hashes)
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                common = known[at] == hashes
+                each = np.where(common, weight[at], rare)
+                n, found = len(text), [[] for _ in range(part.num_rows)]
+                bounds = np.searchsorted(own, np.arange(n + 1))
+                length = np.concatenate([[0], np.cumsum(each ** 2)])[bounds]
+                hit = np.flatnonzero(word >= 0)
+                dots = np.concatenate([np.zeros((1, gain.shape[1])), np.cumsum(gain[word[hit]], axis=0)])[np.searchsorted(hit, bounds)]
+                first = np.searchsorted(text, np.arange(part.num_rows))
+                for k in range(1, min(lines, n) + 1):
+                    dot = dots[k:] - dots[:-k]
+                    able = (dot.max(1) ** 2 >= cosine ** 2 * (length[k:] - length[:-k]) * (1 - 1e-6)) & (text[k - 1:] == text[:n - k + 1])
+                    for s in np.flatnonzero(able & (dot.max(1) > 0)).tolist():
+                        a, b = int(bounds[s]), int(bounds[s + k])
+                        _, where, times = np.unique(hashes[a:b], return_index=True, return_counts=True)
+                        where += a
+                        squares, sure = (times * each[where]) ** 2, common[where]
+                        best = int(dot[s].argmax())
+                        if dot[s, best] ** 2 < cosine ** 2 * squares.sum() * (1 - 1e-6):
+                            continue
+                        rest = [{"h": h, "n": c} for h, c in zip(hashes[where[~sure]].view(np.int64).tolist(), times[~sure].tolist())]
+                        found[text[s]].append({"s": s - int(first[text[s]]), "k": k, "template": best, "dot": float(dot[s, best]),
+                                               "base": float(squares[sure].sum()), "size": b - a, "rest": rest})
+                size = np.bincount(text, np.diff(bounds), minlength=part.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(size), pa.array(found, unit_type)], names=[*kept, "_words", "_units"])
+
+    def best_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "k", "s"], ascending=[False, True, True])
+        taken, inside = set(), 0
+        for s, k, size in zip(pdf["s"].tolist(), pdf["k"].tolist(), pdf["size"].tolist()):
+            if taken.isdisjoint(range(s, s + k)):
+                taken.update(range(s, s + k))
+                inside += size
+        return pd.DataFrame({"_no": pdf["_text_no"].iloc[:1], "_best": pdf["template"].iloc[:1], "_score": pdf["score"].iloc[:1], "_inside": [inside]})
+
+    texts = stored(slim.mapInArrow(run, schema), folder, "texts")
+    units = texts.filter(F.size("_units") > 0).select("_text_no", F.explode("_units").alias("u")).select("_text_no", "u.*")
+    rest = units.select("_text_no", "s", "k", F.explode("rest").alias("r")).select("_text_no", "s", "k", F.col("r.h").alias("h"), F.col("r.n").alias("times"))
+    square = F.pow(F.col("times") * (F.log(F.lit(float(total + 1)) / (F.col("n") + 1)) + 1), 2)
+    rest = rest.join(words, "h").groupBy("_text_no", "s", "k").agg(F.sum(square).alias("more"))
+    scored = units.drop("rest").join(rest, ["_text_no", "s", "k"], "left")
+    scored = scored.withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("base") + F.coalesce("more", F.lit(0.0))), 9)).filter(F.col("score") >= cosine)
+    found = scored.select("_text_no", "s", "k", "template", "size", "score").groupBy("_text_no").applyInPandas(best_of, "_no long, _best int, _score double, _inside long")
+    names = F.array(*[F.lit(n) for n in templates.names])
+    return texts.join(found, F.col("_text_no") == F.col("_no"), "left").select(
+        *keep, F.when(F.col("_best").isNotNull(), F.get(names, F.col("_best"))).alias("licence"), F.col("_score").alias("score"),
+        F.coalesce(F.col("_inside") / F.greatest("_words", F.lit(1)), F.lit(0.0)).alias("part"))
+
+
 def directory(path) -> "F.Column":
     """The path up to its last slash, empty without one."""
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
@@ -187,7 +304,7 @@ def scan_licences(df: DataFrame, id_col: str = "doc_id", path_col: str = "path",
     """
     folder = work_folder(df.sparkSession, "licences")
     slim = df.select(F.col(id_col).alias("rec_id"), F.col(path_col).cast("string").alias("path"), F.col(text_col).alias("text"))
-    own = own_licences(slim, ["rec_id", "path"], "text", cosine).withColumn("dir", directory(F.col("path")))
+    own = corpus_licences(slim, ["rec_id", "path"], "text", folder, cosine).withColumn("dir", directory(F.col("path")))
     own = stored(own, folder, "own")
     name = F.regexp_extract("path", "([^/]*)$", 1)
     files = own.filter(F.col("licence").isNotNull() & F.col("path").isNotNull() & ((F.col("part") >= file_part) | name.rlike(FILE_NAMES)))

@@ -129,6 +129,39 @@ def test_licence_scores_match_dense_vectors(spark, table):
         assert got[i].score == pytest.approx(score, abs=1e-6) and (got[i].licence == name or score < 0.8)
 
 
+def brute_licence(texts, lines=1):
+    """(score, licence) of the best statement, or of up to ``lines`` in a row, of each text by TF-IDF over all words."""
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    segments = [[words(s) for s in re.split(r"\n|(?<=[.!?])(?=[ \n])", t) if words(s)] for t in texts]
+    total, seen = sum(map(len, segments)), Counter(w for d in segments for s in d for w in set(s))
+    idf = lambda w: np.log((total + 1) / (seen[w] + 1)) + 1
+
+    def cosine(a, b):
+        a, b = Counter(a), Counter(words(b))
+        norm = lambda c: np.sqrt(sum((n * idf(w)) ** 2 for w, n in c.items()))
+        return sum(a[w] * b[w] * idf(w) ** 2 for w in a if w in b) / norm(a) / norm(b)
+
+    return [max((cosine(sum(d[i:i + k], []), t), n) for k in range(1, lines + 1) for i in range(len(d) - k + 1) for n, t in licences.TEMPLATES) for d in segments]
+
+
+@pytest.mark.parametrize("frequent", [20_000, 3])
+def test_licence_words_outside_templates_have_their_own_weight(spark, table, monkeypatch, frequent):
+    monkeypatch.setattr(licences, "FREQUENT", frequent)
+    texts = ["This project is released under the MIT License.", "project project released under the MIT License"] + [
+        f"the project number{i % 7} of this kind\nis a project under work and the words{i % 3} of it" for i in range(60)]
+    scores = {}
+    for times in (1, 40):
+        rows = [(i, t, "s") for i, t in enumerate(texts * times)]
+        got = {r.doc_id: r for r in licences.corpus_licences(table(rows), ["doc_id"], "text", work_folder(spark, "test"), 0.5, 1).collect()}
+        want = brute_licence(texts * times)
+        for i in range(len(texts)):
+            assert (got[i].licence, got[i].score) == ((want[i][1], pytest.approx(want[i][0], abs=1e-8)) if want[i][0] >= 0.5 else (None, None))
+        scores[times] = got[0].score
+    assert len(got) == len(rows) and scores[1] >= 0.8 and scores[40] >= 0.8  # in a large corpus as in a small one
+    big = spark.createDataFrame([(i, t, f"d/{i}") for i, t in enumerate(texts * 40)], "doc_id long, text string, path string")
+    assert licences.scan_licences(big).filter("doc_id = 0").first().licence == "MIT"
+
+
 def toxic_rows(n=900, seed=2):
     rng = random.Random(seed)
     bad, rows, labels = ["vilest", "grubbo", "snarkler", "hurzel"], [], []
