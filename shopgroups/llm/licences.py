@@ -1,6 +1,7 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance along directories.
 
-Texts are cut into statements (lines, and sentences inside lines). A statement
+Texts are cut into statements (lines, and sentences inside lines); up to LINES
+consecutive ones are also scored as one, as texts wrap their sentences. A statement
 is a sparse TF-IDF vector over words; its cosine to every template's vector
 decides whether it states that licence. Document frequencies of all words are
 counted over all statements of the corpus. Tasks know those of the template words
@@ -53,7 +54,7 @@ TEMPLATES = (
 #: Least cosine of a statement.
 COSINE = 0.8
 #: Statements in a row that are scored together, at most.
-LINES = 1
+LINES = 8
 #: Most frequent words outside the templates whose frequencies every task has.
 FREQUENT = 20_000
 #: Part of a text's words in licence statements that makes it a licence file.

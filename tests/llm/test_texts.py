@@ -162,6 +162,45 @@ def test_licence_words_outside_templates_have_their_own_weight(spark, table, mon
     assert licences.scan_licences(big).filter("doc_id = 0").first().licence == "MIT"
 
 
+WRAPPED = [
+    ("MIT", """Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""),
+    ("BSD-3-Clause", """ * Copyright 2019 The Foo Authors.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met:
+ *   * Redistributions of source code must retain the above copyright"""),
+    ("Apache-2.0", """# Some tool
+# Licensed under the Apache License,
+# Version 2.0 (the "License"); you may not
+# use this file except in compliance
+# with the License.
+import os"""),
+    ("GPL-3.0", """/* a module
+   This program is free software: you can redistribute it and/or modify
+   it under the terms of the GNU General Public License as published by
+   the Free Software Foundation, either version 3 of the License, or
+   (at your option) any later version.
+   This program is distributed in the hope that it will be useful, */"""),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy was not given\nsome more words follow here"),
+]
+
+
+def test_licences_of_wrapped_texts(spark):
+    other = [f"plain words number{i} of a text\nand a second line about the work{i % 5}\nwith a third one" for i in range(80)]
+    texts = [t for _, t in WRAPPED] + other
+    rows = [(i, t, f"d{i}/LICENSE" if i < len(WRAPPED) else f"d{i % len(WRAPPED)}/x{i}") for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    want = brute_licence(texts, licences.LINES)
+    for i, (name, _) in enumerate(WRAPPED):
+        assert (out[i].licence, out[i].how) == (name, "own") and out[i].score == pytest.approx(want[i][0], abs=1e-8)
+    assert all((out[i].licence, out[i].how) == (WRAPPED[i % len(WRAPPED)][0], "inherited") for i in range(len(WRAPPED), len(texts)))
+
+
 def toxic_rows(n=900, seed=2):
     rng = random.Random(seed)
     bad, rows, labels = ["vilest", "grubbo", "snarkler", "hurzel"], [], []
