@@ -197,7 +197,8 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_
     python_ready(spark)
     folder = work_folder(spark, "vectors")
     schema = "query_id long, rank int, vec_id long, score double"
-    good = stored(usable(df, id_col, vector_col), folder, "usable")
+    # repeated rows are one, so that they take no places of others
+    good = stored(usable(df, id_col, vector_col).distinct(), folder, "usable")
     # equal vectors are one entry with its k + 1 smallest ids, of which a query can use k
     smallest = Window.partitionBy("v").orderBy("vec_id")
     few = good.withColumn("n", F.row_number().over(smallest)).filter(F.col("n") <= k + 1)
@@ -249,10 +250,14 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_
             x = np.stack(vectors["v"].to_numpy())
             ids, times = np.concatenate(vectors["ids"].to_numpy()), vectors["ids"].map(len).to_numpy()
             entry = np.repeat(np.arange(len(x)), times)
+            repeated = len(np.unique(ids)) < len(ids)
             for query, q in zip(queries["query_id"].to_numpy(), queries["q"]):
                 score = np.sqrt(((x - q) ** 2).sum(1))[entry]
                 other = ids != query
-                best = np.lexsort((ids[other], score[other]))[:k]
+                best = np.lexsort((ids[other], score[other]))
+                if repeated:  # the nearest one of each id
+                    best = best[np.sort(np.unique(ids[other][best], return_index=True)[1])]
+                best = best[:k]
                 out.append((query, ids[other][best], score[other][best]))
         return pd.DataFrame(out, columns=["query_id", "vec_ids", "scores"])
 

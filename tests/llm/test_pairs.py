@@ -129,6 +129,22 @@ def test_neighbours_of_odd_vectors(spark):
     assert vectors.nearest_neighbours(df.limit(0), lambda i: i % 100 == 0).count() == 0
 
 
+def test_neighbours_with_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    x[1] = x[0]
+    rows = [(100 + i, v.tolist()) for i, v in enumerate(x)] * 2 + [(100, x[0].tolist())] * 11
+    # ids with two vectors, and with many near the query
+    rows += [(105, (x[0] + 0.01).tolist())] + [(106, (x[0] + 0.001 * j).tolist()) for j in range(1, 30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, round(r.score, 9)) for r in vectors.nearest_neighbours(df, lambda i: i % 100 == 0).orderBy("rank").collect()]
+    far = defaultdict(list)
+    for i, v in rows:
+        far[i].append(float(np.sqrt(((np.array(v) - x[0]) ** 2).sum())))
+    want = sorted((min(d), i) for i, d in far.items() if i != 100)[:10]
+    assert got == [(n, i, round(d, 9)) for n, (d, i) in enumerate(want, 1)] and got[0] == (1, 101, 0.0)
+
+
 def test_graph_search_finds_most_of_the_nearest():
     rng = np.random.default_rng(2)
     c, q = rng.normal(size=(700, 8)), rng.normal(size=(50, 8))
