@@ -138,10 +138,17 @@ def op9_secrets(spark, sf_dir: str) -> DataFrame:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
            copied_owners: int = COPIED_OWNERS, mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every live span of its texts replaced by ``mark``; copied examples and
-    placeholders stay. Ids must be unique. ``n_chars``, if there, follows the text."""
-    found = scan_secrets(df, id_col, text_col, id_col, owner_col, copied_owners)
-    live = found.select(F.col(id_col).alias("_id"), F.filter("found", lambda s: s["status"] == "live").alias("_live")).filter(F.size("_live") > 0)
-    joined = df.join(live, df[id_col].eqNullSafe(live["_id"]), "left")
+    placeholders stay. Null and repeated ids: each row has its own spans. ``n_chars``, if there,
+    follows the text."""
+    columns, key = df.columns, id_col
+    ids = df.agg(F.count("*").alias("n"), F.count(id_col).alias("filled"), F.count_distinct(id_col).alias("distinct")).first()
+    if not ids["n"] == ids["filled"] == ids["distinct"]:
+        # row numbers instead, which both reads of the texts must share
+        key = "_row"
+        df = stored(df.withColumn(key, F.monotonically_increasing_id()), work_folder(df.sparkSession, "redact"), "rows")
+    found = scan_secrets(df, key, text_col, id_col, owner_col, copied_owners)
+    live = found.select(F.col(key).alias("_id"), F.filter("found", lambda s: s["status"] == "live").alias("_live")).filter(F.size("_live") > 0)
+    joined = df.join(live, df[key] == live["_id"], "left")
     step = lambda acc, s: F.when(
         s["stop"] <= acc["at"], acc).otherwise(F.struct(
             F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
@@ -150,6 +157,6 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     done = F.aggregate("_live", begin, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col))))
     cleaned = F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(done)
     out = joined.withColumn(text_col, cleaned)
-    if "n_chars" in df.columns:
+    if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))
-    return out.select(*df.columns)
+    return out.select(*columns)

@@ -53,6 +53,19 @@ def test_ownership_separates_copies_from_live_ones(spark, table):
     assert clean[11][0] == rows[3][1] and clean[20][0] == rows[-1][1]
 
 
+def test_redaction_with_null_and_repeated_ids(spark, table):
+    rows = [(None, "token=q8Zr2mLp77Xk first", "a"), (None, "some words, then token=Ab9Kd83kQz1L", "b"), (None, "clean text of no secrets at all", "c"),
+            (7, "xx token=Zz8Ly3Wq55Pk yy", "a"), (7, "a much longer start token=Hh4Jk9Mn2Rt7 end", "b"), (7, "clean", "a"), (8, None, "a"), (9, "token=Uu5Ii6Oo7Pp8", "c")]
+    want = Counter([(None, "[SECRET] first"), (None, "some words, then [SECRET]"), (None, rows[2][1]), (7, "xx [SECRET] yy"),
+                    (7, "a much longer start [SECRET] end"), (7, "clean"), (8, None), (9, "[SECRET]")])
+    out = secrets.redact(table(rows))
+    assert out.columns == table(rows).columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in out.collect())
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    stage = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in stage.collect()) == want and stage.columns == docs.columns
+
+
 def check_shards(rows, out, n):
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want
