@@ -39,8 +39,23 @@ COPIED_OWNERS = 3
 #: Parts of placeholder values.
 PLACEHOLDERS = "(?i)example|changeme|placeholder|your|dummy|sample|xxxx|0000|1234"
 
+#: Longest forms of these parts, in values without separators.
+PLACEHOLDER_RUNS = ("(?i)example|changeme|placeholder|your(?:api|secret|access|auth)?(?:key|token|password|secret|id)?(?:here)?|dummy|sample"
+                    "|x{4,}|0{4,}|1234(?:5(?:6(?:7(?:8(?:90?)?)?)?)?)?")
 
-def find_candidates(df: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
+
+def has_placeholder(value) -> "F.Column":
+    """Whether a part of a placeholder is anywhere in the value."""
+    return value.rlike(PLACEHOLDERS)
+
+
+def mostly_placeholder(value) -> "F.Column":
+    """Whether parts of placeholders make up more than half of the value, separators left out."""
+    bare = F.regexp_replace(value, "[^A-Za-z0-9]", "")
+    return 2 * F.length(F.regexp_replace(bare, PLACEHOLDER_RUNS, "")) < F.length(bare)
+
+
+def find_candidates(df: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str, is_placeholder=has_placeholder) -> DataFrame:
     """One row per candidate, and one row with a null kind per text without any.
 
     Columns: uid (of the input row), id_col, repo, owner, kind_no, start, stop, value_hash, placeholder.
@@ -60,7 +75,7 @@ def find_candidates(df: DataFrame, id_col: str, text_col: str, repo_col: str, ow
                 F.lit(no).alias("kind_no"), i.alias("pos"), F.length(h["g"]).alias("gap"), F.length(h["w"]).alias("len"),
                 (F.length(h["v"]) >= shortest).alias("long"), F.xxhash64(h["v"]).alias("value_hash"),
                 (F.lit(True) if no < BASE else h["v"].rlike("[0-9]") & h["v"].rlike("[a-z]") & h["v"].rlike("[A-Z]")).alias("shaped"),
-                h["v"].rlike(PLACEHOLDERS).alias("placeholder")))
+                is_placeholder(h["v"]).alias("placeholder")))
         if needs:
             may = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(s)) for s in needs))
         else:
@@ -96,7 +111,7 @@ def judged(candidates: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFra
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
-                 owner_col: str = "source", copied_owners: int = COPIED_OWNERS) -> DataFrame:
+                 owner_col: str = "source", copied_owners: int = COPIED_OWNERS, is_placeholder=has_placeholder) -> DataFrame:
     """Secrets of every text, one row per input row.
 
     Returns uid, id_col and ``found``: array of (start, kind_no, stop, status, n_repos, n_owners),
@@ -106,7 +121,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: an empty array. Repeated rows or ids: each row has its own result and
     counts once per (repository, owner). Empty input: no rows. Other columns are ignored.
     """
-    found = find_candidates(df, id_col, text_col, repo_col, owner_col)
+    found = find_candidates(df, id_col, text_col, repo_col, owner_col, is_placeholder)
     # the slim candidates are read twice, the texts once
     c = judged(stored(found, work_folder(df.sparkSession, "secrets"), "candidates"), copied_owners)
     span = F.struct("start", "kind_no", "stop", "status", "n_repos", "n_owners")
@@ -138,7 +153,7 @@ def op9_secrets(spark, sf_dir: str) -> DataFrame:
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
            copied_owners: int = COPIED_OWNERS, mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every live span of its texts replaced by ``mark``; copied examples and
-    placeholders stay. Null and repeated ids: each row has its own spans. ``n_chars``, if there,
+    values that are mostly placeholder stay. Null and repeated ids: each row has its own spans. ``n_chars``, if there,
     follows the text."""
     columns, key = df.columns, id_col
     ids = df.agg(F.count("*").alias("n"), F.count(id_col).alias("filled"), F.count_distinct(id_col).alias("distinct")).first()
@@ -146,7 +161,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         # row numbers instead, which both reads of the texts must share
         key = "_row"
         df = stored(df.withColumn(key, F.monotonically_increasing_id()), work_folder(df.sparkSession, "redact"), "rows")
-    found = scan_secrets(df, key, text_col, id_col, owner_col, copied_owners)
+    found = scan_secrets(df, key, text_col, id_col, owner_col, copied_owners, mostly_placeholder)
     live = found.select(F.col(key).alias("_id"), F.filter("found", lambda s: s["status"] == "live").alias("_live")).filter(F.size("_live") > 0)
     joined = df.join(live, df[key] == live["_id"], "left")
     step = lambda acc, s: F.when(

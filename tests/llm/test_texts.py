@@ -66,6 +66,16 @@ def test_redaction_with_null_and_repeated_ids(spark, table):
     assert Counter((r.doc_id, r.text) for r in stage.collect()) == want and stage.columns == docs.columns
 
 
+def test_redaction_of_keys_that_hold_placeholder_digits(spark, table):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    keys = [k[:i % 30] + ("0000" if i % 2 else "1234") + k[i % 30:] for i, k in enumerate(keys)] + ["Sommer1234", "hunter0000Zq"]
+    stay = ["YOUR_API_KEY", "your-token-here", "xxxxxxxxxxxx", "1234567890", "00000000", "changeme1234", "example_example", "dummy-sample"]
+    out = {r.doc_id: r.text for r in secrets.redact(table([(i, f"token={k} end", "s") for i, k in enumerate(keys + stay)])).collect()}
+    assert all(out[i] == "[SECRET] end" for i in range(len(keys)))
+    assert [out[len(keys) + i] for i in range(len(stay))] == [f"token={k} end" for k in stay]
+
+
 def check_shards(rows, out, n):
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in out) == want
