@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .conversations import op12_conversations
 from .jaccard import PERCENT, SHINGLE, op4_jaccard
 from .licences import op10_licences
+from .metric_tree import SCALE as PRODUCT_SCALE
+from .metric_tree import op11_products
+from .orchard import ENTRIES, PARTS, ROUNDS, SCALE, op13_codes
 from .packing import op5_packing
 from .piecewise import op2_pieces
 from .secrets import BASE, COPIED_OWNERS, KINDS, PLACEHOLDERS, op9_secrets
@@ -13,7 +17,8 @@ from .toxicity import op6_toxicity
 from .vectors import op3_vectors
 from .versions import op1_versions
 
-QUERIES = {f.__name__: f for f in (op1_versions, op2_pieces, op3_vectors, op4_jaccard, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets, op10_licences)}
+QUERIES = {f.__name__: f for f in (op1_versions, op2_pieces, op3_vectors, op4_jaccard, op5_packing, op6_toxicity, op7_sharding, op8_token_counts, op9_secrets,
+                                   op10_licences, op11_products, op12_conversations, op13_codes)}
 
 
 def _sql_text(s: str) -> str:
@@ -64,4 +69,47 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.y FROM r JOIN e
 SELECT d.doc_id, len(d.grams) AS n_shingles, least(d.doc_id, min(r.b)) AS component_id
 FROM d JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, d.grams"""
 
-ORACLE_SQL: dict[str, str] = {"op4_jaccard": _JACCARD, "op9_secrets": _SECRETS}
+
+
+def _finite(scale: int) -> str:
+    """floor(scale * component) of the vectors without null or non-finite components."""
+    return f"""SELECT *, [floor({scale} * x::DOUBLE)::BIGINT for x in embedding] AS z FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"""
+
+
+#: Every query against every vector.
+_PRODUCTS = f"""
+WITH v AS ({_finite(PRODUCT_SCALE)}),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] for a in list_zip(q.z, c.z)])::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+def _rounds() -> str:
+    """Each round: every part's nearest entry, then the entries' floored means."""
+    steps = []
+    for n in range(ROUNDS + 1):
+        steps.append(f"""
+d{n} AS (SELECT x.vec_id, x.part, b.entry, x.v, list_sum([(a[1] - a[2]) ** 2 for a in list_zip(x.v, b.v)])::BIGINT AS far FROM x JOIN b{n} b USING (part)),
+a{n} AS (SELECT * FROM d{n} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) = 1)""")
+        if n < ROUNDS:
+            steps.append(f"""
+m{n} AS (SELECT part, entry, i, sum(c)::BIGINT AS s, count(*) AS k FROM (SELECT part, entry, unnest(v) AS c, unnest(range(1, len(v) + 1)) AS i FROM a{n}) GROUP BY ALL),
+e{n} AS (SELECT part, entry, list((s - ((s % k) + k) % k) // k ORDER BY i) AS v FROM m{n} GROUP BY ALL),
+b{n + 1} AS (SELECT b.part, b.entry, coalesce(e.v, b.v) AS v FROM b{n} b LEFT JOIN e{n} e USING (part, entry))""")
+    return ",".join(steps)
+
+
+#: All distances of parts to entries, three times.
+_CODES = f"""
+WITH k AS ({_finite(SCALE)}),
+x AS (SELECT vec_id, label, unnest(range({PARTS})) AS part, z[part * (len(z) // {PARTS}) + 1: (part + 1) * (len(z) // {PARTS})] AS v FROM k),
+b0 AS (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, v FROM x QUALIFY entry < {ENTRIES}),{_rounds()},
+c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{ROUNDS} GROUP BY vec_id),
+t AS (SELECT label, sum(error)::BIGINT AS label_error FROM c JOIN k USING (vec_id) GROUP BY label),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{ROUNDS})
+SELECT vec_id, code, error, label_error, codebooks_sha256
+FROM c JOIN k USING (vec_id) JOIN t ON t.label IS NOT DISTINCT FROM k.label, h"""
+
+ORACLE_SQL: dict[str, str] = {"op4_jaccard": _JACCARD, "op9_secrets": _SECRETS, "op11_products": _PRODUCTS, "op13_codes": _CODES}
