@@ -1,11 +1,11 @@
 """Clustering estimators.
 
-Iterative fits follow one pattern: the model (a few centres, weights or
-variances; size k x d, independent of the data) lives on the driver and is
-broadcast; every iteration is ONE Spark job whose tasks read their partition
-once, compute Arrow batches in NumPy and emit only per-partition partial
-sums (k rows per start), which a ``groupBy`` adds up. The data is never
-collected and nothing grows with the number of rows except the scan.
+Iterative fits follow one pattern: the rows are packed once into cached matrix
+blocks (``blocks.PackedRows``); the model (a few centres, weights or variances;
+size k x d, independent of the data) lives on the driver; every iteration is ONE
+Spark job whose tasks fold their blocks to partial sums, combined without a
+shuffle of rows. The data is never collected and nothing grows with the number
+of rows except the scan.
 
 Assigning rows to a fitted model is a plain column expression (argmin over
 k distances), so scoring runs inside whole-stage codegen.
@@ -18,12 +18,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..session import checkpoint_dir, ship_package
+from .blocks import PackedRows
 from .components import components, stored
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -79,25 +79,8 @@ def nearest_center(cols, centers: np.ndarray) -> Column:
     return best["j"]
 
 
-def _reduce_partials(partials: DataFrame, keys: list[str], value_cols: list[str]) -> list[dict]:
-    """Sum per-partition partial rows by ``keys``: one row per start and cluster comes back."""
-    agg = partials.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in value_cols])
-    return [r.asDict() for r in agg.collect()]
-
-
-def _prepared(df: DataFrame, cols, id_col: str | None) -> DataFrame:
-    """Feature columns as doubles plus a hash of the row's id, cached for the iterations.
-
-    Equal rows keep draws of their own through their ids; without ``id_col``
-    rows are numbered. Fewer partitions than cores are dealt out anew.
-    """
-    ship_package(df.sparkSession)
-    key = F.xxhash64(F.col(id_col)) if id_col else F.xxhash64(F.monotonically_increasing_id())
-    feats = df.select(*[F.col(c).cast("double").alias(c) for c in cols], key.alias("__h"))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if feats.rdd.getNumPartitions() < cores:
-        feats = feats.repartition(cores, "__h")
-    return feats.persist(StorageLevel.MEMORY_AND_DISK)
+def _prepared(df: DataFrame, cols, id_col: str | None) -> PackedRows:
+    return PackedRows(df, cols, id_col)
 
 
 def _row_id(df: DataFrame, id_col: str | None) -> str | None:
@@ -119,100 +102,126 @@ class KMeansResult:
         return df.withColumn(out_col, nearest_center(self.columns, self.centers))
 
 
-def _kpp_init(X: DataFrame, cols, starts: list[tuple[int, int, int]]) -> np.ndarray:
+#: Numbers of a matrix of rows by centres that a task holds at once.
+_CELLS = 2_000_000
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances of rows to centres (starts x k x d): rows x starts x k."""
+    flat = centers.reshape(-1, centers.shape[-1])
+    d2 = (x ** 2).sum(axis=1)[:, None] + (flat ** 2).sum(axis=1) - 2.0 * x @ flat.T
+    return np.maximum(d2, 0.0).reshape(len(x), *centers.shape[:2])
+
+
+def _strips(rows: int, width: int):
+    step = max(1, _CELLS // max(width, 1))
+    return (slice(a, a + step) for a in range(0, rows, step))
+
+
+def _better(a: tuple, b: tuple) -> tuple:
+    """Per start the row with the larger key."""
+    first = a[0] >= b[0]
+    return np.where(first, a[0], b[0]), np.where(first[:, None], a[1], b[1])
+
+
+def _kpp_init(X: PackedRows, cols, starts: list[tuple[int, int, int]], use: np.ndarray | None = None) -> np.ndarray:
     """k-means++ for many starts at once; ``starts`` = (seed, restart, k) per start.
 
     Step t draws the t-th centre of every start that needs one, in ONE job
     (a distributed weighted draw with A-ES keys). Each start's random stream
     depends only on (seed, restart, step), so a start drawn in a batch gets
-    the same centres as when drawn alone. Returns R x max(k) x d (rows past a
+    the same centres as when drawn alone. ``use`` are the numbers of the columns
+    in the blocks, all if not given. Returns R x max(k) x d (rows past a
     start's k stay 0).
     """
-    d = len(cols)
+    use = np.arange(len(cols)) if use is None else use
+    d = len(use)
     kmax = max(k for _, _, k in starts)
     chosen = np.zeros((len(starts), kmax, d))
-    schema = "start int, key double, " + ", ".join(f"x{i} double" for i in range(d))
     for step in range(kmax):
         todo = [i for i, (_, _, k) in enumerate(starts) if k > step]
-        current = chosen[:, :step, :].copy()
-
-        def draw(batches, current=current, step=step, todo=todo):
-            best_key = {i: -np.inf for i in todo}
-            best_row = {i: np.zeros(d) for i in todo}
-            for b in batches:
-                if b.empty:
-                    continue
-                x = b[cols].to_numpy(dtype=float)
-                h = b["__h"].to_numpy().astype(np.int64).view(np.uint64)
-                for i in todo:
-                    seed, rs, _ = starts[i]
-                    u = _uniform(h, seed * 1_000_003 + rs * 7919 + step)
-                    if step == 0:
-                        key = u
-                    else:
-                        c = current[i]
-                        d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).min(axis=1)
-                        with np.errstate(divide="ignore"):
-                            key = np.where(d2 > 0, np.log(u) / np.where(d2 > 0, d2, 1.0), -np.inf)
-                    j = int(np.argmax(key))
-                    if key[j] > best_key[i]:
-                        best_key[i], best_row[i] = key[j], x[j]
-            rows = [(int(i), float(best_key[i]), *map(float, best_row[i])) for i in todo if np.isfinite(best_key[i])]
-            yield pd.DataFrame(rows, columns=["start", "key", *[f"x{i}" for i in range(d)]])
-
-        got = X.mapInPandas(draw, schema).groupBy("start").agg(
-            F.max_by(F.struct(*[f"x{i}" for i in range(d)]), "key").alias("r")).collect()
-        new = {r["start"]: np.array(list(r["r"]), dtype=float) for r in got}
-        for i in todo:
+        salts = [starts[i][0] * 1_000_003 + starts[i][1] * 7919 + step for i in todo]
+        current = chosen[todo, :step]
+
+        def draw(blocks, current=current, salts=salts, step=step):
+            best, row = np.full(len(salts), -np.inf), np.zeros((len(salts), d))
+            for x, h in blocks:
+                x = x[:, use]
+                noise = 1e-14 * (x ** 2).sum(axis=1)[:, None] * d
+                for part in _strips(len(x), len(salts) * max(step, 1)):
+                    key = np.column_stack([_uniform(h[part], salt) for salt in salts])
+                    if step:
+                        d2 = _distances(x[part], current).min(axis=2)
+                        far = d2 > noise[part]  # else it is a chosen centre, but for rounding
+                        key = np.where(far, np.log(key) / np.where(far, d2, 1.0), -np.inf)
+                    top = key.argmax(axis=0)
+                    value = key[top, np.arange(len(salts))]
+                    new = value > best
+                    best[new], row[new] = value[new], x[part][top[new]]
+            return best, row
+
+        best, row = X.fold(draw, _better)
+        for pos, i in enumerate(todo):
             # all points coincide with chosen centres: reuse the last centre
-            chosen[i, step] = new.get(i, chosen[i, step - 1] if step else np.zeros(d))
+            chosen[i, step] = row[pos] if np.isfinite(best[pos]) else chosen[i, step - 1] if step else 0.0
     return chosen
 
 
-def _lloyd_pass(X: DataFrame, cols, centers: np.ndarray,
-                valid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One job: per (start, cluster) count, feature sums and cost under ``centers`` (R x k x d).
-
-    ``valid`` (R x k) marks the centres each start really has (starts with a
-    smaller k are padded); padded centres are never nearest.
-    """
+def _lloyd_sums(x: np.ndarray, centers: np.ndarray, valid: np.ndarray, out: tuple) -> None:
+    """Add a block's counts, costs and feature sums per (start, cluster) to ``out``."""
+    n, cost, sums = out
     R, k, d = centers.shape
-    valid = np.ones((R, k), dtype=bool) if valid is None else valid
-    schema = "start int, cluster int, n long, cost double, " + ", ".join(f"s{i} double" for i in range(d))
-
-    def step(batches):
-        n = np.zeros((R, k))
-        cost = np.zeros((R, k))
-        sums = np.zeros((R, k, d))
-        c2 = np.where(valid, (centers ** 2).sum(axis=2), np.inf)
-        for b in batches:
-            if b.empty:
-                continue
-            x = b[cols].to_numpy(dtype=float)
-            x2 = (x ** 2).sum(axis=1)
-            for r in range(R):
-                dist = np.maximum(x2[:, None] + c2[r][None, :] - 2.0 * x @ centers[r].T, 0.0)
-                lab = dist.argmin(axis=1)
-                best = dist[np.arange(len(x)), lab]
-                n[r] += np.bincount(lab, minlength=k)
-                cost[r] += np.bincount(lab, weights=best, minlength=k)
-                onehot = np.zeros((len(x), k))
-                onehot[np.arange(len(x)), lab] = 1.0
-                sums[r] += onehot.T @ x
-        rows = [(r, j, int(n[r, j]), float(cost[r, j]), *map(float, sums[r, j]))
-                for r in range(R) for j in range(k) if n[r, j] > 0]
-        yield pd.DataFrame(rows, columns=["start", "cluster", "n", "cost", *[f"s{i}" for i in range(d)]])
-
-    rows = _reduce_partials(X.mapInPandas(step, schema), ["start", "cluster"],
-                            ["n", "cost", *[f"s{i}" for i in range(d)]])
-    n = np.zeros((R, k))
-    cost = np.zeros((R, k))
-    sums = np.zeros((R, k, d))
-    for row in rows:
-        r, j = row["start"], row["cluster"]
-        n[r, j], cost[r, j] = row["n"], row["cost"]
-        sums[r, j] = [row[f"s{i}"] for i in range(d)]
-    return n, cost, sums
+    group = max(1, 512 // k)
+    for r in range(0, R, group):
+        some = centers[r: r + group]
+        for part in _strips(len(x), some.shape[0] * k):
+            dist = _distances(x[part], some)
+            dist[:, ~valid[r: r + group]] = np.inf
+            lab = dist.argmin(axis=2) + k * np.arange(some.shape[0])
+            hot = np.zeros((len(dist), some.shape[0] * k))
+            hot[np.arange(len(dist))[:, None], lab] = 1.0
+            n[r: r + group] += hot.sum(axis=0).reshape(-1, k)
+            cost[r: r + group] += (hot * np.where(np.isinf(dist), 0.0, dist).reshape(len(dist), -1)).sum(axis=0).reshape(-1, k)
+            sums[r: r + group] += (hot.T @ x[part]).reshape(-1, k, d)
+
+
+def _lloyd_pass(X: PackedRows, groups: list[tuple]) -> list[tuple]:
+    """One job: per (start, cluster) count, cost and feature sums, for several groups of starts.
+
+    A group is (column numbers, centres R x k x d, valid R x k): ``valid`` marks the centres each start
+    really has (starts with a smaller k are padded); padded centres are never nearest.
+    """
+    def step(blocks):
+        out = [(np.zeros(c.shape[:2]), np.zeros(c.shape[:2]), np.zeros(c.shape)) for _, c, _ in groups]
+        for x, _ in blocks:
+            for (use, centers, valid), sums in zip(groups, out):
+                _lloyd_sums(x[:, use], centers, valid, sums)
+        return tuple(a for sums in out for a in sums)
+
+    flat = X.fold(step)
+    return [flat[i: i + 3] for i in range(0, len(flat), 3)]
+
+
+def _merged_moments(a: tuple, b: tuple) -> tuple:
+    """Counts, means and sums of squared deviations of two sets of rows together."""
+    n = a[0] + b[0]
+    gap = b[1] - a[1]
+    return n, a[1] + gap * (b[0] / max(n, 1.0)), a[2] + b[2] + gap ** 2 * (a[0] * b[0] / max(n, 1.0))
+
+
+def _variances(X: PackedRows) -> np.ndarray:
+    """Population variance of every column of the blocks."""
+    width = X.width
+
+    def step(blocks):
+        done = (0.0, np.zeros(width), np.zeros(width))
+        for x, _ in blocks:
+            mean = x.mean(axis=0)
+            done = _merged_moments(done, (float(len(x)), mean, ((x - mean) ** 2).sum(axis=0)))
+        return done
+
+    n, _, squares = X.fold(step, _merged_moments)
+    return squares / max(n, 1.0)
 
 
 def _canonical(centers: np.ndarray, sizes: np.ndarray):
@@ -237,51 +246,73 @@ def fit_kmeans_many(df: DataFrame, cols, configs, n_init: int = 10, max_iter: in
     """Fit several (k, seed) configurations in the same passes over the data.
 
     A k sweep or a seed study becomes one set of jobs: every Lloyd iteration
-    scans the cached features once for all configurations and restarts
+    scans the cached blocks once for all configurations and restarts
     (smaller k are padded). Results are identical to separate
     ``fit_kmeans`` calls; returned in the order of ``configs``.
     """
-    cols = list(cols)
-    configs = [(int(k), int(seed)) for k, seed in configs]
-    X = _prepared(df, cols, _row_id(df, id_col))
+    X = _prepared(df, list(cols), _row_id(df, id_col))
     try:
-        var_row = X.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
-        tol_abs = tol * float(np.mean([var_row[c] or 0.0 for c in cols]))
-        starts = [(seed, rs, k) for k, seed in configs for rs in range(n_init)]
-        owner = [ci for ci in range(len(configs)) for _ in range(n_init)]
-        centers = _kpp_init(X, cols, starts)
-        kmax = centers.shape[1]
-        valid = np.array([[j < k for j in range(kmax)] for _, _, k in starts])
-        active = np.ones(len(starts), dtype=bool)
-        n_iter = np.zeros(len(starts), dtype=int)
-        for _ in range(max_iter):
-            idx = np.flatnonzero(active)
-            if len(idx) == 0:
-                break
-            n, _, sums = _lloyd_pass(X, cols, centers[idx], valid[idx])
-            for pos, r in enumerate(idx):
-                new = centers[r].copy()
-                nz = (n[pos] > 0) & valid[r]
-                new[nz] = sums[pos][nz] / n[pos][nz][:, None]
-                shift = float(((new - centers[r]) ** 2).sum())
-                centers[r] = new
-                n_iter[r] += 1
-                if shift <= tol_abs:
-                    active[r] = False
-        n, cost, _ = _lloyd_pass(X, cols, centers, valid)
-        inertia = cost.sum(axis=1)
-        results = []
-        for ci, (k, _) in enumerate(configs):
-            mine = [r for r in range(len(starts)) if owner[r] == ci]
-            best = min(mine, key=lambda r: (inertia[r], r))
-            ctr, sizes = _canonical(centers[best][:k], n[best][:k])
-            results.append(KMeansResult(cols, ctr, float(inertia[best]), int(n_iter[best]), best - mine[0], sizes,
-                                        not active[best]))
-        return results
+        return _fit_kmeans_sets(X, [list(cols)], [np.arange(len(cols))], [(0, k, seed) for k, seed in configs], n_init, max_iter, tol)
     finally:
         X.unpersist()
 
 
+def fit_kmeans_sets(df: DataFrame, sets: dict, k: int, seed: int = 42, n_init: int = 10, max_iter: int = 300,
+                    tol: float = 1e-4, id_col: str | None = None) -> dict:
+    """The same fit over several sets of columns of ``df`` ({name: columns}), in shared passes.
+
+    The blocks hold every column once; each start reads the columns of its own set. Equal to a separate
+    ``fit_kmeans`` per set. Returns {name: KMeansResult}.
+    """
+    every = list(dict.fromkeys(c for cols in sets.values() for c in cols))
+    X = _prepared(df, every, _row_id(df, id_col))
+    try:
+        columns = [list(cols) for cols in sets.values()]
+        use = [np.array([every.index(c) for c in cols]) for cols in columns]
+        fitted = _fit_kmeans_sets(X, columns, use, [(i, k, seed) for i in range(len(columns))], n_init, max_iter, tol)
+        return dict(zip(sets, fitted))
+    finally:
+        X.unpersist()
+
+
+def _fit_kmeans_sets(X: PackedRows, columns: list, use: list, configs, n_init: int, max_iter: int, tol: float) -> list[KMeansResult]:
+    """(set, k, seed) configurations, fitted together; see ``fit_kmeans``."""
+    configs = [(int(s), int(k), int(seed)) for s, k, seed in configs]
+    variances = _variances(X)
+    groups = []  # the starts of each set
+    for s in range(len(columns)):
+        own = [i for i, c in enumerate(configs) if c[0] == s]
+        starts = [(configs[i][2], rs, configs[i][1]) for i in own for rs in range(n_init)]
+        if starts:
+            centers = _kpp_init(X, columns[s], starts, use[s])
+            valid = np.array([[j < k for j in range(centers.shape[1])] for _, _, k in starts])
+            groups.append({"use": use[s], "own": own, "centers": centers, "valid": valid, "tol": tol * float(np.mean(variances[use[s]])),
+                           "active": np.ones(len(starts), dtype=bool), "n_iter": np.zeros(len(starts), dtype=int)})
+    for _ in range(max_iter):
+        todo = [(g, np.flatnonzero(g["active"])) for g in groups if g["active"].any()]
+        if not todo:
+            break
+        passes = _lloyd_pass(X, [(g["use"], g["centers"][idx], g["valid"][idx]) for g, idx in todo])
+        for (g, idx), (n, _, sums) in zip(todo, passes):
+            filled = (n > 0) & g["valid"][idx]
+            new = np.where(filled[:, :, None], sums / np.maximum(n, 1.0)[:, :, None], g["centers"][idx])
+            shift = ((new - g["centers"][idx]) ** 2).sum(axis=(1, 2))
+            g["centers"][idx] = new
+            g["n_iter"][idx] += 1
+            g["active"][idx[shift <= g["tol"]]] = False
+    results = [None] * len(configs)
+    for g, (n, cost, _) in zip(groups, _lloyd_pass(X, [(g["use"], g["centers"], g["valid"]) for g in groups])):
+        inertia = cost.sum(axis=1)
+        for pos, i in enumerate(g["own"]):
+            s, k, _ = configs[i]
+            mine = range(pos * n_init, (pos + 1) * n_init)
+            best = min(mine, key=lambda r: (inertia[r], r))
+            ctr, sizes = _canonical(g["centers"][best][:k], n[best][:k])
+            results[i] = KMeansResult(columns[s], ctr, float(inertia[best]), int(g["n_iter"][best]), best - mine[0], sizes,
+                                      not g["active"][best])
+    return results
+
+
 # ---------------------------------------------------------------- C8 diagonal GMM
 @dataclass
 class GMMResult:
@@ -325,19 +356,66 @@ class GMMResult:
         return df.withColumn(out_col, best).withColumn(prob_col, F.lit(1.0) / norm)
 
 
-def _gmm_params_from_labels(X: DataFrame, cols, labels: Column, k: int, reg: float):
-    d = len(cols)
-    rows = X.withColumn("__l", labels).groupBy("__l").agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)],
-        *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(cols)]).collect()
-    n_tot = sum(r["n"] for r in rows)
-    w, m, v = np.full(k, 1e-12), np.zeros((k, d)), np.ones((k, d))
-    for r in rows:
-        j = r["__l"]
-        w[j] = r["n"] / n_tot
-        m[j] = [r[f"m{i}"] for i in range(d)]
-        v[j] = [(r[f"v{i}"] or 0.0) + reg for i in range(d)]
-    return w / w.sum(), m, v
+def _gmm_params_from_labels(X: PackedRows, centers: list, reg: float) -> list[tuple]:
+    """Weights, means and variances of the rows nearest to each centre, for several sets of centres."""
+    def step(blocks):
+        out = [(np.zeros(len(c)), np.zeros(c.shape), np.zeros(c.shape)) for c in centers]
+        for x, _ in blocks:
+            for c, (n, s, q) in zip(centers, out):
+                own = _distances(x, c[None])[:, 0].argmin(axis=1)
+                off = x - c[own]  # near the mean: no cancellation
+                np.add.at(n, own, 1.0)
+                np.add.at(s, own, off)
+                np.add.at(q, own, off ** 2)
+        return tuple(a for sums in out for a in sums)
+
+    flat, params = X.fold(step), []
+    for i, c in enumerate(centers):
+        n, s, q = flat[3 * i: 3 * i + 3]
+        full = n > 0
+        mean = s / np.maximum(n, 1.0)[:, None]
+        w = np.where(full, n / n.sum(), 1e-12)
+        v = np.where(full[:, None], np.maximum(q / np.maximum(n, 1.0)[:, None] - mean ** 2, 0.0) + reg, 1.0)
+        params.append((w / w.sum(), np.where(full[:, None], c + mean, 0.0), v))
+    return params
+
+
+def _log_densities(x: np.ndarray, w: np.ndarray, m: np.ndarray, v: np.ndarray) -> np.ndarray:
+    const = np.log(w) - 0.5 * np.log(2 * np.pi * v).sum(axis=1)
+    return np.column_stack([const[j] - 0.5 * ((x - m[j]) ** 2 / v[j]).sum(axis=1) for j in range(len(w))])
+
+
+def _log_sum(lp: np.ndarray) -> np.ndarray:
+    top = lp.max(axis=1, keepdims=True)
+    return top[:, 0] + np.log(np.exp(lp - top).sum(axis=1))
+
+
+def em_sums(X: PackedRows, params: list[tuple]) -> list[tuple]:
+    """One E-step for several mixtures: responsibilities, their sums of rows and of squares, log-likelihood, rows."""
+    def step(blocks):
+        out = [[np.zeros(len(w)), np.zeros(m.shape), np.zeros(m.shape), 0.0, 0.0] for w, m, _ in params]
+        for x, _ in blocks:
+            for model, st in zip(params, out):
+                lp = _log_densities(x, *model)
+                lse = _log_sum(lp)
+                resp = np.exp(lp - lse[:, None])
+                st[0] += resp.sum(axis=0)
+                st[1] += resp.T @ x
+                st[2] += resp.T @ (x ** 2)
+                st[3] += float(lse.sum())
+                st[4] += len(x)
+        return tuple(a for st in out for a in st)
+
+    flat = X.fold(step)
+    return [flat[i: i + 5] for i in range(0, len(flat), 5)]
+
+
+def m_step(sums: tuple, reg: float) -> tuple:
+    """Weights, means and variances from the sums of an E-step."""
+    nk, s1, s2 = sums[:3]
+    nk = np.maximum(nk, 10 * np.finfo(float).eps)
+    mean = s1 / nk[:, None]
+    return nk / nk.sum(), mean, np.maximum(s2 / nk[:, None] - mean ** 2, 0.0) + reg
 
 
 def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 100, tol: float = 1e-3,
@@ -345,9 +423,8 @@ def fit_gmm_diag(df: DataFrame, cols, k: int, seed: int = 42, max_iter: int = 10
     """EM for a Gaussian mixture with diagonal covariances (MLlib only has full covariance).
 
     Starts from K-Means labels; each iteration is one job: E-step in NumPy
-    per Arrow batch (log-sum-exp), M-step sums emitted per partition and
-    added by a k-row ``groupBy``. Stops when the mean log-likelihood gains
-    less than ``tol``.
+    per block (log-sum-exp), M-step sums folded. Stops when the mean
+    log-likelihood gains less than ``tol``.
     """
     return fit_gmm_diag_many(df, cols, [(k, seed)], max_iter, tol, reg_covar,
                              [init] if init is not None else None)[0]
@@ -361,90 +438,29 @@ def fit_gmm_diag_many(df: DataFrame, cols, configs, max_iter: int = 100, tol: fl
     ``fit_gmm_diag`` calls, in the order of ``configs``.
     """
     cols = list(cols)
-    d = len(cols)
     configs = [(int(k), int(seed)) for k, seed in configs]
-    inits = inits or fit_kmeans_many(df, cols, configs, n_init=1)
-    X = _prepared(df, cols, None)  # no draws here
+    X = _prepared(df, cols, _row_id(df, None))
     try:
-        params = [_gmm_params_from_labels(X, cols, nearest_center(cols, ini.centers), k, reg_covar)
-                  for ini, (k, _) in zip(inits, configs)]
+        inits = inits or _fit_kmeans_sets(X, [cols], [np.arange(len(cols))], [(0, k, seed) for k, seed in configs], 1, 300, 1e-4)
+        params = _gmm_params_from_labels(X, [ini.centers for ini in inits], reg_covar)
         n_cfg = len(configs)
-        prev = [-np.inf] * n_cfg
         last = [-np.inf] * n_cfg
         history = [[] for _ in range(n_cfg)]
-        iters = [0] * n_cfg
         converged = [False] * n_cfg
-        schema = ("cfg int, comp int, nk double, ll double, n long, " + ", ".join(f"a{i} double" for i in range(d))
-                  + ", " + ", ".join(f"b{i} double" for i in range(d)))
         for _ in range(max_iter):
             active = [c for c in range(n_cfg) if not converged[c]]
             if not active:
                 break
-            snapshot = {c: tuple(x.copy() for x in params[c]) for c in active}
-
-            def em(batches, snapshot=snapshot):
-                acc = {}
-                for c, (w_, m_, v_) in snapshot.items():
-                    kc = len(w_)
-                    acc[c] = [np.log(w_) - 0.5 * np.log(2 * np.pi * v_).sum(axis=1), np.zeros(kc),
-                              np.zeros((kc, d)), np.zeros((kc, d)), 0.0, 0]
-                for b in batches:
-                    if b.empty:
-                        continue
-                    x = b[cols].to_numpy(dtype=float)
-                    for c, (w_, m_, v_) in snapshot.items():
-                        st = acc[c]
-                        quad = (((x[:, None, :] - m_[None, :, :]) ** 2) / v_[None, :, :]).sum(axis=2)
-                        lp = st[0][None, :] - 0.5 * quad
-                        top = lp.max(axis=1, keepdims=True)
-                        lse = top[:, 0] + np.log(np.exp(lp - top).sum(axis=1))
-                        resp = np.exp(lp - lse[:, None])
-                        st[1] += resp.sum(axis=0)
-                        st[2] += resp.T @ x
-                        st[3] += resp.T @ (x ** 2)
-                        st[4] += float(lse.sum())
-                        st[5] += len(x)
-                rows = [(c, j, float(st[1][j]), st[4] if j == 0 else 0.0, st[5] if j == 0 else 0,
-                         *map(float, st[2][j]), *map(float, st[3][j]))
-                        for c, st in acc.items() for j in range(len(st[1]))]
-                yield pd.DataFrame(rows, columns=["cfg", "comp", "nk", "ll", "n", *[f"a{i}" for i in range(d)],
-                                                  *[f"b{i}" for i in range(d)]])
-
-            agg = _reduce_partials(X.mapInPandas(em, schema), ["cfg", "comp"],
-                                   ["nk", "ll", "n", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)]])
-            stats = {c: [np.zeros(configs[c][0]), np.zeros((configs[c][0], d)), np.zeros((configs[c][0], d)), 0.0, 0]
-                     for c in active}
-            for r in agg:
-                st = stats[r["cfg"]]
-                j = r["comp"]
-                st[0][j] = r["nk"]
-                st[1][j] = [r[f"a{i}"] for i in range(d)]
-                st[2][j] = [r[f"b{i}"] for i in range(d)]
-                st[3] += r["ll"]
-                st[4] += int(r["n"])
-            for c in active:
-                nk, s1, s2, ll_tot, n_tot = stats[c]
-                ll = ll_tot / n_tot
+            for c, sums in zip(active, em_sums(X, [params[c] for c in active])):
+                ll = sums[3] / sums[4]
                 history[c].append(ll)
+                params[c] = m_step(sums, reg_covar)
+                converged[c] = abs(ll - last[c]) < tol
                 last[c] = ll
-                iters[c] += 1
-                nk_safe = np.maximum(nk, 10 * np.finfo(float).eps)
-                params[c] = (nk_safe / nk_safe.sum(), s1 / nk_safe[:, None],
-                             np.maximum(s2 / nk_safe[:, None] - (s1 / nk_safe[:, None]) ** 2, 0.0) + reg_covar)
-                if abs(ll - prev[c]) < tol:
-                    converged[c] = True
-                prev[c] = ll
-        models = [GMMResult(cols, *params[c], last[c], 0, iters[c], converged[c], history[c]) for c in range(n_cfg)]
-        # final score of every model under its final parameters (what AIC/BIC use), one job
-        scores = []
-        for c, model in enumerate(models):
-            lp = model.log_prob_exprs()
-            top = F.greatest(*lp) if len(lp) > 1 else lp[0]
-            scores.append(F.avg(top + F.log(sum((F.exp(e - top) for e in lp), F.lit(0.0)))).alias(f"ll{c}"))
-        row = X.agg(F.count("*").alias("n"), *scores).first()
-        for c, model in enumerate(models):
-            model.mean_log_likelihood, model.n = float(row[f"ll{c}"]), int(row["n"])
-        return models
+        # the score of every model under its final parameters (what AIC/BIC use)
+        final = em_sums(X, params)
+        return [GMMResult(cols, *params[c], float(final[c][3] / final[c][4]), int(final[c][4]), len(history[c]), converged[c], history[c])
+                for c in range(n_cfg)]
     finally:
         X.unpersist()
 

@@ -460,7 +460,7 @@ def ari_labels(spark: SparkSession, d: str) -> DataFrame:
 def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     """Assignment half of K-Means with fixed centres (the per-label means)."""
     emb, cols = _emb(spark, d)
-    labels, _, cents = M._centroids(emb, cols, "label")
+    labels, _, cents, _ = M.cluster_stats(emb, cols, "label")
     out = emb.select("vec_id", "label", C.nearest_center(cols, cents).alias("j"))
     mapping = F.create_map(*[x for j, lab in enumerate(labels) for x in (F.lit(j), F.lit(lab))])
     return out.select("vec_id", "label", mapping[F.col("j")].alias("assigned_cluster"))
