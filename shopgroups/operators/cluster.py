@@ -1,4 +1,4 @@
-"""Clustering estimators.
+"""Clustering estimators (C1-C8, C16, C19; C16's Ward and C17 are in ``ward`` and ``dbscan``).
 
 Iterative fits follow one pattern: the rows are packed once into cached matrix
 blocks (``blocks.PackedRows``); the model (a few centres, weights or variances;
@@ -13,7 +13,6 @@ k distances), so scoring runs inside whole-stage codegen.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,9 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from ..session import checkpoint_dir, ship_package
 from .blocks import PackedRows
-from .components import components, stored
+from .dbscan import dbscan  # noqa: F401
 
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -498,178 +496,3 @@ def pca_projection(df: DataFrame, cols, id_col: str = "customer_id", k: int = 2)
     proj = centred.select(id_col, *[sum((F.col(c) * F.lit(float(comps[j, i])) for i, c in enumerate(cols)), F.lit(0.0))
                                     .alias(f"pc{j + 1}") for j in range(k)])
     return proj, [float(x) for x in model.explainedVariance.toArray()]
-
-
-# ---------------------------------------------------------------- C17 DBSCAN
-#: Columns of the grid, rows of a block of a cell, and rows that a unit compares a block with, about.
-GRID_COLUMNS, BLOCK_ROWS, UNIT_ROWS = 3, 2048, 16_384
-#: Rows per cell, on average, that the grid keeps; with fewer it takes fewer columns.
-CELL_ROWS = 50
-
-
-class Neighbourhoods:
-    """Pairs of rows within ``eps``, found block by block over all rows.
-
-    Rows lie in cells of width ``eps`` over the columns that spread the rows most; full cells are
-    cut into blocks by a hash of the id. A block is compared with the blocks of its own and the
-    neighbouring cells whose bounding boxes over all columns are within ``eps``, in units of about
-    ``UNIT_ROWS`` rows. Distances are exact. No pair is stored: what the passes write is bounded by
-    rows per unit.
-    """
-
-    def __init__(self, df: DataFrame, cols, eps: float, id_col: str, folder: str):
-        ship_package(df.sparkSession)
-        self.cols, self.eps, self.folder = list(cols), float(eps), folder
-        # wider than eps by more than rounding takes
-        cell = [F.floor(F.least(F.greatest(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
-                                           / F.lit(self.eps * (1 + 1e-6)), F.lit(-1e9)), F.lit(1e9))) for c in self.cols]
-        base = stored(df.select(F.col(id_col).alias("id"), F.array(*[F.col(c).cast("double") for c in self.cols]).alias("x"),
-                                F.array(*cell).alias("all")), folder, "rows")
-        shape = (base.select(F.posexplode("all").alias("col", "cell")).groupBy("col", "cell").count()
-                     .groupBy("col").agg((F.sum(F.col("count").cast("double") ** 2)).alias("load"))).collect()  # one row per column
-        order = [r["col"] for r in sorted(shape, key=lambda r: (r["load"], r["col"]))][:GRID_COLUMNS] or [0]
-        grid = [F.array(*[F.get("all", F.lit(i)) for i in order[:g]]) for g in range(1, len(order) + 1)]
-        cells = base.agg(F.count("*").alias("n"), *[F.approx_count_distinct(c).alias(f"g{g}") for g, c in enumerate(grid)]).first()
-        use = max([g for g in range(len(grid)) if cells[f"g{g}"] * CELL_ROWS <= cells["n"]], default=0)
-        base = base.select("id", "x", grid[use].alias("cell"))
-        full = base.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
-        salt = F.pmod(F.xxhash64("id"), F.col("parts"))
-        self.rows = stored(base.join(full, "cell").select("id", "x", "cell", F.concat_ws(":", F.col("cell").cast("array<string>"), salt.cast("string")).alias("blk")), folder, "blocked")
-        d = len(self.cols)
-        boxes = stored(self.rows.groupBy("blk", "cell").agg(F.count("*").alias("n"), *[f(F.get("x", F.lit(i))).alias(f"{k}{i}") for i in range(d) for k, f in (("lo", F.min), ("hi", F.max))]), folder, "boxes")
-        sides = [F.array(*[F.get("cell", F.lit(i)) + s for s in (-1, 0, 1)]) for i in range(use + 1)]
-        beside = F.transform(sides[0], lambda v: F.array(v))
-        for side in sides[1:]:
-            beside = F.flatten(F.transform(beside, extended(side)))
-        left = boxes.select(F.col("blk").alias("a"), F.explode(beside).alias("cell"), *[F.col(f"{k}{i}").alias(f"a{k}{i}") for i in range(d) for k in ("lo", "hi")])
-        near = left.join(boxes, "cell")
-        gap = [F.greatest(F.col(f"lo{i}") - F.col(f"ahi{i}"), F.col(f"alo{i}") - F.col(f"hi{i}"), F.lit(0.0)) for i in range(d)]
-        # null and NaN bounds prune nothing
-        apart = sum((g * g for g in (F.coalesce(F.nanvl(g, F.lit(0.0)), F.lit(0.0)) for g in gap)), F.lit(0.0)) > self.limit * (1 + 1e-6)
-        near = near.filter(~apart).select("a", F.col("blk").alias("b"), "n")
-        chunks = near.groupBy("a").agg(F.ceil(F.sum("n") / UNIT_ROWS).alias("chunks"))
-        self.units = stored(near.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).alias("chunk")), folder, "units")
-
-    @property
-    def limit(self) -> float:
-        return self.eps ** 2 + 1e-12 * max(1.0, self.eps ** 2)
-
-    def pass_over(self, rows: DataFrame, held: DataFrame, extra: list[str], run, schema: str) -> DataFrame:
-        """``run(rows of a block, rows of a unit)`` for all units; ``rows`` and ``held`` have id, x, blk and the columns ``extra``."""
-        asked = rows.join(self.units.select("a", "chunk").distinct(), F.col("blk") == F.col("a")).select("a", "chunk", "id", "x", *extra)
-        units = self.units.select(F.col("a").alias("u"), F.col("chunk").alias("part"), "b")
-        held = held.select(F.col("id").alias("to"), F.col("x").alias("y"), F.col("blk").alias("own"))
-        given = held.join(units, F.col("own") == F.col("b")).select("u", "part", F.col("to").alias("id"), F.col("y").alias("x"))
-        return asked.groupBy("a", "chunk").cogroup(given.groupBy("u", "part")).applyInPandas(run, schema)
-
-    def degrees(self) -> DataFrame:
-        """(id, x, blk, n) of every row with the number of rows within eps, itself included."""
-        limit, d = self.limit, len(self.cols)
-        id_type = self.rows.schema["id"].dataType.simpleString()
-
-        def count(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-            n = np.zeros(len(asked), np.int64)
-            for a, within in strips(vectors_of(asked, d), vectors_of(given, d), limit):
-                n[a: a + len(within)] = within.sum(1)
-            return pd.DataFrame({"id": asked["id"], "n": n})
-
-        counts = self.pass_over(self.rows, self.rows, [], count, f"id {id_type}, n long").groupBy("id").agg(F.sum("n").alias("n"))
-        return stored(self.rows.join(counts, "id", "left").select("id", "x", "blk", F.coalesce("n", F.lit(0)).cast("int").alias("n")), self.folder, "degrees")
-
-    def links(self, degrees: DataFrame, min_samples: int, name: str) -> DataFrame:
-        """(a, b, core): for core rows a, a forest that links what links of core rows link in each unit;
-        for others, all core rows b near them, fewer than ``min_samples``."""
-        limit, d = self.limit, len(self.cols)
-        id_type = degrees.schema["id"].dataType.simpleString()
-
-        def link(asked: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-            ids, to, core = asked["id"].to_numpy(), given["id"].to_numpy(), asked["core"].to_numpy(bool)
-            group = np.arange(len(to))
-            source, target = [], []
-            for a, within in strips(vectors_of(asked, d), vectors_of(given, d), limit):
-                for i, row in enumerate(within, a):
-                    hit = np.flatnonzero(row)
-                    if core[i] and len(hit):  # one row of each group that it joins
-                        parts, first = np.unique(group[hit], return_index=True)
-                        if len(parts) > 1:
-                            moved = np.zeros(len(to), bool)
-                            moved[parts] = True
-                            group = np.where(moved[group], parts[0], group)
-                        hit = hit[first]
-                    source.append(np.full(len(hit), i))
-                    target.append(hit)
-            source = np.concatenate([np.zeros(0, np.int64), *source]).astype(np.int64)
-            target = np.concatenate([np.zeros(0, np.int64), *target]).astype(np.int64)
-            return pd.DataFrame({"a": ids[source], "b": to[target], "core": core[source]})
-
-        marked = degrees.withColumn("core", F.col("n") >= min_samples)
-        found = self.pass_over(marked, marked.filter("core"), ["core"], link, f"a {id_type}, b {id_type}, core boolean")
-        return stored(found, self.folder, f"links-{name}")
-
-
-def extended(side):
-    """A function of an array that has all arrays with one more element, from ``side``."""
-    return lambda p: F.transform(side, lambda v: F.concat(p, F.array(v)))
-
-
-def vectors_of(rows: pd.DataFrame, d: int) -> np.ndarray:
-    """The rows' vectors, null components as NaN."""
-    return np.array([np.asarray(v, dtype=float) for v in rows["x"]], dtype=float).reshape(len(rows), d)
-
-
-def strips(x: np.ndarray, y: np.ndarray, limit: float):
-    """(first row, whether each of y is within ``limit``, a squared distance) for strips of the rows of x."""
-    sx, sy = (x ** 2).sum(axis=1), (y ** 2).sum(axis=1)
-    height = max(1, 2_000_000 // max(len(y), 1))
-    for a in range(0, len(x), height) if len(y) else ():
-        part = x[a: a + height]
-        scale = sx[a: a + height, None] + sy[None, :]
-        with np.errstate(invalid="ignore"):
-            far = scale - 2.0 * part @ y.T
-            within = far <= limit
-            # what rounding could turn is computed from the differences
-            i, j = np.nonzero(np.abs(far - limit) <= 1e-13 * scale * (x.shape[1] + 4))
-        within[i, j] = ((part[i] - y[j]) ** 2).sum(axis=1) <= limit
-        yield a, within
-
-
-def dbscan(df: DataFrame, cols, eps: float, min_samples: int, id_col: str = "customer_id",
-           neighbours_only: bool = False) -> DataFrame:
-    """DBSCAN over all rows; ids must be unique.
-
-    Core point: at least ``min_samples`` neighbours within ``eps`` counting
-    itself. Clusters are the connected components of the core-core graph; a
-    border point takes the lowest label among its core neighbours; noise is
-    -1, as are rows with a null or NaN feature. Labels are renumbered by size
-    desc (ties: smallest core id). Returns (id, cluster, is_core), or with
-    ``neighbours_only`` (id, neighbour_count, is_core) without the components.
-    """
-    near = Neighbourhoods(df, cols, eps, id_col, dbscan_folder(df.sparkSession))
-    degrees = near.degrees()
-    if neighbours_only:
-        return degrees.select(F.col("id").alias(id_col), F.col("n").alias("neighbour_count"), (F.col("n") >= min_samples).alias("is_core"))
-    return dbscan_labels(near, degrees, min_samples, id_col)
-
-
-def dbscan_folder(spark) -> str:
-    """A new folder for the tables of a DBSCAN run."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/dbscan-{uuid.uuid4().hex}"
-
-
-def dbscan_labels(near: Neighbourhoods, degrees: DataFrame, min_samples: int, id_col: str) -> DataFrame:
-    """(id, cluster, is_core) of every row; see ``dbscan``."""
-    links = near.links(degrees, min_samples, str(min_samples))
-    id_type = degrees.schema["id"].dataType.simpleString()
-    roots = components(links.filter("core").select("a", "b"), f"{near.folder}/components-{min_samples}")
-    core = degrees.filter(F.col("n") >= min_samples).select("id")
-    core = stored(core.join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("comp")), near.folder, f"core-{min_samples}")
-    border = (links.filter(~F.col("core")).join(core, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("comp")))
-    marked = degrees.select("id", (F.col("n") >= min_samples).alias("is_core"))
-    labelled = stored(marked.join(core.unionByName(border), "id", "left"), near.folder, f"labelled-{min_samples}")
-    sizes = labelled.filter("comp is not null").groupBy("comp").agg(F.count("*").alias("size"))
-    # numbered in order of size without one task that holds all clusters
-    ranked = sizes.orderBy(F.desc("size"), "comp").select("comp").rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    ranked = labelled.sparkSession.createDataFrame(ranked, f"comp {id_type}, cluster int")
-    return (labelled.join(ranked, "comp", "left")
-                    .select(F.col("id").alias(id_col), F.coalesce("cluster", F.lit(-1)).alias("cluster"), "is_core"))
-

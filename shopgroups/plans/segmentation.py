@@ -212,7 +212,7 @@ def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_c
     out = []
     feats = df.select(id_col, *cols)
     for eps in eps_values:
-        near = C.Neighbourhoods(feats, cols, eps, id_col, C.dbscan_folder(df.sparkSession))
+        near = X.Boxes(feats, cols, eps, id_col, C.dbscan_folder(df.sparkSession))
         degrees = near.degrees()
         for ms in min_samples_values:
             labels = stored(C.dbscan_labels(near, degrees, ms, id_col), near.folder, f"labels-{ms}")

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from shopgroups.operators import cluster as C
+from shopgroups.operators import dbscan as D
 from shopgroups.operators import metrics as M
 
 
@@ -136,9 +137,9 @@ def test_dbscan_covers_all_rows_and_matches_all_pairs(spark, monkeypatch):
     x = np.concatenate([rng.normal(0, 0.4, (2600, 3)), rng.normal(0, 0.1, (900, 3)) + [6, 0, 0], rng.uniform(-9, 9, (1900, 3)),
                         np.repeat(rng.uniform(-9, 9, (20, 3)), 6, axis=0)])
     df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, x double, y double, z double")
-    monkeypatch.setattr(C, "BLOCK_ROWS", 300)
-    monkeypatch.setattr(C, "UNIT_ROWS", 700)
-    monkeypatch.setattr(C, "CELL_ROWS", 5)
+    monkeypatch.setattr(D, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(D, "UNIT_ROWS", 700)
+    monkeypatch.setattr(D, "CELL_ROWS", 5)
     n, label = _brute_dbscan(x, 0.8, 6)
     got = {r.id: (r.neighbour_count, r.is_core) for r in C.dbscan(df, ["x", "y", "z"], 0.8, 6, "id", neighbours_only=True).collect()}
     assert got == {i: (n[i], n[i] >= 6) for i in range(len(x))}
