@@ -2,22 +2,21 @@
 
 Spark's ``percentile`` is exact but keeps a value->count map per group in a
 single final task: fine for a small value domain (basket sizes), not for a
-continuous column with billions of distinct values. ``quantiles`` below is
-exact with bounded memory:
-
-1. one aggregation per (group, column): count, min, max and a GK sketch
-   (``percentile_approx``) at p -/+ 2·eps, giving a bracket [lo, hi] that
-   holds the order statistics needed for linear interpolation;
-2. one pass with a single aggregation that counts values below ``lo`` (as
-   one NULL-keyed row) and the distinct values inside the bracket (about
-   4·eps·n of them); a window ranks them, the two order statistics are
-   picked and interpolated (pandas / numpy ``linear``, same as DuckDB
-   ``quantile_cont`` and Spark ``percentile``).
-
-A bracket that misses its target (possible only at sketch edge cases) is
-retried with wider brackets taken from the same sketch (8·eps, then
-32·eps); only if those miss too does that column fall back to Spark's exact
-``percentile``.
+continuous column with billions of distinct values. ``quantiles`` below selects
+order statistics by radix counting instead:
+
+1. the columns are packed once into cached matrix blocks; a double's bits, turned
+   so that they sort like the numbers, are its key;
+2. a pass counts, for every order statistic still wanted, how many keys have each
+   next digit after the key's known beginning, with the least and the largest key
+   of each; per task that is a short list, and lists are added up by a fold;
+3. the digit that holds the rank is known then. Once it holds one value, or the
+   rank is its first or last, the value is known too; else the next digit is counted.
+
+Every pass serves all columns, groups and ranks together; 64 bits end it after six
+passes of 11 bits, two or three are usual. No value is exploded, sorted or sent to
+one task. Two order statistics are interpolated (pandas / numpy ``linear``, same as
+DuckDB ``quantile_cont`` and Spark ``percentile``).
 Results are small (groups x columns x probabilities) and returned to the
 caller as rows; the data itself never leaves the executors.
 """
@@ -26,14 +25,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# GK sketch accuracy (relative rank error 1/accuracy). Each partition ships one
-# sketch per column (~accuracy entries) to that column's final merge task, so
-# this is kept at Spark's own default; the exact pass then ranks about
-# 4·n/accuracy distinct values per target (spillable window).
-DEFAULT_ACCURACY = 10_000
+from ..operators.blocks import PackedRows
+
+DEFAULT_ACCURACY = 10_000  # of the sketches of ``approx``
+
+#: Bits of a digit, at most, and counts that a pass may have for all order statistics together, about.
+DIGIT_BITS, PASS_COUNTS = 11, 1 << 23
+_TOP = np.uint64(1 << 63)
 
 
 def _long(df: DataFrame, cols, group_cols) -> DataFrame:
@@ -44,23 +46,117 @@ def _long(df: DataFrame, cols, group_cols) -> DataFrame:
               .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, keys) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[k])
-        cond = c if cond is None else cond & c
-    return cond
+def sort_keys(x: np.ndarray) -> np.ndarray:
+    """Unsigned integers that sort like the doubles."""
+    u = np.ascontiguousarray(x + 0.0).view(np.uint64)  # one zero
+    return np.where(u & _TOP, ~u, u | _TOP)
+
+
+def of_key(key: int) -> float:
+    u = np.uint64(key)
+    return float(np.array([u & ~_TOP if u & _TOP else ~u]).view(np.float64)[0])
+
 
+def _tallied(codes: np.ndarray, counts: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple:
+    """One entry per code: sum of counts, least and largest key."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts, least, most = codes[order], counts[order], least[order], most[order]
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    if not len(first):
+        return codes, counts, least, most
+    return codes[first], np.add.reduceat(counts, first), np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
 
-MARGINS = (2, 8, 32)  # bracket half-widths tried, in units of the sketch's relative error
+
+def _both(a: tuple, b: tuple) -> tuple:
+    return _tallied(*[np.concatenate(pair) for pair in zip(a, b)])
+
+
+_EMPTY = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+
+
+def _digit_counts(packed: PackedRows, width: int, groups: int, cells: list, known: int, bits: int) -> tuple:
+    """Counts by next digit of the keys in ``cells``, pairs of (column and group, key's first ``known`` bits) in order.
+
+    A cell's codes are its place times 2 ** bits plus the digit.
+    """
+    by_column = []  # per column: key beginnings, composites of (their place, group) that are wanted, and their cells
+    for c in range(width):
+        own = [(i, slot % groups, begin) for i, (slot, begin) in enumerate(cells) if slot // groups == c]
+        begins = np.array(sorted({b for _, _, b in own}), dtype=np.uint64)
+        place = {int(b): i for i, b in enumerate(begins)}
+        both = sorted((place[b] * groups + g, i) for i, g, b in own)
+        by_column.append((begins, np.array([x for x, _ in both], dtype=np.int64), np.array([i for _, i in both], dtype=np.int64)))
+    down, mask = np.uint64(64 - known - bits), np.uint64((1 << bits) - 1)
+
+    def step(blocks):
+        done = _EMPTY
+        for x, _ in blocks:
+            group = x[:, width].astype(np.int64) if x.shape[1] > width else np.zeros(len(x), np.int64)
+            for c, (begins, wanted, cell) in enumerate(by_column):
+                if not len(begins):
+                    continue
+                rows = np.flatnonzero(~np.isnan(x[:, c]))
+                key = sort_keys(x[rows, c])
+                begin = key >> np.uint64(64 - known) if known else np.zeros(len(key), np.uint64)
+                at = np.minimum(np.searchsorted(begins, begin), len(begins) - 1)
+                composite = at * groups + group[rows]
+                to = np.minimum(np.searchsorted(wanted, composite), len(wanted) - 1)
+                held = (begins[at] == begin) & (wanted[to] == composite)
+                key = key[held]
+                codes = (cell[to[held]] << bits) + ((key >> down) & mask).astype(np.int64)
+                done = _both(done, _tallied(codes, np.ones(len(key), np.int64), key, key))
+        return done
+
+    return packed.fold(step, _both)
+
+
+def _selected(packed: PackedRows, width: int, groups: int, probs) -> dict:
+    """{(column, group, p): value} for every column and group that has values."""
+    known, cells = 0, [(s, 0) for s in range(width * groups)]
+    wanted = {}  # cell: [(target, rank inside)]
+    found, ranks, first = {}, {}, True
+    while cells:
+        bits = max(1, min(DIGIT_BITS, 64 - known, int(math.log2(max(2, PASS_COUNTS // len(cells))))))
+        codes, counts, least, most = _digit_counts(packed, width, groups, cells, known, bits)
+        bounds = np.searchsorted(codes, np.arange(len(cells) + 1) << bits)
+        if first:  # the first pass tells how many values there are
+            for i, (slot, begin) in enumerate(cells):
+                n = int(counts[bounds[i]: bounds[i + 1]].sum())
+                for p in probs if n else ():
+                    h = p * (n - 1)
+                    ranks[(slot, p)] = h
+                    for j in {math.floor(h), math.ceil(h)}:
+                        wanted.setdefault((slot, begin), []).append(((slot, j), j))
+            first = False
+        following = {}
+        for i, cell in enumerate(cells):
+            lo, hi = bounds[i], bounds[i + 1]
+            total = np.cumsum(counts[lo:hi])
+            for target, rank in wanted.get(cell, ()):
+                at = int(np.searchsorted(total, rank, side="right"))
+                inside = rank - (int(total[at - 1]) if at else 0)
+                low, high = int(least[lo + at]), int(most[lo + at])
+                if low == high or inside == 0:
+                    found[target] = of_key(low)
+                elif inside == int(counts[lo + at]) - 1:
+                    found[target] = of_key(high)
+                else:
+                    digit = int(codes[lo + at]) & ((1 << bits) - 1)
+                    following.setdefault((cell[0], (cell[1] << bits) | digit), []).append((target, inside))
+        known, wanted, cells = known + bits, following, sorted(following)
+    out = {}
+    for (slot, p), h in ranks.items():
+        low, high = found[(slot, math.floor(h))], found[(slot, math.ceil(h))]
+        out[(slot // groups, slot % groups, p)] = low + (h - math.floor(h)) * (high - low) if high != low else low
+    return out
 
 
 def quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "exact",
               accuracy: int = DEFAULT_ACCURACY) -> list[dict]:
-    """Quantiles of ``cols`` (NULL skipped) per group.
+    """Quantiles of ``cols`` (NULL and NaN skipped) per group.
 
     Returns a list of dicts ``{**group, "column", "p", "value"}``; ``value``
-    is None for an all-NULL column. ``method``: ``exact`` (two-pass, bounded
+    is None for an all-NULL column. ``method``: ``exact`` (radix selection, bounded
     memory), ``percentile`` (Spark exact map aggregate, small domains) or
     ``approx`` (GK sketch only, one pass).
     """
@@ -69,87 +165,34 @@ def quantiles(df: DataFrame, cols, probs, group_cols=(), method: str = "exact",
         return []
     if method == "percentile":
         return _percentile_exact(df, cols, probs, g)
-    eps = 1.0 / accuracy
-    qs = sorted({min(max(p + s * m * eps, 0.0), 1.0) for p in probs for s in (-1, 1) for m in MARGINS} | set(probs))
-    long = _long(df, cols, g)
-    stats = long.groupBy(*g, "column").agg(
-        F.count("v").alias("n"), F.min("v").alias("mn"), F.max("v").alias("mx"),
-        F.percentile_approx("v", qs, accuracy).alias("ap")).collect()
-    out, targets = [], []
-    for row in stats:
-        key = {k: row[k] for k in g}
-        approx = dict(zip(qs, row["ap"] or []))
-        for p in probs:
-            if method == "approx":
-                out.append({**key, "column": row["column"], "p": p, "value": approx.get(p)})
-                continue
-            h = p * (row["n"] - 1)
-            targets.append({**key, "column": row["column"], "p": p, "h": h, "j0": math.floor(h),
-                            "j1": math.ceil(h), "mn": row["mn"], "mx": row["mx"], "approx": approx})
     if method == "approx":
-        return _with_missing(out, df, cols, probs, g)
-    keys = [*g, "column", "p"]
-    pending = targets
-    for m in MARGINS:
-        if not pending:
-            break
-        brackets = []
-        for t in pending:
-            lo_q, hi_q = max(t["p"] - m * eps, 0.0), min(t["p"] + m * eps, 1.0)
-            lo = t["mn"] if lo_q <= 0.0 else min(t["approx"][lo_q], t["approx"][t["p"]])
-            hi = t["mx"] if hi_q >= 1.0 else max(t["approx"][hi_q], t["approx"][t["p"]])
-            brackets.append({**t, "lo": float(lo), "hi": float(hi)})
-        found = _exact_pass(df, long, brackets, g)
-        still = []
-        for t in pending:
-            k = tuple(t[c] for c in keys)
-            if k in found:
-                out.append({**{c: t[c] for c in g}, "column": t["column"], "p": t["p"], "value": found[k]})
-            else:
-                still.append(t)
-        pending = still
-    if pending:
-        redo_cols = sorted({t["column"] for t in pending})
-        redo = _percentile_exact(df, redo_cols, probs, g)
-        done = {tuple(o[c] for c in keys) for o in out}
-        out.extend(o for o in redo if tuple(o[c] for c in keys) not in done)
+        rows = _long(df, cols, g).groupBy(*g, "column").agg(F.percentile_approx("v", probs, accuracy).alias("q")).collect()
+        return _with_missing([{**{k: r[k] for k in g}, "column": r["column"], "p": p, "value": v} for r in rows for p, v in zip(probs, r["q"])],
+                             df, cols, probs, g)
+    groups = [()]
+    rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], *[F.col(c).alias(f"g{i}") for i, c in enumerate(g)])
+    names = [f"x{i}" for i in range(len(cols))]
+    if g:
+        # one row per group, as in the result
+        keys = rows.select(*[f"g{i}" for i in range(len(g))]).distinct()
+        groups = [tuple(r) for r in keys.collect()]
+        if not groups:
+            return []
+        schema = ", ".join([f"k{i} {keys.schema[f'g{i}'].dataType.simpleString()}" for i in range(len(g))] + ["place double"])
+        table = df.sparkSession.createDataFrame([(*k, float(n)) for n, k in enumerate(groups)], schema)
+        same = [F.col(f"g{i}").eqNullSafe(F.col(f"k{i}")) for i in range(len(g))]
+        rows = rows.join(table, same)
+        names = [*names, "place"]
+    packed = PackedRows(rows, names, deal=False)
+    try:
+        values = _selected(packed, len(cols), len(groups), sorted(set(probs)))
+    finally:
+        packed.unpersist()
+    out = [{**dict(zip(g, groups[n])), "column": cols[c], "p": p, "value": values[(c, n, p)]}
+           for c in range(len(cols)) for n in range(len(groups)) for p in probs if (c, n, p) in values]
     return _with_missing(out, df, cols, probs, g)
 
 
-def _exact_pass(df: DataFrame, long: DataFrame, brackets: list[dict], g: list[str]) -> dict:
-    """Count values below each bracket and rank the distinct values inside it (one job)."""
-    spark = df.sparkSession
-    names = [*g, "column", "p", "h", "j0", "j1", "lo", "hi"]
-    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in g]
-                       + ["column string", "p double", "h double", "j0 long", "j1 long", "lo double", "hi double"])
-    br = spark.createDataFrame([tuple(b[k] for k in names) for b in brackets], schema)
-    # bracket table: one row per (group, column, p), sized by the caller's request
-    x = long.join(F.broadcast(br), _null_safe_on(long, br, [*g, "column"]))
-    x = x.select(*[long[k] for k in g], long["column"], "p", "h", "j0", "j1", "lo", "hi", "v") \
-         .where(F.col("v") <= F.col("hi"))
-    keys = [*g, "column", "p"]
-    # one aggregation for both parts: values below the bracket collapse into a
-    # single NULL-keyed row per target, which sorts first in the ranking window
-    inside = F.when(F.col("v") >= F.col("lo"), F.col("v"))
-    counts = x.groupBy(*keys, "h", "j0", "j1", inside.alias("w")).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("w")) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (counts.withColumn("cum", F.sum("c").over(order)).where(F.col("w").isNotNull())
-                    .select(*keys, "h", "j0", "j1", F.col("w").alias("v"),
-                            (F.col("cum") - F.col("c")).alias("first"), (F.col("cum") - 1).alias("last")))
-    hit0 = (F.col("first") <= F.col("j0")) & (F.col("j0") <= F.col("last"))
-    hit1 = (F.col("first") <= F.col("j1")) & (F.col("j1") <= F.col("last"))
-    picked = ranked.groupBy(*keys).agg(
-        F.first("h").alias("h"), F.first("j0").alias("j0"),
-        F.max(F.when(hit0, F.col("v"))).alias("v0"), F.max(F.when(hit1, F.col("v"))).alias("v1")).collect()
-    found = {}
-    for r in picked:
-        if r["v0"] is None or r["v1"] is None:
-            continue
-        found[tuple(r[k] for k in keys)] = r["v0"] + (r["h"] - r["j0"]) * (r["v1"] - r["v0"])
-    return found
-
-
 def _with_missing(out, df, cols, probs, g):
     """All-NULL columns (no stats row) get value None when there are no groups."""
     if g:
@@ -175,20 +218,3 @@ def quantile_dict(df: DataFrame, cols, probs, method: str = "exact",
                   accuracy: int = DEFAULT_ACCURACY) -> dict:
     """Global quantiles as ``{(column, p): value}``."""
     return {(o["column"], o["p"]): o["value"] for o in quantiles(df, cols, probs, (), method, accuracy)}
-
-
-def quantile_frame(df: DataFrame, cols, probs, group_cols=(), method: str = "exact",
-                   accuracy: int = DEFAULT_ACCURACY, names=None) -> DataFrame:
-    """Quantiles as a small wide DataFrame: one row per group, ``{col}_{name}`` columns."""
-    g = list(group_cols)
-    names = names or [f"p{int(round(p * 100))}" for p in probs]
-    res = quantiles(df, cols, probs, g, method, accuracy)
-    table: dict = {}
-    for o in res:
-        key = tuple(o[k] for k in g)
-        table.setdefault(key, {})[f"{o['column']}_{names[probs.index(o['p'])]}"] = o["value"]
-    out_cols = [f"{c}_{n}" for c in cols for n in names]
-    schema = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in g]
-                       + [f"`{c}` double" for c in out_cols])
-    rows = [(*key, *[vals.get(c) for c in out_cols]) for key, vals in table.items()]
-    return df.sparkSession.createDataFrame(rows, schema)

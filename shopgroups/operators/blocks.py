@@ -35,10 +35,11 @@ class PackedRows:
     """Columns ``cols`` of ``df`` as doubles, with a hash of the row's id, in cached blocks.
 
     Equal rows keep hashes of their own through their ids; without ``id_col``
-    rows are numbered. Fewer partitions than cores are dealt out anew.
+    rows are numbered. Nulls are NaN. With ``deal`` fewer partitions than cores are dealt
+    out anew; counting them runs the shuffles of ``df``, which is cheap for a stored table only.
     """
 
-    def __init__(self, df: DataFrame, cols, id_col: str | None = None):
+    def __init__(self, df: DataFrame, cols, id_col: str | None = None, deal: bool = True):
         spark = df.sparkSession
         ship_package(spark)
         cols = list(cols)
@@ -46,7 +47,7 @@ class PackedRows:
         key = F.xxhash64(F.col(id_col)) if id_col else F.xxhash64(F.monotonically_increasing_id())
         rows = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)], key.alias("h"))
         cores = spark.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < cores:
+        if deal and rows.rdd.getNumPartitions() < cores:
             rows = rows.repartition(cores, "h")
         width = self.width
 
