@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
+from .blocks import PackedRows
 
 MAX_CLUSTERS = 2_000  # bound on k: the model is k x d numbers, Davies-Bouldin k x k
 METRIC_TYPES = ("silhouette_score double, calinski_harabasz_score double, davies_bouldin_score double, "
@@ -27,12 +28,13 @@ METRIC_TYPES = ("silhouette_score double, calinski_harabasz_score double, davies
 
 
 def deterministic_sample(df: DataFrame, id_col: str, sample_size: int, seed: int = 42) -> DataFrame:
-    """At most ``sample_size`` rows ranked by a seeded hash of the id.
+    """The ``sample_size`` rows with the smallest keys, or all if there are fewer.
 
-    Independent of partitioning; a global top-n (per-partition top-n, then a
-    merge of ``sample_size`` rows).
+    The key is the MD5 of ``seed:id`` (null: empty), which other engines compute alike, so that the sample
+    depends on the ids only. Every partition keeps its own smallest keys, then those are merged.
     """
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(sample_size)
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return df.orderBy(key, F.col(id_col)).limit(sample_size)
 
 
 def cluster_summary(labels: DataFrame, cluster_col: str = "cluster") -> DataFrame:
@@ -210,66 +212,53 @@ def evaluation_row(metrics: DataFrame, model: str, algorithm: str, n_clusters: i
     return out
 
 
-def clustering_metrics_for_centers(df: DataFrame, cols, centers: dict) -> dict:
+def clustering_metrics_for_centers(df: DataFrame, cols, centers: dict, columns: dict | None = None) -> dict:
     """C9 for several fitted centre sets (nearest-centre labels, ties to the lowest index) in two
-    shared passes. Returns name -> metrics dict."""
-    cols = list(cols)
+    shared passes. A set may have ``columns`` of its own. Returns name -> metrics dict."""
     names = list(centers)
     models = [np.asarray(centers[nm], dtype=float) for nm in names]
-    mid = models[0].mean(axis=0)
-    spark = df.sparkSession
-    ship_package(spark)
-    X = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    d = len(cols)
-
-    def nearest(x, C):
-        return ((x[:, None, :] - C[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-
-    def pass_one(batches):
-        acc = [np.zeros((len(C), d + 2)) for C in models]
-        for b in batches:
-            x = b[cols].to_numpy(dtype=float)
-            if not len(x):
-                continue
-            y = x - mid
-            row = np.column_stack([np.ones(len(x)), (y ** 2).sum(axis=1), y])
-            for a, C in zip(acc, models):
-                np.add.at(a, nearest(x, C), row)
-        yield pd.DataFrame([(i, j, *map(float, a[j])) for i, a in enumerate(acc) for j in range(len(a))],
-                           columns=["cfg", "label", "n", "q", *[f"s{i}" for i in range(d)]])
-
-    values = ["n", "q", *[f"s{i}" for i in range(d)]]
-    one = X.mapInPandas(pass_one, "cfg long, label long, " + ", ".join(f"{v} double" for v in values)) \
-        .groupBy("cfg", "label").agg(*[F.sum(v).alias(v) for v in values]).collect()
-    stats = [(np.zeros(len(C)), np.zeros_like(C), np.zeros(len(C))) for C in models]
-    for r in one:
-        if r["n"]:
-            n, cents, variances = stats[r["cfg"]]
-            mean = np.array([r[f"s{i}"] for i in range(d)]) / r["n"]
-            n[r["label"]], cents[r["label"]] = r["n"], mean + mid
-            variances[r["label"]] = max(r["q"] / r["n"] - float((mean ** 2).sum()), 0.0)
-    shared = spark.sparkContext.broadcast(stats)
-
-    def pass_two(batches):
-        acc = [np.zeros((len(C), 2)) for C in models]
-        for b in batches:
-            x = b[cols].to_numpy(dtype=float)
-            if not len(x):
-                continue
-            for a, C, st in zip(acc, models, shared.value):
-                own = nearest(x, C)
-                s, dist = _score_rows(x, own, *st)
-                np.add.at(a, own, np.column_stack([dist, s]))
-        yield pd.DataFrame([(i, j, *map(float, a[j])) for i, a in enumerate(acc) for j in range(len(a))],
-                           columns=["cfg", "label", "dist", "sil"])
-
-    two = X.mapInPandas(pass_two, "cfg long, label long, dist double, sil double") \
-        .groupBy("cfg", "label").agg(F.sum("dist").alias("dist"), F.sum("sil").alias("sil")).collect()
-    sums = {(r["cfg"], r["label"]): (r["dist"], r["sil"]) for r in two}
-    out = {}
+    own_columns = [list(columns[nm]) if columns else list(cols) for nm in names]
+    every = list(dict.fromkeys(c for cs in own_columns for c in cs))
+    use = [np.array([every.index(c) for c in cs]) for cs in own_columns]
+    X = PackedRows(df, every)
+    try:
+        def sizes(blocks):
+            out = [(np.zeros(len(C)), np.zeros(C.shape), np.zeros(len(C))) for C in models]
+            for x, _ in blocks:
+                for C, u, (n, s, q) in zip(models, use, out):
+                    own = _nearest(x[:, u], C)
+                    off = x[:, u] - C[own]
+                    n += np.bincount(own, minlength=len(C))
+                    np.add.at(s, own, off)
+                    q += np.bincount(own, weights=(off ** 2).sum(axis=1), minlength=len(C))
+            return tuple(a for part in out for a in part)
+
+        flat, stats = X.fold(sizes), []
+        for i, C in enumerate(models):
+            n, s, q = flat[3 * i: 3 * i + 3]
+            off = s / np.maximum(n, 1.0)[:, None]
+            stats.append((n, C + off, np.maximum(q / np.maximum(n, 1.0) - (off ** 2).sum(axis=1), 0.0)))
+
+        def scores(blocks):
+            out = [(np.zeros(len(C)), np.zeros(len(C))) for C in models]
+            for x, _ in blocks:
+                for C, u, st, (dist, sil) in zip(models, use, stats, out):
+                    own = _nearest(x[:, u], C)
+                    s, d = _score_rows(x[:, u], own, *st)
+                    dist += np.bincount(own, weights=d, minlength=len(C))
+                    sil += np.bincount(own, weights=s, minlength=len(C))
+            return tuple(a for part in out for a in part)
+
+        sums = X.fold(scores)
+    finally:
+        X.unpersist()
+    found = {}
     for i, nm in enumerate(names):
         n, cents, variances = stats[i]
         has = np.flatnonzero(n)
-        both = np.array([sums[(i, j)] for j in has])
-        out[nm] = _metric_values(n[has], cents[has], variances[has], both[:, 0], both[:, 1])
-    return out
+        found[nm] = _metric_values(n[has], cents[has], variances[has], sums[2 * i][has], sums[2 * i + 1][has])
+    return found
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - centers[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)

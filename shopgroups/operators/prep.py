@@ -95,10 +95,6 @@ class ScalerModel:
             exprs[c] = (x - F.lit(self.center[c])) / F.lit(self.scale[c])
         return df.withColumns(exprs)
 
-    def stats_frame(self, spark) -> DataFrame:
-        rows = [(c, float(self.center[c]), float(self.scale[c])) for c in self.columns]
-        return spark.createDataFrame(rows, "column string, center double, scale double")
-
 
 def _log_clip(c: str):
     """log1p of the value clipped at 0."""

@@ -8,18 +8,22 @@ summation order cannot change the value hash.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from ..operators import baskets as B
 from ..operators import cluster as C
+from ..operators import dbscan as DB
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import offers as G
 from ..operators import prep as P
 from ..operators import profile as PR
 from ..operators import quality as Q
+from ..operators import steps as ST
+from ..operators import ward as WD
 from ..sources import io as IO
 from ..sources import views as V
 from . import segmentation as SEG
@@ -54,29 +58,30 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 
 
 # ------------------------------------------------------------------ shared views
-def segment_lines(spark: SparkSession, d: str) -> DataFrame:
+# ``labels`` is any table (customer_id, cluster); the market segment where none is given
+def segment_lines(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
     """(invoice_id, customer_id, cluster, product): item occurrences with the segment."""
-    return B.join_baskets_to_clusters(V.basket_lines(spark, d), V.customer_segments(spark, d), validate=False)
+    return B.join_baskets_to_clusters(V.basket_lines(spark, d), labels or V.customer_segments(spark, d), validate=False)
 
 
-def segment_baskets(spark: SparkSession, d: str, validate: bool = False) -> DataFrame:
-    return B.join_baskets_to_clusters(V.baskets(spark, d), V.customer_segments(spark, d), validate=validate)
+def segment_baskets(spark: SparkSession, d: str, validate: bool = False, labels: DataFrame | None = None) -> DataFrame:
+    return B.join_baskets_to_clusters(V.baskets(spark, d), labels or V.customer_segments(spark, d), validate=validate)
 
 
 # ------------------------------------------------------------------ B5 - B9
-def segment_item_sets(spark: SparkSession, d: str) -> DataFrame:
+def segment_item_sets(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
     """(invoice_id, cluster, items): sets are built from the lines first, then one row
     per basket is joined to its customer's segment."""
     sets = B.basket_item_sets(V.invoice_lines(spark, d))
     baskets = sets.join(V.invoices(spark, d), "invoice_id")
-    return (B.join_baskets_to_clusters(baskets, V.customer_segments(spark, d), validate=False)
+    return (B.join_baskets_to_clusters(baskets, labels or V.customer_segments(spark, d), validate=False)
              .select("invoice_id", "cluster", "items"))
 
 
-def segment_rules(spark: SparkSession, d: str) -> DataFrame:
-    return B.cluster_association_rules_from_sets(segment_item_sets(spark, d), "cluster", min_support=RULE_SUPPORT,
-                                                 min_confidence=RULE_CONFIDENCE, min_lift=RULE_LIFT, top_n=20,
-                                                 few=B.few_groups(V.customer_segments(spark, d)))
+def segment_rules(spark: SparkSession, d: str, labels: DataFrame | None = None, min_lift: float = RULE_LIFT) -> DataFrame:
+    return B.cluster_association_rules_from_sets(segment_item_sets(spark, d, labels), "cluster", min_support=RULE_SUPPORT,
+                                                 min_confidence=RULE_CONFIDENCE, min_lift=min_lift, top_n=20,
+                                                 few=B.few_groups(labels or V.customer_segments(spark, d)))
 
 
 @register
@@ -91,6 +96,12 @@ def global_association_rules(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rules)
 
 
+@register
+def rules_above_all_lifts(spark: SparkSession, d: str) -> DataFrame:
+    """A lift that no pair reaches leaves a table without rows, with all columns."""
+    return rounded(segment_rules(spark, d, min_lift=1e9))
+
+
 @register
 def rule_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(B.rule_summary(segment_rules(spark, d)))
@@ -466,6 +477,62 @@ def nearest_centroid(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", "label", mapping[F.col("j")].alias("assigned_cluster"))
 
 
+def _label_model(spark: SparkSession, d: str):
+    """The embeddings and the (label, size, mean, variance) of their given labels: parameters of a single step."""
+    emb, cols = _emb(spark, d)
+    rows = emb.groupBy("label").agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in cols],
+                                    *[F.var_pop(c).alias(f"v_{c}") for c in cols]).orderBy("label").collect()  # one row per label
+    return (emb, cols, [r["label"] for r in rows], np.array([float(r["n"]) for r in rows]),
+            np.array([[r[f"m_{c}"] for c in cols] for r in rows]), np.array([[r[f"v_{c}"] for c in cols] for r in rows]))
+
+
+@register
+def kmeans_one_step(spark: SparkSession, d: str) -> DataFrame:
+    """One Lloyd step from the labels' means."""
+    emb, cols, labels, _, means, _ = _label_model(spark, d)
+    return rounded(ST.kmeans_step(emb, cols, labels, means))
+
+
+@register
+def gmm_one_step(spark: SparkSession, d: str) -> DataFrame:
+    """One EM step from the labels' shares, means and variances."""
+    emb, cols, labels, n, means, variances = _label_model(spark, d)
+    return rounded(ST.gmm_step(emb, cols, labels, n / n.sum(), means, variances + 1e-6))
+
+
+@register
+def variance_along_means(spark: SparkSession, d: str) -> DataFrame:
+    """Variance of all embeddings along the directions of the labels' means."""
+    emb, cols, labels, _, means, _ = _label_model(spark, d)
+    return rounded(ST.variance_along(emb, cols, labels, means))
+
+
+@register
+def given_label_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """The solution row of given labels, with an extra metric."""
+    emb, cols = _emb(spark, d)
+    clusters = emb.select("label").distinct().count()
+    return rounded(M.evaluation_row(M.clustering_metrics(emb, cols, "label"), "given_labels", "given", clusters, {"n_features": len(cols)}))
+
+
+@register
+def given_label_recommendation(spark: SparkSession, d: str) -> DataFrame:
+    """C26 on given labels: the remainders of ``label`` by 5 and by 6 stand for the two solutions."""
+    emb, cols = _emb(spark, d)
+    emb = emb.withColumns({"k5_cluster": F.col("label") % 5, "k6_cluster": F.col("label") % 6})
+    rows = [{**M.clustering_metrics(emb, cols, f"k{k}_cluster").first().asDict(), "k": k} for k in (5, 6)]
+    ari = M.adjusted_rand_index(emb, "k5_cluster", "k6_cluster")
+    return PR.robustness_recommendation(SEG.metric_rows(spark, rows), ari, PR.split_counts(emb.select("k5_cluster", "k6_cluster")))
+
+
+@register
+def feature_set_concat(spark: SparkSession, d: str) -> DataFrame:
+    """the model columns and the dummies side by side."""
+    clean = clean_features_frame(spark, d)
+    dummies, _ = SEG.dummy_features(clean)
+    return rounded(FE.concat_feature_sets(P.select_model_features(clean, model_columns(clean)), dummies))
+
+
 # ------------------------------------------------------------------ C1 - C8, C16 - C19 fits (rows-only checks)
 
 N_INIT = 50  # restarts per fit, as in the source notebooks (all restarts share each pass over the data)
@@ -487,14 +554,8 @@ def kmeans_k_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def kmeans_feature_sets(spark: SparkSession, d: str) -> DataFrame:
-    variants = {
-        "robust": SEG.scaled_features(spark, d, "robust"),
-        "standard": SEG.scaled_features(spark, d, "standard"),
-        "log_robust": SEG.scaled_features(spark, d, "robust", use_log=True),
-        "log_standard": SEG.scaled_features(spark, d, "standard", use_log=True),
-        "standard_with_dummies": SEG.scaled_features_with_dummies(spark, d, "standard"),
-    }
-    return rounded(SEG.compare_feature_sets(variants, 5, n_init=N_INIT))
+    wide, sets = SEG.feature_variants(spark, d, [*SEG.SCALINGS, "standard_with_dummies"])
+    return rounded(SEG.compare_feature_sets(wide, sets, 5, n_init=N_INIT))
 
 
 @register
@@ -516,6 +577,26 @@ def gmm_model_comparison(spark: SparkSession, d: str) -> DataFrame:
     return rounded(SEG.gmm_comparison(feats, cols, [4, 5, 6]))
 
 
+@register
+def ward_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Ward's labels of all customers for 4, 5 and 6 clusters."""
+    feats, cols = SEG.scaled_features(spark, d)
+    return WD.fit_ward(feats, cols, "customer_id").assign(feats, "customer_id", (4, 5, 6))
+
+
+@register
+def ward_merges(spark: SparkSession, d: str) -> DataFrame:
+    """The last 20 merges of Ward's tree over all customers (a report)."""
+    feats, cols = SEG.scaled_features(spark, d)
+    return rounded(WD.ward_merge_table(spark, WD.fit_ward(feats, cols, "customer_id"), 20))
+
+
+@register
+def ward_comparison(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return rounded(SEG.ward_study(feats, cols)[0])
+
+
 @register
 def bisecting_segments(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
@@ -532,7 +613,13 @@ def pca_projection(spark: SparkSession, d: str) -> DataFrame:
 @register
 def dbscan_segments(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    return C.dbscan(feats, cols, eps=3.0, min_samples=10)
+    return DB.dbscan(feats, cols, eps=3.0, min_samples=10)
+
+
+@register
+def dbscan_cluster_balance(spark: SparkSession, d: str) -> DataFrame:
+    feats, cols = SEG.scaled_features(spark, d)
+    return rounded(SEG.union_all(SEG.dbscan_study(feats, cols, [2.0, 3.0, 4.0, 5.0], [10, 20])[1]))
 
 
 @register
@@ -548,8 +635,8 @@ PROFILE_COLUMNS = ["age", "customer_tenure", "total_lifetime_spend", "lifetime_t
                    "has_loyalty_card", "total_children_home", "typical_hour"]
 
 
-def segment_features(spark: SparkSession, d: str) -> DataFrame:
-    return PR.profile_input(V.customer_segments(spark, d), customer_features_frame(spark, d))
+def segment_features(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
+    return PR.profile_input(labels or V.customer_segments(spark, d), customer_features_frame(spark, d))
 
 
 def split_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -601,10 +688,9 @@ def assignment_checks(spark: SparkSession, d: str) -> DataFrame:
 @register
 def metric_recommendation(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    k_metrics = SEG.compare_k_values(feats, cols, [5, 6], n_init=N_INIT)
+    metrics, (m5, m6) = SEG.k_sweep(feats, cols, [5, 6], n_init=N_INIT)
+    k_metrics = SEG.metric_rows(spark, metrics)
     stability = SEG.seed_stability(feats, cols, 5, [0, 21, 42, 99, 123], n_init=N_INIT)
-    m5 = SEG.kmeans_model(feats, cols, 5, 42, N_INIT)
-    m6 = SEG.kmeans_model(feats, cols, 6, 42, N_INIT)
     labels = feats.select("customer_id", C.nearest_center(cols, m5.centers).alias("k5_cluster"),
                           C.nearest_center(cols, m6.centers).alias("k6_cluster"))
     return PR.robustness_recommendation(k_metrics, stability, PR.split_counts(labels))
@@ -616,9 +702,9 @@ OFFER_SHARES = [("economy", "share_economy"), ("large", "share_large"), ("medium
                 ("promo", "share_promo")]
 
 
-def offer_plan(spark: SparkSession, d: str) -> DataFrame:
+def offer_plan(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
     """Analyst plan, one row per segment (derived from the segment list of the data)."""
-    seg = V.customer_segments(spark, d).select("cluster").distinct()
+    seg = (labels or V.customer_segments(spark, d)).select("cluster").distinct()
     return seg.select(
         "cluster",
         F.concat(F.initcap(F.lower("cluster")), F.lit(" shoppers")).alias("persona_name"),
@@ -631,17 +717,57 @@ def offer_plan(spark: SparkSession, d: str) -> DataFrame:
         F.when(F.col("cluster") == "HOUSEHOLD", F.array(F.lit("BRAND#2"))).alias("rule_terms"))
 
 
-def _offer_inputs(spark: SparkSession, d: str):
-    f = segment_features(spark, d)
+def _offer_inputs(spark: SparkSession, d: str, labels: DataFrame | None = None):
+    f = segment_features(spark, d, labels)
     prof = PR.create_cluster_profile(f, "cluster", ["age", "total_lifetime_spend", "has_loyalty_card",
                                                    "total_children_home"])
     shares = PR.mean_profile(f, "cluster", [c for c in f.columns if c.startswith("share_")])
-    basket = B.cluster_basket_profile(segment_baskets(spark, d), segment_lines(spark, d), V.customer_segments(spark, d))
-    top = B.cluster_top_products(segment_lines(spark, d), top_n=10)
-    rules = segment_rules(spark, d)
+    lines = segment_lines(spark, d, labels)
+    basket = B.cluster_basket_profile(segment_baskets(spark, d, labels=labels), lines, labels or V.customer_segments(spark, d))
+    top = B.cluster_top_products(lines, top_n=10)
+    rules = segment_rules(spark, d, labels)
     return prof, shares, basket, top, rules
 
 
+def label_offers(spark: SparkSession, d: str, labels: DataFrame) -> DataFrame:
+    """B1 to G9 from any label table: the contract is checked, then profiles, products, rules and offers follow."""
+    B.validate_customer_clusters(labels)
+    prof, shares, basket, top, rules = _offer_inputs(spark, d, labels)
+    return G.create_cluster_promotion_recommendations(offer_plan(spark, d, labels), prof, shares, basket, top, rules, OFFER_SHARES)
+
+
+@register
+def given_label_offers(spark: SparkSession, d: str) -> DataFrame:
+    """Offers for groups that a label table gives: here four, by the remainder of the id."""
+    labels = V.customer_segments(spark, d).select("customer_id", F.concat(F.lit("g"), (F.col("customer_id") % 4).cast("string")).alias("cluster"))
+    return label_offers(spark, d, labels)
+
+
+def fitted_labels(spark: SparkSession, d: str) -> DataFrame:
+    """(customer_id, cluster) of the final K-Means model, written like the source project's label file (S3) and read back."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    feats, cols = SEG.scaled_features(spark, d)
+    C.validate_clustering_input(feats)
+    labels = SEG.kmeans_model(feats, cols, 5, 42, N_INIT).assign(feats)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/assignments-{uuid.uuid4().hex}"
+    out = IO.save_cluster_assignments(labels.withColumn("cluster", F.concat(F.lit("k"), F.col("cluster").cast("string"))), path)
+    return IO.read_back(spark, path, out.schema)
+
+
+@register
+def fitted_label_offers(spark: SparkSession, d: str) -> DataFrame:
+    """The source project's main path: fitted labels into baskets, rules and offers."""
+    return label_offers(spark, d, fitted_labels(spark, d))
+
+
+@register
+def fitted_basket_profile(spark: SparkSession, d: str) -> DataFrame:
+    labels = fitted_labels(spark, d)
+    return rounded(B.cluster_basket_profile(segment_baskets(spark, d, validate=True, labels=labels), segment_lines(spark, d, labels), labels))
+
+
 @register
 def offer_products(spark: SparkSession, d: str) -> DataFrame:
     top = B.cluster_top_products(segment_lines(spark, d), top_n=10)
@@ -706,17 +832,13 @@ def sampled_customers(spark: SparkSession, d: str) -> DataFrame:
 @register
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    metrics, _ = SEG._memo("model_comparison", feats, (tuple(cols), N_INIT),
-                           lambda: SEG.model_comparison(feats, cols, n_init=N_INIT))
-    return rounded(metrics)
+    return rounded(SEG.model_comparison(feats, cols, n_init=N_INIT)[0])
 
 
 @register
 def model_cluster_balance(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    _, balance = SEG._memo("model_comparison", feats, (tuple(cols), N_INIT),
-                           lambda: SEG.model_comparison(feats, cols, n_init=N_INIT))
-    return rounded(balance)
+    return rounded(SEG.model_comparison(feats, cols, n_init=N_INIT)[1])
 
 
 @register
@@ -740,14 +862,12 @@ def pca_explained_variance(spark: SparkSession, d: str) -> DataFrame:
 @register
 def dbscan_core_points(spark: SparkSession, d: str) -> DataFrame:
     feats, cols = SEG.scaled_features(spark, d)
-    return C.dbscan(feats, cols, eps=3.0, min_samples=10, neighbours_only=True)
+    return DB.dbscan(feats, cols, eps=3.0, min_samples=10, neighbours_only=True)
 
 
 @register
 def feature_set_recommendation(spark: SparkSession, d: str) -> DataFrame:
-    variants = {
-        "compact_business_set": SEG.scaled_features(spark, d, "standard"),
-        "previous_with_categorical_dummies": SEG.scaled_features_with_dummies(spark, d, "standard"),
-    }
-    metrics = SEG.compare_feature_sets(variants, 5, n_init=N_INIT)
+    wide, sets = SEG.feature_variants(spark, d, ["standard", "standard_with_dummies"])
+    sets = {"compact_business_set": sets["standard"], "previous_with_categorical_dummies": sets["standard_with_dummies"]}
+    metrics = SEG.compare_feature_sets(wide, sets, 5, n_init=N_INIT)
     return PR.feature_set_recommendation(metrics, "compact_business_set", "previous_with_categorical_dummies")

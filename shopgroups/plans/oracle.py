@@ -719,3 +719,91 @@ SELECT cluster, {_r('q1', 'q1')}, {_r('q2', 'median')}, {_r('q3', 'q3')}, {_r('q
        {_r('max(total_lifetime_spend) FILTER (WHERE total_lifetime_spend <= q3 + 1.5 * (q3 - q1))', 'upper_whisker')},
        count(*) FILTER (WHERE total_lifetime_spend < q1 - 1.5 * (q3 - q1) OR total_lifetime_spend > q3 + 1.5 * (q3 - q1)) AS outliers
 FROM segf JOIN q USING (cluster) GROUP BY cluster, q1, q2, q3"""
+
+
+# ------------------------------------------------------------------ given labels, single steps, samples
+def _given(sql: str, label: str) -> str:
+    """A statement about market segments with another label of the customers."""
+    return sql.replace("c.c_mktsegment", label.replace("c_custkey", "c.c_custkey")).replace("c_mktsegment", label)
+
+
+ORACLE_SQL["given_label_offers"] = _given(ORACLE_SQL["offer_recommendations"], "('g' || (c_custkey % 4)::VARCHAR)")
+ORACLE_SQL["rules_above_all_lifts"] = f"WITH none AS ({ORACLE_SQL['segment_association_rules']}) SELECT * FROM none WHERE lift >= 1e9"
+
+_LONG = EMB.split("," + chr(10) + "cnt AS")[0].strip()
+ORACLE_SQL["kmeans_one_step"] = f"""
+WITH {_LONG},
+d AS (SELECT l.vec_id, c.label AS cl, sum((l.x - c.c) * (l.x - c.c)) AS d2 FROM long l JOIN cent c ON l.i = c.i GROUP BY 1, 2),
+a AS (SELECT vec_id, arg_min(cl, (d2, cl)) AS cl, min(d2) AS d2 FROM d GROUP BY vec_id),
+t AS (SELECT cl, count(*) AS row_count, sum(d2) AS cost FROM a GROUP BY cl),
+n AS (SELECT a.cl, l.i, avg(l.x) AS x FROM a JOIN long l USING (vec_id) GROUP BY ALL)
+SELECT c.label::BIGINT AS cluster, 'e' || (c.i - 1) AS column, {_r('coalesce(n.x, c.c)', 'center')}, coalesce(t.row_count, 0) AS row_count,
+       {_r('coalesce(t.cost, 0.0)', 'cost')}
+FROM cent c LEFT JOIN n ON n.cl = c.label AND n.i = c.i LEFT JOIN t ON t.cl = c.label"""
+ORACLE_SQL["gmm_one_step"] = f"""
+WITH {_LONG},
+p AS (SELECT label, i, avg(x) AS m, var_pop(x) + 1e-6 AS v FROM long GROUP BY label, i),
+w AS (SELECT label, count(*)::DOUBLE / (SELECT count(*) FROM e) AS w FROM e GROUP BY label),
+lp AS (SELECT l.vec_id, p.label, any_value(ln(w.w)) - 0.5 * sum(ln(2 * pi() * p.v) + (l.x - p.m) * (l.x - p.m) / p.v) AS lp
+       FROM long l JOIN p ON l.i = p.i JOIN w ON w.label = p.label GROUP BY l.vec_id, p.label),
+top AS (SELECT vec_id, max(lp) AS t FROM lp GROUP BY vec_id),
+lse AS (SELECT lp.vec_id, any_value(t) + ln(sum(exp(lp.lp - t))) AS s FROM lp JOIN top USING (vec_id) GROUP BY lp.vec_id),
+r AS (SELECT lp.vec_id, lp.label, exp(lp.lp - lse.s) AS r FROM lp JOIN lse USING (vec_id)),
+nk AS (SELECT label, sum(r) AS nk FROM r GROUP BY label),
+s AS (SELECT r.label, l.i, sum(r.r * l.x) AS s1, sum(r.r * l.x * l.x) AS s2 FROM r JOIN long l USING (vec_id) GROUP BY ALL)
+SELECT s.label::BIGINT AS cluster, 'e' || (s.i - 1) AS column, {_r('s1 / nk', 'mean')},
+       {_r('greatest(s2 / nk - (s1 / nk) * (s1 / nk), 0) + 1e-6', 'variance')}, {_r('nk / (SELECT sum(nk) FROM nk)', 'weight')},
+       {_r('(SELECT avg(s) FROM lse)', 'mean_log_likelihood')}
+FROM s JOIN nk USING (label)"""
+ORACLE_SQL["variance_along_means"] = f"""
+WITH {_LONG},
+u AS (SELECT label, i, c / sqrt(sum(c * c) OVER (PARTITION BY label)) AS u FROM cent),
+y AS (SELECT u.label, l.vec_id, sum(l.x * u.u) AS y FROM long l JOIN u ON l.i = u.i GROUP BY ALL),
+t AS (SELECT sum(v) AS t FROM (SELECT var_pop(x) AS v FROM long GROUP BY i))
+SELECT label::BIGINT AS axis, {_r('var_pop(y)', 'variance')}, {_r('var_pop(y) / any_value(t)', 'explained_variance_ratio')} FROM y, t GROUP BY label"""
+ORACLE_SQL["given_label_evaluation"] = f"""
+WITH m AS ({ORACLE_SQL['clustering_metrics']})
+SELECT 'given_labels' AS model, 'given' AS algorithm, (SELECT count(DISTINCT label) FROM embeddings)::INTEGER AS n_clusters, m.*,
+       (SELECT max(len(embedding)) FROM embeddings)::INTEGER AS n_features FROM m"""
+
+
+def _remainder(k: int) -> str:
+    """The metrics of the labels' remainders by ``k``."""
+    return ORACLE_SQL["clustering_metrics"].replace("SELECT vec_id, label, embedding::DOUBLE[] AS v", f"SELECT vec_id, label % {k} AS label, embedding::DOUBLE[] AS v")
+
+
+ORACLE_SQL["given_label_recommendation"] = f"""
+WITH a AS ({_remainder(5)}), b AS ({_remainder(6)}),
+lab AS (SELECT label % 5 AS k5, label % 6 AS k6 FROM embeddings),
+ct AS (SELECT k5, k6, count(*) AS n FROM lab GROUP BY ALL),
+s AS (SELECT (SELECT sum(n * (n - 1) / 2.0) FROM ct) AS idx, (SELECT sum(r * (r - 1) / 2.0) FROM (SELECT sum(n) AS r FROM ct GROUP BY k5)) AS sa,
+             (SELECT sum(r * (r - 1) / 2.0) FROM (SELECT sum(n) AS r FROM ct GROUP BY k6)) AS sb, (SELECT sum(n)::DOUBLE FROM ct) AS nn),
+ari AS (SELECT printf('%.3f', (idx - sa * sb / (nn * (nn - 1) / 2.0)) / ((sa + sb) / 2.0 - sa * sb / (nn * (nn - 1) / 2.0))) AS x FROM s),
+big AS (SELECT k5 FROM lab GROUP BY 1 ORDER BY count(*) DESC, k5 LIMIT 1),
+sp AS (SELECT ct.n / sum(ct.n) OVER () AS share FROM ct JOIN big USING (k5)),
+parts AS (SELECT count(*) AS parts, sum(share) AS covered FROM sp WHERE share >= 0.05)
+SELECT 'KMeans_k5_compact_robust' AS candidate,
+  printf('k=5 gives usable segments with silhouette %.3f, Davies-Bouldin %.3f, and minimum cluster share %.2f%%.',
+         a.silhouette_score, a.davies_bouldin_score, a.min_cluster_percentage) AS evidence_for,
+  printf('The largest cluster is broad at %.2f%% of customers; k=6 improves balance to a largest cluster of %.2f%% but its silhouette is %.3f and Davies-Bouldin %.3f.',
+         a.max_cluster_percentage, b.max_cluster_percentage, b.silhouette_score, b.davies_bouldin_score) AS evidence_against,
+  printf('ARI range %s to %s, mean %s.', ari.x, ari.x, ari.x) AS seed_stability,
+  printf('k=6 splits the largest k=5 cluster into %d main subgroups covering %.2f%% of that cluster.', parts.parts, parts.covered * 100) AS business_balance_check,
+  'Keep the smaller k as the metric-supported segmentation level, and document the larger-k split as a business tradeoff.' AS recommendation
+FROM a, b, ari, parts"""
+ORACLE_SQL["feature_set_concat"] = f"WITH {CLEAN.strip()} " + _rounded_select(["customer_id", *MODEL], "clean", _DOUBLES).replace(
+    " FROM clean", "".join(f", CAST(customer_gender = '{g}' AS INTEGER) AS gender_{g}" for g in ("female", "male"))
+    + "".join(f", CAST(degree_level = '{g}' AS INTEGER) AS degree_{g}" for g in ("Bsc", "Msc", "Phd")) + " FROM clean")
+ORACLE_SQL["sampled_customers"] = f"SELECT * FROM ({ORACLE_SQL['robust_scaled']}) ORDER BY md5('42:' || customer_id::VARCHAR), customer_id LIMIT 5000"
+
+
+def _unrounded_scaled() -> str:
+    stats = ", ".join(f"quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q_{c}" for c in MODEL)
+    cols = ", ".join(f"({c}::DOUBLE - q_{c}[2]) / CASE WHEN q_{c}[3] - q_{c}[1] = 0 THEN 1 ELSE q_{c}[3] - q_{c}[1] END" for c in MODEL)
+    return f"{CLEAN.strip()}, st AS (SELECT {stats} FROM clean), f AS (SELECT customer_id, [{cols}] AS v FROM clean, st)"
+
+
+ORACLE_SQL["dbscan_core_points"] = f"""
+WITH {_unrounded_scaled()},
+n AS (SELECT a.customer_id, count(*) AS neighbour_count FROM f a JOIN f b ON list_distance(a.v, b.v) <= 3.0 GROUP BY 1)
+SELECT customer_id, neighbour_count, neighbour_count >= 10 AS is_core FROM n"""

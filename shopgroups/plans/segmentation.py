@@ -1,25 +1,31 @@
-"""Segmentation flows: feature table -> fits -> metric rows.
+"""Segmentation flows: feature table -> fits -> metric rows.
 
-The scaled feature table feeds many fits, so it is cut from its lineage
-once with a reliable ``checkpoint()`` (the shared folder named by
-``spark.checkpoint.dir``); every later job reads that copy instead of
-re-running the customer joins, and a lost executor only costs a re-read.
+The scaled feature table feeds many fits, so it is written once to the shared
+folder (``spark.checkpoint.dir``); every later job reads that copy instead of
+re-running the customer joins, and a lost executor only costs a re-read. A few
+copies are kept for the queries that follow, as long as the files they were made
+from stay the same; older ones are deleted. Fits are not kept.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster as C
+from ..operators import dbscan as DB
 from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import prep as P
+from ..operators import ward as WD
 from ..operators.components import stored
 from ..session import checkpoint_dir
 from ..sources import views as V
+from ..sources.tables import files_state, remove_folder
 
 METRIC_SCHEMA = ("k long, random_state long, n_features long, inertia double, silhouette_score double, "
                  "calinski_harabasz_score double, davies_bouldin_score double, min_cluster_size long, "
@@ -42,83 +48,89 @@ def selected_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list
     return P.select_model_features(clean, cols), cols
 
 
-def scaled_features_with_dummies(spark: SparkSession, sf_dir: str, method: str = "standard",
-                                 genders=("female", "male"), degrees=("Bsc", "Msc", "Phd")) -> tuple[DataFrame, list[str]]:
-    """C6 wider variant: the model columns plus fixed gender / degree dummies (F17), joined on
-    the id (F18), all scaled together; checkpointed like ``scaled_features``."""
-    checkpoint_dir(spark)
-    info = V.customer_info(spark, sf_dir).checkpoint()
-    clean = P.clean_feature_values(FE.add_customer_info_features(info))
-    cols = model_columns(clean)
-    dummies = FE.one_hot(FE.one_hot(clean, "customer_gender", list(genders), "gender"),
-                         "degree_level", list(degrees), "degree")
-    dummy_cols = [f"gender_{g}" for g in genders] + [f"degree_{x}" for x in degrees]
-    wide = FE.concat_feature_sets(P.select_model_features(clean, cols),
-                                  dummies.select("customer_id", *dummy_cols))
-    all_cols = cols + dummy_cols
-    scaled, _ = P.scale_features(wide, all_cols, method)
-    return scaled.checkpoint(), all_cols
+#: Written feature tables that are kept, and what they are made from.
+KEPT_TABLES, SOURCE_TABLES = 4, ("customer", "orders", "lineitem", "part", "events")
+_KEPT: OrderedDict = OrderedDict()
 
 
-_SCALED: dict = {}
+def _kept(spark: SparkSession, sf_dir: str, params: tuple, build) -> tuple:
+    """``build()`` = (table, columns) written once per application, parameters and state of the source files."""
+    key = (spark.sparkContext.applicationId, files_state(spark, sf_dir, SOURCE_TABLES), params)
+    if key in _KEPT:
+        _KEPT.move_to_end(key)
+        return _KEPT[key][:2]
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
+    table, columns = build()
+    _KEPT[key] = (stored(table, folder, "table"), columns, folder)
+    while len(_KEPT) > KEPT_TABLES:
+        (application, _, _), (_, _, old) = _KEPT.popitem(last=False)
+        if application == spark.sparkContext.applicationId:
+            remove_folder(spark, old)
+    return _KEPT[key][:2]
 
 
 def scaled_features(spark: SparkSession, sf_dir: str, method: str = "robust",
                     use_log: bool = False) -> tuple[DataFrame, list[str]]:
-    """Checkpointed (id + scaled model columns).
-
-    Memoised per application and data set: the checkpoint is a written copy,
-    so later fits in the same session read it instead of rebuilding it.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, method, use_log)
-    if key not in _SCALED:
+    """(id + scaled model columns, the columns)."""
+    def build():
         sel, cols = selected_features(spark, sf_dir)
-        scaled, _ = P.scale_features(sel, cols, method, use_log)
-        checkpoint_dir(spark)
-        _SCALED[key] = (scaled.checkpoint(), cols)
-    return _SCALED[key]
+        return P.scale_features(sel, cols, method, use_log)[0], cols
 
+    return _kept(spark, sf_dir, (method, use_log), build)
 
-_MODELS: dict = {}
 
+def dummy_features(clean: DataFrame, genders=("female", "male"), degrees=("Bsc", "Msc", "Phd")) -> tuple[DataFrame, list[str]]:
+    """(id + fixed gender and degree dummies (F17), the dummies)."""
+    wide = FE.one_hot(FE.one_hot(clean, "customer_gender", list(genders), "gender"), "degree_level", list(degrees), "degree")
+    names = [f"gender_{g}" for g in genders] + [f"degree_{x}" for x in degrees]
+    return wide.select("customer_id", *names), names
 
-def _memo(kind: str, df: DataFrame, params: tuple, build):
-    """Per-session model registry: the same fit on the same (checkpointed) table is done once."""
-    key = (kind, df.sparkSession.sparkContext.applicationId, id(df), params)
-    if key not in _MODELS:
-        _MODELS[key] = (df, build())  # keep df alive so its id stays unique
-    return _MODELS[key][1]
 
+#: Scalings of the compared feature sets: (method, log).
+SCALINGS = {"robust": ("robust", False), "standard": ("standard", False), "log_robust": ("robust", True), "log_standard": ("standard", True)}
 
-def kmeans_model(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10) -> C.KMeansResult:
-    return _memo("kmeans", df, (tuple(cols), k, seed, n_init), lambda: C.fit_kmeans(df, cols, k, seed, n_init))
 
+def feature_variants(spark: SparkSession, sf_dir: str, names) -> tuple[DataFrame, dict]:
+    """(id + the columns of all variants side by side, {variant: its columns}).
 
-def kmeans_models(df: DataFrame, cols, configs, n_init: int = 10) -> list[C.KMeansResult]:
-    """Several (k, seed) fits in shared passes; each result is registered like ``kmeans_model``."""
-    configs = [(int(k), int(s)) for k, s in configs]
-    missing = [c for c in configs
-               if ("kmeans", df.sparkSession.sparkContext.applicationId, id(df), (tuple(cols), c[0], c[1], n_init))
-               not in _MODELS]
-    if missing:
-        for (k, seed), model in zip(missing, C.fit_kmeans_many(df, cols, missing, n_init)):
-            _memo("kmeans", df, (tuple(cols), k, seed, n_init), lambda m=model: m)
-    return [kmeans_model(df, cols, k, seed, n_init) for k, seed in configs]
+    A variant is a scaling of the model columns, or ``standard_with_dummies``: the standard one and the
+    gender and degree dummies (F17, F18), scaled too.
+    """
+    names = tuple(names)
 
+    def build():
+        checkpoint_dir(spark)
+        clean = P.clean_feature_values(FE.add_customer_info_features(V.customer_info(spark, sf_dir).checkpoint()))
+        cols = model_columns(clean)
+        dummies, dummy_names = dummy_features(clean)
+        wide = FE.concat_feature_sets(P.select_model_features(clean, cols), dummies).checkpoint()
+        sets, out = {}, []
+
+        def add(variant, columns, scaling):
+            model = P.fit_scaler(wide, columns, *scaling)
+            scaled = model.transform(wide)
+            out.append(scaled.select("customer_id", *[F.col(c).alias(f"{variant}__{c}") for c in columns]))
+            return [f"{variant}__{c}" for c in columns]
+
+        plain = [n for n in names if n in SCALINGS]
+        for n in plain + (["standard"] if "standard_with_dummies" in names and "standard" not in names else []):
+            sets[n] = add(n, cols, SCALINGS[n])
+        if "standard_with_dummies" in names:
+            sets["standard_with_dummies"] = sets["standard"] + add("dummies", dummy_names, SCALINGS["standard"])
+        table = out[0]
+        for other in out[1:]:
+            table = table.join(other, "customer_id")
+        return table, {n: sets[n] for n in names}
+
+    return _kept(spark, sf_dir, ("variants", names), build)
 
-def gmm_model(df: DataFrame, cols, k: int, seed: int = 42) -> C.GMMResult:
-    return _memo("gmm", df, (tuple(cols), k, seed), lambda: C.fit_gmm_diag(df, cols, k, seed))
 
+def kmeans_model(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10) -> C.KMeansResult:
+    return C.fit_kmeans(df, cols, k, seed, n_init)
 
-def gmm_models(df: DataFrame, cols, configs) -> list[C.GMMResult]:
-    """Several (k, seed) mixtures in shared EM passes; each registered like ``gmm_model``."""
-    configs = [(int(k), int(s)) for k, s in configs]
-    app = df.sparkSession.sparkContext.applicationId
-    missing = [c for c in configs if ("gmm", app, id(df), (tuple(cols), c[0], c[1])) not in _MODELS]
-    if missing:
-        for (k, seed), model in zip(missing, C.fit_gmm_diag_many(df, cols, missing)):
-            _memo("gmm", df, (tuple(cols), k, seed), lambda m=model: m)
-    return [gmm_model(df, cols, k, seed) for k, seed in configs]
+
+def gmm_model(df: DataFrame, cols, k: int, seed: int = 42) -> C.GMMResult:
+    return C.fit_gmm_diag(df, cols, k, seed)
 
 
 def _metric_values(df: DataFrame, cols, label: str) -> dict:
@@ -127,12 +139,17 @@ def _metric_values(df: DataFrame, cols, label: str) -> dict:
 
 def evaluate_kmeans(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10):
     """C4: fit + metrics. Returns (metrics dict, model, labelled DataFrame)."""
-    model = kmeans_model(df, cols, k, seed, n_init)
-    labelled = model.assign(df)
-    m = _memo("kmeans_metrics", df, (tuple(cols), k, seed, n_init),
-              lambda: _metric_values(labelled, cols, "cluster"))
-    m = {**m, "k": k, "random_state": seed, "n_features": len(cols), "inertia": model.inertia}
-    return m, model, labelled
+    metrics, models = k_sweep(df, cols, [k], seed, n_init)
+    return metrics[0], models[0], models[0].assign(df)
+
+
+def k_sweep(df: DataFrame, cols, k_values, seed: int = 42, n_init: int = 10) -> tuple[list[dict], list[C.KMeansResult]]:
+    """(metrics per k, models): all k are fitted in the same passes, and their metrics computed together."""
+    k_values = list(k_values)
+    models = C.fit_kmeans_many(df, cols, [(k, seed) for k in k_values], n_init)
+    found = M.clustering_metrics_for_centers(df, cols, {str(k): m.centers for k, m in zip(k_values, models)})
+    return [{**found[str(k)], "k": k, "random_state": seed, "n_features": len(cols), "inertia": m.inertia}
+            for k, m in zip(k_values, models)], models
 
 
 def _rows(spark: SparkSession, metrics: list[dict], schema: str) -> DataFrame:
@@ -140,33 +157,22 @@ def _rows(spark: SparkSession, metrics: list[dict], schema: str) -> DataFrame:
     return spark.createDataFrame([tuple(m.get(n) for n in names) for m in metrics], schema)
 
 
+def metric_rows(spark: SparkSession, metrics: list[dict]) -> DataFrame:
+    return _rows(spark, metrics, METRIC_SCHEMA)
+
+
 def compare_k_values(df: DataFrame, cols, k_values, seed: int = 42, n_init: int = 10) -> DataFrame:
-    """One metrics row per k. All k are fitted in the same passes over the data, and
-    their metrics are computed together (about four passes instead of four per k)."""
-    k_values = list(k_values)
-    models = kmeans_models(df, cols, [(k, seed) for k in k_values], n_init)
-    app = df.sparkSession.sparkContext.applicationId
-
-    def key(k):
-        return (tuple(cols), k, seed, n_init)
-    todo = [(k, m) for k, m in zip(k_values, models) if ("kmeans_metrics", app, id(df), key(k)) not in _MODELS]
-    if todo:
-        res = M.clustering_metrics_for_centers(df, cols, {str(k): m.centers for k, m in todo})
-        for k, _ in todo:
-            _memo("kmeans_metrics", df, key(k), lambda r=res[str(k)]: r)
-    out = [evaluate_kmeans(df, cols, k, seed, n_init)[0] for k in k_values]
-    return _rows(df.sparkSession, out, METRIC_SCHEMA)
-
-
-def compare_feature_sets(feature_sets: dict, k: int = 5, seed: int = 42, n_init: int = 10) -> DataFrame:
-    """One metrics row per named (DataFrame, columns) variant."""
-    out, spark = [], None
-    for name, (df, cols) in feature_sets.items():
-        spark = df.sparkSession
-        m = evaluate_kmeans(df, cols, k, seed, n_init)[0]
-        m["feature_set_variant"] = name
-        out.append(m)
-    return _rows(spark, out, METRIC_SCHEMA + ", feature_set_variant string")
+    """One metrics row per k."""
+    return metric_rows(df.sparkSession, k_sweep(df, cols, k_values, seed, n_init)[0])
+
+
+def compare_feature_sets(df: DataFrame, sets: dict, k: int = 5, seed: int = 42, n_init: int = 10) -> DataFrame:
+    """One metrics row per set of columns of ``df`` ({variant: columns}), fitted and scored in shared passes."""
+    models = C.fit_kmeans_sets(df, sets, k, seed, n_init)
+    found = M.clustering_metrics_for_centers(df, None, {n: m.centers for n, m in models.items()}, sets)
+    rows = [{**found[n], "k": k, "random_state": seed, "n_features": len(sets[n]), "inertia": m.inertia, "feature_set_variant": n}
+            for n, m in models.items()]
+    return _rows(df.sparkSession, rows, METRIC_SCHEMA + ", feature_set_variant string")
 
 
 def seed_stability(df: DataFrame, cols, k: int, seeds, n_init: int = 10, id_col: str = "customer_id") -> DataFrame:
@@ -175,7 +181,7 @@ def seed_stability(df: DataFrame, cols, k: int, seeds, n_init: int = 10, id_col:
     All label columns are expressions over the same rows (no join needed).
     """
     labelled = df.select(id_col, *cols)
-    models = kmeans_models(df, cols, [(k, s) for s in seeds], n_init)
+    models = C.fit_kmeans_many(df, cols, [(k, s) for s in seeds], n_init)
     for s, model in zip(seeds, models):
         labelled = labelled.withColumn(f"l{s}", C.nearest_center(cols, model.centers))
     # one pass: at most k ** len(seeds) rows, in practice a few more than k
@@ -188,9 +194,7 @@ def seed_stability(df: DataFrame, cols, k: int, seeds, n_init: int = 10, id_col:
 def gmm_comparison(df: DataFrame, cols, k_values, seed: int = 42) -> DataFrame:
     """C8 + C15: diagonal GMM per k with AIC, BIC and average max probability."""
     out = []
-    gmm_models(df, cols, [(k, seed) for k in k_values])
-    for k in k_values:
-        model = gmm_model(df, cols, k, seed)
+    for k, model in zip(k_values, C.fit_gmm_diag_many(df, cols, [(k, seed) for k in k_values])):
         labelled = model.assign(df)
         m = _metric_values(labelled, cols, "cluster")
         avg_max = labelled.agg(F.avg("max_probability")).first()[0]
@@ -205,63 +209,98 @@ def gmm_comparison(df: DataFrame, cols, k_values, seed: int = 42) -> DataFrame:
     return _rows(df.sparkSession, out, schema)
 
 
-def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_col: str = "customer_id") -> DataFrame:
-    """Per (eps, min_samples): noise count/%, clusters, largest non-noise %, and separation
-    metrics on non-noise rows when there are at least 2 clusters and more points than clusters.
-    Percentages are over all rows (``sampled_rows``, a name of the time of samples), noise included."""
-    out = []
+BALANCE_SCHEMA = "model string, algorithm string, cluster long, count long, percentage double, is_noise boolean"
+
+
+def _balance(labelled: DataFrame, model: str, algorithm: str) -> DataFrame:
+    """C14 with the model's names; cluster -1 is noise."""
+    rows = M.cluster_summary(labelled.select("cluster"), "cluster")
+    return rows.select(F.lit(model).alias("model"), F.lit(algorithm).alias("algorithm"), F.col("cluster").cast("long").alias("cluster"),
+                       "count", "percentage", (F.col("cluster") == -1).alias("is_noise"))
+
+
+DBSCAN_SCHEMA = ("model string, algorithm string, eps double, min_samples long, row_count long, number_of_clusters_excluding_noise long, "
+                 "noise_count long, noise_percentage double, largest_non_noise_cluster_percentage double, silhouette_score double, "
+                 "calinski_harabasz_score double, davies_bouldin_score double, min_cluster_size long, max_cluster_size long, "
+                 "min_cluster_percentage double, max_cluster_percentage double")
+
+
+def dbscan_study(df: DataFrame, cols, eps_values, min_samples_values, id_col: str = "customer_id") -> tuple[list[dict], list[DataFrame]]:
+    """(a row per (eps, min_samples), its cluster balance with the noise).
+
+    Sizes and shares (of all rows, noise included) are those of clusters without noise; separation
+    metrics are over rows that are no noise, where there are at least 2 clusters and more rows than clusters.
+    """
+    out, balances = [], []
     feats = df.select(id_col, *cols)
     for eps in eps_values:
-        near = X.Boxes(feats, cols, eps, id_col, C.dbscan_folder(df.sparkSession))
-        degrees = near.degrees()
+        boxes = DB.Boxes(feats, cols, eps, id_col, DB.dbscan_folder(df.sparkSession))
         for ms in min_samples_values:
-            labels = stored(C.dbscan_labels(near, degrees, ms, id_col), near.folder, f"labels-{ms}")
-            stats = labels.agg(F.count("*").alias("n"), F.count_if(F.col("cluster") == -1).alias("noise"),
-                               F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k")).first()
-            n, noise, k = stats["n"], stats["noise"], stats["k"]
-            largest = labels.where("cluster >= 0").groupBy("cluster").count().agg(F.max("count")).first()[0]
-            row = {"eps": float(eps), "min_samples": ms, "sampled_rows": n, "noise_count": noise,
-                   "noise_percentage": noise * 100.0 / n if n else None, "n_clusters": k,
-                   "largest_cluster_percentage": (largest or 0) * 100.0 / n if n else None}
-            if k >= 2 and (n - noise) > k:
+            name = f"DBSCAN_eps{eps:g}_min{ms}"
+            labels = stored(boxes.labels(ms, id_col), boxes.folder, f"labels-{ms}")
+            sizes = labels.groupBy("cluster").count()
+            own = F.when(F.col("cluster") >= 0, F.col("count"))
+            stats = sizes.agg(F.sum("count").alias("n"), F.sum(F.when(F.col("cluster") < 0, F.col("count"))).alias("noise"),
+                              F.count(own).alias("k"), F.min(own).alias("low"), F.max(own).alias("high")).first()
+            n, noise, k = stats["n"] or 0, stats["noise"] or 0, stats["k"]
+            row = {"model": name, "algorithm": "DBSCAN", "eps": float(eps), "min_samples": ms, "row_count": n,
+                   "number_of_clusters_excluding_noise": k, "noise_count": noise, "noise_percentage": noise * 100.0 / n if n else None}
+            if k:
+                row.update({"min_cluster_size": stats["low"], "max_cluster_size": stats["high"], "min_cluster_percentage": stats["low"] * 100.0 / n,
+                            "max_cluster_percentage": stats["high"] * 100.0 / n, "largest_non_noise_cluster_percentage": stats["high"] * 100.0 / n})
+            if k >= 2 and n - noise > k:
                 clustered = feats.join(labels.where("cluster >= 0").select(id_col, "cluster"), id_col)
                 m = _metric_values(clustered, cols, "cluster")
                 row.update({x: m[x] for x in ("silhouette_score", "calinski_harabasz_score", "davies_bouldin_score")})
             out.append(row)
-    schema = ("eps double, min_samples long, sampled_rows long, noise_count long, noise_percentage double, "
-              "n_clusters long, largest_cluster_percentage double, silhouette_score double, "
-              "calinski_harabasz_score double, davies_bouldin_score double")
-    return _rows(df.sparkSession, out, schema)
+            balances.append(_balance(labels, name, "DBSCAN"))
+    return out, balances
+
+
+def dbscan_diagnostics(df: DataFrame, cols, eps_values, min_samples_values, id_col: str = "customer_id") -> DataFrame:
+    return _rows(df.sparkSession, dbscan_study(df, cols, eps_values, min_samples_values, id_col)[0], DBSCAN_SCHEMA)
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
+
+
+def ward_study(df: DataFrame, cols, ks=(4, 5, 6), id_col: str = "customer_id") -> tuple[DataFrame, DataFrame, WD.WardModel]:
+    """(a metrics row per k, its cluster balance, the tree), over all rows."""
+    model = WD.fit_ward(df, cols, id_col)
+    labels = stored(model.assign(df, id_col, ks), f"{checkpoint_dir(df.sparkSession).rstrip('/')}/ward-{uuid.uuid4().hex}", "labels")
+    rows, balances = [], []
+    for k in ks:
+        labelled = df.join(labels.select(id_col, F.col(f"cluster_{k}").alias("cluster")), id_col)
+        rows.append(M.evaluation_row(M.clustering_metrics(labelled, cols, "cluster"), f"ward_k{k}", "agglomerative_ward", k,
+                                     {"micro_clusters": len(model.sizes), "micro_inertia_share": model.micro_inertia / max(model.total_inertia, 1e-300)}))
+        balances.append(_balance(labelled, f"ward_k{k}", "agglomerative_ward"))
+    return union_all(rows), union_all(balances), model
 
 
-def model_comparison(df: DataFrame, cols, id_col: str = "customer_id", k: int = 5, gmm_k=(4, 5, 6),
+def model_comparison(df: DataFrame, cols, id_col: str = "customer_id", k: int = 5, gmm_k=(4, 5, 6), ward_k=(4, 5, 6),
                      seed: int = 42, n_init: int = 50):
-    """C14 + C15: one metrics row per model (K-Means, diagonal GMMs, bisecting K-Means) with the
-    model-specific extras (inertia; AIC, BIC, average max probability) and NULL where a model has
+    """C14 + C15: one metrics row per model (K-Means, diagonal GMMs, Ward, bisecting K-Means) with the
+    model-specific extras (inertia; AIC, BIC, average max probability; micro-clusters) and NULL where a model has
     none, plus the per-model cluster balance table. Returns (metrics, balance)."""
     rows, balances = [], []
 
     def add(model_name, algorithm, n_clusters, labelled, extra):
-        m = M.clustering_metrics(labelled, cols, "cluster")
-        rows.append(M.evaluation_row(m, model_name, algorithm, n_clusters, extra))
-        balances.append(M.cluster_summary(labelled.select("cluster"), "cluster")
-                        .select(F.lit(model_name).alias("model"), "cluster", "count", "percentage"))
+        rows.append(M.evaluation_row(M.clustering_metrics(labelled, cols, "cluster"), model_name, algorithm, n_clusters, extra))
+        balances.append(_balance(labelled, model_name, algorithm))
 
     km = kmeans_model(df, cols, k, seed, n_init)
     add(f"kmeans_k{k}", "kmeans", k, km.assign(df), {"inertia": km.inertia})
-    gmm_models(df, cols, [(g, seed) for g in gmm_k])
-    for g in gmm_k:
-        model = gmm_model(df, cols, g, seed)
+    for g, model in zip(gmm_k, C.fit_gmm_diag_many(df, cols, [(g, seed) for g in gmm_k])):
         labelled = model.assign(df)
         avg_max = labelled.agg(F.avg("max_probability")).first()[0]
         add(f"gmm_diag_k{g}", "gaussian_mixture_diag", g, labelled,
             {"aic": model.aic(), "bic": model.bic(), "avg_max_probability": float(avg_max)})
-    bis = C.bisecting_labels(df, cols, k, id_col, seed)
-    add(f"bisecting_k{k}", "bisecting_kmeans", k, df.join(bis, id_col), None)
-    metrics = rows[0]
-    for r in rows[1:]:
-        metrics = metrics.unionByName(r, allowMissingColumns=True)
-    balance = balances[0]
-    for b in balances[1:]:
-        balance = balance.unionByName(b)
-    return metrics, balance
+    ward_rows, ward_balances, _ = ward_study(df, cols, ward_k, id_col)
+    rows.append(ward_rows)
+    balances.append(ward_balances)
+    add(f"bisecting_k{k}", "bisecting_kmeans", k, df.join(C.bisecting_labels(df, cols, k, id_col, seed), id_col), None)
+    return union_all(rows), union_all(balances)

@@ -19,6 +19,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=TABLE_NAMES) -> None:
+def _folder(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def files_state(spark: SparkSession, sf_dir: str, names) -> tuple:
+    """Path, length and time of change of the tables' files: the same as long as the data are."""
+    state = []
     for name in names:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)
+        system, where = _folder(spark, table_path(sf_dir, name))
+        files = system.listFiles(where, True)
+        while files.hasNext():
+            f = files.next()
+            state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(state))
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote."""
+    system, where = _folder(spark, path)
+    system.delete(where, True)
