@@ -34,16 +34,6 @@ def name_prefix(name) -> Column:
     return F.when(extracted == "", F.lit(NO_PREFIX_LABEL)).otherwise(extracted)
 
 
-def normalize_terms(terms) -> Column:
-    """Search terms as a lower-case array.
-
-    NULL -> empty array; comma text -> split, trim, lower, drop blanks;
-    an array -> lower-cased elements (not trimmed).
-    """
-    c = _col(terms)
-    return F.coalesce(c, F.array().cast("array<string>"))
-
-
 def normalize_terms_text(text) -> Column:
     parts = F.transform(F.split(_col(text), ","), lambda t: F.lower(F.trim(t)))
     return F.coalesce(F.filter(parts, lambda t: t != ""), F.array().cast("array<string>"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import parse_goods_list, sorted_pairs
 
+# The columns of a rule table.
 RULE_COLUMNS = ["antecedents", "consequents", "antecedent_support", "consequent_support",
                 "support", "confidence", "lift", "leverage", "conviction"]
 
@@ -38,15 +39,15 @@ def validate_customer_clusters(clusters: DataFrame, expected_rows: int | None =
     """Contract for a label table; one aggregation job, raises on the first failure."""
     expected = [id_col, cluster_col]
     if clusters.columns != expected:
-        raise ValueError(f"customer_clusters must have columns {expected}, found {clusters.columns}.")
+        raise ValueError(f"a label table has the columns {expected}; these are {clusters.columns}")
     row = cluster_contract_counts(clusters, id_col, cluster_col).first()
     n = row["number_of_rows"]
     if expected_rows is not None and n != expected_rows:
-        raise ValueError(f"customer_clusters must have {expected_rows:,} rows, found {n:,}.")
+        raise ValueError(f"{n:,} label rows instead of {expected_rows:,}")
     if (row["duplicated_ids"] or 0) > 0:
-        raise ValueError(f"customer_clusters has {row['duplicated_ids']:,} duplicated {id_col} values.")
+        raise ValueError(f"{row['duplicated_ids']:,} label rows have a duplicated {id_col}")
     if row["missing_labels"] > 0:
-        raise ValueError(f"customer_clusters has {row['missing_labels']:,} missing {cluster_col} values.")
+        raise ValueError(f"{row['missing_labels']:,} label rows are missing their {cluster_col}")
 
 
 def join_baskets_to_clusters(baskets: DataFrame, clusters: DataFrame, id_col: str = "customer_id",
@@ -89,13 +90,40 @@ def basket_sizes(lines: DataFrame, basket_col: str = "invoice_id", item_col: str
         F.count_distinct(item_col).alias("distinct_products_per_basket"))
 
 
+# ---------------------------------------------------------------- one aggregate of the lines
+def basket_items(lines: DataFrame, baskets: DataFrame, clusters: DataFrame | None = None, basket_col: str = "invoice_id",
+                 id_col: str = "customer_id", item_col: str = "product") -> DataFrame:
+    """(cluster, customer, basket, product, n): how often each product is in each basket, from one scan of the lines.
+
+    A basket without items is one row with a null product and n = 0; null products are not counted. With
+    ``clusters`` a basket without a label fails the job.
+    """
+    counts = lines.where(F.col(item_col).isNotNull()).groupBy(basket_col, item_col).agg(F.count("*").alias("n"))
+    items = baskets.select(basket_col, id_col).join(counts, basket_col, "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    front = []
+    if clusters is not None:
+        items, front = join_baskets_to_clusters(items, clusters, id_col, validate=False), ["cluster"]
+    return items.select(*front, id_col, basket_col, item_col, "n")
+
+
+def baskets_of(items: DataFrame, basket_col: str = "invoice_id", id_col: str = "customer_id", item_col: str = "product") -> DataFrame:
+    """One row per basket of a ``basket_items`` table, with its sizes."""
+    keys = [c for c in items.columns if c not in (item_col, "n")]
+    return items.groupBy(*keys).agg(F.sum("n").alias("basket_size"), F.count(item_col).alias("distinct_products_per_basket"))
+
+
+def item_sets_of(items: DataFrame, basket_col: str = "invoice_id", item_col: str = "product", cluster_col: str = "cluster") -> DataFrame:
+    """One row per non-empty basket with its sorted products."""
+    return items.where(F.col(item_col).isNotNull()).groupBy(basket_col, cluster_col).agg(F.array_sort(F.collect_list(item_col)).alias("items"))
+
+
 # ---------------------------------------------------------------- F14 - F16
-def customer_basket_features(baskets: DataFrame, lines: DataFrame, id_col: str = "customer_id",
-                             basket_col: str = "invoice_id", item_col: str = "product") -> DataFrame:
+def customer_basket_features(baskets: DataFrame, lines: DataFrame, id_col: str = "customer_id", basket_col: str = "invoice_id",
+                             item_col: str = "product", count_col: str | None = None) -> DataFrame:
     """Per-customer basket statistics and most frequent product (ties: alphabetical).
 
-    ``baskets`` has one row per basket with sizes; ``lines`` the long shape.
-    The favourite product is a ``min`` over ``(-count, product)`` structs, an
+    ``baskets`` has one row per basket with sizes; ``lines`` the long shape, or one row per
+    basket and product with its count in ``count_col``. The favourite product is a ``min`` over ``(-count, product)`` structs, an
     aggregate that combines map-side, so a heavy customer never needs a sort.
     """
     stats = baskets.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(
@@ -106,7 +134,7 @@ def customer_basket_features(baskets: DataFrame, lines: DataFrame, id_col: str =
         F.sum("basket_size").alias("total_items_bought_in_baskets"),
         F.avg("distinct_products_per_basket").alias("avg_distinct_products_per_basket"))
     per_item = lines.where(F.col(id_col).isNotNull() & F.col(item_col).isNotNull()) \
-        .groupBy(id_col, item_col).agg(F.count("*").alias("n"))
+        .groupBy(id_col, item_col).agg((F.sum(count_col) if count_col else F.count("*")).alias("n"))
     fav = per_item.groupBy(id_col).agg(
         F.count("*").alias("distinct_products_in_baskets"),
         F.min(F.struct((-F.col("n")).alias("neg"), F.col(item_col).alias("item")))["item"]
@@ -172,7 +200,7 @@ def cluster_basket_profile(baskets: DataFrame, lines: DataFrame, clusters: DataF
 
 
 def cluster_top_products(lines: DataFrame, top_n: int = 10, cluster_col: str = "cluster",
-                         item_col: str = "product") -> DataFrame:
+                         item_col: str = "product", count_col: str | None = None) -> DataFrame:
     """Item counts per (cluster, product), share of the cluster's items, top-n by count.
 
     Ranks are a running number (count desc, product asc): no ties. The
@@ -180,7 +208,7 @@ def cluster_top_products(lines: DataFrame, top_n: int = 10, cluster_col: str = "
     partition keeps only its local top-n before the window shuffle.
     """
     counts = lines.where(F.col(item_col).isNotNull()).groupBy(cluster_col, item_col).agg(
-        F.count("*").alias("product_count"))
+        (F.sum(count_col) if count_col else F.count("*")).alias("product_count"))
     by_cluster = Window.partitionBy(cluster_col)
     ranked = Window.partitionBy(cluster_col).orderBy(F.desc("product_count"), F.asc(item_col))
     return (counts

@@ -68,6 +68,17 @@ def segment_baskets(spark: SparkSession, d: str, validate: bool = False, labels:
     return B.join_baskets_to_clusters(V.baskets(spark, d), labels or V.customer_segments(spark, d), validate=validate)
 
 
+def basket_items(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
+    """(cluster, customer_id, invoice_id, product, n), written: the one aggregate of the lines that sizes, profiles,
+    item sets and top products derive from. Without ``labels`` there is no cluster."""
+    import uuid
+
+    from ..operators.components import stored
+    from ..session import checkpoint_dir
+    items = B.basket_items(V.invoice_lines(spark, d), V.invoices(spark, d), labels)
+    return stored(items, f"{checkpoint_dir(spark).rstrip('/')}/baskets-{uuid.uuid4().hex}", "items")
+
+
 # ------------------------------------------------------------------ B5 - B9
 def segment_item_sets(spark: SparkSession, d: str, labels: DataFrame | None = None) -> DataFrame:
     """(invoice_id, cluster, items): sets are built from the lines first, then one row
@@ -126,9 +137,9 @@ def basket_segment_join(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def segment_basket_profile(spark: SparkSession, d: str) -> DataFrame:
-    prof = B.cluster_basket_profile(segment_baskets(spark, d), segment_lines(spark, d),
-                                    V.customer_segments(spark, d))
-    return rounded(prof)
+    labels = V.customer_segments(spark, d)
+    items = basket_items(spark, d, labels)
+    return rounded(B.cluster_basket_profile(B.baskets_of(items), items, labels))
 
 
 @register
@@ -151,7 +162,8 @@ def basket_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def customer_basket_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(B.customer_basket_features(V.baskets(spark, d), V.basket_lines(spark, d)))
+    items = basket_items(spark, d)
+    return rounded(B.customer_basket_features(B.baskets_of(items), items, count_col="n"))
 
 
 def _customer_base(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +174,8 @@ def _customer_base(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def customer_with_basket_features(spark: SparkSession, d: str) -> DataFrame:
-    feats = B.customer_basket_features(V.baskets(spark, d), V.basket_lines(spark, d))
+    items = basket_items(spark, d)
+    feats = B.customer_basket_features(B.baskets_of(items), items, count_col="n")
     return rounded(B.attach_basket_features(_customer_base(spark, d), feats))
 
 
@@ -206,8 +219,8 @@ def customer_features(spark: SparkSession, d: str) -> DataFrame:
 @register
 def degree_levels(spark: SparkSession, d: str) -> DataFrame:
     from ..functions.text import degree_level
-    return V.customer_info(spark, d).select("customer_id", "customer_name",
-                                            degree_level("customer_name").alias("degree_level"))
+    return V.customer_info(spark, d, ["customer_id", "customer_name"]).select("customer_id", "customer_name",
+                                                                             degree_level("customer_name").alias("degree_level"))
 
 
 @register
@@ -270,7 +283,7 @@ def customer_describe(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def customer_describe_text(spark: SparkSession, d: str) -> DataFrame:
-    return Q.describe_text(V.customer_info(spark, d))
+    return Q.describe_text(V.customer_info(spark, d, ["customer_name", "customer_gender", "customer_birthdate"]))
 
 
 @register
@@ -286,7 +299,7 @@ def customer_missing_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def gender_value_counts(spark: SparkSession, d: str) -> DataFrame:
-    return Q.value_counts(V.customer_info(spark, d), "customer_gender")
+    return Q.value_counts(V.customer_info(spark, d, ["customer_gender"]), "customer_gender")
 
 
 @register
@@ -296,12 +309,12 @@ def segment_value_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def name_prefix_counts(spark: SparkSession, d: str) -> DataFrame:
-    return Q.name_prefix_counts(V.customer_info(spark, d))
+    return Q.name_prefix_counts(V.customer_info(spark, d, ["customer_name"]))
 
 
 @register
 def card_presence(spark: SparkSession, d: str) -> DataFrame:
-    return Q.presence_counts(V.customer_info(spark, d), "loyalty_card_number")
+    return Q.presence_counts(V.customer_info(spark, d, ["loyalty_card_number"]), "loyalty_card_number")
 
 
 RANGE_RULES = [
@@ -722,10 +735,12 @@ def _offer_inputs(spark: SparkSession, d: str, labels: DataFrame | None = None):
     prof = PR.create_cluster_profile(f, "cluster", ["age", "total_lifetime_spend", "has_loyalty_card",
                                                    "total_children_home"])
     shares = PR.mean_profile(f, "cluster", [c for c in f.columns if c.startswith("share_")])
-    lines = segment_lines(spark, d, labels)
-    basket = B.cluster_basket_profile(segment_baskets(spark, d, labels=labels), lines, labels or V.customer_segments(spark, d))
-    top = B.cluster_top_products(lines, top_n=10)
-    rules = segment_rules(spark, d, labels)
+    labels = labels or V.customer_segments(spark, d)
+    items = basket_items(spark, d, labels)
+    basket = B.cluster_basket_profile(B.baskets_of(items), items, labels)
+    top = B.cluster_top_products(items, top_n=10, count_col="n")
+    rules = B.cluster_association_rules_from_sets(B.item_sets_of(items), "cluster", min_support=RULE_SUPPORT, min_confidence=RULE_CONFIDENCE,
+                                                  min_lift=RULE_LIFT, top_n=20, few=B.few_groups(labels))
     return prof, shares, basket, top, rules
 
 
@@ -765,7 +780,9 @@ def fitted_label_offers(spark: SparkSession, d: str) -> DataFrame:
 @register
 def fitted_basket_profile(spark: SparkSession, d: str) -> DataFrame:
     labels = fitted_labels(spark, d)
-    return rounded(B.cluster_basket_profile(segment_baskets(spark, d, validate=True, labels=labels), segment_lines(spark, d, labels), labels))
+    B.validate_customer_clusters(labels)
+    items = basket_items(spark, d, labels)
+    return rounded(B.cluster_basket_profile(B.baskets_of(items), items, labels))
 
 
 @register
@@ -843,7 +860,7 @@ def model_cluster_balance(spark: SparkSession, d: str) -> DataFrame:
 
 @register
 def complaints_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return Q.integer_histogram(V.customer_info(spark, d), "number_complaints")
+    return Q.integer_histogram(V.customer_info(spark, d, ["number_complaints"]), "number_complaints")
 
 
 @register

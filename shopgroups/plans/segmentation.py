@@ -2,15 +2,13 @@
 
 The scaled feature table feeds many fits, so it is written once to the shared
 folder (``spark.checkpoint.dir``); every later job reads that copy instead of
-re-running the customer joins, and a lost executor only costs a re-read. A few
-copies are kept for the queries that follow, as long as the files they were made
-from stay the same; older ones are deleted. Fits are not kept.
+re-running the customer joins, and a lost executor only costs a re-read (see
+``sources.kept``). Fits are not kept.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections import OrderedDict
 from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +23,7 @@ from ..operators import ward as WD
 from ..operators.components import stored
 from ..session import checkpoint_dir
 from ..sources import views as V
-from ..sources.tables import files_state, remove_folder
+from ..sources.kept import kept
 
 METRIC_SCHEMA = ("k long, random_state long, n_features long, inertia double, silhouette_score double, "
                  "calinski_harabasz_score double, davies_bouldin_score double, min_cluster_size long, "
@@ -38,37 +36,12 @@ def model_columns(features: DataFrame) -> list[str]:
 
 
 def selected_features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    """Clean model columns. The customer view (several joins and aggregations) is
-    checkpointed once: the reference-year, median and quantile passes read that copy."""
-    checkpoint_dir(spark)
-    info = V.customer_info(spark, sf_dir).checkpoint()
-    feats = FE.add_customer_info_features(info)
-    clean = P.clean_feature_values(feats)
+    """Clean model columns, from the written customer view."""
+    clean = P.clean_feature_values(FE.add_customer_info_features(V.customer_info(spark, sf_dir)))
     cols = model_columns(clean)
     return P.select_model_features(clean, cols), cols
 
 
-#: Written feature tables that are kept, and what they are made from.
-KEPT_TABLES, SOURCE_TABLES = 4, ("customer", "orders", "lineitem", "part", "events")
-_KEPT: OrderedDict = OrderedDict()
-
-
-def _kept(spark: SparkSession, sf_dir: str, params: tuple, build) -> tuple:
-    """``build()`` = (table, columns) written once per application, parameters and state of the source files."""
-    key = (spark.sparkContext.applicationId, files_state(spark, sf_dir, SOURCE_TABLES), params)
-    if key in _KEPT:
-        _KEPT.move_to_end(key)
-        return _KEPT[key][:2]
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/features-{uuid.uuid4().hex}"
-    table, columns = build()
-    _KEPT[key] = (stored(table, folder, "table"), columns, folder)
-    while len(_KEPT) > KEPT_TABLES:
-        (application, _, _), (_, _, old) = _KEPT.popitem(last=False)
-        if application == spark.sparkContext.applicationId:
-            remove_folder(spark, old)
-    return _KEPT[key][:2]
-
-
 def scaled_features(spark: SparkSession, sf_dir: str, method: str = "robust",
                     use_log: bool = False) -> tuple[DataFrame, list[str]]:
     """(id + scaled model columns, the columns)."""
@@ -76,7 +49,7 @@ def scaled_features(spark: SparkSession, sf_dir: str, method: str = "robust",
         sel, cols = selected_features(spark, sf_dir)
         return P.scale_features(sel, cols, method, use_log)[0], cols
 
-    return _kept(spark, sf_dir, (method, use_log), build)
+    return kept(spark, sf_dir, V.CUSTOMER_SOURCES, ("scaled", method, use_log), build)
 
 
 def dummy_features(clean: DataFrame, genders=("female", "male"), degrees=("Bsc", "Msc", "Phd")) -> tuple[DataFrame, list[str]]:
@@ -100,7 +73,7 @@ def feature_variants(spark: SparkSession, sf_dir: str, names) -> tuple[DataFrame
 
     def build():
         checkpoint_dir(spark)
-        clean = P.clean_feature_values(FE.add_customer_info_features(V.customer_info(spark, sf_dir).checkpoint()))
+        clean = P.clean_feature_values(FE.add_customer_info_features(V.customer_info(spark, sf_dir)))
         cols = model_columns(clean)
         dummies, dummy_names = dummy_features(clean)
         wide = FE.concat_feature_sets(P.select_model_features(clean, cols), dummies).checkpoint()
@@ -122,7 +95,7 @@ def feature_variants(spark: SparkSession, sf_dir: str, names) -> tuple[DataFrame
             table = table.join(other, "customer_id")
         return table, {n: sets[n] for n in names}
 
-    return _kept(spark, sf_dir, ("variants", names), build)
+    return kept(spark, sf_dir, V.CUSTOMER_SOURCES, ("variants", names), build)
 
 
 def kmeans_model(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 10) -> C.KMeansResult:

@@ -45,7 +45,7 @@ def read_back(spark: SparkSession, path: str, schema: StructType, fmt: str = "pa
     return spark.read.schema(schema).parquet(path)
 
 
-def _content(df: DataFrame) -> tuple:
+def content(df: DataFrame) -> tuple:
     """Row count and an order-independent sum of row hashes."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
     return row["n"], row["h"]
@@ -58,8 +58,8 @@ def round_trip_check(spark: SparkSession, df: DataFrame, path: str, fmt: str = "
     """
     write_table(df, path, fmt)
     back = read_back(spark, path, df.schema, fmt)
-    written, written_hash = _content(df)
-    read, read_hash = _content(back)
+    written, written_hash = content(df)
+    read, read_hash = content(back)
     same_cols = back.columns == df.columns
     if written != read or not same_cols or written_hash != read_hash:
         raise ValueError(f"the table read back differs: {written} rows written, {read} read; "

@@ -24,11 +24,11 @@ def _folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def files_state(spark: SparkSession, sf_dir: str, names) -> tuple:
-    """Path, length and time of change of the tables' files: the same as long as the data are."""
+def path_state(spark: SparkSession, path: str) -> tuple:
+    """Path, length and time of change of all files below a path; empty where there is none."""
+    system, where = _folder(spark, path)
     state = []
-    for name in names:
-        system, where = _folder(spark, table_path(sf_dir, name))
+    if system.exists(where):
         files = system.listFiles(where, True)
         while files.hasNext():
             f = files.next()
@@ -36,6 +36,11 @@ def files_state(spark: SparkSession, sf_dir: str, names) -> tuple:
     return tuple(sorted(state))
 
 
+def files_state(spark: SparkSession, sf_dir: str, names) -> tuple:
+    """The state of the tables' files: the same as long as the data are."""
+    return tuple(path_state(spark, table_path(sf_dir, name)) for name in names)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library wrote."""
     system, where = _folder(spark, path)

@@ -15,10 +15,10 @@ and aggregations are planned by Catalyst/AQE.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kept import kept
 from .tables import read_table
 
 SPEND_PREFIX = "lifetime_spend_"
@@ -81,63 +81,78 @@ def spend_categories(spark: SparkSession, sf_dir: str) -> list[str]:
     return [r[0] for r in rows if r[0] is not None]
 
 
-def customer_info(spark: SparkSession, sf_dir: str, categories: list[str] | None = None,
-                  persist: bool = True) -> DataFrame:
+#: Tables the customer view reads, and its columns by the table that they need beside ``customer``.
+CUSTOMER_SOURCES = ("customer", "orders", "lineitem", "part", "events")
+ORDER_COLUMNS = ("customer_birthdate", "kids_home", "teens_home", "year_first_transaction")
+LINE_COLUMNS = ("number_complaints", "distinct_stores_visited", "lifetime_total_distinct_products", "percentage_of_products_bought_promotion")
+EVENT_COLUMNS = ("typical_hour",)
+
+
+def customer_info(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
     """Reference-shaped customer table (one row per customer, NULLs where no data).
 
-    The view joins and aggregates the three largest tables, and the cleaning,
-    quantile and profile operators read it several times (reference year,
-    bracket pass, exact pass, output). It is therefore persisted
-    (memory, spilling to disk): Spark's cache manager keys the cache by plan,
-    so every query over the same data set shares one copy, and a lost
-    executor only recomputes its own partitions from lineage.
+    With ``columns`` only the aggregates they need are assembled, lazily: a table that no column needs is not
+    scanned. Without, the whole view is meant: it joins and aggregates the three largest tables, and the cleaning,
+    quantile and profile operators read it several times, so it is written once and read from there (``kept``).
     """
-    cats = categories or spend_categories(spark, sf_dir)
-    cust = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_returnflag")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    events = read_table(spark, sf_dir, "events").select("user_id", "ts")
-
-    lines = (li.join(orders.select("o_orderkey", "o_custkey"), li.l_orderkey == orders.o_orderkey)
-             .join(part, li.l_partkey == part.p_partkey))
-    spend = [F.sum(F.when(F.col("p_type") == t, F.col("l_extendedprice"))).alias(SPEND_PREFIX + t.lower())
-             for t in cats]
-    line_agg = lines.groupBy(F.col("o_custkey").alias("lk")).agg(
-        F.count_if(F.col("l_returnflag") == "R").cast("double").alias("number_complaints"),
-        F.count_distinct("l_suppkey").cast("double").alias("distinct_stores_visited"),
-        F.count_distinct("l_partkey").cast("double").alias("lifetime_total_distinct_products"),
-        F.avg(F.when(F.col("l_discount") > 0, 1.0).otherwise(0.0)).alias("percentage_of_products_bought_promotion"),
-        *spend)
-    order_agg = orders.groupBy(F.col("o_custkey").alias("ok")).agg(
-        F.min(F.year("o_orderdate")).cast("double").alias("year_first_transaction"),
-        F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("kids_home"),
-        F.count_if(F.col("o_orderpriority") == "2-HIGH").cast("double").alias("teens_home"),
-        F.min("o_orderdate").alias("first_order"))
-    event_agg = events.groupBy(F.col("user_id").alias("ek")).agg(
-        F.floor(F.avg(F.hour("ts"))).cast("double").alias("typical_hour"))
-
-    base = (cust.join(order_agg, cust.c_custkey == order_agg.ok, "left")
-            .join(line_agg, cust.c_custkey == line_agg.lk, "left")
-            .join(event_agg, cust.c_custkey == event_agg.ek, "left"))
+    if columns is not None:
+        return _assembled(spark, sf_dir, [c for c in columns])
+    return kept(spark, sf_dir, CUSTOMER_SOURCES, ("customer_info",), lambda: (_assembled(spark, sf_dir, None), None))[0]
+
+
+def _line_aggregates(spark: SparkSession, sf_dir: str, wanted, spend: dict) -> DataFrame:
+    """(lk, the wanted columns and spends) per customer."""
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("lk"))
+    li = read_table(spark, sf_dir, "lineitem")
+    lines = li.join(orders, li.l_orderkey == orders.o_orderkey)
+    if spend:
+        part = read_table(spark, sf_dir, "part").select("p_partkey", "p_type")
+        lines = lines.join(part, lines.l_partkey == part.p_partkey)
+    plain = {"number_complaints": F.count_if(F.col("l_returnflag") == "R").cast("double"),
+             "percentage_of_products_bought_promotion": F.avg(F.when(F.col("l_discount") > 0, 1.0).otherwise(0.0)),
+             "distinct_stores_visited": F.count_distinct("l_suppkey").cast("double"),
+             "lifetime_total_distinct_products": F.count_distinct("l_partkey").cast("double")}
+    own = [e.alias(n) for n, e in plain.items() if n in wanted]
+    own += [F.sum(F.when(F.col("p_type") == t, F.col("l_extendedprice"))).alias(n) for n, t in spend.items()]
+    return lines.groupBy("lk").agg(*own)
+
+
+def _assembled(spark: SparkSession, sf_dir: str, columns) -> DataFrame:
+    wanted = None if columns is None else set(columns)
+
+    def needed(names):
+        return [n for n in names if wanted is None or n in wanted]
+
+    asks_spend = wanted is None or any(c.startswith(SPEND_PREFIX) for c in wanted)
+    spend = {SPEND_PREFIX + t.lower(): t for t in spend_categories(spark, sf_dir)} if asks_spend else {}
+    spend = {n: spend[n] for n in needed(spend)}
+    base = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    if needed(ORDER_COLUMNS):
+        orders = read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ok")).agg(
+            F.min(F.year("o_orderdate")).cast("double").alias("year_first_transaction"),
+            F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("kids_home"),
+            F.count_if(F.col("o_orderpriority") == "2-HIGH").cast("double").alias("teens_home"),
+            F.min("o_orderdate").alias("first_order"))
+        base = base.join(orders, F.col("c_custkey") == F.col("ok"), "left")
+    if needed(LINE_COLUMNS) or spend:
+        base = base.join(_line_aggregates(spark, sf_dir, needed(LINE_COLUMNS), spend), F.col("c_custkey") == F.col("lk"), "left")
+    if needed(EVENT_COLUMNS):
+        events = read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("ek")).agg(
+            F.floor(F.avg(F.hour("ts"))).cast("double").alias("typical_hour"))
+        base = base.join(events, F.col("c_custkey") == F.col("ek"), "left")
     nk = F.col("c_nationkey")
     prefix = (F.when(nk % 4 == 0, "Bsc. ").when(nk % 4 == 1, "Msc. ").when(nk % 4 == 2, "Phd. ").otherwise(""))
-    birth = F.date_format(F.add_months(F.col("first_order"), -12 * (nk + 20)), "MM/dd/yyyy hh:mm a")
-    out = base.select(
-        F.col("c_custkey").alias("customer_id"),
-        F.concat(prefix, F.col("c_name")).alias("customer_name"),
-        F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string"))
-         .when(nk % 2 == 0, "female").otherwise("male").alias("customer_gender"),
-        birth.alias("customer_birthdate"),
-        "kids_home", "teens_home", "number_complaints", "distinct_stores_visited",
-        *[SPEND_PREFIX + t.lower() for t in cats],
-        "lifetime_total_distinct_products", "year_first_transaction",
-        F.when(F.col("c_acctbal") > 0, F.lit(1.0)).alias("loyalty_card_number"),
-        "percentage_of_products_bought_promotion", "typical_hour",
-        (nk * 2.5 - 30.0).alias("latitude"), (nk * 7.0 - 80.0).alias("longitude"),
-    )
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if persist else out
+    columns_in_order = {
+        "customer_id": F.col("c_custkey"),
+        "customer_name": F.concat(prefix, F.col("c_name")),
+        "customer_gender": F.when(F.col("c_acctbal") < 0, F.lit(None).cast("string")).when(nk % 2 == 0, "female").otherwise("male"),
+        "customer_birthdate": F.date_format(F.add_months(F.col("first_order"), -12 * (nk + 20)), "MM/dd/yyyy hh:mm a"),
+        "kids_home": None, "teens_home": None, "number_complaints": None, "distinct_stores_visited": None, **dict.fromkeys(spend),
+        "lifetime_total_distinct_products": None, "year_first_transaction": None,
+        "loyalty_card_number": F.when(F.col("c_acctbal") > 0, F.lit(1.0)),
+        "percentage_of_products_bought_promotion": None, "typical_hour": None,
+        "latitude": nk * 2.5 - 30.0, "longitude": nk * 7.0 - 80.0}
+    return base.select(*[(F.col(n) if columns_in_order[n] is None else columns_in_order[n]).alias(n) for n in needed(columns_in_order)])
 
 
 def embeddings_wide(spark: SparkSession, sf_dir: str, dims: int | None = None,
