@@ -38,5 +38,13 @@ def unit_hash(*cols) -> "F.Column":
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
+def unused(names, wanted: str) -> str:
+    """``wanted``, or with underscores before it, so that no column has the name."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
+
+
 def text_or_empty(col: str) -> "F.Column":
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

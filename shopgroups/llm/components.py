@@ -1,5 +1,42 @@
 """Connected components of an edge table."""
 
-from shopgroups.operators.components import components
+from __future__ import annotations
 
-__all__ = ["components"]
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import stored
+
+
+def _smallest(edges: DataFrame) -> DataFrame:
+    """(a, m): the smallest neighbour of every node of edges (a, b), or the node itself."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+
+
+def components(edges: DataFrame, folder: str) -> DataFrame:
+    """(node, root) of every node of ``edges`` (columns a, b, any order); root is the smallest node reachable.
+
+    Edges point from the larger to the smaller node. In a round every node first hands its larger neighbours,
+    then its other smaller ones, to its smallest neighbour; the rounds end when each node has one smaller
+    neighbour that has none itself: only stars are left. Every round is written to ``folder``.
+    """
+    edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, n = stored(edges, folder, "round-0"), 0
+    while not _stars(edges):
+        n += 1
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.join(_smallest(edges), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        up = stored(up.filter("a <> b").distinct(), folder, f"large-{n}")
+        low = up.groupBy("a").agg(F.min("b").alias("m"))
+        down = up.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = stored(down.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), folder, f"round-{n}")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour at most, and that one none."""
+    if edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        return False
+    return not edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_semi").limit(1).count()

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, python_ready, stored, work_folder
+from .common import documents, python_ready, stored, unused, work_folder
 from .components import components
 from .ragged import chunks, mix, span_hashes, starts_of, strings, text_bytes, words_of
 
@@ -407,17 +407,20 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     folder = work_folder(df.sparkSession, "keep-one")
     ids = df.agg(F.count("*").alias("n"), F.count(id_col).alias("filled"), F.count_distinct(id_col).alias("distinct")).first()
     if ids["n"] == ids["filled"] == ids["distinct"]:
-        found = jaccard_components(df, id_col, text_col, n, percent)
-        others = stored(found.filter(F.col("component_id") != F.col(id_col)).select(id_col), folder, "others")
+        slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+        found = jaccard_components(slim, "_id", "text", n, percent)
+        others = stored(found.filter(F.col("component_id") != F.col("_id")).select(F.col("_id").alias(id_col)), folder, "others")
         return df.join(others.hint("shuffle_hash"), id_col, "left_anti").select(*df.columns)
     # ids that are null or repeat: row numbers instead, which both reads of the texts must share
-    numbered = stored(df.withColumn("_row", F.monotonically_increasing_id()), folder, "rows")
-    found = jaccard_components(numbered, "_row", text_col, n, percent).select("_row", "component_id")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row")
-    ranked = stored(found.join(numbered.select("_row", id_col), "_row").select("_row", "component_id", order.alias("o")), folder, "ranked")
-    first = ranked.groupBy("component_id").agg(F.min("o")["_row"].alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    others = ranked.join(first, "component_id").filter(F.col("_row") != F.col("first")).select("_row")
-    return numbered.join(others.hint("shuffle_hash"), "_row", "left_anti").select(*df.columns)
+    row = unused(df.columns, "_row")
+    numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), folder, "rows")
+    found = jaccard_components(numbered.select(F.col(row).alias("_row"), F.col(text_col).alias("text")), "_row", "text", n, percent).select("_row", "component_id")
+    ids = numbered.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"))
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    ranked = stored(found.join(ids, "_row").select("_row", "component_id", order.alias("o")), folder, "ranked")
+    first = ranked.groupBy("component_id").agg(F.min("o")["row"].alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    others = ranked.join(first, "component_id").filter(F.col("_row") != F.col("first")).select(F.col("_row").alias(row))
+    return numbered.join(others.hint("shuffle_hash"), row, "left_anti").select(*df.columns)
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance along directories.
 
-Texts are cut into statements (lines, and sentences inside lines); up to LINES
-consecutive ones are also scored as one, as texts wrap their sentences. A statement
-is a sparse TF-IDF vector over words; its cosine to every template's vector
+Texts are cut into statements (lines, and sentences inside lines); consecutive ones
+are also scored as one, as texts wrap their sentences, over as many lines as it takes
+to pass a template's number of words. Templates are single sentences and whole
+licence texts. A statement is a sparse TF-IDF vector over words; its cosine to every template's vector
 decides whether it states that licence. Document frequencies of all words are
 counted over all statements of the corpus. Tasks know those of the template words
 and of the most frequent other words; the rarer ones weigh at least as much as the
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents, python_ready, stored, work_folder
 from .ragged import chunks, distinct, span_hashes, strings, text_bytes, words_of
 
-# Usual statements of common licences.
+# Usual statements of common licences, and whole texts of the short ones.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
@@ -50,11 +51,33 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright to the public domain, CC0 1.0 Universal"),
     ("Proprietary", "All rights reserved"),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE
+OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE
+COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY
+DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY
+OF SUCH DAMAGE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
+above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
 )
 #: Least cosine of a statement.
 COSINE = 0.8
-#: Statements in a row that are scored together, at most.
-LINES = 8
 #: Most frequent words outside the templates whose frequencies every task has.
 FREQUENT = 20_000
 #: Part of a text's words in licence statements that makes it a licence file.
@@ -98,15 +121,8 @@ def lowered_words(texts: pa.Array):
     return flat, *words_of(flat, bounds, ~WORD_BYTE), bounds
 
 
-def statements(texts: pa.Array, templates: Templates):
-    """(template word or -1 of every word, statement of every word, text of every statement); a statement
-    without words does not count."""
-    hashes, own, text = hashed_statements(texts)
-    return templates.number(hashes), own, text
-
-
 def hashed_statements(texts: pa.Array):
-    """As ``statements``, with every word's hash."""
+    """(hash of every word, statement of every word, text of every statement); a statement without words does not count."""
     flat, at, size, words, bounds = lowered_words(texts)
     ends = flat == 10
     if len(flat) > 1:  # a sentence ends before white space
@@ -119,72 +135,6 @@ def hashed_statements(texts: pa.Array):
     return span_hashes(flat, at, size), np.cumsum(new) - 1, text[new]
 
 
-def frequencies(df: DataFrame, text_col: str, templates: Templates) -> tuple[int, np.ndarray]:
-    """(number of statements, number of statements with each template word) over all rows."""
-    python_ready(df.sparkSession)
-
-    def run(batches):
-        total, counts = 0, np.zeros(len(templates.hashes), np.int64)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                word, own, text = statements(strings(part.column("text")), templates)
-                known = word >= 0
-                pairs = np.unique(own[known] * len(counts) + word[known])
-                counts += np.bincount(pairs % len(counts), minlength=len(counts))
-                total += len(text)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(counts))), pa.array(np.append(total, counts))], names=["word", "n"])
-
-    found = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = {r["word"]: r["n"] for r in found.collect()}  # one row per template word
-    return counts.get(-1, 0), np.array([counts.get(i, 0) for i in range(len(templates.hashes))])
-
-
-def own_licences(df: DataFrame, keep: list[str], text_col: str, cosine: float = COSINE) -> DataFrame:
-    """The columns ``keep`` with licence, score (the best statement's; null without one) and part (of
-    the words in licence statements) of every row."""
-    templates = Templates.of()
-    total, seen = frequencies(df, text_col, templates)
-    idf = np.log((total + 1) / (seen + 1)) + 1
-    other = np.log(total + 1) + 1
-    vectors = templates.counts * idf
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    slim = df.select(*keep, F.col(text_col).cast("string").alias("text"))
-    fields = ", ".join(f"{c} {t}" for c, t in slim.dtypes if c != "text")
-
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                word, own, text = statements(strings(part.column("text")), templates)
-                n = len(text)
-                known = np.flatnonzero(word >= 0)
-                pair, times = np.unique(own[known] * len(idf) + word[known], return_counts=True)
-                weight = np.bincount(pair // len(idf), (times * idf[pair % len(idf)]) ** 2, minlength=n)
-                length = weight + np.bincount(own[word < 0], minlength=n) * other ** 2
-                able = np.flatnonzero(weight >= cosine ** 2 * length * (1 - 1e-9))
-                place = np.full(n, -1)
-                place[able] = np.arange(len(able))
-                dense = np.zeros((len(able), len(idf)))
-                chosen = place[pair // len(idf)] >= 0
-                dense[place[pair[chosen] // len(idf)], pair[chosen] % len(idf)] = times[chosen] * idf[pair[chosen] % len(idf)]
-                score = np.round(dense @ vectors.T / np.sqrt(length[able])[:, None], 9)
-                best = score.argmax(1) if len(able) else np.zeros(0, np.int64)
-                top = score[np.arange(len(able)), best]
-                stated = np.flatnonzero(top >= cosine)
-                rows = part.num_rows
-                licence, value = np.full(rows, -1), np.zeros(rows)
-                for s in stated[np.argsort(-top[stated], kind="stable")][::-1]:  # the best one comes last, the first of equals
-                    licence[text[able[s]]], value[text[able[s]]] = best[s], top[s]
-                words = np.bincount(own, minlength=n)
-                inside = np.bincount(text[able[stated]], words[able[stated]], minlength=rows)
-                share = inside / np.maximum(np.bincount(text, words, minlength=rows), 1)
-                has = licence >= 0
-                yield pa.RecordBatch.from_arrays([
-                    *(part.column(c) for c in keep), pa.array([templates.names[i] if i >= 0 else None for i in licence.tolist()], pa.string()),
-                    pa.array(value, pa.float64(), mask=~has), pa.array(share)], names=[*keep, "licence", "score", "part"])
-
-    return slim.mapInArrow(run, f"{fields}, licence string, score double, part double")
-
-
 def word_frequencies(df: DataFrame, text_col: str, folder: str) -> tuple[int, DataFrame]:
     """(number of statements, (h, n): number of statements with each word, by the word's hash) over all rows."""
     python_ready(df.sparkSession)
@@ -207,10 +157,11 @@ def word_frequencies(df: DataFrame, text_col: str, folder: str) -> tuple[int, Da
     return total, found.filter("h is not null")
 
 
-def corpus_licences(df: DataFrame, keep: list[str], text_col: str, folder: str, cosine: float = COSINE, lines: int = LINES) -> DataFrame:
+def corpus_licences(df: DataFrame, keep: list[str], text_col: str, folder: str, cosine: float = COSINE, lines: int | None = None) -> DataFrame:
     """The columns ``keep`` with licence, score (the best statement's; null without one) and part (of
-    the words in licence statements) of every row, by the TF-IDF cosine over all words. Up to ``lines``
-    statements in a row are also scored as one; of overlapping ones the best counts, then the shortest."""
+    the words in licence statements) of every row, by the TF-IDF cosine over all words. Statements in
+    a row, up to ``lines`` if given, are also scored as one: against each template until they have as many words as
+    it, the last statement counted in. Of overlapping ones the best counts, then the shortest."""
     templates = Templates.of()
     total, words = word_frequencies(df, text_col, folder)
     signed = templates.hashes.view(np.int64)
@@ -219,6 +170,7 @@ def corpus_licences(df: DataFrame, keep: list[str], text_col: str, folder: str,
     idf = idf_of([seen.get(h, 0) for h in signed.tolist()])
     vectors = templates.counts * idf
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    words_of_template = templates.counts.sum(axis=1).astype(np.int64)
     gain = (vectors * idf).T  # of one occurrence of each template word, for each template
     top = words.filter(~F.col("h").isin(signed.tolist())).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
     known = np.concatenate([templates.hashes, np.array([r["h"] for r in top], np.int64).view(np.uint64)])
@@ -249,31 +201,49 @@ def corpus_licences(df: DataFrame, keep: list[str], text_col: str, folder: str,
                 hit = np.flatnonzero(word >= 0)
                 dots = np.concatenate([np.zeros((1, gain.shape[1])), np.cumsum(gain[word[hit]], axis=0)])[np.searchsorted(hit, bounds)]
                 first = np.searchsorted(text, np.arange(part.num_rows))
-                for k in range(1, min(lines, n) + 1):
-                    dot = dots[k:] - dots[:-k]
-                    able = (dot.max(1) ** 2 >= cosine ** 2 * (length[k:] - length[:-k]) * (1 - 1e-6)) & (text[k - 1:] == text[:n - k + 1])
-                    for s in np.flatnonzero(able & (dot.max(1) > 0)).tolist():
+                begin, k = np.arange(n), 0
+                while len(begin) and k != lines:
+                    k += 1
+                    begin = begin[begin + k <= n]
+                    begin = begin[text[begin + k - 1] == text[begin]]
+                    before = bounds[begin + k - 1] - bounds[begin]
+                    begin, before = begin[before < words_of_template.max()], before[before < words_of_template.max()]
+                    if not len(begin):
+                        break
+                    open_ = np.flatnonzero(words_of_template > before.min())
+                    dot = np.where(before[:, None] < words_of_template[open_], dots[begin + k][:, open_] - dots[begin][:, open_], 0.0)
+                    most = dot.max(1)
+                    able = (most > 0) & (most ** 2 >= cosine ** 2 * (length[begin + k] - length[begin]) * (1 - 1e-6))
+                    for i in np.flatnonzero(able).tolist():
+                        s = int(begin[i])
                         a, b = int(bounds[s]), int(bounds[s + k])
                         _, where, times = np.unique(hashes[a:b], return_index=True, return_counts=True)
                         where += a
                         squares, sure = (times * each[where]) ** 2, common[where]
-                        best = int(dot[s].argmax())
-                        if dot[s, best] ** 2 < cosine ** 2 * squares.sum() * (1 - 1e-6):
+                        best = int(open_[dot[i].argmax()])
+                        if most[i] ** 2 < cosine ** 2 * squares.sum() * (1 - 1e-6):
                             continue
                         rest = [{"h": h, "n": c} for h, c in zip(hashes[where[~sure]].view(np.int64).tolist(), times[~sure].tolist())]
-                        found[text[s]].append({"s": s - int(first[text[s]]), "k": k, "template": best, "dot": float(dot[s, best]),
+                        found[text[s]].append({"s": s - int(first[text[s]]), "k": k, "template": best, "dot": float(most[i]),
                                                "base": float(squares[sure].sum()), "size": b - a, "rest": rest})
                 size = np.bincount(text, np.diff(bounds), minlength=part.num_rows).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(size), pa.array(found, unit_type)], names=[*kept, "_words", "_units"])
 
-    def best_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "k", "s"], ascending=[False, True, True])
-        taken, inside = set(), 0
-        for s, k, size in zip(pdf["s"].tolist(), pdf["k"].tolist(), pdf["size"].tolist()):
-            if taken.isdisjoint(range(s, s + k)):
-                taken.update(range(s, s + k))
-                inside += size
-        return pd.DataFrame({"_no": pdf["_text_no"].iloc[:1], "_best": pdf["template"].iloc[:1], "_score": pdf["score"].iloc[:1], "_inside": [inside]})
+    def best_of(batches):
+        """The best unit of each text, and the words in units that overlap no better one; rows come by text, the best first."""
+        now = None
+        for pdf in batches:
+            out = []
+            for no, s, k, template, size, score in zip(*(pdf[c].tolist() for c in ("_text_no", "s", "k", "template", "size", "score"))):
+                if now is None or now[0] != no:
+                    if now is not None:
+                        out.append(now)
+                    now, taken = [no, template, score, 0], set()
+                if taken.isdisjoint(range(s, s + k)):
+                    taken.update(range(s, s + k))
+                    now[3] += size
+            yield pd.DataFrame(out, columns=["_no", "_best", "_score", "_inside"])
+        yield pd.DataFrame([] if now is None else [now], columns=["_no", "_best", "_score", "_inside"])
 
     texts = stored(slim.mapInArrow(run, schema), folder, "texts")
     units = texts.filter(F.size("_units") > 0).select("_text_no", F.explode("_units").alias("u")).select("_text_no", "u.*")
@@ -282,7 +252,8 @@ def corpus_licences(df: DataFrame, keep: list[str], text_col: str, folder: str,
     rest = rest.join(words, "h").groupBy("_text_no", "s", "k").agg(F.sum(square).alias("more"))
     scored = units.drop("rest").join(rest, ["_text_no", "s", "k"], "left")
     scored = scored.withColumn("score", F.round(F.col("dot") / F.sqrt(F.col("base") + F.coalesce("more", F.lit(0.0))), 9)).filter(F.col("score") >= cosine)
-    found = scored.select("_text_no", "s", "k", "template", "size", "score").groupBy("_text_no").applyInPandas(best_of, "_no long, _best int, _score double, _inside long")
+    ordered = scored.select("_text_no", "s", "k", "template", "size", "score").repartition("_text_no").sortWithinPartitions("_text_no", F.desc("score"), "k", "s")
+    found = ordered.mapInPandas(best_of, "_no long, _best int, _score double, _inside long")
     names = F.array(*[F.lit(n) for n in templates.names])
     return texts.join(found, F.col("_text_no") == F.col("_no"), "left").select(
         *keep, F.when(F.col("_best").isNotNull(), F.get(names, F.col("_best"))).alias("licence"), F.col("_score").alias("score"),

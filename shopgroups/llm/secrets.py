@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, stored, text_or_empty, work_folder
+from .common import documents, stored, text_or_empty, unused, work_folder
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -107,7 +107,11 @@ def judged(candidates: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFra
     owners), ``placeholder``, or ``live``. Rows with a null kind stay, with a null status."""
     status = (F.when(F.col("kind_no").isNull(), None).when(F.col("n_owners") >= copied_owners, "copied")
               .when(F.col("placeholder"), "placeholder").otherwise("live"))
-    return candidates.join(ownership(candidates), "value_hash", "left").withColumn("status", status)
+    # texts without a candidate need no owners, and would all have one join key
+    plain, none = F.col("kind_no").isNotNull(), F.lit(None).cast("long")
+    owned = candidates.filter(plain).join(ownership(candidates), "value_hash", "left")
+    other = candidates.filter(~plain).withColumns({"n_repos": none, "n_owners": none})
+    return owned.unionByName(other).withColumn("status", status)
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
@@ -156,21 +160,23 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     values that are mostly placeholder stay. Null and repeated ids: each row has its own spans. ``n_chars``, if there,
     follows the text."""
     columns, key = df.columns, id_col
+    match, live = unused(columns, "_match"), unused(columns, "_live")
     ids = df.agg(F.count("*").alias("n"), F.count(id_col).alias("filled"), F.count_distinct(id_col).alias("distinct")).first()
     if not ids["n"] == ids["filled"] == ids["distinct"]:
         # row numbers instead, which both reads of the texts must share
-        key = "_row"
+        key = unused(columns, "_row")
         df = stored(df.withColumn(key, F.monotonically_increasing_id()), work_folder(df.sparkSession, "redact"), "rows")
-    found = scan_secrets(df, key, text_col, id_col, owner_col, copied_owners, mostly_placeholder)
-    live = found.select(F.col(key).alias("_id"), F.filter("found", lambda s: s["status"] == "live").alias("_live")).filter(F.size("_live") > 0)
-    joined = df.join(live, df[key] == live["_id"], "left")
+    slim = df.select(F.col(key).alias("key"), F.col(id_col).alias("repo"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"))
+    found = scan_secrets(slim, "key", "text", "repo", "owner", copied_owners, mostly_placeholder)
+    found = found.select(F.col("key").alias(match), F.filter("found", lambda s: s["status"] == "live").alias(live)).filter(F.size(live) > 0)
+    joined = df.join(found, F.col(key) == F.col(match), "left")
     step = lambda acc, s: F.when(
         s["stop"] <= acc["at"], acc).otherwise(F.struct(
             F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))),
                      F.when(s["start"] >= acc["at"], mark).otherwise("")).alias("out"), s["stop"].alias("at")))
     begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    done = F.aggregate("_live", begin, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col))))
-    cleaned = F.when(F.col("_live").isNull(), F.col(text_col)).otherwise(done)
+    done = F.aggregate(live, begin, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), a["at"] + 1, F.length(text_col))))
+    cleaned = F.when(F.col(live).isNull(), F.col(text_col)).otherwise(done)
     out = joined.withColumn(text_col, cleaned)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(df.schema["n_chars"].dataType))

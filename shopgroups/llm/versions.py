@@ -7,8 +7,9 @@ sketch has three tables of cells; a key is counted and XORed into one cell of
 each. The sketches of two versions are subtracted cell by cell, which cancels
 what they share; peeling takes keys from cells that hold a single one until
 nothing is left, and so recovers the digests that differ. Where it gets stuck,
-both versions are sketched again four times larger, until it succeeds. All texts
-of a chunk are sketched and peeled together in NumPy.
+both versions are sketched again four times larger, until it succeeds or a sketch
+would be larger than the keys themselves, which then are compared one by one. All
+texts of a chunk are sketched and peeled together in NumPy.
 """
 
 from __future__ import annotations
@@ -50,7 +51,8 @@ def paragraph_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     own = np.searchsorted(bounds, at, "right") - 1
     near = (at - bounds[own] < 8) & (at != bounds[own]) & (flat[at - 1] != 10)
     at, own = at[~near], own[~near]
-    digest = span_hashes(flat, at, np.diff(np.append(at, len(flat))))
+    # repeats are told by what a key keeps of the digest: equal ones would cancel
+    digest = span_hashes(flat, at, np.diff(np.append(at, len(flat)))) & ~CHECK
     order = np.lexsort((digest, own))
     same = np.zeros(len(at), bool)
     same[1:] = (digest[order][1:] == digest[order][:-1]) & (own[order][1:] == own[order][:-1])
@@ -115,9 +117,16 @@ def differences(old: np.ndarray, old_bounds: np.ndarray, new: np.ndarray, new_bo
     """(owner, key, +1 if only the old version has it, -1 if only the new one) for all pairs of versions."""
     n = len(old_bounds) - 1
     todo, out = np.arange(n), []
+    held = np.diff(old_bounds) + np.diff(new_bounds)
     while len(todo):
         place = np.full(n, -1)
         place[todo] = np.arange(len(todo))
+        # sketches far larger than the keys fail only on keys that are in one text more than once
+        beyond = todo[held[todo] * LARGER < size - CELLS]
+        if len(beyond):
+            out.append(compared(old, old_bounds, new, new_bounds, beyond))
+            todo = todo[held[todo] * LARGER >= size - CELLS]
+            continue
         parts = []
         for keys, bounds in ((old, old_bounds), (new, new_bounds)):
             owner = place[np.repeat(np.arange(n), np.diff(bounds))]
@@ -129,6 +138,19 @@ def differences(old: np.ndarray, old_bounds: np.ndarray, new: np.ndarray, new_bo
     return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
+def compared(old: np.ndarray, old_bounds: np.ndarray, new: np.ndarray, new_bounds: np.ndarray, which: np.ndarray):
+    """As ``differences`` for the pairs ``which``, by sorting their keys; a key that one text has n times more is there n times."""
+    out = []
+    for i in which.tolist():
+        keys = np.concatenate([old[old_bounds[i]: old_bounds[i + 1]], new[new_bounds[i]: new_bounds[i + 1]]])
+        signs = np.repeat([1, -1], [old_bounds[i + 1] - old_bounds[i], new_bounds[i + 1] - new_bounds[i]])
+        found, own = np.unique(keys, return_inverse=True)
+        more = np.bincount(own, signs, len(found)).astype(np.int64)
+        times = np.abs(more)
+        out.append((np.full(int(times.sum()), i), np.repeat(found, times), np.repeat(np.sign(more), times).astype(np.int32)))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def likeness(old_bounds: np.ndarray, new_bounds: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Part of both versions' paragraphs that the versions share; 1 for two empty versions."""
     both = np.diff(old_bounds) + np.diff(new_bounds)

@@ -174,6 +174,18 @@ def test_versions_recover_exactly_what_differs(spark, table):
         assert (got[i].old_fingerprint == got[i].new_fingerprint) == (ka == kb)
 
 
+def test_equal_keys_of_one_text_end_the_search(monkeypatch):
+    """Two pieces whose keys agree cancel in every sketch; two whose digests agree in 48 bits are repeats."""
+    key = versions.checked(np.array([0x1234567890AB0000], np.uint64))[0]
+    others = versions.checked(np.arange(1, 6, dtype=np.uint64) << np.uint64(20))
+    old, new = np.concatenate([[key, key], others]), others[:3]
+    owner, found, sign = versions.differences(old, np.array([0, 7]), new, np.array([0, 3]))
+    assert sorted(found.tolist()) == sorted([int(key)] * 2 + others[3:].tolist()) and (sign == 1).all() and (owner == 0).all()
+    monkeypatch.setattr(versions, "span_hashes", lambda flat, at, size: np.uint64(0xABCDEF0000000000) + np.arange(len(at), dtype=np.uint64))
+    keys, bounds = versions.paragraph_keys(pa.array(["a\nb\nc"], pa.large_string()))
+    assert len(set(keys.tolist())) == 3 and bounds.tolist() == [0, 3]
+
+
 def test_chained_versions(spark, table):
     rows = [(7, "last text here", "s"), (1, "first " * 40, "s"), (2, None, "s"), (3, "été " * 2000, "s"), (4, "z", "s"), (5, "w" * 50_000, "s")]
     got = {r.doc_id: r for r in versions.chain_versions(table(rows)).collect()}

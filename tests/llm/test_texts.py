@@ -66,6 +66,21 @@ def test_redaction_with_null_and_repeated_ids(spark, table):
     assert Counter((r.doc_id, r.text) for r in stage.collect()) == want and stage.columns == docs.columns
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_redaction_and_deduplication_keep_columns_of_any_name(spark, repeated):
+    """Columns with the names that the operators use themselves come out as they went in."""
+    names = ["_row", "_id", "_live", "_match", "key", "repo", "owner", "set_id", "component_id", "first"]
+    rows = [(i // 2 if repeated else i, f"clean text number{i} of words and more words here", *[f"{n}{i}" for n in names]) for i in range(6)]
+    rows += [(50, "token=q8Zr2mLp77Xk first of its kind in this text", *["x"] * len(names)), (51, rows[0][1], *["y"] * len(names))]
+    df = spark.createDataFrame([(r[0], r[1], "s", *r[2:]) for r in rows], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    cleaned = secrets.redact(df)
+    want = Counter((r[0], r[1].replace("token=q8Zr2mLp77Xk", "[SECRET]"), "s", *r[2:]) for r in rows)
+    assert cleaned.columns == df.columns and Counter(map(tuple, cleaned.collect())) == want
+    kept = jaccard.keep_one(df, n=5, percent=80)
+    got = Counter(map(tuple, kept.collect()))
+    assert kept.columns == df.columns and len(got) == 7 and not got - Counter(map(tuple, df.collect())) and all(r[3] != "y" for r in got)
+
+
 def test_redaction_of_keys_that_hold_placeholder_digits(spark, table):
     rng = random.Random(4)
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
@@ -134,26 +149,14 @@ def test_licences_and_inheritance(spark):
 def test_licence_scores_match_dense_vectors(spark, table):
     texts = [s for s, _ in STATED] + ["Released under the MIT License today and the words of it", "the work of the public. license! version 3\nMIT"]
     rows = [(i, t, "s") for i, t in enumerate(texts)]
-    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
-    segments = [[words(s) for s in re.split(r"\n|(?<=[.!?])(?=[ \n])", t) if words(s)] for t in texts]
-    vocabulary = sorted({w for _, t in licences.TEMPLATES for w in words(t)})
-    total = sum(map(len, segments))
-    idf = {w: np.log((total + 1) / (sum(w in s for d in segments for s in d) + 1)) + 1 for w in vocabulary}
-    other = np.log(total + 1) + 1
-
-    def cosine(segment, template):
-        a, b = Counter(segment), Counter(words(template))
-        norm = lambda c: np.sqrt(sum((n * idf[w]) ** 2 if w in idf else n * other ** 2 for w, n in c.items()))
-        return sum(a[w] * b[w] * idf[w] ** 2 for w in a if w in b) / norm(a) / norm(b)
-
-    got = {r.doc_id: r for r in licences.own_licences(table(rows), ["doc_id"], "text", 0.3).collect()}
-    for i, d in enumerate(segments):
-        score, name = max(((cosine(s, t), n) for s in d for n, t in licences.TEMPLATES), key=lambda x: x[0])
+    got = {r.doc_id: r for r in licences.corpus_licences(table(rows), ["doc_id"], "text", work_folder(spark, "test"), 0.3, 1).collect()}
+    for i, (score, name) in enumerate(brute_licence(texts, 1)):
         assert got[i].score == pytest.approx(score, abs=1e-6) and (got[i].licence == name or score < 0.8)
 
 
-def brute_licence(texts, lines=1):
-    """(score, licence) of the best statement, or of up to ``lines`` in a row, of each text by TF-IDF over all words."""
+def brute_licence(texts, lines=None):
+    """(score, licence) of the best statement, or of up to ``lines`` in a row, of each text by TF-IDF over all words.
+    Without ``lines``, as many in a row as it takes to have a template's number of words."""
     words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
     segments = [[words(s) for s in re.split(r"\n|(?<=[.!?])(?=[ \n])", t) if words(s)] for t in texts]
     total, seen = sum(map(len, segments)), Counter(w for d in segments for s in d for w in set(s))
@@ -164,7 +167,8 @@ def brute_licence(texts, lines=1):
         norm = lambda c: np.sqrt(sum((n * idf(w)) ** 2 for w, n in c.items()))
         return sum(a[w] * b[w] * idf(w) ** 2 for w in a if w in b) / norm(a) / norm(b)
 
-    return [max((cosine(sum(d[i:i + k], []), t), n) for k in range(1, lines + 1) for i in range(len(d) - k + 1) for n, t in licences.TEMPLATES) for d in segments]
+    return [max((cosine(sum(d[i:i + k], []), t), n) for k in range(1, (lines or len(d)) + 1) for i in range(len(d) - k + 1) for n, t in licences.TEMPLATES
+                if k == 1 or sum(map(len, d[i:i + k - 1])) < len(words(t))) for d in segments]
 
 
 @pytest.mark.parametrize("frequent", [20_000, 3])
@@ -176,7 +180,7 @@ def test_licence_words_outside_templates_have_their_own_weight(spark, table, mon
     for times in (1, 40):
         rows = [(i, t, "s") for i, t in enumerate(texts * times)]
         got = {r.doc_id: r for r in licences.corpus_licences(table(rows), ["doc_id"], "text", work_folder(spark, "test"), 0.5, 1).collect()}
-        want = brute_licence(texts * times)
+        want = brute_licence(texts * times, 1)
         for i in range(len(texts)):
             assert (got[i].licence, got[i].score) == ((want[i][1], pytest.approx(want[i][0], abs=1e-8)) if want[i][0] >= 0.5 else (None, None))
         scores[times] = got[0].score
@@ -218,12 +222,38 @@ def test_licences_of_wrapped_texts(spark):
     texts = [t for _, t in WRAPPED] + other
     rows = [(i, t, f"d{i}/LICENSE" if i < len(WRAPPED) else f"d{i % len(WRAPPED)}/x{i}") for i, t in enumerate(texts)]
     out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
-    want = brute_licence(texts, licences.LINES)
+    want = brute_licence(texts)
     for i, (name, _) in enumerate(WRAPPED):
         assert (out[i].licence, out[i].how) == (name, "own") and out[i].score == pytest.approx(want[i][0], abs=1e-8)
     assert all((out[i].licence, out[i].how) == (WRAPPED[i % len(WRAPPED)][0], "inherited") for i in range(len(WRAPPED), len(texts)))
 
 
+def wrapped(text, width):
+    out, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width and line:
+            out, line = out + [line], ""
+        line = f"{line} {w}".strip()
+    return "\n".join(out + [line])
+
+
+def test_licences_over_many_lines_and_whole_files(spark):
+    """Sentences over more than ten lines, and files that are a whole licence."""
+    whole = {n: max((t for m, t in licences.TEMPLATES if m == n), key=len) for n in ("MIT", "BSD-3-Clause", "ISC")}
+    gpl = next(t for n, t in licences.TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    texts = [wrapped(whole["MIT"], 60), "Copyright (c) 2020 A Person\nAll the words before.\n\n" + wrapped(whole["BSD-3-Clause"], 76), wrapped(whole["ISC"], 30),
+             "# " + wrapped(gpl, 16).replace("\n", "\n# ")]
+    names = ["MIT", "BSD-3-Clause", "ISC", "GPL-3.0"]
+    assert texts[3].count("\n") > 10 and min(t.count("\n") for t in texts) > 10
+    texts += [f"plain words number{i} of a text\nand a second line about the work{i % 5}\nwith a third one" for i in range(40)]
+    rows = [(i, t, f"d{i}/file") for i, t in enumerate(texts)]
+    out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    want = brute_licence(texts[:4] + texts[4:])
+    for i, name in enumerate(names):
+        assert out[i].licence == name and out[i].score == pytest.approx(want[i][0], abs=1e-8) and out[i].score > 0.95
+    assert all(out[i].licence is None for i in range(4, len(texts)))
+
+
 def toxic_rows(n=900, seed=2):
     rng = random.Random(seed)
     bad, rows, labels = ["vilest", "grubbo", "snarkler", "hurzel"], [], []
@@ -308,7 +338,7 @@ def test_pipeline_stages(spark, table, tmp_path):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_base_digest_of_no_spans(spark, tmp_path, table):
