@@ -1,3 +1,5 @@
+import re
+
 import duckdb
 import pytest
 
@@ -37,3 +39,13 @@ def test_query_matches_duckdb(spark, duck, name):
     from oracle_check import compare
     ok, msg, _ = compare(spark, duck, SF, name, E.oracle_sql()[name])
     assert ok, msg
+
+
+#: Retail queries without a statement; DBSCAN's studies have tests of their own.
+OTHERS = sorted(n for n in set(E.queries()) - set(E.oracle_sql()) if not re.match(r"op\d+_|pipeline|dbscan_(diagnostics|cluster_balance)", n))
+
+
+@pytest.mark.parametrize("name", OTHERS)
+def test_query_without_statement_runs(spark, name):
+    df = E.queries()[name](spark, SF)
+    assert df.columns and df.count() > 0
