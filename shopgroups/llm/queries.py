@@ -10,7 +10,7 @@ from .metric_tree import op11_products
 from .orchard import ENTRIES, PARTS, ROUNDS, SCALE, op13_codes
 from .packing import op5_packing
 from .piecewise import op2_pieces
-from .secrets import BASE, COPIED_OWNERS, KINDS, PLACEHOLDERS, op9_secrets
+from .secrets import BASE, COPIED_OWNERS, COPIED_REPOS, KINDS, PLACEHOLDERS, op9_secrets
 from .sharding import op7_sharding
 from .token_counts import op8_token_counts
 from .toxicity import op6_toxicity
@@ -28,22 +28,22 @@ def _sql_text(s: str) -> str:
 def _hits(no: int) -> str:
     """All matches of one kind: their texts, values, and the texts between them."""
     p = _sql_text(KINDS[no][1])
-    return f"""SELECT uid, owner, {no} AS kind_no, {KINDS[no][2]} AS shortest, unnest(range(1, len(m) + 1)) AS i, m, v, g
-  FROM (SELECT uid, owner, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, 1) AS v,
+    return f"""SELECT uid, repo, owner, {no} AS kind_no, {KINDS[no][2]} AS shortest, unnest(range(1, len(m) + 1)) AS i, m, v, g
+  FROM (SELECT uid, repo, owner, regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, 1) AS v,
                regexp_split_to_array(text, {p}) AS g FROM t) WHERE len(m) > 0"""
 
 
 _NAMES = "[" + ", ".join(_sql_text(k[0]) for k in KINDS) + "]"
 _SECRETS = f"""
-WITH t AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner FROM documents),
+WITH t AS (SELECT row_number() OVER () AS uid, doc_id, coalesce(text, '') AS text, coalesce(doc_id::VARCHAR, '') AS repo, coalesce(source, '') AS owner FROM documents),
 h AS ({' UNION ALL '.join(_hits(no) for no in range(len(KINDS)))}),
-c AS (SELECT uid, owner, kind_no, v[i] AS value,
+c AS (SELECT uid, repo, owner, kind_no, v[i] AS value, regexp_replace(v[i], '[^A-Za-z0-9]', '', 'g') AS bare,
              (list_sum([length(x) for x in g[1:i]]) + list_sum([length(x) for x in m[1:i]]))::BIGINT AS stop, length(m[i]) AS n
       FROM h WHERE length(v[i]) >= shortest AND (kind_no < {BASE} OR (
         regexp_matches(v[i], '[0-9]') AND regexp_matches(v[i], '[a-z]') AND regexp_matches(v[i], '[A-Z]')))),
-o AS (SELECT value, count(DISTINCT owner) AS owners FROM c GROUP BY value),
-s AS (SELECT uid, kind_no, stop - n AS start, stop, CASE WHEN owners >= {COPIED_OWNERS} THEN 'copied'
-             WHEN regexp_matches(value, {_sql_text(PLACEHOLDERS)}) THEN 'placeholder' ELSE 'live' END AS status
+o AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (repo, owner)) AS repos FROM c GROUP BY value),
+s AS (SELECT uid, kind_no, stop - n AS start, stop, CASE WHEN owners >= {COPIED_OWNERS} OR repos >= {COPIED_REPOS} THEN 'copied'
+             WHEN 2 * length(regexp_replace(bare, {_sql_text(PLACEHOLDERS)}, '', 'g')) < length(bare) THEN 'placeholder' ELSE 'live' END AS status
       FROM c JOIN o USING (value)),
 f AS (SELECT *, {_NAMES}[kind_no + 1] || ':' || start || ':' || stop AS name FROM s
       WHERE kind_no < {BASE} OR (status = 'live' AND NOT EXISTS (

@@ -2,8 +2,9 @@
 
 Candidates are found by regular expressions, as spans in code points. Their
 value hashes are aggregated over the whole corpus by distinct repositories and
-owners: a value that many owners hold is a copied example, one that stays with
-few owners and does not look like a placeholder is a live-looking credential.
+owners: a value that many owners or very many repositories hold is a copied
+example, one that stays with few and does not look like a placeholder is a
+live-looking credential.
 
 Spans without Python: a text split by a pattern gives the lengths between the
 matches, ``regexp_extract_all`` the matches; a running sum over both, in a
@@ -34,28 +35,20 @@ KINDS = (
     ("opaque", OPAQUE, 32, ()),
 )
 BASE = 3
-#: Values from so many owners on are widely copied examples.
-COPIED_OWNERS = 3
-#: Parts of placeholder values.
-PLACEHOLDERS = "(?i)example|changeme|placeholder|your|dummy|sample|xxxx|0000|1234"
-
-#: Longest forms of these parts, in values without separators.
-PLACEHOLDER_RUNS = ("(?i)example|changeme|placeholder|your(?:api|secret|access|auth)?(?:key|token|password|secret|id)?(?:here)?|dummy|sample"
+#: Values from so many owners on, or from so many repositories on, are widely copied examples.
+COPIED_OWNERS, COPIED_REPOS = 3, 100
+#: Parts of placeholder values, in their longest forms, in values without separators.
+PLACEHOLDERS = ("(?i)example|changeme|placeholder|your(?:api|secret|access|auth)?(?:key|token|password|secret|id)?(?:here)?|dummy|sample"
                     "|x{4,}|0{4,}|1234(?:5(?:6(?:7(?:8(?:90?)?)?)?)?)?")
 
 
-def has_placeholder(value) -> "F.Column":
-    """Whether a part of a placeholder is anywhere in the value."""
-    return value.rlike(PLACEHOLDERS)
-
-
 def mostly_placeholder(value) -> "F.Column":
     """Whether parts of placeholders make up more than half of the value, separators left out."""
     bare = F.regexp_replace(value, "[^A-Za-z0-9]", "")
-    return 2 * F.length(F.regexp_replace(bare, PLACEHOLDER_RUNS, "")) < F.length(bare)
+    return 2 * F.length(F.regexp_replace(bare, PLACEHOLDERS, "")) < F.length(bare)
 
 
-def find_candidates(df: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str, is_placeholder=has_placeholder) -> DataFrame:
+def find_candidates(df: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
     """One row per candidate, and one row with a null kind per text without any.
 
     Columns: uid (of the input row), id_col, repo, owner, kind_no, start, stop, value_hash, placeholder.
@@ -75,7 +68,7 @@ def find_candidates(df: DataFrame, id_col: str, text_col: str, repo_col: str, ow
                 F.lit(no).alias("kind_no"), i.alias("pos"), F.length(h["g"]).alias("gap"), F.length(h["w"]).alias("len"),
                 (F.length(h["v"]) >= shortest).alias("long"), F.xxhash64(h["v"]).alias("value_hash"),
                 (F.lit(True) if no < BASE else h["v"].rlike("[0-9]") & h["v"].rlike("[a-z]") & h["v"].rlike("[A-Z]")).alias("shaped"),
-                is_placeholder(h["v"]).alias("placeholder")))
+                mostly_placeholder(h["v"]).alias("placeholder")))
         if needs:
             may = reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(s)) for s in needs))
         else:
@@ -102,10 +95,10 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def judged(candidates: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def judged(candidates: DataFrame, copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """Candidates with n_repos, n_owners and status: ``copied`` (held by ``copied_owners`` or more
-    owners), ``placeholder``, or ``live``. Rows with a null kind stay, with a null status."""
-    status = (F.when(F.col("kind_no").isNull(), None).when(F.col("n_owners") >= copied_owners, "copied")
+    owners, or in ``copied_repos`` or more repositories of any), ``placeholder``, or ``live``. Rows with a null kind stay, with a null status."""
+    status = (F.when(F.col("kind_no").isNull(), None).when((F.col("n_owners") >= copied_owners) | (F.col("n_repos") >= copied_repos), "copied")
               .when(F.col("placeholder"), "placeholder").otherwise("live"))
     # texts without a candidate need no owners, and would all have one join key
     plain, none = F.col("kind_no").isNotNull(), F.lit(None).cast("long")
@@ -115,7 +108,7 @@ def judged(candidates: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFra
 
 
 def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id",
-                 owner_col: str = "source", copied_owners: int = COPIED_OWNERS, is_placeholder=has_placeholder) -> DataFrame:
+                 owner_col: str = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """Secrets of every text, one row per input row.
 
     Returns uid, id_col and ``found``: array of (start, kind_no, stop, status, n_repos, n_owners),
@@ -125,9 +118,9 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null or empty text: an empty array. Repeated rows or ids: each row has its own result and
     counts once per (repository, owner). Empty input: no rows. Other columns are ignored.
     """
-    found = find_candidates(df, id_col, text_col, repo_col, owner_col, is_placeholder)
+    found = find_candidates(df, id_col, text_col, repo_col, owner_col)
     # the slim candidates are read twice, the texts once
-    c = judged(stored(found, work_folder(df.sparkSession, "secrets"), "candidates"), copied_owners)
+    c = judged(stored(found, work_folder(df.sparkSession, "secrets"), "candidates"), copied_owners, copied_repos)
     span = F.struct("start", "kind_no", "stop", "status", "n_repos", "n_owners")
     spans = F.array_sort(F.collect_list(F.when(F.col("kind_no").isNotNull(), span)))
     out = c.groupBy("uid").agg(F.first("rec_id").alias(id_col), spans.alias("all"))
@@ -155,10 +148,10 @@ def op9_secrets(spark, sf_dir: str) -> DataFrame:
 
 
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-           copied_owners: int = COPIED_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+           copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS, mark: str = "[SECRET]") -> DataFrame:
     """``df`` with every live span of its texts replaced by ``mark``; copied examples and
-    values that are mostly placeholder stay. Null and repeated ids: each row has its own spans. ``n_chars``, if there,
-    follows the text."""
+    values that are mostly placeholder stay. Null and repeated ids: each row has its own spans. Null text
+    stays null, empty text empty; empty input: no rows. ``n_chars``, if there, follows the text."""
     columns, key = df.columns, id_col
     match, live = unused(columns, "_match"), unused(columns, "_live")
     ids = df.agg(F.count("*").alias("n"), F.count(id_col).alias("filled"), F.count_distinct(id_col).alias("distinct")).first()
@@ -167,7 +160,7 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
         key = unused(columns, "_row")
         df = stored(df.withColumn(key, F.monotonically_increasing_id()), work_folder(df.sparkSession, "redact"), "rows")
     slim = df.select(F.col(key).alias("key"), F.col(id_col).alias("repo"), F.col(owner_col).alias("owner"), F.col(text_col).alias("text"))
-    found = scan_secrets(slim, "key", "text", "repo", "owner", copied_owners, mostly_placeholder)
+    found = scan_secrets(slim, "key", "text", "repo", "owner", copied_owners, copied_repos)
     found = found.select(F.col("key").alias(match), F.filter("found", lambda s: s["status"] == "live").alias(live)).filter(F.size(live) > 0)
     joined = df.join(found, F.col(key) == F.col(match), "left")
     step = lambda acc, s: F.when(

@@ -8,7 +8,8 @@ near. A query
 reads the lists whose centroids are within a ratio of its nearest one's
 distance. Lists are kept short: equal vectors are one entry, the number of
 centroids grows with the table, and long lists are cut into blocks that
-different tasks read. Scores are exact.
+different groups read, as are the queries of a list that many read. A matrix
+product preselects a block's nearest vectors; scores are exact differences.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from .common import python_ready, stored, unit_hash, work_folder
 LIST_VECTORS, MAX_LISTS = 512, 4_096
 #: Sampled vectors per centroid, about: the fit reads MAX_LISTS * SAMPLE_PER_LIST vectors at most.
 SAMPLE_PER_LIST = 32
-#: Vectors of a block of a list.
-BLOCK = 4_096
+#: Vectors of a block of a list, and about the queries that one group compares with it.
+BLOCK, QUERY_BLOCK = 4_096, 2_048
 #: Lists that a vector is in, at most, and the distance ratio up to which.
 COPIES, COPY_RATIO = 4, 1.15
 #: Part of the nearest vectors, in the sample, that the lists within the probe ratio must hold.
-TARGET = 0.85
+TARGET = 0.9
 #: Neighbours of a centroid in the graph, and width of the search's beam.
 DEGREE, BEAM = 24, 64
 
@@ -175,6 +176,42 @@ def probes_of(graph: CentroidGraph, sizes: np.ndarray, x: np.ndarray, k: int, ra
     return row, node[row, column]
 
 
+def nearest_of_block(x: np.ndarray, ids: np.ndarray, q: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple]:
+    """(query id, ids, distances) of the k nearest vectors of a block for every query, whose own id is left
+    out; ties to the smaller id. ``ids`` holds an array of ids per vector.
+
+    A matrix product gives all squared distances but for rounding. Only vectors that may be among the
+    k + 1 nearest within its error bound have theirs computed from differences.
+    """
+    times = np.array([len(i) for i in ids])
+    first, flat = np.cumsum(times) - times, np.concatenate(ids)
+    # an id with several vectors counts once, so that k + 1 vectors may hold fewer than k ids
+    repeated = len(np.unique(flat)) < len(flat)
+    few = min(k, len(x) - 1) if not repeated else len(x) - 1
+    norms = (x ** 2).sum(1)
+    out = []
+    for a in range(0, len(q), 256):
+        part = q[a: a + 256]
+        own = (part ** 2).sum(1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            far = own[:, None] + norms - 2 * part @ x.T
+            error = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (own + norms.max())
+            limit = np.partition(far, few, 1)[:, few] + 2 * error
+            beyond = far > limit[:, None]  # where the squares overflow, nothing is beyond
+        for i, query in enumerate(query_ids[a: a + 256]):
+            near = np.flatnonzero(~beyond[i])
+            score = np.repeat(np.sqrt(((x[near] - part[i]) ** 2).sum(1)), times[near])
+            own_ids = flat[np.repeat(first[near] - np.cumsum(times[near]) + times[near], times[near]) + np.arange(len(score))]
+            other = own_ids != query
+            own_ids, score = own_ids[other], score[other]
+            best = np.lexsort((own_ids, score))
+            if repeated:  # the nearest one of each id
+                best = best[np.sort(np.unique(own_ids[best], return_index=True)[1])]
+            best = best[:k]
+            out.append((query, own_ids[best], score[best]))
+    return out
+
+
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part, as doubles."""
     v = F.col(vector_col).cast("array<double>")
@@ -228,40 +265,40 @@ def nearest_neighbours(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_
     blocks = np.ones(len(sizes), np.int64)
     for r in placed.groupBy("list").agg(F.sum(F.when(F.col("first"), F.size("ids")).otherwise(0)).alias("s"), F.count("*").alias("c")).collect():
         sizes[r["list"]], blocks[r["list"]] = r["s"], -(-r["c"] // BLOCK)
-    shape = spark.sparkContext.broadcast((sizes, blocks))
+    shape = spark.sparkContext.broadcast(sizes)
 
     def probe(batches):
         for pdf in batches:
             for a in range(0, len(pdf), 512):
                 part = pdf.iloc[a: a + 512]
-                row, own = probes_of(graph.value, shape.value[0], np.stack(part["v"].to_numpy()), k, ratio)
-                times = shape.value[1][own]
-                block = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                row, own = np.repeat(row, times), np.repeat(own, times)
-                yield pd.DataFrame({"list": own, "block": block, "query_id": part["vec_id"].to_numpy()[row], "q": part["v"].to_numpy()[row]})
-
-    asked = good.filter(is_query(F.col("vec_id"))).mapInPandas(probe, "list long, block long, query_id long, q array<double>")
-    per_list = spark.createDataFrame(pd.DataFrame({"list": np.arange(len(blocks)), "blocks": blocks}))
-    held = placed.join(F.broadcast(per_list), "list").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks"))).select("list", "block", "v", "ids")
+                row, own = probes_of(graph.value, shape.value, np.stack(part["v"].to_numpy()), k, ratio)
+                cuts = np.searchsorted(row, np.arange(1, len(part)))
+                yield pd.DataFrame({"query_id": part["vec_id"].to_numpy(), "q": part["v"].to_numpy(), "lists": np.split(own, cuts)})
+
+    # one row per query, so that its vector is written once
+    asked = good.filter(is_query(F.col("vec_id"))).mapInPandas(probe, "query_id long, q array<double>, lists array<long>")
+    asked = stored(asked, folder, "asked")
+    parts = np.ones(len(sizes), np.int64)
+    for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect():
+        parts[r["list"]] = -(-r["count"] // QUERY_BLOCK)
+    # one row per list again
+    per_list = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(blocks)), "blocks": blocks, "parts": parts})))
+    asked = (asked.select("query_id", "q", F.explode("lists").alias("list")).join(per_list, "list")
+             .select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+                     F.pmod(F.xxhash64("query_id"), F.col("parts")).alias("part"), "query_id", "q"))
+    held = (placed.join(per_list, "list")
+            .select("list", F.pmod(F.xxhash64("v"), F.col("blocks")).alias("block"),
+                    F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", "ids"))
 
     def nearest(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(vectors):
-            x = np.stack(vectors["v"].to_numpy())
-            ids, times = np.concatenate(vectors["ids"].to_numpy()), vectors["ids"].map(len).to_numpy()
-            entry = np.repeat(np.arange(len(x)), times)
-            repeated = len(np.unique(ids)) < len(ids)
-            for query, q in zip(queries["query_id"].to_numpy(), queries["q"]):
-                score = np.sqrt(((x - q) ** 2).sum(1))[entry]
-                other = ids != query
-                best = np.lexsort((ids[other], score[other]))
-                if repeated:  # the nearest one of each id
-                    best = best[np.sort(np.unique(ids[other][best], return_index=True)[1])]
-                best = best[:k]
-                out.append((query, ids[other][best], score[other][best]))
+            x, q = np.stack(vectors["v"].to_numpy()), np.stack(queries["q"].to_numpy())
+            out = nearest_of_block(x, vectors["ids"].to_numpy(), q, queries["query_id"].to_numpy(), k)
         return pd.DataFrame(out, columns=["query_id", "vec_ids", "scores"])
 
-    found = asked.groupBy("list", "block").cogroup(held.groupBy("list", "block")).applyInPandas(nearest, "query_id long, vec_ids array<long>, scores array<double>")
+    keys = ["list", "block", "part"]
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(nearest, "query_id long, vec_ids array<long>, scores array<double>")
     found = found.select("query_id", F.explode(F.arrays_zip(F.col("vec_ids").alias("i"), F.col("scores").alias("s"))).alias("f"))
     found = found.select("query_id", F.col("f.i").alias("vec_id"), F.col("f.s").alias("score")).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

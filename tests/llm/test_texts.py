@@ -81,6 +81,15 @@ def test_redaction_and_deduplication_keep_columns_of_any_name(spark, repeated):
     assert kept.columns == df.columns and len(got) == 7 and not got - Counter(map(tuple, df.collect())) and all(r[3] != "y" for r in got)
 
 
+def test_verdict_by_repositories_of_one_owner(spark, table):
+    wide, narrow = "token=q8Zr2mLp77Xk1234zz", "token=Ab9Kd83kQz1LmnoP0000w"
+    n = secrets.COPIED_REPOS
+    rows = [(i, f"word {wide}", "a") for i in range(n)] + [(n + i, f"word {narrow}", "a") for i in range(n - 1)]
+    rows += [(n, f"again {narrow}", "a")]  # a repository counts once
+    status = {(s.status, s.n_repos, s.n_owners) for r in secrets.scan_secrets(table(rows)).collect() for s in r.found}
+    assert status == {("copied", n, 1), ("live", n - 1, 1)}
+
+
 def test_redaction_of_keys_that_hold_placeholder_digits(spark, table):
     rng = random.Random(4)
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
