@@ -34,8 +34,8 @@ BLOCK, QUERY_BLOCK = 4_096, 2_048
 COPIES, COPY_RATIO = 4, 1.15
 #: Part of the nearest vectors, in the sample, that the lists within the probe ratio must hold.
 TARGET = 0.9
-#: Neighbours of a centroid in the graph, and width of the search's beam.
-DEGREE, BEAM = 24, 64
+#: Neighbours of a centroid in the graph, and width of the search's beam for queries and for vectors to place.
+DEGREE, BEAM, PLACE_BEAM = 24, 64, 16
 
 
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 1) -> np.ndarray:
@@ -134,7 +134,7 @@ class CentroidGraph:
 
 def lists_of(graph: CentroidGraph, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, list, whether it is the nearest) for all lists of the vectors."""
-    node, far = graph.search(x)
+    node, far = graph.search(x, PLACE_BEAM)
     node, far = node[:, :COPIES], far[:, :COPIES]
     taken = (node >= 0) & (far <= COPY_RATIO ** 2 * far[:, :1])
     taken[:, 0] = True
