@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, python_ready, stored, unused, work_folder
-from .components import components
+from .components import components, with_group
 from .ragged import chunks, mix, span_hashes, starts_of, strings, text_bytes, words_of
 
 #: Words of a shingle, and the least similarity in hundredths, of the contract's query.
@@ -283,7 +283,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = set_rows(df, id_col, text_col, n, percent).withColumn("n_keys", F.size("keys"))
     rows = stored(rows, folder, "sets")
     same_set = ["size", "digest", "digest2"]
-    sets = stored(rows.filter("size > 0").groupBy(*same_set).agg(F.min("rid").alias("set_id"), F.min("rec_id").alias("least_id")), folder, "classes")
+    sets = stored(rows.filter("size > 0").groupBy(*same_set).agg(F.min("rid").alias("set_id"), F.min("rec_id").alias("least_id"),
+                                                                     F.count("*").alias("copies")), folder, "classes")
 
     shared = shared_words(rows, folder)
     # of the rows with one set only the first goes on: the others have the same keys
@@ -296,20 +297,26 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     members = (several.withColumn("band", band).withColumn("n", count).join(names, "rid")
                .filter(F.col("n") >= F.try_element_at("need", F.col("band"))).select("key", F.col("rid").alias("set_id")))
     members = stored(members, folder, "members")
-    first = members.groupBy("key").agg(F.min("set_id").alias("b"), F.max("set_id").alias("most")).filter("most > b").drop("most")
-    clusters = components(members.join(first, "key").select(F.col("set_id").alias("a"), "b"), f"{folder}/clusters")
+    first = members.groupBy("key").agg(F.min("set_id").alias("b"), F.count("*").alias("n_rows"))
+    edges = with_group(members, first, ["key"], members.count()).select(F.col("set_id").alias("a"), "b")
+    clusters = components(edges, f"{folder}/clusters")
     clusters = stored(clusters.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), folder, "cluster-of")
-    sized = clusters.join(sets, "set_id")
-    large = sized.groupBy("cluster").agg(F.count("*").alias("c_sets"), F.sum("size").alias("c_hashes"))
-    links = verified_links(df, sized.join(large, "cluster"), id_col, text_col, n, percent, unit_sets, unit_hashes, folder)
+    sized = clusters.join(sets.drop("copies"), "set_id")
+    large = sized.groupBy("cluster").agg(F.count("*").alias("n_rows"), F.count("*").alias("c_sets"), F.sum("size").alias("c_hashes"))
+    links = verified_links(df, with_group(sized, large, ["cluster"], clusters.count()), id_col, text_col, n, percent, unit_sets, unit_hashes, folder)
     links = stored(links, folder, "links")
 
     linked = components(links, f"{folder}/components").select(F.col("node").alias("set_id"), "root")
     rooted = sets.join(linked, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     rooted = stored(rooted, folder, "rooted")
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(least, "root").select(*same_set, "component_id")
-    return rows.select("rec_id", *same_set).join(named, same_set, "left").select(
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_rows"))
+    named = with_group(rooted, least, ["root"], rooted.count()).select(*same_set, "component_id", F.col("copies").alias("n_rows"))
+    named = stored(named, folder, "named")
+    slim = rows.select("rec_id", *same_set)
+    found = with_group(slim.filter("size > 0"), named, same_set, rows.count())
+    # sets without a member are linked with nothing, and are no group
+    empty = slim.filter("size = 0").withColumn("component_id", F.col("rec_id"))
+    return found.unionByName(empty).select(
         F.col("rec_id").alias(id_col), F.col("size").alias("n_shingles"),
         F.coalesce("component_id", "rec_id").alias("component_id"))
 
@@ -341,7 +348,7 @@ def verified_links(df: DataFrame, sized: DataFrame, id_col: str, text_col: str,
     met = met.groupBy("set_id", "rep_id", "size", "digest", "digest2").agg(F.collect_list("u").alias("units"))
     wanted = alone.unionByName(met)
     wanted = stored(wanted, folder, "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted.hint("shuffle_hash")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted
     text = df.select(F.col(id_col).alias("rec_id"), F.col(text_col).cast("string").alias("text"))
     texts = text.join(wanted, text["rec_id"].eqNullSafe(wanted["rep_id"])).select(
         "set_id", "size", "digest", "digest2", "units", "text")
@@ -410,7 +417,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
         slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
         found = jaccard_components(slim, "_id", "text", n, percent)
         others = stored(found.filter(F.col("component_id") != F.col("_id")).select(F.col("_id").alias(id_col)), folder, "others")
-        return df.join(others.hint("shuffle_hash"), id_col, "left_anti").select(*df.columns)
+        return df.join(others, id_col, "left_anti").select(*df.columns)
     # ids that are null or repeat: row numbers instead, which both reads of the texts must share
     row = unused(df.columns, "_row")
     numbered = stored(df.withColumn(row, F.monotonically_increasing_id()), folder, "rows")
@@ -420,7 +427,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: i
     ranked = stored(found.join(ids, "_row").select("_row", "component_id", order.alias("o")), folder, "ranked")
     first = ranked.groupBy("component_id").agg(F.min("o")["row"].alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     others = ranked.join(first, "component_id").filter(F.col("_row") != F.col("first")).select(F.col("_row").alias(row))
-    return numbered.join(others.hint("shuffle_hash"), row, "left_anti").select(*df.columns)
+    return numbered.join(others, row, "left_anti").select(*df.columns)
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -7,14 +7,15 @@ of the text, so equal texts lie side by side. The order is cut in three steps:
    the record, so a lost task draws the same again); the quantiles of the
    sample are the splitters of ``RANGES_PER_SHARD * n_shards`` ranges;
 2. records are range-partitioned by binary search in the splitter array. A key
-   that fills several quantiles is a heavy key and gets ranges of its own. A
-   range with more than ``range_rows`` records is subdivided: by key hash, or
-   by id hash where one heavy key fills it;
+   that fills several quantiles or has more than ``range_rows`` records is a
+   heavy key and gets cells of its own. A range with more than ``range_rows``
+   records is subdivided by key hash, a heavy key by record number;
 3. byte and row counts of the cells (a few hundred plus rows / ``range_rows``)
    give every cell its place in the whole order, a window inside each cell
    gives every record its own, and the shard follows from the bytes before it.
 
-No task sees more than a cell, whatever the skew. Only DataFrame functions run.
+No task sees more than a cell, and a cell has about ``range_rows`` records whatever
+the skew of keys, sizes and ids. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def choose_splitters(records: DataFrame, total: int, n_ranges: int) -> list[int]
     """Quantile boundaries of a size-weighted key sample of about
     ``n_ranges * DRAWS_PER_RANGE`` draws, whatever the input's size."""
     expected = F.col("size") * F.lit(float(n_ranges * DRAWS_PER_RANGE) / max(total, 1))
-    draws = F.floor(expected) + (unit_hash(F.col("key"), F.col("rec_id"), F.lit(7)) < expected - F.floor(expected)).cast("long")
+    draws = F.floor(expected) + (unit_hash(F.col("key"), F.col("row"), F.lit(7)) < expected - F.floor(expected)).cast("long")
     sample = (records.select("key", draws.alias("w")).filter("w > 0")
               .groupBy("key").agg(F.sum("w").alias("w")))
     upto = F.sum("w").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
@@ -70,7 +71,7 @@ def shard_by_bytes(df: DataFrame, n_shards: int, folder: str, id_col: str = "doc
     Returns ``id_col, size, text_crc32, shard, slot``: size is the text's UTF-8
     bytes plus 8, slot counts from 0 without gaps inside a shard. Shards differ
     by less than the largest record or the largest group that stays whole.
-    Equal texts lie side by side; a group of up to ``whole_group`` of a shard is
+    Equal texts lie side by side, in consecutive cells; a group of up to ``whole_group`` of a shard is
     never cut by a shard boundary, larger ones are cut between records.
 
     Null text: empty text. Null or repeated ids: each row keeps its own slot.
@@ -78,36 +79,45 @@ def shard_by_bytes(df: DataFrame, n_shards: int, folder: str, id_col: str = "doc
     """
     text = text_or_empty(text_col)
     records = df.select(F.col(id_col).alias("rec_id"), (F.octet_length(text).cast("long") + RECORD_BYTES).alias("size"),
-                        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("key"))
+                        F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("key"),
+                        F.monotonically_increasing_id().alias("row"))
     records = stored(records, folder, "records")
     total = records.agg(F.sum("size")).first()[0] or 0
     splitters = choose_splitters(records, total, n_shards * RANGES_PER_SHARD)
-    heavy = sorted({k for k, after in zip(splitters, splitters[1:]) if k == after})
-    is_heavy = F.array_contains(F.lit(heavy), F.col("key")) if heavy else F.lit(False)
-    ranged = records.withColumn("range", range_of(F.col("key"), splitters)).withColumn("heavy", is_heavy)
-
-    # at most two rows per first-level range
-    parts = ranged.groupBy("range", "heavy").agg(F.ceil(F.count("*") / range_rows).alias("parts"))
-    cell = ["range", "heavy", "sub"]
-    spread = F.when(F.col("heavy"), F.xxhash64("rec_id")).otherwise(F.xxhash64("key"))
-    celled = (ranged.join(F.broadcast(parts), ["range", "heavy"])
+    filled = sorted({k for k, after in zip(splitters, splitters[1:]) if k == after})
+    fills = F.array_contains(F.lit(filled), F.col("key")) if filled else F.lit(False)
+    # at most one row per quantile and one per range_rows records
+    heavy = stored(records.groupBy("key").agg(F.count("*").alias("r"), F.sum("size").alias("own_bytes"))
+                   .filter((F.col("r") > range_rows) | fills).drop("r"), folder, "heavy")
+    ranged = (records.join(F.broadcast(heavy), "key", "left").withColumn("range", range_of(F.col("key"), splitters))
+              .withColumn("heavy", F.col("own_bytes").isNotNull())
+              .withColumn("own", F.when(F.col("heavy"), F.col("key")).otherwise(0)))
+
+    # one row per first-level range and one per heavy key
+    unit = ["range", "heavy", "own"]
+    cell = [*unit, "sub"]
+    parts = ranged.groupBy(*unit).agg(F.ceil(F.count("*") / range_rows).alias("parts"))
+    spread = F.when(F.col("heavy"), F.xxhash64("row")).otherwise(F.xxhash64("key"))
+    celled = (ranged.join(F.broadcast(parts), unit)
               .withColumn("sub", F.pmod(spread, F.col("parts"))).drop("parts"))
     celled = stored(celled, folder, "cells")
     before = Window.orderBy(*cell).rowsBetween(Window.unboundedPreceding, -1)
     places = (celled.groupBy(*cell).agg(F.sum("size").alias("b"), F.count("*").alias("r"))
               .select(*cell, F.coalesce(F.sum("b").over(before), F.lit(0)).alias("bytes_before"),
-                      F.coalesce(F.sum("r").over(before), F.lit(0)).alias("rows_before")))
+                      F.coalesce(F.sum("r").over(before), F.lit(0)).alias("rows_before"))
+              .withColumn("own_start", F.min("bytes_before").over(Window.partitionBy(*unit))))
 
-    in_cell = Window.partitionBy(*cell).orderBy("key", "rec_id")
+    in_cell = Window.partitionBy(*cell).orderBy("key", "rec_id", "row")
     group = Window.partitionBy(*cell, "key")
     placed = (celled.withColumn("n", F.row_number().over(in_cell))
               .withColumn("start", F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
               .withColumn("group_start", F.min("start").over(group))
-              .withColumn("group_bytes", F.sum("size").over(group))
+              .withColumn("group_bytes", F.coalesce("own_bytes", F.sum("size").over(group)))
               # one row per cell: a few hundred, plus one per range_rows records
               .join(F.broadcast(places), cell))
+    group_start = F.when(F.col("heavy"), F.col("own_start")).otherwise(F.col("bytes_before") + F.col("group_start"))
     kept_whole = F.col("group_bytes") <= F.lit(int(total / n_shards * whole_group))
-    start = F.col("bytes_before") + F.when(kept_whole, F.col("group_start")).otherwise(F.col("start"))
+    start = F.when(kept_whole, group_start).otherwise(F.col("bytes_before") + F.col("start"))
     shard = F.least(F.floor(start * n_shards / F.lit(float(max(total, 1)))), F.lit(n_shards - 1)).cast("int")
     placed = placed.select("rec_id", "size", "crc", shard.alias("shard"),
                            (F.col("rows_before") + F.col("n") - 1).alias("place"))

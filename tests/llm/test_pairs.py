@@ -99,6 +99,19 @@ def test_components_of_a_long_path(spark):
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr("shopgroups.llm.components.HOT_ROWS", 2)
+    rng = random.Random(5)
+    edges = [(500, i) for i in range(0, 60, 2)] + [(1, i) for i in range(61, 90)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)]
+    root = {n: n for e in edges for n in e}
+    for a, b in edges:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {n: new if r == old else r for n, r in root.items()}
+    alone = {n for n in root if all(a == b for a, b in edges if n in (a, b))}
+    got = components(spark.createDataFrame(edges, "a long, b long"), work_folder(spark, "t"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((n, r) for n, r in root.items() if n not in alone)
+
+
 def test_neighbours_recall_and_exact_scores(spark):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 16)) * 4

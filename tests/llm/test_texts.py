@@ -1,6 +1,7 @@
 """Secrets, licences, toxicity, sharding and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -128,6 +129,17 @@ def test_shards(spark, table, range_rows):
     assert all(len(s) == 1 or held[crc] > total / 6 / 64 - 1 for crc, s in shards.items())
 
 
+def test_no_cell_takes_a_key_of_many_short_texts(spark, table):
+    rows = [(i, "w" * (i % 997), "s") for i in range(3000)] + [(None, "", "s")] * 1500
+    folder = work_folder(spark, "t")
+    out = sharding.shard_by_bytes(table(rows), 6, folder, range_rows=100, whole_group=0.5).collect()
+    check_shards(rows, out, 6)
+    cells = spark.read.parquet(f"{folder}/cells").groupBy("range", "heavy", "own", "sub").count().collect()
+    assert max(c["count"] for c in cells) <= 200 and sum(c["heavy"] for c in cells) >= 15
+    # the short texts' bytes are less than half a shard: they lie together, though in many cells
+    assert len({r.shard for r in out if r.size == 8}) == 1
+
+
 def test_shards_of_few_rows(spark, table):
     for rows in ([], [(1, None, "s")], [(1, "x" * 200_000, "s"), (2, "", "s")]):
         check_shards(rows, sharding.shard_by_bytes(table(rows), 24, work_folder(spark, "t")).collect(), 24)
@@ -311,6 +323,31 @@ def test_exception_phrases_and_matching_by_hand():
     assert toxicity.folded("1d1ot 2024 3.5 st​upid") == ["idiot", "stupid"]
 
 
+def brute_toxicity(model, text):
+    """The score by trying every term at every word."""
+    words = toxicity.folded(text or "")
+    total, matched = 0.0, 0
+    for i, word in enumerate(words):
+        weights = [w for term, w in model.weights.items() if term in f" {word} "]
+        pairs = [*zip(words[i - 1: i] if i else [], [word]), *zip([word], words[i + 1: i + 2])]
+        if weights and not any(p in model.exceptions for p in pairs):
+            total, matched = total + max(weights), matched + 1
+    by_length, count = math.log1p(1000 * total / (len(words) + 10)), math.log1p(matched)
+    a, b, c = model.coefficients
+    return 1 / (1 + math.exp(-(a + b * by_length + c * count)))
+
+
+def test_toxicity_matches_a_scan_of_all_terms(table):
+    rng = random.Random(9)
+    words = ["trash", "trashed", "can", "TR4SH", "thrash", "rash", "vequa", "vequässe", "équipe", "idiot", "1d1ot", "id", "a", "2024", "crash!", "TRАSH"]
+    model = toxicity.Model({" trash ": 3.0, " tras": 2.5, " vequ": 2.0, "rash ": 1.0, " idiot ": 1.5, "diot ": 2.5},
+                           frozenset({("trash", "can"), ("a", "rash"), ("idiot", "idiot")}), (-3.0, 0.6, 0.4))
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))), "s") for i in range(400)]
+    rows += [(900, None, "s"), (901, "", "s"), (902, " \n", "s"), (903, "trash " * 50_000, "s"), (903, "rash", "s"), (None, "a rash", None)]
+    got = Counter((r.doc_id, round(r.score, 9)) for r in toxicity.score(table(rows), model).collect())
+    assert got == Counter((i, round(brute_toxicity(model, t), 9)) for i, t, _ in rows)
+
+
 def brute_pipeline(rows, model):
     kept = [r for r in rows if model.score(*[[x] for x in model.features(toxicity.folded(r[1] or ""))[:2]])[0] < toxicity.REJECT]
     from test_pairs import brute_components
