@@ -50,6 +50,8 @@ SPARE = 0.12
 UNIT_SETS, UNIT_HASHES = 8_000, 4_000_000
 #: Sets whose texts are read again by a broadcast of their ids (about 60 bytes each); more are joined by a shuffle.
 BROADCAST_SETS = 100_000
+#: Sets up to which hashes of their ids (about 30 bytes each) are broadcast first, so that only their texts are shuffled.
+BROADCAST_HASHES = 4_000_000
 #: Words that a task of the word shuffle takes, about.
 TASK_WORDS = 2_000_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -348,8 +350,14 @@ def verified_links(df: DataFrame, sized: DataFrame, id_col: str, text_col: str,
     met = met.groupBy("set_id", "rep_id", "size", "digest", "digest2").agg(F.collect_list("u").alias("units"))
     wanted = alone.unionByName(met)
     wanted = stored(wanted, folder, "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_SETS else wanted
     text = df.select(F.col(id_col).alias("rec_id"), F.col(text_col).cast("string").alias("text"))
+    n_wanted = wanted.count()
+    if n_wanted <= BROADCAST_SETS:
+        wanted = F.broadcast(wanted)
+    elif n_wanted <= BROADCAST_HASHES:
+        # most texts are in no cluster, and stay out of the shuffle
+        hashed = F.broadcast(wanted.select(F.xxhash64("rep_id").alias("hash")).distinct())
+        text = text.join(hashed, F.xxhash64("rec_id") == F.col("hash"), "left_semi")
     texts = text.join(wanted, text["rec_id"].eqNullSafe(wanted["rep_id"])).select(
         "set_id", "size", "digest", "digest2", "units", "text")
 

@@ -246,3 +246,26 @@ def test_chained_versions(spark, table):
     assert versions.chain_versions(table([])).count() == 0
     assert [(r.doc_id, r.near_next) for r in versions.chain_versions(table([(None, "one", "s")])).collect()] == [(None, 1.0)]
     assert versions.chain_versions(table([(1, "a b", "s"), (1, "a b", "s"), (1, "c", "s")])).count() == 3
+
+
+def test_texts_outside_clusters_are_not_shuffled(spark, monkeypatch):
+    """More sets than the broadcast of their units takes: hashes of their ids keep the other texts out of the join."""
+    from shopgroups.llm import jaccard as J
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " more") for i, t in enumerate(texts[:6])] + [(200, None), (201, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, J.jaccard_components(df).collect()))
+    plans = {}
+
+    def recorded(table, folder, name, stored=J.stored):
+        plans[name] = table._jdf.queryExecution().optimizedPlan().toString()
+        return stored(table, folder, name)
+
+    monkeypatch.setattr(J, "BROADCAST_SETS", 0)
+    monkeypatch.setattr(J, "stored", recorded)
+    assert sorted(map(tuple, J.jaccard_components(df).collect())) == plain
+    assert {r[2] for r in plain if r[0] >= 100 and r[0] < 200} == set(range(6))
+    assert "LeftSemi" in plans["links"]
+    monkeypatch.setattr(J, "BROADCAST_HASHES", 0)
+    assert sorted(map(tuple, J.jaccard_components(df).collect())) == plain
+    assert "LeftSemi" not in plans["links"]
