@@ -116,10 +116,10 @@ def evaluate_kmeans(df: DataFrame, cols, k: int, seed: int = 42, n_init: int = 1
     return metrics[0], models[0], models[0].assign(df)
 
 
-def k_sweep(df: DataFrame, cols, k_values, seed: int = 42, n_init: int = 10) -> tuple[list[dict], list[C.KMeansResult]]:
-    """(metrics per k, models): all k are fitted in the same passes, and their metrics computed together."""
+def k_sweep(df: DataFrame, cols, k_values, seed: int = 42, n_init: int = 10, models=None) -> tuple[list[dict], list[C.KMeansResult]]:
+    """(metrics per k, models): all k are fitted in the same passes, unless ``models`` gives the fits; their metrics are computed together."""
     k_values = list(k_values)
-    models = C.fit_kmeans_many(df, cols, [(k, seed) for k in k_values], n_init)
+    models = models or C.fit_kmeans_many(df, cols, [(k, seed) for k in k_values], n_init)
     found = M.clustering_metrics_for_centers(df, cols, {str(k): m.centers for k, m in zip(k_values, models)})
     return [{**found[str(k)], "k": k, "random_state": seed, "n_features": len(cols), "inertia": m.inertia}
             for k, m in zip(k_values, models)], models
@@ -148,13 +148,13 @@ def compare_feature_sets(df: DataFrame, sets: dict, k: int = 5, seed: int = 42,
     return _rows(df.sparkSession, rows, METRIC_SCHEMA + ", feature_set_variant string")
 
 
-def seed_stability(df: DataFrame, cols, k: int, seeds, n_init: int = 10, id_col: str = "customer_id") -> DataFrame:
+def seed_stability(df: DataFrame, cols, k: int, seeds, n_init: int = 10, id_col: str = "customer_id", models=None) -> DataFrame:
     """ARI between the labels of every pair of seeds.
 
     All label columns are expressions over the same rows (no join needed).
     """
     labelled = df.select(id_col, *cols)
-    models = C.fit_kmeans_many(df, cols, [(k, s) for s in seeds], n_init)
+    models = models or C.fit_kmeans_many(df, cols, [(k, s) for s in seeds], n_init)
     for s, model in zip(seeds, models):
         labelled = labelled.withColumn(f"l{s}", C.nearest_center(cols, model.centers))
     # one pass: at most k ** len(seeds) rows, in practice a few more than k

@@ -231,3 +231,36 @@ def test_start_draw_counts_repeated_rows(spark):
     assert 0.84 < (first == 1.0).mean() < 0.96
     model = C.fit_kmeans(df, ["x"], 4, n_init=1, max_iter=1, id_col="id")
     assert not model.converged and model.n_iter == 1
+
+
+def test_lloyd_sums_match_plain_distances():
+    """Padded centres take no rows, ties go to the first centre, costs are added on request only."""
+    from shopgroups.operators import cluster as C
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(50, 1, (300, 4)), np.zeros((5, 4))])
+    centers = x[rng.integers(0, 300, (60, 4))]
+    centers[1, 2] = centers[1, 0]  # the same centre twice
+    valid = np.array([[j < 2 + r % 3 for j in range(4)] for r in range(60)])
+    for costs in (False, True):
+        n, cost, sums = np.zeros((60, 4)), np.zeros((60, 4)), np.zeros((60, 4, 4))
+        C._lloyd_sums(x, centers, valid, (n, cost, sums), costs)
+        for r in range(60):
+            d = ((x[:, None] - centers[r][None]) ** 2).sum(axis=2)
+            d[:, ~valid[r]] = np.inf
+            own = d.argmin(axis=1)
+            assert n[r].tolist() == np.bincount(own, minlength=4).tolist()
+            for j in range(4):
+                assert np.allclose(sums[r, j], x[own == j].sum(axis=0)) and np.isclose(cost[r, j], d[own == j, j].sum() if costs else 0.0)
+
+
+def test_given_models_are_not_fitted_again(spark, monkeypatch):
+    from shopgroups.operators import cluster as C
+    from shopgroups.plans import segmentation as SEG
+    df = spark.createDataFrame([(i, float(i % 3 * 10), float(i % 7)) for i in range(60)], "customer_id long, x double, y double")
+    configs = [(2, 1), (2, 2), (3, 1)]
+    fitted = C.fit_kmeans_many(df, ["x", "y"], configs, 2)
+    plain = SEG.k_sweep(df, ["x", "y"], [2, 3], 1, 2)[0], SEG.seed_stability(df, ["x", "y"], 2, [1, 2], 2).collect()
+    monkeypatch.setattr(C, "fit_kmeans_many", None)
+    metrics = SEG.k_sweep(df, ["x", "y"], [2, 3], 1, 2, models=[fitted[0], fitted[2]])[0]
+    assert [{k: round(v, 9) for k, v in m.items()} for m in metrics] == [{k: round(v, 9) for k, v in m.items()} for m in plain[0]]
+    assert SEG.seed_stability(df, ["x", "y"], 2, [1, 2], 2, models=fitted[:2]).collect() == plain[1]
