@@ -12,13 +12,14 @@ most 15/185 of the sum of their sizes. The join finds all links:
    sets that link agree in a word. A set emits its non-empty words, which suffice
    where there are more than h of them; else it emits the empty ones as well.
 2. Words are first grouped inside each map task, then (one row per word and task)
-   by a shuffle. Only words that several sets share go on. As at most h of a
+   by a shuffle. Only words that several different sets share go on. As at most h of a
    set's non-empty words can differ from those of a set that it links with, a set
    that shares fewer than the others takes no further part in the band.
 3. Sets that share words, directly or along others, make a cluster. A cluster is
    cut into units that a task can hold: one unit if it is small, else blocks of
    sets in pairs of blocks of neighbouring sizes. Every set's hashes are read
-   again from the texts, only for sets in clusters.
+   again from the texts, only for sets in clusters. Tables and shuffles of a step
+   are deleted when the next one is written, as each is about as large as the texts.
 4. In a unit, parity bit sketches (one bit toggled per token; the Hamming distance
    is a lower bound too) rule pairs out, the rest is verified exactly, the
    likeliest first, and pairs that are connected already are skipped. The links
@@ -33,9 +34,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopgroups.sources.tables import remove_folder
+
 from .common import documents, python_ready, stored, unused, work_folder
 from .components import components, with_group
 from .ragged import chunks, mix, span_hashes, starts_of, strings, text_bytes, words_of
@@ -208,31 +212,111 @@ def _lists(every: np.ndarray, owner: np.ndarray, key: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(key[order]))
 
 
+def _columns(batches, *names) -> list[np.ndarray] | None:
+    """The columns of all batches of a task; none without batches."""
+    kept = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in names) for b in batches]
+    return [np.concatenate(c) for c in zip(*kept)] if kept else None
+
+
+def _tasks(rows: int, spark) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_WORDS))
+
+
+def _first_of(*sorted_columns) -> np.ndarray:
+    """Which rows differ from the one before."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return new
+
+
 def shared_words(rows: DataFrame, folder: str) -> DataFrame:
-    """(key, rid) for all keys that several sets have."""
-    spark = rows.sparkSession
+    """(key, sid) for all keys that several sets have; a set is named by its digest, so that its copies are one."""
     total = rows.agg(F.sum("n_keys")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_WORDS))
     # one row per key and map task of set_rows
-    firsts = rows.filter("n_keys > 0").select("rid", F.explode("keys").alias("key")).repartition(tasks, "key")
+    firsts = rows.filter("n_keys > 0").select(F.col("digest").alias("sid"), F.explode("keys").alias("key")).repartition(_tasks(total, rows.sparkSession), "key")
 
     def several(batches):
-        kept = [(b.column("key").to_numpy(), b.column("rid").to_numpy()) for b in batches]
-        if not kept:
+        found = _columns(batches, "key", "sid")
+        if found is None:
             return
-        key, rid = (np.concatenate(c) for c in zip(*kept))
-        order = np.argsort(key, kind="stable")
-        key, rid = key[order], rid[order]
+        key, sid = found
+        order = np.lexsort((sid, key))
+        key, sid = key[order], sid[order]
+        new = _first_of(key, sid)
+        key, sid = key[new], sid[new]
         same = np.zeros(len(key) + 1, bool)
         same[1:-1] = key[1:] == key[:-1]
         chosen = same[1:] | same[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(key[chosen]), pa.array(rid[chosen])], names=["key", "rid"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[chosen]), pa.array(sid[chosen])], names=["key", "sid"])
 
-    across = firsts.mapInArrow(several, "key long, rid long")
-    inside = rows.filter(F.size("shared") > 0).select(F.explode("shared").alias("key"), "rid")
+    across = firsts.mapInArrow(several, "key long, sid long")
+    inside = rows.filter(F.size("shared") > 0).select(F.explode("shared").alias("key"), F.col("digest").alias("sid"))
     return stored(across.unionByName(inside), folder, "shared")
 
 
+def word_edges(shared: DataFrame, slim: DataFrame, folder: str) -> DataFrame:
+    """(a, b): edges that connect all sets with a word in common, of sets that share enough of them in its band.
+
+    A task reduces its sets' words to one set for each word, so that no later task takes a hot word's sets.
+    """
+    tasks = _tasks(shared.count(), shared.sparkSession)
+    needs = slim.filter(F.size("bands") > 0).select(F.col("digest").alias("sid"), F.explode(F.map_from_arrays("bands", "needs")).alias("band", "need"))
+    asked = shared.select("sid", "key", F.lit(0).alias("need")).unionByName(needs.select("sid", F.col("band").cast("long").alias("key"), "need"))
+
+    def enough(batches):
+        found = _columns(batches, "sid", "key", "need")
+        if found is None:
+            return
+        sid, key, need = found
+        word = need == 0
+        key_of, sid_of = key[word], sid[word]
+        order = np.lexsort((key_of, sid_of))
+        key_of, sid_of = key_of[order], sid_of[order]
+        new = _first_of(key_of, sid_of)
+        key_of, sid_of = key_of[new], sid_of[new]
+        # a set's own keys of a band, and how many it needs; the sets are numbered
+        sets = np.unique(sid)
+        place = lambda sid, band: np.searchsorted(sets, sid) * 64 + band
+        own = place(sid_of, key_of & int(BAND_BITS))
+        least = np.full(len(sets) * 64, np.iinfo(np.int64).max)
+        np.minimum.at(least, place(sid[~word], key[~word]), need[~word])
+        kept = np.bincount(own, minlength=len(least))[own] >= least[own]
+        key_of, sid_of = key_of[kept], sid_of[kept]
+        order = np.lexsort((sid_of, key_of))
+        key_of, sid_of = key_of[order], sid_of[order]
+        first = _first_of(key_of) if len(key_of) else np.zeros(0, bool)
+        to = sid_of[first][np.cumsum(first) - 1]
+        a, b = _different(sid_of[~first], to[~first])
+        none = pa.nulls(len(a), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(key_of[first]), pa.array(sid_of[first]), pa.nulls(int(first.sum()), pa.int64())], names=["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b)], names=["key", "a", "b"])
+
+    members = stored(asked.repartition(tasks, "sid").mapInArrow(enough, "key long, a long, b long"), folder, "members")
+
+    def joined(batches):
+        found = _columns(batches, "key", "a")
+        if found is None:
+            return
+        order = np.lexsort((found[1], found[0]))
+        key, sid = found[0][order], found[1][order]
+        first = _first_of(key) if len(key) else np.zeros(0, bool)
+        a, b = _different(sid, sid[first][np.cumsum(first) - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    words = members.filter("key is not null").select("key", "a")
+    return words.repartition(_tasks(words.count(), shared.sparkSession), "key").mapInArrow(joined, "a long, b long").unionByName(
+        members.filter("key is null").select("a", "b"))
+
+
+def _different(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of unlike numbers."""
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = _first_of(a, b)
+    return a[new], b[new]
+
+
 def spanning_links(rid: np.ndarray, size: np.ndarray, hashes: list[np.ndarray], percent: int, block: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that span the components of the sets' links. With ``block`` (0 or 1 per set) only links
     between the two blocks are looked for."""
@@ -289,21 +373,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                                                                      F.count("*").alias("copies")), folder, "classes")
 
     shared = shared_words(rows, folder)
-    # of the rows with one set only the first goes on: the others have the same keys
-    names = rows.filter(F.size("bands") > 0).select("rid", F.map_from_arrays("bands", "needs").alias("need"), *same_set).join(
-        sets.select("set_id", *same_set), same_set).filter("rid = set_id").select("rid", "need")
-    several = shared.join(names.select("rid"), "rid", "left_semi")
-    several = several.join(several.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key", "left_semi")
-    band = F.col("key").bitwiseAND(F.lit(int(BAND_BITS))).cast("int")
-    count = F.count("*").over(Window.partitionBy("rid", "band"))  # a set's own keys
-    members = (several.withColumn("band", band).withColumn("n", count).join(names, "rid")
-               .filter(F.col("n") >= F.try_element_at("need", F.col("band"))).select("key", F.col("rid").alias("set_id")))
-    members = stored(members, folder, "members")
-    first = members.groupBy("key").agg(F.min("set_id").alias("b"), F.count("*").alias("n_rows"))
-    edges = with_group(members, first, ["key"], members.count()).select(F.col("set_id").alias("a"), "b")
+    # the words are most of the disk, and not read again
+    slim = stored(rows.select("rec_id", *same_set, "bands", "needs"), folder, "slim")
+    remove_folder(spark, f"{folder}/sets")
+    edges = stored(word_edges(shared, slim, folder), folder, "edges")
+    for name in ("shared", "members"):
+        remove_folder(spark, f"{folder}/{name}")
     clusters = components(edges, f"{folder}/clusters")
-    clusters = stored(clusters.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")), folder, "cluster-of")
-    sized = clusters.join(sets.drop("copies"), "set_id")
+    clusters = stored(clusters.select(F.col("node").alias("digest"), F.col("root").alias("cluster")), folder, "cluster-of")
+    sized = clusters.join(sets.drop("copies"), "digest")
     large = sized.groupBy("cluster").agg(F.count("*").alias("n_rows"), F.count("*").alias("c_sets"), F.sum("size").alias("c_hashes"))
     links = verified_links(df, with_group(sized, large, ["cluster"], clusters.count()), id_col, text_col, n, percent, unit_sets, unit_hashes, folder)
     links = stored(links, folder, "links")
@@ -314,8 +392,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n_rows"))
     named = with_group(rooted, least, ["root"], rooted.count()).select(*same_set, "component_id", F.col("copies").alias("n_rows"))
     named = stored(named, folder, "named")
-    slim = rows.select("rec_id", *same_set)
-    found = with_group(slim.filter("size > 0"), named, same_set, rows.count())
+    slim = slim.select("rec_id", *same_set)
+    found = with_group(slim.filter("size > 0"), named, same_set, slim.count())
     # sets without a member are linked with nothing, and are no group
     empty = slim.filter("size = 0").withColumn("component_id", F.col("rec_id"))
     return found.unionByName(empty).select(
@@ -361,39 +439,52 @@ def verified_links(df: DataFrame, sized: DataFrame, id_col: str, text_col: str,
     texts = text.join(wanted, text["rec_id"].eqNullSafe(wanted["rep_id"])).select(
         "set_id", "size", "digest", "digest2", "units", "text")
 
+    kinds = "set_id long, size long, digest long, digest2 long, units array<struct<unit:long,side:int>>, text string, hashes array<long>"
+
     def read(batches):
+        """The hashes of sets of several units. Those of one unit go on as texts, which take less disk."""
         for batch in batches:
+            several = pc.greater(pc.list_value_length(batch.column("units")), 1)
+            once, batch = batch.filter(pc.invert(several)), batch.filter(several)
+            if once.num_rows:
+                lists = pa.nulls(once.num_rows, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(once.column(c) for c in SET_COLUMNS), once.column("text").cast(pa.string()), lists], names=[*SET_COLUMNS, "text", "hashes"])
             for part in chunks(batch, "text"):
-                hashes, bounds = shingles(strings(part.column("text")), n)
-                size = np.diff(bounds)
-                full = np.flatnonzero(size)
-                if not len(full):
-                    continue
-                digest, digest2 = np.zeros((2, len(size)), np.uint64)
-                digest[full] = mix(np.bitwise_xor.reduceat(hashes, bounds[full]) + size[full].astype(np.uint64))
-                digest2[full] = mix(np.add.reduceat(mix(hashes), bounds[full]))
-                # of rows with one id only those with the set itself
-                right = (size == part.column("size").to_numpy()) & (digest.view(np.int64) == part.column("digest").to_numpy()) & (
-                    digest2.view(np.int64) == part.column("digest2").to_numpy())
+                hashes, bounds, right = _right_sets(part, n)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), part.column("units"), lists], names=["set_id", "units", "hashes"]).filter(pa.array(right))
+                found = pa.RecordBatch.from_arrays([*(part.column(c) for c in SET_COLUMNS), pa.nulls(part.num_rows, pa.string()), lists], names=[*SET_COLUMNS, "text", "hashes"])
+                yield found.filter(pa.array(right))
 
-    read_sets = texts.mapInArrow(read, "set_id long, units array<struct<unit:long,side:int>>, hashes array<long>")
-    dealt = (read_sets.select("set_id", F.explode("units").alias("u"), "hashes").select("u.unit", "u.side", "set_id", "hashes")
+    dealt = (texts.mapInArrow(read, kinds).withColumn("u", F.explode("units"))
+             .select("u.unit", "u.side", "set_id", "size", "digest", "digest2", "text", "hashes")
              .repartition("unit").sortWithinPartitions("unit"))
 
+    def hashes_of(batch):
+        """The rows of a batch in order, texts as hashes: (unit, side, set id, hashes)."""
+        given = pc.is_valid(batch.column("hashes")).to_numpy(zero_copy_only=False)
+        for a, z in zip(edges := [0, *(np.flatnonzero(given[1:] != given[:-1]) + 1).tolist()], [*edges[1:], batch.num_rows]):
+            rows = batch.slice(a, z - a)
+            if not rows.num_rows:
+                continue
+            for part in [rows] if given[a] else chunks(rows, "text"):
+                if given[a]:
+                    lists = part.column("hashes")
+                    at, flat, right = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64), np.ones(part.num_rows, bool)
+                else:
+                    flat, at, right = _right_sets(part, n)
+                units, sides, ids = (part.column(c).to_numpy() for c in ("unit", "side", "set_id"))
+                for i in np.flatnonzero(right).tolist():
+                    yield units[i], sides[i], ids[i], flat[at[i]: at[i + 1]]
+
     def link(batches):
         unit, rows = None, []
         for batch in batches:
-            units, sides, ids = (batch.column(c).to_numpy() for c in ("unit", "side", "set_id"))
-            lists = batch.column("hashes")
-            at, flat = np.asarray(lists.offsets), np.asarray(lists.values).view(np.uint64)
             out = []
-            for i in range(len(units)):
-                if units[i] != unit:
+            for of, side, set_id, hashes in hashes_of(batch):
+                if of != unit:
                     out += _link(rows, percent)
-                    unit, rows = units[i], []
-                rows.append((ids[i], sides[i], flat[at[i]: at[i + 1]]))
+                    unit, rows = of, []
+                rows.append((set_id, side, hashes))
             # keep only what the next batch may go on with
             rows = [(r, s, h.copy()) for r, s, h in rows]
             yield _pairs(out)
@@ -402,6 +493,23 @@ def verified_links(df: DataFrame, sized: DataFrame, id_col: str, text_col: str,
     return dealt.mapInArrow(link, "a long, b long")
 
 
+SET_COLUMNS = ("set_id", "size", "digest", "digest2", "units")
+
+
+def _right_sets(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the texts, bounds of each text's hashes, whether they are the set of the row): of rows with one id only those with the set itself."""
+    hashes, bounds = shingles(strings(batch.column("text")), n)
+    size = np.diff(bounds)
+    full = np.flatnonzero(size)
+    digest, digest2 = np.zeros((2, len(size)), np.uint64)
+    if len(full):
+        digest[full] = mix(np.bitwise_xor.reduceat(hashes, bounds[full]) + size[full].astype(np.uint64))
+        digest2[full] = mix(np.add.reduceat(mix(hashes), bounds[full]))
+    right = (size == batch.column("size").to_numpy()) & (digest.view(np.int64) == batch.column("digest").to_numpy()) & (
+        digest2.view(np.int64) == batch.column("digest2").to_numpy())
+    return hashes, bounds, right
+
+
 def _link(rows: list, percent: int) -> list[tuple[int, int]]:
     rows = list({r[0]: r for r in rows}.values())
     if len(rows) < 2:

@@ -269,3 +269,27 @@ def test_texts_outside_clusters_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(J, "BROADCAST_HASHES", 0)
     assert sorted(map(tuple, J.jaccard_components(df).collect())) == plain
     assert "LeftSemi" not in plans["links"]
+
+
+def test_copies_share_no_words_and_leave_no_words_on_disk(spark, monkeypatch):
+    """Copies of a text in many tasks are one set: their words are not written as shared ones, and all words are deleted."""
+    import os
+
+    from shopgroups.llm import jaccard as J
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(5)]
+    rows = [(10 * c + i, t) for c in range(6) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(6, "doc_id")
+    counts, folders = {}, set()
+
+    def recorded(table, folder, name, stored=J.stored):
+        found = stored(table, folder, name)
+        counts[name] = found.count()
+        folders.add(folder)
+        return found
+
+    monkeypatch.setattr(J, "stored", recorded)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(df).collect()}
+    assert got == {i: i % 10 for i, _ in rows}
+    assert counts["shared"] == 0
+    left = {name for folder in folders for name in os.listdir(folder.removeprefix("file:"))}
+    assert "slim" in left and not left & {"sets", "shared", "members"}
